@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses
+from . import decontaminate, licenses, suffix_tree_lm
 from .shared import table
 
 
@@ -16,6 +16,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "n_units", F.round("best_dice", 6).alias("best_dice"))
 
 
+def op6_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
@@ -25,6 +29,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_license_scan": op4_license_scan,
+        "op6_suffix_tree_lm": op6_suffix_tree_lm,
         "op9_decontaminate": op9_decontaminate,
     }
 
