@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, suffix_tree_lm
+from . import decontaminate, fertility, licenses, packing, suffix_tree_lm
 from .shared import table
 
 
@@ -16,6 +16,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "n_units", F.round("best_dice", 6).alias("best_dice"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_lm.score(table(spark, sf_dir, "documents"))
 
@@ -26,11 +30,18 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fertility.judge(table(spark, sf_dir, "documents"), group_col="lang")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "fallback_share", "entropy_ratio", F.array_join("reasons", ",").alias("reasons"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_license_scan": op4_license_scan,
+        "op5_best_fit_packing": op5_best_fit_packing,
         "op6_suffix_tree_lm": op6_suffix_tree_lm,
         "op9_decontaminate": op9_decontaminate,
+        "op10_tokeniser_fertility": op10_tokeniser_fertility,
     }
 
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,3 +42,23 @@ def fold(id_col: Column, n: int) -> Column:
 def held(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Adds a column that is computed once a row: filters and lambdas above cannot pull its expression into themselves."""
     return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors once, for sessions that were not started with it on their path."""
+    context = spark.sparkContext
+    if getattr(context, "_lectern_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    bundle = Path(tempfile.mkdtemp(prefix="spark-lectern-")) / "lectern.zip"
+    with zipfile.ZipFile(bundle, "w") as out:
+        for path in top.rglob("*.py"):
+            out.write(path, path.relative_to(top.parent))
+    context.addPyFile(str(bundle))
+    context._lectern_shipped = True
+
+
+def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """mapInArrow with the package at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
