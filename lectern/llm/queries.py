@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fertility, licenses, packing, suffix_tree_lm
+from . import decontaminate, fertility, language, licenses, packing, suffix_tree_lm
 from .shared import table
 
 
+def op3_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "n_units", F.round("best_dice", 6).alias("best_dice"))
@@ -37,6 +41,7 @@ def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_language_cnn": op3_language_cnn,
         "op4_license_scan": op4_license_scan,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_suffix_tree_lm": op6_suffix_tree_lm,
