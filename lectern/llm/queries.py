@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fertility, language, licenses, packing, suffix_tree_lm
+from . import decontaminate, fertility, language, licenses, packing, quality, suffix_tree_lm, toxicity
 from .shared import table
 
 
+def op1_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_matches"))
+
+
 def op3_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -28,6 +33,11 @@ def op6_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_lm.score(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "score", F.col("good").alias("kept"), "evidence", "host_rate", "path_rate")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
@@ -41,10 +51,12 @@ def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity_grammar": op1_toxicity_grammar,
         "op3_language_cnn": op3_language_cnn,
         "op4_license_scan": op4_license_scan,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_suffix_tree_lm": op6_suffix_tree_lm,
+        "op7_quality_bayes": op7_quality_bayes,
         "op9_decontaminate": op9_decontaminate,
         "op10_tokeniser_fertility": op10_tokeniser_fertility,
     }

@@ -22,6 +22,14 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def lower_latin(buf: np.ndarray) -> np.ndarray:
+    """ASCII and Latin-1 letters in lower case; lengths stay the same."""
+    out = LOWER[buf]
+    wide = np.flatnonzero((buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)) + 1
+    out[wide] += 32
+    return out
+
+
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty."""
     if column.null_count:
@@ -85,3 +93,26 @@ def gather_bytes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     size = ends - starts
     off = np.concatenate([[0], np.cumsum(size)])
     return buf[np.repeat(starts - off[:-1], size) + np.arange(off[-1])], off
+
+
+def running_hash(buf: np.ndarray) -> np.ndarray:
+    """Prefix sums of the polynomial, for hashing many spans of one buffer with spans_from."""
+    span_hashes(buf[:0], np.zeros(0, np.int64), np.zeros(0, np.int64))
+    if len(buf) + 1 > len(_powers):
+        span_hashes(buf, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _powers[: len(buf)], out=total[1:])
+    return total
+
+
+def spans_from(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The same hashes as span_hashes."""
+    return mix((total[ends] - total[starts]) * _inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+def find_sorted(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The place of each key in the sorted keys, -1 if it isn't there."""
+    if not len(sorted_keys):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return np.where(sorted_keys[at] == keys, at, -1)
