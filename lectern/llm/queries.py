@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fertility, language, licenses, packing, quality, suffix_tree_lm, toxicity
+from . import decontaminate, fertility, html_main, language, licenses, packing, quality, suffix_tree_lm, toxicity
 from .shared import table
 
 
@@ -38,6 +38,11 @@ def op7_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "score", F.col("good").alias("kept"), "evidence", "host_rate", "path_rate")
 
 
+def op8_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_main.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
@@ -57,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_suffix_tree_lm": op6_suffix_tree_lm,
         "op7_quality_bayes": op7_quality_bayes,
+        "op8_html_consensus": op8_html_consensus,
         "op9_decontaminate": op9_decontaminate,
         "op10_tokeniser_fertility": op10_tokeniser_fertility,
     }
