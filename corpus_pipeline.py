@@ -1,5 +1,53 @@
 """The corpus pipeline: language, quality, near-duplicates, benchmark leaks, packing."""
-STAGES = []
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lectern.llm import decontaminate, language, near_duplicates, packing, quality
+from lectern.llm.shared import stored, table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language or with an unsure one."""
+    return language.keep_identified(docs)
+
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality classifier rejects."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each class of near-duplicates."""
+    return near_duplicates.keep_first(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that share a window of words with a benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokenises the documents that are left and packs them into sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("quality", classify_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_benchmark_leaks),
+    ("packing", pack_sequences),
+]
+
+#: Networks, sampling and bin completion are not SQL; tests/llm compares the pipeline with a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents; each result is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

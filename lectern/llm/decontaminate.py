@@ -113,3 +113,11 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
         F.coalesce("found_items", F.array().cast(f"array<{dict(benchmark.dtypes)[item_col]}>")).alias("items"),
         (F.coalesce("hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents in which no window of an item occurs, with all their columns."""
+    marked = hits(documents, benchmark, id_col, text_col).select("doc_key").distinct()
+    rows = documents.select(F.struct(*documents.columns).alias("kept_row"))
+    key = F.struct(F.col(f"kept_row.{id_col}").alias("id"), F.xxhash64(f"kept_row.{text_col}").alias("hash"))
+    return rows.join(marked, key.eqNullSafe(F.col("doc_key")), "left_anti").select("kept_row.*")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packing import vocabulary_path
-from .shared import mapped, stored
+from .shared import mapped, stored, with_fields
 from .textarrays import SPACED, chunks, mix, span_hashes, string_buffers, word_spans
 from .wordcache import WordCache
 
@@ -78,7 +78,6 @@ def _scripts(b: np.ndarray, off: np.ndarray) -> np.ndarray:
 def measure(documents: DataFrame, columns: list[str], text_col: str = "text", path: str | None = None, window: int = REPEAT_WINDOW) -> DataFrame:
     """The named columns and MEASURES for each document; ratios are null where there is no token."""
     path = path or vocabulary_path(VOCABULARY)
-    kept = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, is_byte = _cache(path)
@@ -107,7 +106,7 @@ def measure(documents: DataFrame, columns: list[str], text_col: str = "text", pa
                 own += [pa.array(x, from_pandas=True) for x in ratios] + [pa.array(_scripts(b, o).tolist(), pa.string())]
                 yield pa.RecordBatch.from_arrays(own, [*columns, *[m.split()[0] for m in MEASURES.split(", ")]])
 
-    return mapped(documents.select(*columns, text_col), run, f"{kept}, {MEASURES}")
+    return mapped(documents.select(*columns, text_col), run, with_fields(documents, columns, MEASURES))
 
 
 def bands(measured: DataFrame, group: str, width: float = WIDTH) -> DataFrame:

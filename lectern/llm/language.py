@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import fold, mapped
+from .shared import fold, mapped, with_fields
 from .textarrays import LOWER, chunks, string_buffers
 
 WINDOW = 192
@@ -174,7 +174,6 @@ def _has_letter(raw: bytes) -> bool:
 def predict(documents: DataFrame, net: Network | None, columns: list[str], text_col: str = "text") -> DataFrame:
     """The named columns with lang_pred and score (share of the weighted probability); UNKNOWN and 0 without a letter."""
     shared = documents.sparkSession.sparkContext.broadcast(net)
-    kept = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
@@ -201,7 +200,7 @@ def predict(documents: DataFrame, net: Network | None, columns: list[str], text_
                 own = [batch.column(k).slice(i, rows) for k in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(best.tolist(), pa.string()), pa.array(score)], [*columns, "lang_pred", "score"])
 
-    return mapped(documents.select(*columns, text_col), run, f"{kept}, lang_pred string, score double")
+    return mapped(documents.select(*columns, text_col), run, with_fields(documents, columns, "lang_pred string, score double"))
 
 
 def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out_fold: int = 2) -> DataFrame:
@@ -213,3 +212,11 @@ def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     held_out = fold(F.col(id_col), folds) == held_out_fold
     net = fit(documents.where(~held_out), text_col, lang_col, id_col)
     return predict(documents, net, [id_col], text_col).withColumn("held_out", held_out).select(id_col, "held_out", "lang_pred", "score")
+
+
+def keep_identified(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
+    """The documents whose language is found with at least that score, with all their columns; learns from their own labels."""
+    net = fit(documents, text_col, lang_col, id_col)
+    rows = documents.select(F.struct(*documents.columns).alias("kept_row"), F.col(text_col).alias("text"))
+    found = predict(rows, net, ["kept_row"]).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return found.select("kept_row.*")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mapped, stored
+from .shared import mapped, stored, with_fields
 from .textarrays import SPACED, chunks, span_hashes, string_buffers, word_spans
 from .toxicity import labelled_sample, logistic
 
@@ -78,7 +78,6 @@ def fit(sample: DataFrame) -> np.ndarray:
 
 def evidence(documents: DataFrame, coefficients: np.ndarray, columns: list[str], text_col: str = "text") -> DataFrame:
     """The named columns and evidence, the classifier's log odds that a text is good."""
-    kept = "".join(f"`{c}` {documents.schema[c].dataType.simpleString()}, " for c in columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,7 +86,7 @@ def evidence(documents: DataFrame, coefficients: np.ndarray, columns: list[str],
                 own = [batch.column(k).slice(i, j - i) for k in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(np.clip(features(b, o) @ coefficients, -12, 12))], [*columns, "evidence"])
 
-    return mapped(documents.select(*columns, text_col), run, f"{kept}evidence double")
+    return mapped(documents.select(*columns, text_col), run, with_fields(documents, columns, "evidence double"))
 
 
 def _logit(p: Column) -> Column:
@@ -108,15 +107,15 @@ def _strength(groups: DataFrame, mean: Column) -> float:
 
 
 def classify(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality", per_label: int = SAMPLE) -> DataFrame:
-    """One row per document: id, evidence, host_rate, path_rate, score, good.
+    """One row per document: id, src (hash of id and text), evidence, host_rate, path_rate, score, good.
 
     Null and empty texts are judged by their features (no words); null hosts and paths are groups of their own;
     without labels evidence is even; rows are answered one by one, repeats alike; an empty table gives an empty
     result; other columns are ignored.
     """
     sample = stored(labelled_sample(documents, labels, label_col, id_col, text_col, per_label), "quality-sample")
-    flat = documents.select(F.col(id_col).alias("doc"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"))
-    scored = stored(evidence(flat, fit(sample), ["doc", "host", "path"]).withColumn("p", 1 / (1 + F.exp(-F.col("evidence")))), "quality-evidence")
+    flat = documents.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("src"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"))
+    scored = stored(evidence(flat, fit(sample), ["doc", "src", "host", "path"]).withColumn("p", 1 / (1 + F.exp(-F.col("evidence")))), "quality-evidence")
     paths = stored(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("good"), F.sum(F.col("p") ** 2).alias("squares")), "quality-paths")
     within = (F.col("squares") - F.col("good") ** 2 / F.col("n")).alias("within")
     whole = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
@@ -130,5 +129,13 @@ def classify(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     rates = nested.select(F.col("host").alias("h"), F.col("path").alias("q"), "host_rate", ((F.col("good") + b * F.col("host_rate")) / (F.col("n") + b)).alias("path_rate"))
     both = scored.join(stored(rates, "quality-rates"), F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")), "left")
     odds = F.col("evidence") + _logit(F.col("path_rate")) - _logit(F.lit(mean))
-    done = both.select(F.col("doc").alias(id_col), "evidence", "host_rate", "path_rate", (1 / (1 + F.exp(-odds))).alias("score"))
+    done = both.select(F.col("doc").alias(id_col), "src", "evidence", "host_rate", "path_rate", (1 / (1 + F.exp(-odds))).alias("score"))
     return done.withColumn("good", F.col("score") >= 0.5)
+
+
+def keep_good(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality") -> DataFrame:
+    """The documents that are classified good, with all their columns."""
+    verdict = classify(documents, labels, id_col, text_col, host_col, path_col, label_col)
+    bad = stored(verdict.where(~F.col("good")).select(F.col("src").alias("bad_src")).distinct(), "rejected")
+    rows = documents.select(F.struct(*documents.columns).alias("kept_row"))
+    return rows.join(bad, F.xxhash64(F.col(f"kept_row.{id_col}"), F.col(f"kept_row.{text_col}")) == F.col("bad_src"), "left_anti").select("kept_row.*")

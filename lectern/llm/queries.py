@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fertility, html_main, language, licenses, packing, quality, suffix_tree_lm, toxicity
+from . import decontaminate, fertility, html_main, language, licenses, near_duplicates, packing, quality, suffix_tree_lm, toxicity
 from .shared import table
 
 
@@ -16,6 +16,10 @@ def op1_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_matches"))
 
 
+def op2_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op3_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity_grammar": op1_toxicity_grammar,
+        "op2_weighted_minhash": op2_weighted_minhash,
         "op3_language_cnn": op3_language_cnn,
         "op4_license_scan": op4_license_scan,
         "op5_best_fit_packing": op5_best_fit_packing,

@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +59,12 @@ def ship(spark: SparkSession) -> None:
     context._lectern_shipped = True
 
 
-def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+def mapped(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
     """mapInArrow with the package at hand on the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def with_fields(df: DataFrame, columns: list[str], more: str) -> T.StructType:
+    """The schema of the named columns followed by those of a DDL string."""
+    return T.StructType([df.schema[c] for c in columns] + T.StructType.fromDDL(more).fields)

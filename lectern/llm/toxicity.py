@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import fold, mapped, stored
+from .shared import fold, mapped, stored, with_fields
 from .textarrays import ALNUM, chunks, find_sorted, lower_latin, mix, running_hash, spans_from, string_buffers, word_spans
 
 # Closed word classes in English, French, German and Spanish.
@@ -271,7 +271,6 @@ def fit(sample: DataFrame) -> Grammar:
 def score(documents: DataFrame, grammar: Grammar, columns: list[str], text_col: str = "text") -> DataFrame:
     """The named columns, score, and the matched spans (start and end in bytes, frame, weight)."""
     shared = documents.sparkSession.sparkContext.broadcast(grammar)
-    kept = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in columns)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("frame", pa.string()), ("weight", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +286,7 @@ def score(documents: DataFrame, grammar: Grammar, columns: list[str], text_col:
                 own = [batch.column(k).slice(i, j - i) for k in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(1 / (1 + np.exp(-np.clip(x @ grammar.coefficients, -30, 30)))), pa.array(spans, span)], [*columns, "score", "spans"])
 
-    return mapped(documents.select(*columns, text_col), run, f"{kept}, score double, spans array<struct<start:bigint,end:bigint,frame:string,weight:double>>")
+    return mapped(documents.select(*columns, text_col), run, with_fields(documents, columns, "score double, spans array<struct<start:bigint,end:bigint,frame:string,weight:double>>"))
 
 
 def detect(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_out_fold: int = 0, per_label: int = SAMPLE) -> DataFrame:
