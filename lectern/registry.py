@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .fixtures import Views, with_views
 
-MODULES = ("corpus", "relational", "analytics", "safety")
+MODULES = ("corpus", "relational", "analytics", "safety", "retrieval", "dialogue", "trees", "streams")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
