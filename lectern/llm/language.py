@@ -143,11 +143,13 @@ def cut_windows(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def fit(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", docs: int = TRAIN_DOCS, per_doc: int = TRAIN_WINDOWS) -> Network | None:
     """Trains on the windows of a bounded sample; None if there is nothing to learn from.
 
-    The rank within a language is limited before the shuffle, so a language with most rows sends a few only.
+    Only ids are ranked, and the rank is limited before the shuffle, so a language with most rows sends a few only.
     """
     usable = documents.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rank = F.row_number().over(Window.partitionBy(lang_col).orderBy(F.xxhash64(order_col), order_col))
-    sample = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), rank.alias("rank")).where(F.col("rank") <= docs)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    ids = usable.select(F.col(lang_col).alias("lang"), F.col(order_col).alias("id")).withColumn("rank", rank).where(F.col("rank") <= docs)
+    chosen = F.broadcast(ids.select(F.col("lang").alias("chosen_lang"), "id"))  # at most docs rows a language
+    sample = usable.join(chosen, F.col(order_col).eqNullSafe(F.col("id")) & (F.col(lang_col) == F.col("chosen_lang")), "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
