@@ -84,7 +84,7 @@ def evidence(documents: DataFrame, coefficients: np.ndarray, columns: list[str],
             buf, off = string_buffers(batch.column(batch.num_columns - 1))
             for i, j, b, o in chunks(buf, off):
                 own = [batch.column(k).slice(i, j - i) for k in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(np.clip(features(b, o) @ coefficients, -12, 12))], [*columns, "evidence"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.round(np.clip(features(b, o) @ coefficients, -12, 12), 9))], [*columns, "evidence"])
 
     return mapped(documents.select(*columns, text_col), run, with_fields(documents, columns, "evidence double"))
 
