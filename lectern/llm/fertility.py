@@ -1,7 +1,8 @@
 """Quality rules from tokeniser fertility: characters per token, byte-fallback share and token entropy.
 
 The measures come from a public vocabulary with byte fallback. For each language (or script, where no language
-column is named) the bands are median +- WIDTH robust deviations over all documents with enough tokens.
+column is named) the bands lie about the median of all documents with enough tokens, WIDTH robust deviations
+to each side and NOISE * sqrt(100 / tokens) more, as measures of short texts scatter.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ REPEAT_WINDOW = 8
 MIN_WORDS = 20
 #: A text is judged by the bands from this many tokens on; below, the measures are too noisy.
 MIN_TOKENS = 80
-WIDTH = 8.0
+WIDTH, NOISE = 4.0, 6.0
 #: Least robust deviation of each measure, so that a very even group rejects nothing for a trifle.
-FLOORS = {"chars_per_token": 0.04, "fallback_share": 0.01, "entropy_ratio": 0.012}
+FLOORS = {"chars_per_token": 0.02, "fallback_share": 0.01, "entropy_ratio": 0.012}
 _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 _caches: dict[str, tuple[WordCache, set[int]]] = {}
@@ -109,8 +110,8 @@ def measure(documents: DataFrame, columns: list[str], text_col: str = "text", pa
     return mapped(documents.select(*columns, text_col), run, with_fields(documents, columns, MEASURES))
 
 
-def bands(measured: DataFrame, group: str, width: float = WIDTH) -> DataFrame:
-    """Per group: low and high of each measure, over all documents with enough tokens.
+def bands(measured: DataFrame, group: str) -> DataFrame:
+    """Per group: median and robust deviation of each measure, over all documents with enough tokens.
 
     Sketched quantiles: one row of bounded size per group and map task is shuffled, however large a group is.
     """
@@ -119,7 +120,7 @@ def bands(measured: DataFrame, group: str, width: float = WIDTH) -> DataFrame:
     out = [F.col("band_group")]
     for m, floor in FLOORS.items():
         dev = F.greatest((F.col(m)[2] - F.col(m)[0]) / 1.349, F.lit(floor))
-        out += [(F.col(m)[1] - width * dev).alias(f"{m}_low"), (F.col(m)[1] + width * dev).alias(f"{m}_high")]
+        out += [F.col(m)[1].alias(f"{m}_mid"), dev.alias(f"{m}_dev")]
     return stats.select(*out)
 
 
@@ -135,7 +136,9 @@ def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     limits = bands(measured, group_col or "script")
     joined = measured.join(limits, F.col(group_col or "script").eqNullSafe(F.col("band_group")), "left")
     enough = F.col("n_tokens") >= MIN_TOKENS
-    why = [F.when(enough & (F.col("entropy_ratio") < F.col("entropy_ratio_low")), F.lit("low entropy")), F.when(enough & (F.col("fallback_share") > F.col("fallback_share_high")), F.lit("byte fallback"))]
-    why += [F.when(enough & (F.col("chars_per_token") < F.col("chars_per_token_low")), F.lit("short tokens")), F.when(enough & (F.col("chars_per_token") > F.col("chars_per_token_high")), F.lit("long tokens"))]
+    reach = WIDTH + NOISE * F.sqrt(100 / F.greatest("n_tokens", F.lit(1)))
+    off = {m: (F.col(m) - F.col(f"{m}_mid")) / F.col(f"{m}_dev") for m in FLOORS}
+    why = [F.when(enough & (off["entropy_ratio"] < -reach), F.lit("low entropy")), F.when(enough & (off["fallback_share"] > reach), F.lit("byte fallback"))]
+    why += [F.when(enough & (off["chars_per_token"] < -reach), F.lit("short tokens")), F.when(enough & (off["chars_per_token"] > reach), F.lit("long tokens"))]
     reasons = F.array_compact(F.array(*why))
     return joined.select(*columns, *[m.split()[0] for m in MEASURES.split(", ")], "base_failed", reasons.alias("reasons")).withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0))

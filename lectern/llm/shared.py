@@ -45,9 +45,17 @@ def held(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode_outer(F.array(value)).alias(name))
 
 
+#: Rows in an Arrow batch where the session has Spark's default: texts are long, and a batch stands in memory several times.
+BATCH_ROWS = "1000"
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors once, for sessions that were not started with it on their path."""
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     if getattr(context, "_lectern_shipped", False):
         return
     top = Path(__file__).resolve().parents[1]
