@@ -190,9 +190,14 @@ def page(df: DataFrame, order: list[Column], limit: int = 20, offset: int = 0) -
     return df.orderBy(*order).offset(max(0, offset)).limit(min(200, max(1, limit)))
 
 
+def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first n rows of each key; Spark limits the ranks within each task before it shuffles."""
+    return df.withColumn("match_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("match_rank") <= n).drop("match_rank")
+
+
 def first_match(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key."""
-    return df.withColumn("match_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("match_rank = 1").drop("match_rank")
+    return first_rows(df, keys, order, 1)
 
 
 def cap_elements(array: str | Column, n: int) -> Column:

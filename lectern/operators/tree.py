@@ -94,6 +94,7 @@ def clusters(vectors: DataFrame, sample: int = FIT_SAMPLE) -> DataFrame:
         return pd.DataFrame({"namespace": [rows["namespace"].iloc[0]], "weights": [w.tolist()], "means": [m.ravel().tolist()], "covs": [c.ravel().tolist()]})
 
     models = chosen.groupBy("namespace").applyInPandas(fit, "namespace string, weights array<double>, means array<double>, covs array<double>")
+    models = stored(vectors.sparkSession, models, "mixtures")  # its size is then known: Spark broadcasts it while it is small
     joined = vectors.select("namespace", "chunk_id", "reduced").join(models.withColumnRenamed("namespace", "model_ns"), F.col("namespace") == F.col("model_ns")).drop("model_ns")
 
     def assign(frames):

@@ -210,7 +210,8 @@ def k5(v: Views) -> DataFrame:
 
 @query("k6_element_caps", "SELECT course_id, array_to_string(list_slice(ids, 1, 50), ',') AS source_ids FROM (SELECT course_id, list(CAST(material_id AS VARCHAR) ORDER BY material_id) AS ids FROM materials GROUP BY course_id) x")
 def k6(v: Views) -> DataFrame:
-    ids = v.materials.groupBy("course_id").agg(F.array_sort(F.collect_list("material_id")).alias("ids"))
+    few = R.first_rows(v.materials, ["course_id"], [F.asc("material_id")], 50)  # limited before it is gathered
+    ids = few.groupBy("course_id").agg(F.array_sort(F.collect_list("material_id")).alias("ids"))
     return ids.select("course_id", F.array_join(F.transform(R.cap_elements("ids", 50), lambda x: x.cast("string")), ",").alias("source_ids"))
 
 
