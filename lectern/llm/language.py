@@ -16,16 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .shared import fold, mapped, with_fields
+from .shared import fold, hash_sample, mapped, with_fields
 from .textarrays import LOWER, chunks, string_buffers
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 EMBED = 8
-#: The training sample: at most so many documents a language, by hash of the id, and windows a document.
+#: The training sample: about so many documents a language, by hash of the id, and windows a document.
 TRAIN_DOCS, TRAIN_WINDOWS = 400, 4
 EPOCHS, BATCH, RATE, SEED = 8, 64, 4e-3, 7
 UNKNOWN = "und"
@@ -143,13 +142,10 @@ def cut_windows(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def fit(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", docs: int = TRAIN_DOCS, per_doc: int = TRAIN_WINDOWS) -> Network | None:
     """Trains on the windows of a bounded sample; None if there is nothing to learn from.
 
-    Only ids are ranked, and the rank is limited before the shuffle, so a language with most rows sends a few only.
+    The sample is a hash threshold per language, so texts are filtered where they are read.
     """
     usable = documents.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    ids = usable.select(F.col(lang_col).alias("lang"), F.col(order_col).alias("id")).withColumn("rank", rank).where(F.col("rank") <= docs)
-    chosen = F.broadcast(ids.select(F.col("lang").alias("chosen_lang"), "id"))  # at most docs rows a language
-    sample = usable.join(chosen, F.col(order_col).eqNullSafe(F.col("id")) & (F.col(lang_col) == F.col("chosen_lang")), "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sample = hash_sample(usable, F.col(lang_col), F.col(order_col), docs).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

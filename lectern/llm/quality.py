@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mapped, stored, with_fields
+from .shared import mapped, stored, with_fields, without
 from .textarrays import SPACED, chunks, span_hashes, string_buffers, word_spans
 from .toxicity import labelled_sample, logistic
 
-#: The labelled sample: at most so many texts of each label.
+#: The labelled sample: about so many texts of each label.
 SAMPLE = 4000
 #: Bounds of the estimated prior strengths, in documents.
 STRENGTH = (5.0, 1e6)
@@ -136,6 +136,5 @@ def classify(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def keep_good(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality") -> DataFrame:
     """The documents that are classified good, with all their columns."""
     verdict = classify(documents, labels, id_col, text_col, host_col, path_col, label_col)
-    bad = stored(verdict.where(~F.col("good")).select(F.col("src").alias("bad_src")).distinct(), "rejected")
-    rows = documents.select(F.struct(*documents.columns).alias("kept_row"))
-    return rows.join(bad, F.xxhash64(F.col(f"kept_row.{id_col}"), F.col(f"kept_row.{text_col}")) == F.col("bad_src"), "left_anti").select("kept_row.*")
+    bad = stored(verdict.where(~F.col("good")).select(F.col("src").alias("gone_src")).distinct(), "rejected")
+    return without(documents, bad, id_col, text_col)

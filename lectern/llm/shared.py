@@ -76,3 +76,26 @@ def mapped(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFram
 def with_fields(df: DataFrame, columns: list[str], more: str) -> T.StructType:
     """The schema of the named columns followed by those of a DDL string."""
     return T.StructType([df.schema[c] for c in columns] + T.StructType.fromDDL(more).fields)
+
+
+def hash_sample(df: DataFrame, group: Column, key: Column, per_group: int) -> DataFrame:
+    """About per_group rows of each group (all of a smaller one), those with the least hashes of the key.
+
+    Sizes are one row a group; rows are then filtered in place, so no group is ranked or gathered in a task.
+    """
+    sizes = {r["g"]: r["n"] for r in df.groupBy(group.alias("g")).agg(F.count("*").alias("n")).collect() if r["g"] is not None}
+    if not sizes:
+        return df.where("false")
+    cuts = F.create_map(*[F.lit(x) for g, n in sorted(sizes.items()) for x in (g, int(min(1.0, per_group / n) * (1 << 20)))])
+    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.coalesce(F.try_element_at(cuts, group), F.lit(0)))
+
+
+#: Row keys up to this many are broadcast (8 bytes each); above, both sides are shuffled.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(documents: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The documents, with all their columns, whose hash of id and text is not in gone (one stored column, gone_src)."""
+    rows = documents.select(F.struct(*documents.columns).alias("kept_row"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_src"))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
+    return rows.join(gone, F.col("row_src") == F.col("gone_src"), "left_anti").select("kept_row.*")

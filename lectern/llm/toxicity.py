@@ -16,9 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .shared import fold, mapped, stored, with_fields
+from .shared import fold, hash_sample, mapped, stored, with_fields
 from .textarrays import ALNUM, chunks, find_sorted, lower_latin, mix, running_hash, spans_from, string_buffers, word_spans
 
 # Closed word classes in English, French, German and Spanish.
@@ -28,7 +27,7 @@ REPORTS = "said says say saying told wrote writes quoted called claims claimed a
 THREATS = "kill hurt destroy murder stab shoot strangle burn tuer frapper détruire töten umbringen schlagen vernichten matar golpear destruir"
 THREAT_WEIGHT = 4.0
 
-#: The labelled sample: at most so many texts of each label, by hash of the id.
+#: The labelled sample: about so many texts of each label, by hash of the id.
 SAMPLE = 2500
 #: A term is learned as an insult if so many toxic texts hold it, in so many different contexts, at such odds.
 MIN_TEXTS, MIN_CONTEXTS, MIN_LOG_ODDS, MAX_CLEAN_SHARE = 6, 6, 2.5, 0.002
@@ -184,12 +183,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 40)
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, per_label: int) -> DataFrame:
-    """(text, y) of at most per_label texts of each label; ranks are limited before the shuffle, so labels send few rows."""
-    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("sample_id"), "sample_id"))
-    chosen = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("sample_id"), F.col(label_col).alias("y"))
-    chosen = chosen.where(F.col("sample_id").isNotNull()).withColumn("rank", rank).where(F.col("rank") <= per_label)
+    """(text, y) of about per_label texts of each label, by a hash threshold per label."""
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("sample_id"), F.col(label_col).cast("int").alias("y"))
+    chosen = hash_sample(known, F.col("y"), F.col("sample_id"), per_label)
     mine = documents.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return mine.join(F.broadcast(chosen), F.col(id_col) == F.col("sample_id")).select("text", F.col("y").cast("int").alias("y"))  # at most 2 * per_label rows
+    return mine.join(F.broadcast(chosen), F.col(id_col) == F.col("sample_id")).select("text", "y")  # about 2 * per_label rows
 
 
 def fit(sample: DataFrame) -> Grammar:
