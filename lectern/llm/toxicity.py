@@ -29,8 +29,9 @@ THREAT_WEIGHT = 4.0
 
 #: The labelled sample: about so many texts of each label, by hash of the id.
 SAMPLE = 2500
-#: A term is learned as an insult if so many toxic texts hold it, in so many different contexts, at such odds.
-MIN_TEXTS, MIN_CONTEXTS, MIN_LOG_ODDS, MAX_CLEAN_SHARE = 6, 6, 2.5, 0.002
+#: A term is learned as an insult if so many toxic texts of the sample hold it (or this share, if that is more), in as
+#: many different contexts, at such odds.
+MIN_TEXTS, MIN_SHARE, MIN_LOG_ODDS, MAX_CLEAN_SHARE = 6, 0.004, 2.5, 0.002
 STEM_BYTES = (4, 5, 6, 7)
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 _CLAUSE_END = np.isin(np.arange(256), list(b".!?;:\n"))
@@ -209,9 +210,10 @@ def fit(sample: DataFrame) -> Grammar:
 
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
+    least = max(MIN_TEXTS, MIN_SHARE * n_pos)
     odds = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
     sums = mapped(sample, count, "key long, pos long, neg long").groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    found = sums.where(F.col("pos") >= MIN_TEXTS).withColumn("odds", odds).where((F.col("odds") >= MIN_LOG_ODDS) & (F.col("neg") <= MAX_CLEAN_SHARE * n_neg)).toPandas()
+    found = sums.where(F.col("pos") >= least).withColumn("odds", odds).where((F.col("odds") >= MIN_LOG_ODDS) & (F.col("neg") <= MAX_CLEAN_SHARE * n_neg)).toPandas()
     keys = found["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     keys, odds_found, pos = keys[order], found["odds"].to_numpy(float)[order], found["pos"].to_numpy(np.int64)[order]
@@ -233,7 +235,7 @@ def fit(sample: DataFrame) -> Grammar:
     if len(keys):
         spread = mapped(sample.where("y = 1").select("text"), contexts, "term long, before long").groupBy("term").agg(F.count_distinct("before").alias("n")).toPandas()
         at = spread["term"].to_numpy(np.int64)
-        kept[at] = spread["n"].to_numpy(np.int64) >= np.maximum(MIN_CONTEXTS, 0.25 * pos[at])
+        kept[at] = spread["n"].to_numpy(np.int64) >= np.maximum(least, 0.25 * pos[at])
     lexicon = _closed() | {int(k): (INSULT, float(w)) for k, w in zip(keys[kept], odds_found[kept])}
     ordered = sorted(lexicon)
     grammar = Grammar(np.array(ordered, np.uint64), np.array([lexicon[k][0] for k in ordered], np.int8), np.array([lexicon[k][1] for k in ordered]), {f: 1.0 for f in FRAMES}, np.zeros(3))
