@@ -1,8 +1,9 @@
 """Quality rules from tokeniser fertility: characters per token, byte-fallback share and token entropy.
 
 The measures come from a public vocabulary with byte fallback. For each language (or script, where no language
-column is named) the bands lie about the median of all documents with enough tokens, WIDTH robust deviations
-to each side and NOISE * sqrt(100 / tokens) more, as measures of short texts scatter.
+column is named) and length (half an octave of tokens) the bands lie about the median of all documents that pass
+the base rule, WIDTH robust deviations to each side. Where too few documents have that length, those of similar
+lengths count as well, after the trend of each measure with the logarithm of the length is taken off.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .packing import vocabulary_path
@@ -22,9 +23,9 @@ from .wordcache import WordCache
 VOCABULARY = "piece_bpe_32k.model"
 REPEAT_WINDOW = 8
 MIN_WORDS = 20
-#: A text is judged by the bands from this many tokens on; below, the measures are too noisy.
-MIN_TOKENS = 80
-WIDTH, NOISE = 4.0, 6.0
+#: Bins of an octave of tokens; bands are taken of the narrowest span of bins to each side, then the group, then all groups, that has MIN_TEXTS texts.
+BINS, SPANS, MIN_TEXTS = 2, (0, 1, 3), 50
+WIDTH = 4.0
 #: Least robust deviation of each measure, so that a very even group rejects nothing for a trifle.
 FLOORS = {"chars_per_token": 0.02, "fallback_share": 0.01, "entropy_ratio": 0.012}
 _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -110,35 +111,58 @@ def measure(documents: DataFrame, columns: list[str], text_col: str = "text", pa
     return mapped(documents.select(*columns, text_col), run, with_fields(documents, columns, MEASURES))
 
 
-def bands(measured: DataFrame, group: str) -> DataFrame:
-    """Per group: median and robust deviation of each measure, over all documents with enough tokens.
+def trends(usable: DataFrame) -> dict[str, float]:
+    """Slope of each measure over log2 of the tokens, over all documents."""
+    found = usable.agg(*[F.regr_slope(m, F.log2("n_tokens")).alias(m) for m in FLOORS]).first()
+    return {m: found[m] or 0.0 for m in FLOORS}
 
-    Sketched quantiles: one row of bounded size per group and map task is shuffled, however large a group is.
+
+def length_bin() -> Column:
+    return F.floor(BINS * F.log2("n_tokens")).cast("int")
+
+
+def level(m: str, slopes: dict[str, float]) -> Column:
+    """The measure without its trend."""
+    return F.col(m) - slopes[m] * F.log2("n_tokens")
+
+
+def bands(usable: DataFrame, group: str, slopes: dict[str, float]) -> DataFrame:
+    """Per group and bin of tokens: median and robust deviation of each measure's level; null with too few texts in all.
+
+    Sketched quantiles: one row of bounded size per group, bin and map task is shuffled, however large a group is.
     """
-    usable = measured.where((F.col("n_tokens") >= MIN_TOKENS) & ~F.col("base_failed"))
-    stats = usable.groupBy(F.col(group).alias("band_group")).agg(*[F.percentile_approx(m, [0.25, 0.5, 0.75], 2000).alias(m) for m in FLOORS])
-    out = [F.col("band_group")]
+    near = [(k, d) for k, span in enumerate(SPANS) for d in range(-span, span + 1)]
+    at = [F.struct(F.lit(k).alias("k"), F.lit(False).alias("every"), (length_bin() + d).alias("b")) for k, d in near]
+    none = F.lit(None).cast("int")
+    at += [F.struct(F.lit(len(SPANS) + every).alias("k"), F.lit(bool(every)).alias("every"), none.alias("b")) for every in (0, 1)]
+    flat = usable.select(F.col(group).alias("g"), *[level(m, slopes).alias(m) for m in FLOORS], F.explode(F.array(*at)).alias("at"))
+    stats = flat.groupBy(F.when(~F.col("at.every"), F.col("g")).alias("g"), "at").agg(F.count("*").alias("n"), *[F.percentile_approx(m, [0.25, 0.5, 0.75], 2000).alias(m) for m in FLOORS])
+    stats = stats.where(F.col("n") >= MIN_TEXTS).select("g", F.col("at.k").alias("k"), F.col("at.b").alias("b"), F.struct("k", *FLOORS).alias("held"))
+    bins = usable.select(F.col(group).alias("band_group"), length_bin().alias("band_bin")).distinct()
+    same = F.when(F.col("k") <= len(SPANS), F.col("band_group").eqNullSafe(F.col("g"))).otherwise(True) & F.coalesce(F.col("band_bin") == F.col("b"), F.col("k") >= len(SPANS))
+    best = bins.join(F.broadcast(stats), same, "left").groupBy("band_group", "band_bin").agg(F.min("held").alias("held"))
+    out = [F.col("band_group"), F.col("band_bin")]
     for m, floor in FLOORS.items():
-        dev = F.greatest((F.col(m)[2] - F.col(m)[0]) / 1.349, F.lit(floor))
-        out += [F.col(m)[1].alias(f"{m}_mid"), dev.alias(f"{m}_dev")]
-    return stats.select(*out)
+        q = F.col(f"held.{m}")
+        out += [q[1].alias(f"{m}_mid"), F.greatest((q[2] - q[0]) / 1.349, F.when(q.isNotNull(), F.lit(floor))).alias(f"{m}_dev")]
+    return best.select(*out)
 
 
 def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_col: str | None = None, path: str | None = None) -> DataFrame:
     """One row per document: id, the counts, the measures, base_failed, reasons (array), kept.
 
-    Null and empty texts have no words and fail the base rule; texts under MIN_TOKENS tokens and groups without
-    bands are not judged by the bands; a null group is a group; repeated rows are answered one by one.
+    Null and empty texts have no words and fail the base rule; tables with under MIN_TEXTS texts that pass it have
+    no bands; a null group is a group; repeated rows are answered one by one.
     """
     columns = [id_col] + [c for c in [group_col] if c]
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     measured = stored(measure(documents, columns, text_col, path).withColumn("base_failed", failed), "fertility")
-    limits = bands(measured, group_col or "script")
-    joined = measured.join(limits, F.col(group_col or "script").eqNullSafe(F.col("band_group")), "left")
-    enough = F.col("n_tokens") >= MIN_TOKENS
-    reach = WIDTH + NOISE * F.sqrt(100 / F.greatest("n_tokens", F.lit(1)))
-    off = {m: (F.col(m) - F.col(f"{m}_mid")) / F.col(f"{m}_dev") for m in FLOORS}
-    why = [F.when(enough & (off["entropy_ratio"] < -reach), F.lit("low entropy")), F.when(enough & (off["fallback_share"] > reach), F.lit("byte fallback"))]
-    why += [F.when(enough & (off["chars_per_token"] < -reach), F.lit("short tokens")), F.when(enough & (off["chars_per_token"] > reach), F.lit("long tokens"))]
+    group = group_col or "script"
+    usable = measured.where(~F.col("base_failed") & (F.col("n_tokens") > 0))
+    slopes = trends(usable)
+    joined = measured.join(bands(usable, group, slopes), F.col(group).eqNullSafe(F.col("band_group")) & (length_bin() == F.col("band_bin")), "left")
+    off = {m: (level(m, slopes) - F.col(f"{m}_mid")) / F.col(f"{m}_dev") for m in FLOORS}
+    why = [F.when(off["entropy_ratio"] < -WIDTH, F.lit("low entropy")), F.when(off["fallback_share"] > WIDTH, F.lit("byte fallback"))]
+    why += [F.when(off["chars_per_token"] < -WIDTH, F.lit("short tokens")), F.when(off["chars_per_token"] > WIDTH, F.lit("long tokens"))]
     reasons = F.array_compact(F.array(*why))
     return joined.select(*columns, *[m.split()[0] for m in MEASURES.split(", ")], "base_failed", reasons.alias("reasons")).withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0))

@@ -233,6 +233,17 @@ def test_fertility_counts(spark, docs):
         assert r["base_failed"] == (len(ws) < 20 or 100 * len(again) > 30 * len(ws)) and (not r["kept"] or not r["base_failed"])
 
 
+def test_fertility_bands_fit_each_length(spark):
+    sf = "/root/testdata/sf0.01"
+    truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    judged = [r for r in run(spark, "op10_tokeniser_fertility", sf).collect() if not r["base_failed"]]
+    bad = [r for r in judged if truth.get(r["doc_id"]) == 0]
+    good = [r for r in judged if truth.get(r["doc_id"]) == 1]
+    assert sum(not r["kept"] for r in bad) > len(bad) / 2
+    assert sum(not r["kept"] for r in good) <= 0.01 * len(good)
+    assert any(not r["kept"] and r["n_tokens"] < 80 for r in judged)
+
+
 OPERATORS = {
     "op1": lambda s, d: toxicity.detect(d, H.labels(s)),
     "op2": lambda s, d: near_duplicates.duplicate_classes(d),
