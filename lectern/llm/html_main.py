@@ -86,7 +86,7 @@ def parse(page: str) -> list[tuple[str, float, tuple]]:
     path: list[tuple[int, str, float]] = []
     pieces: list[str] = []
     linked = in_link = at = number = inside = 0
-    skip, depth = "", 0
+    skip: list[str] = []  # an unwanted element and the elements open in it
 
     def flush() -> None:
         nonlocal linked
@@ -106,6 +106,33 @@ def parse(page: str) -> list[tuple[str, float, tuple]]:
             if tag in ("article", "main"):
                 inside -= 1
 
+    def skip_ends(tag: str, end: bool) -> bool | None:
+        """None while the skipped element stays open; False if its own end tag closes it, True if a tag that still counts does."""
+        if end:
+            k = next((k for k in range(len(skip) - 1, -1, -1) if skip[k] == tag), -1)
+            if k >= 0:
+                del skip[k:]
+                return None if skip else False
+            open_above = tag in BLOCKS and any(held == tag for held, _ in stack)
+            return True if open_above and (tag != "p" or not BLOCKS.intersection(skip)) else None
+        every = [held for held, _ in stack] + skip
+        own = len(stack)
+        if tag in CLOSES_P:
+            k = next((k for k in range(len(every) - 1, -1, -1) if every[k] == "p"), -1)
+            if k >= 0 and not CONTAINERS.intersection(every[k + 1 :]) and (k >= own or not BLOCKS.intersection(skip)):
+                if k <= own:
+                    return True
+                del skip[k - own :], every[k:]
+        for shut in CLOSED_BY.get(tag, ()):
+            k = next((k for k in range(len(every) - 1, -1, -1) if every[k] in (shut, "ul", "ol", "dl", "table")), -1)
+            if k >= 0 and every[k] == shut and (k >= own or tag in ("tr", "td", "th") or not BLOCKS.intersection(skip) - {"address", "div", "p"}):
+                if k <= own:
+                    return True
+                del skip[k - own :], every[k:]
+        if tag not in VOID and (tag in BLOCKS or tag == skip[0]):
+            skip.append(tag)
+        return None
+
     for m in TAG.finditer(page):
         if m.start() < at:
             continue
@@ -119,11 +146,16 @@ def parse(page: str) -> list[tuple[str, float, tuple]]:
         if not tag:
             continue
         if skip:
-            if tag == skip:
-                depth += -1 if m[1] else 1
-                if depth == 0:
-                    skip = ""
-            continue
+            if tag in RAW and not m[1]:
+                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                at = end.end() if end else len(page)
+                continue
+            over = skip_ends(tag, bool(m[1]))
+            if over is None:
+                continue
+            skip.clear()
+            if not over:
+                continue
         if m[1]:
             if tag == "a":
                 in_link = max(0, in_link - 1)
@@ -145,7 +177,7 @@ def parse(page: str) -> list[tuple[str, float, tuple]]:
                 flush()
             if tag == "head" and not re.compile(r"</head\s*>", re.I).search(page, at):
                 continue
-            skip, depth = tag, 1
+            skip.append(tag)
             continue
         if tag == "br":
             pieces.append(" ")

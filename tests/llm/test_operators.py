@@ -215,6 +215,23 @@ def test_html_structures():
         assert html_main.extract(html_main.parse(page), []) == want, page
 
 
+def test_html_unwanted_elements_without_end_tags():
+    cases = {
+        "<article><p class=notice>ad<p>one<p>two</article>": "one\ntwo",
+        "<article><ul><li class=ad>ad<li>one<li>two</ul><p>three</article>": "one\ntwo\nthree",
+        "<main><table><tr class=promo><td>ad<tr><td>one<td class=ad>ad<td>two</table></main>": "one\ntwo",
+        "<main><div class=content><p>one</p><div class=ad>ad</div></main>after": "one",
+        "<article><ul><li class=ad>ad<ul><li>x<li>y</ul></li><li>one</ul></article>": "one",
+        "<article><p>one<span class=ad>ad<p>two</article>": "one\ntwo",
+        "<article><p>one<aside><p>a<p>b</p></aside>two</article>": "one\ntwo",
+        "<article><li>one<nav><ul><li>a<li>b</ul></nav><p>two</article>": "one\ntwo",
+        "<article><div class=ad><script>'</div></article>'</script>ad</div><p>one</article>": "one",
+        "<article><dl><dt>one<dd class=ad>ad<dt>two</dl></article>": "one\ntwo",
+    }
+    for page, want in cases.items():
+        assert html_main.extract(html_main.parse(page), []) == want, page
+
+
 def test_html_consensus_outvotes_a_page(spark):
     good = "<html><body><div class='story s{0}'><p>{1}</p></div><div class='pad'><p>{2}</p></div></body></html>"
     rows = [(i, "http://h.org/a", good.format(i, "main words here " * 9, "short")) for i in range(8)] + [(99, "http://H.org:80/b", good.format(9, "main", "a long stray passage " * 30)), (100, None, None), (101, "http://x.org", "")]
