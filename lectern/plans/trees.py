@@ -12,7 +12,7 @@ from ..registry import query
 
 def texts(v: Views) -> DataFrame:
     """Vectors with a text each: that of the document with the same number, else a placeholder."""
-    pages = v.documents.select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 400).alias("text")).dropDuplicates(["vec_id"])
+    pages = v.documents.select(F.col("doc_id").alias("vec_id"), "text").dropDuplicates(["vec_id"])
     return v.vectors.join(pages, "vec_id", "left").withColumn("text", F.coalesce("text", F.lit("no text")))
 
 

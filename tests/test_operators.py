@@ -122,3 +122,18 @@ def test_mixture_finds_blobs():
 def test_every_vector_is_assigned(spark):
     rows = spark.createDataFrame([("n", f"c{i}", [float(i % 2), float(i)]) for i in range(9)] + [("m", "d", [0.0, 1.0])], "namespace string, chunk_id string, reduced array<double>")
     assert T.clusters(rows).count() == 10
+
+
+def test_digests_read_whole_texts(spark):
+    from lectern.fixtures import Views
+    from lectern.plans import trees
+
+    v = Views(spark, "/root/testdata/sf0.001")
+    whole = {r["doc_id"]: r["text"] for r in v.documents.collect()}
+    held = {r["vec_id"]: r["text"] for r in trees.texts(v).collect()}
+    assert held == {i: "no text" if whole.get(i) is None else whole[i] for i in held} and max(map(len, held.values())) > 400
+    digests = {(r["namespace"], r["cluster"]): r for r in trees._digests(v).collect()}
+    ids = {r["chunk_id"]: r["vec_id"] for r in v.vectors.collect()}
+    for r in digests.values():
+        if r["cluster_size"] <= T.MAX_SOURCES:
+            assert r["text"] == T.JOINER.join(held[ids[c]] for c in r["source_chunk_ids"])[: T.MAX_DIGEST]
