@@ -7,11 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
+_tables: list[np.ndarray] = []
 
 #: Byte tables. SPACED: words are runs without ASCII white space. ALNUM: ASCII letters and digits and all bytes beyond ASCII.
 SPACED = np.ones(256, bool)
@@ -77,37 +76,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of buf[starts:ends], from one running polynomial over the whole buffer."""
-    global _powers, _inverse
-    if len(buf) + 1 > len(_powers):
-        n = max(len(buf) + 1, 1 << 20)
-        _powers, _inverse = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, p, np.uint64)])) for p in (_P, _P_INV))
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _powers[: len(buf)], out=total[1:])
-    return mix((total[ends] - total[starts]) * _inverse[starts] + (ends - starts).astype(np.uint64))
-
-
-def gather_bytes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of the spans one after another, and their offsets."""
-    size = ends - starts
-    off = np.concatenate([[0], np.cumsum(size)])
-    return buf[np.repeat(starts - off[:-1], size) + np.arange(off[-1])], off
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse up to n at least; those of a chunk are kept, those of a longer text are not."""
+    size = max(n, CHUNK_BYTES) + 1
+    if _tables and len(_tables[0]) >= size:
+        return _tables
+    made = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, p, np.uint64)])) for p in (_P, _P_INV)]
+    if n <= CHUNK_BYTES:
+        _tables[:] = made
+    return made
 
 
 def running_hash(buf: np.ndarray) -> np.ndarray:
     """Prefix sums of the polynomial, for hashing many spans of one buffer with spans_from."""
-    span_hashes(buf[:0], np.zeros(0, np.int64), np.zeros(0, np.int64))
-    if len(buf) + 1 > len(_powers):
-        span_hashes(buf, np.zeros(0, np.int64), np.zeros(0, np.int64))
     total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _powers[: len(buf)], out=total[1:])
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _powers(len(buf))[0][: len(buf)], out=total[1:])
     return total
 
 
 def spans_from(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The same hashes as span_hashes."""
-    return mix((total[ends] - total[starts]) * _inverse[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of the spans starts:ends of the buffer with that running hash."""
+    return mix((total[ends] - total[starts]) * _powers(len(total) - 1)[1][starts] + (ends - starts).astype(np.uint64))
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of buf[starts:ends], from one running polynomial over the whole buffer."""
+    return spans_from(running_hash(buf), starts, ends)
+
+
+def gather_bytes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the spans one after another, and their offsets."""
+    size = ends - starts
+    off = np.concatenate([[0], np.cumsum(size)])
+    return buf[np.repeat(starts - off[:-1], size) + np.arange(off[-1])], off
 
 
 def find_sorted(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
