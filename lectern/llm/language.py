@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fold, hash_sample, mapped, with_fields
+from .shared import fold, hash_sample, mapped, stored, with_fields, without
 from .textarrays import LOWER, chunks, string_buffers
 
 WINDOW = 192
@@ -215,6 +215,7 @@ def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_identified(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
     """The documents whose language is found with at least that score, with all their columns; learns from their own labels."""
     net = fit(documents, text_col, lang_col, id_col)
-    rows = documents.select(F.struct(*documents.columns).alias("kept_row"), F.col(text_col).alias("text"))
-    found = predict(rows, net, ["kept_row"]).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return found.select("kept_row.*")
+    keyed = documents.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("gone_src"), F.col(text_col).alias("text"))
+    found = predict(keyed, net, ["gone_src"])
+    rejected = found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("gone_src").distinct()
+    return without(documents, stored(rejected, "unidentified"), id_col, text_col)
