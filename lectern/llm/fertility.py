@@ -8,6 +8,8 @@ lengths count as well, after the trend of each measure with the logarithm of the
 
 from __future__ import annotations
 
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,20 +32,45 @@ WIDTH = 4.0
 FLOORS = {"chars_per_token": 0.02, "fallback_share": 0.01, "entropy_ratio": 0.012}
 _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
-_caches: dict[str, tuple[WordCache, set[int]]] = {}
+_PARTS = re.compile(rb" +[^ \n]*|\n[^ \n]*")
+_caches: dict[str, tuple[WordCache, np.ndarray]] = {}
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, fallback_share double, entropy_ratio double, script string"
 
 
+def split_pieces(text: bytes) -> list[bytes]:
+    """Parts of a text that no token joins: words with the spaces before them (less the one that the model adds), and
+    line ends with what follows them.
+
+    In the vocabulary a space stands at the start of a piece or in a run of spaces, and a line end is a byte token,
+    so that the word after it has no space. This is checked when the vocabulary is loaded.
+    """
+    if not text:
+        return []
+    if b"\xe2\x96\x81" in text:  # the sign that stands for a space
+        text = text.replace(b"\xe2\x96\x81", b" ")
+    if b"  " in text or text[:1] == b" ":
+        return [x if x[:1] == b"\n" else x[1:] for x in _PARTS.findall(b" " + text)]
+    return text.replace(b"\n", b" \n").split(b" ")
+
+
 def _cache(path: str) -> tuple[WordCache, np.ndarray]:
     if path not in _caches:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-
-        def encode(words: list[str]) -> list[bytes]:
-            return [np.array(x, "<u4").tobytes() for x in model.encode(words, num_threads=1)]
-
-        _caches[path] = WordCache(encode), np.array([model.is_byte(i) for i in range(model.get_piece_size())])
+        is_byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
+        pieces = [model.id_to_piece(i) for i in np.flatnonzero(~is_byte).tolist()]
+        if any("\n" in p or "\u2581" in p.lstrip("\u2581") or (p.startswith("\u2581\u2581") and p.strip("\u2581")) for p in pieces):
+            raise ValueError(f"{path}: its tokens join words")
+        space = model.piece_to_id("\u2581")
+
+        def encode(words: list[bytes], known: dict[bytes, bytes]) -> list[bytes]:
+            found = model.encode([w.decode() for w in words], num_threads=1)
+            # The model puts a space before each; a line end has none.
+            found = [[space] if not w else ids[1:] if w[:1] == b"\n" else ids for w, ids in zip(words, found)]
+            return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
+
+        _caches[path] = WordCache(encode), is_byte
     return _caches[path]
 
 
@@ -96,7 +123,7 @@ def measure(documents: DataFrame, columns: list[str], text_col: str = "text", pa
                 dups = np.array([len(x) - len(set(x)) for x in lines], np.int64)
                 ratios = np.full((3, rows), np.nan)
                 n_tokens = np.zeros(rows, np.int64)
-                for r, ids in enumerate(cache.ids([t.split() for t in raw])):
+                for r, ids in enumerate(cache.ids([split_pieces(t) for t in raw])):
                     ids = np.frombuffer(ids, "<u4")
                     n_tokens[r] = len(ids)
                     if len(ids):
