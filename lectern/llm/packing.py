@@ -1,19 +1,21 @@
 """Best-fit packing of tokenised documents into fixed-length sequences by bin completion.
 
 Pieces are dealt by hash into blocks of about BLOCK pieces; each block is packed on its own, which costs at
-most one partly filled sequence a block. Within a block the largest piece left opens a sequence; fillings
-around it are enumerated, those that another filling dominates are skipped, and the search stops when the
-waste cannot fall further. The best-fit filling is the first incumbent.
+most one partly filled sequence a block. In a block the best-fit solution is the first incumbent, and a lower
+bound says whether it can be improved. If so, bin completion searches: the largest piece left opens a sequence,
+the undominated fillings around it are tried in order of their waste, and a branch ends where its waste so far
+leaves no room for fewer sequences than the incumbent has.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +28,9 @@ LENGTH = 2048
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 0
 BLOCK = 4000
-#: Fillings looked at for one sequence; the incumbent stands when they are used up.
-NODES = 60
+#: Fillings tried for each piece of a block. Bin packing is NP-hard: when they are used up the incumbent stands,
+#: which is never worse than best fit; a higher limit never gives more sequences.
+EFFORT = 2
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 _caches: dict[str, WordCache] = {}
 
@@ -40,18 +43,46 @@ def vocabulary_path(name: str) -> str:
 
 def _cache(path: str) -> WordCache:
     if path not in _caches:
+        import regex
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-
-        def encode(words: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        # Words of printable Latin-1 need no normalising beyond lower case: their parts go to the merges directly.
+        plain = regex.compile(r"[!-~¡-ÿ]+")
+        part = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        shown = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in printable)}
+        merges = tokenizer.model.tokenize
+
+        def encode(words: list[bytes], known: dict[bytes, bytes]) -> list[bytes]:
+            parts: dict[str, bytes] = {}
+            out = []
+            for word in words:
+                text = word.decode()
+                if "<|" in text or not plain.fullmatch(text):
+                    ids = tokenizer.encode(text, add_special_tokens=False).ids
+                    out.append(struct.pack(f"<{len(ids)}I", *ids))
+                    continue
+                found = []
+                for p in part.findall(text.lower()):
+                    if (held := parts.get(p) or known.get(p.encode())) is None:
+                        ids = [t.id for t in merges(p if p.isascii() else "".join(map(shown.__getitem__, p.encode())))]
+                        held = parts[p] = struct.pack(f"<{len(ids)}I", *ids)
+                    found.append(held)
+                out.append(found[0] if len(found) == 1 else b"".join(found))
+            return out
 
         _caches[path] = WordCache(encode)
     return _caches[path]
 
 
+def split_words(text: bytes) -> list[bytes]:
+    """The words of a text, lower-cased where that cannot touch a special token: no token joins two words."""
+    if b"<|" in text:
+        return [w if b"<|" in w else w.lower() for w in text.split()]
+    return text.lower().split()
+
+
 def tokenise(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, length: int = LENGTH, keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, and ids (little-endian unsigned 32-bit) if kept."""
     path = path or vocabulary_path(VOCABULARY)
@@ -65,13 +96,15 @@ def tokenise(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             buf, off = string_buffers(batch.column(1))
             for i, j, b, o in chunks(buf, off):
-                texts = [b[x:y].tobytes().lower().split() for x, y in zip(o[:-1], o[1:])]
+                texts = [split_words(b[x:y].tobytes()) for x, y in zip(o[:-1], o[1:])]
                 row, piece, start, size, crc, kept = [], [], [], [], [], []
                 for r, ids in enumerate(cache.ids(texts)):
                     ids += END_ID.to_bytes(4, "little")
                     for k, at in enumerate(range(0, len(ids), 4 * length)):
                         part = ids[at : at + 4 * length]
-                        row.append(i + r), piece.append(k), start.append(at // 4), size.append(len(part) // 4), crc.append(zlib.crc32(part)), kept.append(part)
+                        row.append(i + r), piece.append(k), start.append(at // 4), size.append(len(part) // 4), crc.append(zlib.crc32(part))
+                        if keep_ids:
+                            kept.append(part)
                 columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if keep_ids:
@@ -81,118 +114,188 @@ def tokenise(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return mapped(documents.select(id_col, text_col), run, PIECES.format(id=kind) + ", ids binary" * keep_ids)
 
 
-def complete(sizes: list[int], counts: dict[int, int], room: int, nodes: int = NODES) -> list[int]:
-    """The filling of room found by branch and bound; sizes: ascending distinct sizes with counts over 0.
-
-    Fillings with fewer, larger pieces come first and win ties: they dominate those that use small pieces up.
+def lower_bound(sizes: list[int], room: int) -> int:
+    """Martello and Toth's bound: pieces over half a sequence and those that fit beside none of them."""
+    s = np.sort(np.asarray(sizes, np.int64))[::-1]
+    best = -(-int(s.sum()) // room)
+    total = np.concatenate([[0], np.cumsum(s)])
+    over = int(np.searchsorted(-s, -room / 2, "left"))  # pieces over half
+    for k in np.unique(s[s <= room / 2]):
+        alone = int(np.searchsorted(-s, -(room - k), "left"))
+        end = int(np.searchsorted(-s, -k, "right"))
+        spare = (over - alone) * room - int(total[over] - total[alone])
+        best = max(best, over + max(0, -(-(int(total[end] - total[over]) - spare) // room)))
+    return max(best, over)
+
+
+def best_fit(sizes: list[int], room: int) -> list[list[int]]:
+    """Best-fit decreasing: each piece goes where it leaves least."""
+    free: list[tuple[int, int]] = []
+    bins: list[list[int]] = []
+    for s in sorted(sizes, reverse=True):
+        k = bisect_left(free, (s, -1))
+        if k == len(free):
+            left, at = room, len(bins)
+            bins.append([])
+        else:
+            left, at = free.pop(k)
+        bins[at].append(s)
+        if left > s:
+            insort(free, (left - s, at))
+    return bins
+
+
+def fillings(counts: dict[int, int], room: int, most_waste: int) -> Iterator[tuple[int, list[int]]]:
+    """(waste, filling) of all undominated fillings of room that waste at most that much, the least waste first.
+
+    A filling is dominated if a piece that is left out could replace some of its pieces without wasting more: the
+    smaller pieces it sets free are then as good anywhere else. For each waste, fillings of large pieces come first.
     """
-    best, best_sum = [], 0
-    left, want = room, []
-    used: dict[int, int] = {}
-    while (k := bisect_right(sizes, left)) and len(want) < 64:  # best fit: the incumbent
-        while k and counts[sizes[k - 1]] <= used.get(sizes[k - 1], 0):
-            k -= 1
-        if not k:
-            break
-        s = sizes[k - 1]
-        want.append(s)
-        used[s] = used.get(s, 0) + 1
-        left -= s
-    best, best_sum = want, room - left
-    budget = nodes
-
-    def search(left: int, top: int, chosen: list[int]) -> bool:
-        """Fill left with pieces no larger than sizes[top - 1]; True when nothing is wasted."""
-        nonlocal best, best_sum, budget
-        k = min(top, bisect_right(sizes, left))
-        while k and budget > 0:
-            budget -= 1
-            s = sizes[k - 1]
-            if counts[s] > chosen.count(s):
-                total = room - left + s
-                if total > best_sum or (total == best_sum and len(chosen) + 1 < len(best)):
-                    best, best_sum = [*chosen, s], total
-                if total == room:
+    sizes = sorted((s for s in counts if s <= room), reverse=True)
+    whole = (1 << (room + 1)) - 1
+    reach = [1]  # bit t: some of the sizes from here on add up to t
+    for s in reversed(sizes):
+        bits, n, k = reach[-1], min(counts[s], room // s), 1
+        while n:
+            k = min(k, n)
+            bits |= (bits << (s * k)) & whole
+            n -= k
+            k *= 2
+        reach.append(bits)
+    reach.reverse()
+
+    def dominated(chosen: list[int], waste: int) -> bool:
+        sums = 1
+        for s in chosen:
+            sums |= sums << s
+        used = Counter(chosen)
+        for x in sizes:
+            if counts[x] > used[x]:
+                low = max(1, x - waste)
+                hit = (sums >> low) & ((1 << (x - low + 1)) - 1)
+                if used[x]:  # the sum x by the piece x itself is no exchange
+                    others = 1
+                    for s in chosen:
+                        if s != x:
+                            others |= others << s
+                    hit = (others >> low) & ((1 << (x - low + 1)) - 1)
+                if hit:
                     return True
-                rest = left - s
-                m = min(k, bisect_right(sizes, rest))
-                if m:
-                    # the closest second piece; deeper fillings only where it leaves waste
-                    t = sizes[m - 1]
-                    if counts[t] > chosen.count(t) + (t == s):
-                        if total + t > best_sum:
-                            best, best_sum = [*chosen, s, t], total + t
-                        if total + t == room:
-                            return True
-                    if len(chosen) < 2 and search(rest, m, [*chosen, s]):
-                        return True
-            # waste bound: no filling led by smaller pieces holds more pieces than room for the smallest
-            k -= 1
-            if k and sizes[k - 1] * (left // sizes[0]) <= best_sum - (room - left):
-                return False
         return False
 
-    if best_sum < room and sizes:
-        for k in range(bisect_right(sizes, room), max(0, bisect_right(sizes, room) - nodes), -1):  # one and two pieces, exactly
-            a = sizes[k - 1]
-            b = room - a
-            if b == 0 or (b <= a and counts.get(b, 0) > (a == b)):
-                return [a] if b == 0 else [a, b]
-        search(room, len(sizes), [])
+    for waste in range(0, min(most_waste, room) + 1):
+        if not reach[0] >> (room - waste) & 1:
+            continue
+        stack: list[tuple[int, int, list[int]]] = [(0, room - waste, [])]
+        while stack:
+            k, left, chosen = stack.pop()
+            if not left:
+                if not dominated(chosen, waste):
+                    yield waste, chosen
+                continue
+            s = sizes[k]
+            for n in range(0, min(counts[s], left // s) + 1):  # the most of the larger piece is looked at first
+                if reach[k + 1] >> (left - n * s) & 1:
+                    stack.append((k + 1, left - n * s, [*chosen, *[s] * n]))
+
+
+def complete_bins(sizes: list[int], room: int, effort: int = EFFORT) -> list[list[int]]:
+    """The pieces' sizes in sequences: the best solution that the search finds."""
+    best = best_fit(sizes, room)
+    bound = lower_bound(sizes, room)
+    total, budget = sum(sizes), effort * len(sizes)
+    counts = Counter(sizes)
+    done: list[list[int]] = []  # the sequences of the branch at hand
+    tries: list[Iterator[tuple[int, list[int]]]] = []
+    wasted = [0]
+
+    def opened() -> Iterator[tuple[int, list[int]]]:
+        first = max(counts)
+        counts[first] -= 1
+        if not counts[first]:
+            del counts[first]
+        done.append([first])
+        spare = (len(best) - 1) * room - total - wasted[-1]  # waste that fewer sequences than the incumbent allow
+        return fillings(counts, room - first, spare) if spare >= 0 else iter(())
+
+    def undo(pieces: list[int]) -> None:
+        for s in pieces:
+            counts[s] += 1
+
+    if len(best) > bound and sizes:
+        tries.append(opened())
+    while tries:
+        step = next(tries[-1], None) if budget > 0 and len(best) > bound else None
+        if len(done[-1]) > 1:  # the filling tried before
+            undo(done[-1][1:])
+            del done[-1][1:]
+            wasted.pop()
+        if step is None or wasted[-1] + step[0] > (len(best) - 1) * room - total:
+            tries.pop()
+            undo(done.pop())
+            if tries and len(done[-1]) == 1:
+                wasted.pop()
+            continue
+        budget -= 1
+        waste, filling = step
+        for s in filling:
+            counts[s] -= 1
+            if not counts[s]:
+                del counts[s]
+        done[-1] += filling
+        wasted.append(wasted[-1] + waste)
+        if counts:
+            tries.append(opened())
+        elif len(done) < len(best):
+            best = [list(x) for x in done]
     return best
 
 
-def pack_sizes(lengths: np.ndarray, room: int = LENGTH, nodes: int = NODES) -> tuple[np.ndarray, np.ndarray]:
+def pack_sizes(lengths: np.ndarray, room: int = LENGTH, effort: int = EFFORT) -> tuple[np.ndarray, np.ndarray]:
     """(sequence, offset) of each piece."""
     order = np.argsort(lengths, kind="stable")
     values, first, n = np.unique(lengths[order], return_index=True, return_counts=True)
     waiting = {int(v): list(order[f : f + c]) for v, f, c in zip(values, first, n)}
-    counts = {v: len(x) for v, x in waiting.items()}
-    sizes = [int(v) for v in values]
-    sequence, offset, current = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), 0
-
-    def take(s: int, at: int) -> int:
-        i = waiting[s].pop()
-        counts[s] -= 1
-        if not counts[s]:
-            del counts[s]
-            del sizes[bisect_right(sizes, s) - 1]
-        sequence[i], offset[i] = current, at
-        return at + s
-
-    while sizes:
-        at = take(sizes[-1], 0)
-        while sizes and room - at >= sizes[0]:
-            for s in complete(sizes, counts, room - at, nodes):
-                at = take(s, at)
-        current += 1
+    sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    full = sum(1 for x in lengths if x == room)
+    bins = [[room]] * full + complete_bins([int(x) for x in lengths if x < room], room, effort)
+    for number, pieces in enumerate(bins):
+        at = 0
+        for s in pieces:
+            i = waiting[s].pop()
+            sequence[i], offset[i] = number, at
+            at += s
     return sequence, offset
 
 
 def pack(pieces: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
-    """Adds sequence_id and offset to rows with a column length (at most the sequence length)."""
-    n = pieces.count()
-    blocks = max(1, -(-n // block))
-    columns = [c for c in pieces.columns]
+    """Adds sequence_id and offset to rows with a column length (at most the sequence length).
+
+    Rows that are alike are counted, numbered and then dealt to blocks by hash, so that the result depends on the
+    rows alone and no block is large.
+    """
+    columns = list(pieces.columns)
+    blocks = max(1, -(-pieces.count() // block))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
+    alike = pieces.groupBy(*columns).agg(F.count("*").alias("alike"))
+    numbered = alike.select(*columns, F.explode(F.sequence(F.lit(1), F.col("alike").cast("int"))).alias("copy"))
+    dealt = numbered.withColumn("place", F.xxhash64(*[F.col(c) for c in columns], "copy")).withColumn("block", F.pmod("place", F.lit(blocks)).cast("int"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        number = int(pdf["block"].iloc[0])
-        pdf = pdf.sort_values([c for c in ("length", "ids_crc32", "piece") if c in columns], kind="stable")
-        sequence, offset = pack_sizes(pdf["length"].to_numpy(), length)
-        return pdf[columns].assign(sequence_id=sequence + (number << 32), offset=offset)
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("length", "ascending"), ("place", "ascending")])
+        sequence, offset = pack_sizes(table["length"].to_numpy(), length)
+        number = table["block"][0].as_py()
+        return table.select(columns).append_column("sequence_id", pa.array(sequence + (number << 32))).append_column("offset", pa.array(offset))
 
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(blocks)).cast("int")
-    if blocks > 1:  # repeated rows would land in one block: number them apart by partition and place
-        spread = F.pmod(F.xxhash64(*[F.col(c) for c in columns]) + F.monotonically_increasing_id() % 1_000_003, F.lit(blocks)).cast("int")
     ship(pieces.sparkSession)
-    return pieces.withColumn("block", spread).groupBy("block").applyInPandas(run, schema)
+    return dealt.groupBy("block").applyInArrow(run, schema)
 
 
 def pack_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, length: int = LENGTH) -> DataFrame:
     """Tokenise, cut and pack: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null and empty texts are the end id alone; longer documents are cut into full sequences and a rest;
-    repeated rows are packed one by one; an empty table gives an empty result; other columns are ignored.
+    Null and empty texts are the end id alone; longer documents, however long, are cut into full sequences and a
+    rest; pieces of equal length are interchangeable and go in order of a hash; repeated rows are packed one by
+    one; an empty table gives an empty result; other columns are ignored.
     """
     return pack(stored(tokenise(documents, id_col, text_col, path, length), "pieces"), length)
