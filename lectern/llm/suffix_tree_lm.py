@@ -1,13 +1,20 @@
-"""Language-model scoring with a probabilistic suffix tree over the bytes of words.
-
-A text is a sequence of words and one end. The tree reads bytes: a word follows a word break, and the break
-after it closes it; END after a break closes the text. Contexts are up to DEPTH bytes back to the last break.
-A context is kept if it is frequent enough (share of all symbols >= MIN_SHARE, which bounds the number of
-states by DEPTH / MIN_SHARE whatever the corpus) and its next-symbol distribution diverges from that of its
-suffix (G statistic >= MIN_G). Distributions are smoothed towards those of the suffix. Scoring follows the
-longest suffix state, as an automaton closed under prefixes. A word that training has seen c times has the
-probability (c + V * p) / (N + V), p being the tree's: whole known words are the deepest contexts, and the
-tree is what their distribution is smoothed towards (N tokens and V distinct tokens in training).
+"""Language-model scoring with a probabilistic suffix tree over words, and one over bytes for the spelling of rare words.
+
+A text is a sequence of words and one end. Symbols of the word tree are the words of at least FREQUENT of the
+training tokens (so at most 1 / FREQUENT of them, whatever the corpus), one symbol for all other words, the end,
+and a start that only contexts hold. Contexts are the last one or two symbols, over word breaks. A next symbol is
+kept in a context if it was seen there MIN_COUNT times and diverges from what the context's suffix predicts
+(G statistic >= MIN_G); contexts with a kept symbol are states, and those of two words grow out of kept pairs.
+In a state, kept symbols have their counts; what was seen of all others, with SMOOTH, is spread as the suffix does:
+p(w | s) = (n(s, w) + b(s) p(w | suffix)) / (n(s) + SMOOTH), b(s) = n(s) - kept counts + SMOOTH.
+A rare word then costs its share among rare words, (c + V p) / (N + V) with N tokens and V kinds of them in
+training and p the byte tree's probability of its spelling.
+
+The logarithm of a text's probability is a sum over its n-grams in which only kept ones add to what single symbols
+give; so kept n-grams are a table of values, which is broadcast up to BROADCAST_GRAMS rows and joined beyond.
+
+The byte tree reads a word after a break and closes it with one; it counts kinds of words in parts of the corpus. Contexts are up to DEPTH bytes back to that break,
+kept by share (MIN_SHARE of all symbols bounds the states by DEPTH / MIN_SHARE) and G statistic.
 """
 
 from __future__ import annotations
@@ -21,17 +28,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import fold, mapped, stored
-from .textarrays import LOWER, SPACED, chunks, gather_bytes, span_hashes, string_buffers, word_spans
+from .textarrays import LOWER, SPACED, chunks, find_sorted, gather_bytes, mix, span_hashes, string_buffers, word_spans
 
 DEPTH = 5
 MIN_SHARE = 2e-5
 MIN_G = 20.0
 SMOOTH = 4.0
-#: Words of at least this share of the training tokens are broadcast: at most 1 / FREQUENT of them.
-FREQUENT = 1e-5
+#: Words of at least this share of the training tokens are symbols of the word tree and are broadcast: at most 1 / FREQUENT of them.
+FREQUENT = 1e-6
+#: Kept n-grams up to this many are broadcast (16 bytes each).
+BROADCAST_GRAMS = 1_000_000
+MIN_COUNT = 2
+#: Symbols of the word tree take BITS bits of an n-gram's key; trigrams are told apart by TRIGRAM.
+BITS, TRIGRAM = 20, 1 << 62
+RARE, LAST, START, FIRST_WORD = 0, 1, 2, 3
+#: N-grams that one task of the counting gathers, on average, and parts that each task's n-grams are dealt in for each of these.
+GRAMS_A_TASK, PARTS = 3_000_000, 4
 #: Hashes that a task gathers before it sends their sums, and bytes that it works on at once: these bound its memory.
 FLUSH, WORK_BYTES = 500_000, 1 << 20
-BREAK, END = 32, 10  # neither byte occurs inside a word
+GRAM_FLUSH = 2_000_000
+BREAK = 32  # never occurs inside a word
 
 
 def _unique_sum(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,8 +57,8 @@ def _unique_sum(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each symbol of each word (its bytes, then BREAK): (context of up to DEPTH bytes with the symbol, packed; word index).
+def _grams(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """For each symbol of each word (its bytes, then BREAK): the context of up to DEPTH bytes with the symbol, packed.
 
     The context goes back to the break before the word; a packed value has its own length in the top byte.
     """
@@ -57,8 +73,7 @@ def _grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         back[d:] = sym[:-d]
         packed |= np.where(place >= d, back << np.uint64(8 * d), np.uint64(0))
     packed |= np.minimum(place, DEPTH).astype(np.uint64) << np.uint64(56)
-    real = place > 0
-    return packed[real], np.repeat(np.arange(len(size)), size + 1)
+    return packed[place > 0]
 
 
 def _count_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,8 +112,8 @@ def _flush(hashes: list, counts: list, body: list, sizes: list) -> Iterator[pa.R
     keys, sums = [], []
     for i in range(0, len(first), 50_000):
         some = first[i : i + 50_000]
-        packed, word = _grams(*gather_bytes(data, off[some], off[some] + size[some]))
-        k, s = _unique_sum(packed, total[i : i + 50_000][word])
+        packed = _grams(*gather_bytes(data, off[some], off[some] + size[some]))
+        k, s = np.unique(packed, return_counts=True)  # by kinds of words: unseen words are new kinds
         keys.append(k), sums.append(s)
     if keys:
         yield _rows(1, *_unique_sum(np.concatenate(keys), np.concatenate(sums)))
@@ -106,13 +121,12 @@ def _flush(hashes: list, counts: list, body: list, sizes: list) -> Iterator[pa.R
 
 @dataclass
 class Model:
-    """Automaton of the kept contexts; symbol classes are the bytes seen in training, class 0 all others and END."""
+    """Automaton of the kept contexts of bytes; symbol classes are the bytes seen in training, class 0 all others."""
 
     classes: np.ndarray  # byte -> class
     goto: np.ndarray  # states x classes -> state
     logp: np.ndarray  # states x classes -> log10 probability
     start: int  # state after a break
-    end_logp: float
     states: int
 
 
@@ -127,7 +141,7 @@ def symbol_counts(counts: DataFrame) -> DataFrame:
     return summed.select("len", F.shiftright("code", 8).alias("ctx"), F.col("code").bitwiseAND(F.lit(255)).cast("int").alias("sym"), "n")
 
 
-def fit(counts: DataFrame, texts: int, tokens: int) -> Model:
+def fit(counts: DataFrame) -> Model:
     """Contexts of enough share come to the driver (at most DEPTH / MIN_SHARE of them, with their next symbols)."""
     grams = symbol_counts(counts)
     symbols = grams.where("len = 0").agg(F.sum("n")).first()[0] or 0
@@ -137,9 +151,7 @@ def fit(counts: DataFrame, texts: int, tokens: int) -> Model:
     for length, ctx, sym, n in zip(rows["len"], rows["ctx"], rows["sym"], rows["n"]):
         tree.setdefault(int(ctx).to_bytes(length, "big"), {})[int(sym)] = int(n)
     root = tree.setdefault(b"", {})
-    root[END] = texts
     root.setdefault(BREAK, 0)
-    tree.setdefault(bytes([BREAK]), {})[END] = texts
     used = sorted(root)
     classes = np.zeros(256, np.int64)
     classes[used] = np.arange(1, len(used) + 1)
@@ -182,7 +194,7 @@ def fit(counts: DataFrame, texts: int, tokens: int) -> Model:
                 goto[i, classes[b]] = j
     goto[:, classes[BREAK]] = index[bytes([BREAK])]
     start = index[bytes([BREAK])]
-    return Model(classes, goto, logp, start, float(logp[start, classes[END]]), len(states))
+    return Model(classes, goto, logp, start, len(states))
 
 
 def _longest(index: dict[bytes, int], ctx: bytes) -> int:
@@ -215,46 +227,283 @@ def word_logp(model: Model, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def _score_partition(model: Model, frequent: np.ndarray, frequent_n: np.ndarray, tokens: int, types: int):
+@dataclass
+class Words:
+    """The word tree's symbols: hashes in order, the symbol of each, and by symbol its count and its probability without context."""
+
+    hashes: np.ndarray
+    symbols: np.ndarray
+    counts: np.ndarray
+    p: np.ndarray
+    tokens: int
+    rare_tokens: int
+    rare_types: int
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        return find_sorted(self.hashes, hashes)
+
+    def of(self, places: np.ndarray) -> np.ndarray:
+        return np.where(places >= 0, self.symbols[places] if len(self.symbols) else 0, RARE)
+
+
+def alphabet(counts: DataFrame, texts: int, word_tokens: int, word_types: int) -> Words:
+    """Symbols in order of frequency."""
+    often = counts.where((F.col("kind") == 0) & (F.col("n") >= max(1, FREQUENT * word_tokens))).select("key", "n").toPandas()
+    keys, n = often["key"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)
+    ranked = np.lexsort((keys, -n))
+    by_symbol = np.concatenate([[word_tokens - n.sum(), texts, texts], n[ranked]])
+    p = by_symbol.astype(float)
+    p[[RARE, LAST]] += 1
+    p /= word_tokens + texts + 2
+    symbol = np.empty(len(n), np.int64)
+    symbol[ranked] = np.arange(len(n)) + FIRST_WORD
+    order = np.argsort(keys)
+    return Words(keys[order], symbol[order], by_symbol, p, word_tokens + texts, int(by_symbol[RARE]), word_types - len(n))
+
+
+def sequences(symbols: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols with a start and an end for each row, row of each)."""
+    n = np.bincount(row, minlength=rows)
+    first = np.cumsum(n + 2) - n - 2
+    out = np.full(len(symbols) + 2 * rows, START, np.uint64)
+    out[first + n + 1] = LAST
+    out[np.arange(len(symbols)) + 2 * row + 1] = symbols
+    return out, np.repeat(np.arange(rows), n + 2)
+
+
+def gram_keys(seq: np.ndarray, row: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) of the n-grams of two or three symbols."""
+    n = max(0, len(seq) - order + 1)
+    key = np.zeros(n, np.uint64)
+    for j in range(order):
+        key = key << np.uint64(BITS) | seq[j : j + n]
+    inside = row[:n] == row[order - 1 : order - 1 + n]
+    return key[inside], row[:n][inside]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second bytes and so on: high ones are all zero and are compressed away."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes()
+
+
+def _from_planes(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _gram_partition(words: Words, order: int, parts: int, prefixes: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, keys, counts): differences of sorted n-gram keys and their counts, dealt by a hash of the key."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def flush() -> pa.RecordBatch:
+        keys, n = _unique_sum(*(np.concatenate(x) for x in zip(*held)))
+        held.clear()
+        part = ((mix(keys) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        by_part = np.argsort(part, kind="stable")
+        keys, n = keys[by_part], n[by_part]
+        cut = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
+        full = np.flatnonzero(np.diff(cut))
+        some = [(keys[cut[p] : cut[p + 1]], n[cut[p] : cut[p + 1]]) for p in full]
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([_planes(np.diff(k, prepend=np.uint64(0))) for k, _ in some], pa.binary()), pa.array([_planes(c.astype(np.uint32)) for _, c in some], pa.binary())], ["part", "keys", "counts"])
+
+    for batch in batches:
+        buf, off = string_buffers(batch.column(0))
+        for i, j, b, o in chunks(buf, off, WORK_BYTES):
+            b = LOWER[b]
+            starts, ends, row = word_spans(b, o, SPACED)
+            seq, srow = sequences(words.of(words.places(span_hashes(b, starts, ends))), row, j - i)
+            keys, _ = gram_keys(seq, srow, order)
+            if prefixes is not None:
+                keys = keys[find_sorted(prefixes, keys >> np.uint64(BITS)) >= 0]
+            if len(keys):
+                held.append(np.unique(keys, return_counts=True))
+            if sum(len(k) for k, _ in held) > GRAM_FLUSH:
+                yield flush()
+    if held:
+        yield flush()
+
+
+def count_grams(texts: DataFrame, words: Words, order: int, prefixes: np.ndarray | None = None) -> DataFrame:
+    """(key, n) of the n-grams that occur MIN_COUNT times; prefixes: the only ones that count, if given."""
+    tasks = max(1, -(-words.tokens // GRAMS_A_TASK))
+    shared = texts.sparkSession.sparkContext.broadcast((words, prefixes))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, prefixes = shared.value
+        return _gram_partition(words, order, PARTS * tasks, prefixes, batches)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = [], []
+        for batch in batches:
+            for k, n in zip(batch.column(1), batch.column(2)):
+                keys.append(np.cumsum(_from_planes(k.as_py(), np.uint64), dtype=np.uint64)), counts.append(_from_planes(n.as_py(), np.uint32))
+        if keys:
+            k, n = _unique_sum(np.concatenate(keys), np.concatenate(counts).astype(np.int64))
+            k, n = k[n >= MIN_COUNT], n[n >= MIN_COUNT]
+            for at in range(0, len(k), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(k[at : at + 100_000].view(np.int64)), pa.array(n[at : at + 100_000])], ["key", "n"])
+
+    return mapped(mapped(texts, gather, "part int, keys binary, counts binary").repartition(tasks, "part"), total, "key long, n long")
+
+
+def _g(n: np.ndarray, context: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return 2 * n * np.log(n / (context * p))
+
+
+def _over(df: DataFrame, shared, work, schema: str) -> DataFrame:
+    """work(what is shared, *columns) -> columns, of whole batches of numbers (null: 0)."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (row, key, n, n_tokens, n_known, base, score): one of each text with what is known here, n null and the row for a key, so that the join deals it out; one of each rarer word."""
+        for batch in batches:
+            columns = [batch.column(k).fill_null(0).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in work(shared.value, *columns)], names)
+
+    return mapped(df, run, schema)
+
+
+def _kept_pairs(words: Words, key: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Pairs that diverge from their second symbol's probability."""
+    kept = _g(n, words.counts[key >> BITS], words.p[key & _MASK]) >= MIN_G
+    return [key[kept], n[kept]]
+
+
+def _p_after_one(words: Words, mass: np.ndarray, u: np.ndarray, w: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """p(w | u) from the count that the pair is kept with (0: it isn't)."""
+    n = words.counts[u]
+    return (kept + (n - mass[u] + SMOOTH) * words.p[w]) / (n + SMOOTH)
+
+
+def _kept_triples(shared: tuple, key: np.ndarray, n: np.ndarray, context: np.ndarray, pair: np.ndarray) -> list[np.ndarray]:
+    """Triples that diverge from their suffix, with their context's count and the suffix's probability."""
+    words, mass = shared
+    p = _p_after_one(words, mass, key >> BITS & _MASK, key & _MASK, pair)
+    kept = _g(n, context, p) >= MIN_G
+    return [key[kept], n[kept], context[kept], p[kept]]
+
+
+def _pair_values(shared: tuple, key: np.ndarray, n: np.ndarray, triples: np.ndarray) -> list[np.ndarray]:
+    """What a pair adds: as a kept symbol in its context, and as the context of what follows."""
+    words, mass = shared
+    u, w = key >> BITS, key & _MASK
+    own = np.log10(1 + n / ((words.counts[u] - mass[u] + SMOOTH) * words.p[w]))
+    return [key, own + np.log10((n - triples + SMOOTH) / (n + SMOOTH))]
+
+
+_MASK = (1 << BITS) - 1
+
+
+def gram_values(train: DataFrame, words: Words) -> tuple[DataFrame, np.ndarray]:
+    """((key, value) of the kept n-grams, counts kept in each context of one symbol)."""
+    context = train.sparkSession.sparkContext
+    pairs = stored(_over(count_grams(train, words, 2), context.broadcast(words), _kept_pairs, "key long, n long"), "lm-pairs")
+    mass = np.zeros(len(words.counts), np.int64)
+    sums = pairs.groupBy(F.shiftright("key", BITS).alias("u")).agg(F.sum("n").alias("n")).toPandas()  # a row a symbol at most
+    mass[sums["u"].to_numpy(np.int64)] = sums["n"].to_numpy(np.int64)
+    shared = context.broadcast((words, mass))
+    few = pairs.count() <= BROADCAST_GRAMS
+    prefixes = np.sort(pairs.select("key").toPandas()["key"].to_numpy(np.int64)).view(np.uint64) if few else None
+    first, second = pairs.select(F.col("key").alias("prefix"), F.col("n").alias("context")), pairs.select(F.col("key").alias("suffix"), F.col("n").alias("pair"))
+    seen = count_grams(train, words, 3, prefixes).withColumn("prefix", F.shiftright("key", BITS)).withColumn("suffix", F.col("key").bitwiseAND((1 << 2 * BITS) - 1))
+    seen = seen.join(first, "prefix").join(second, "suffix", "left").select("key", "n", "context", "pair")
+    triples = stored(_over(seen, shared, _kept_triples, "key long, n long, context long, p double"), "lm-triples")
+    held = triples.groupBy(F.shiftright("key", BITS).alias("prefix")).agg(F.sum("n").alias("triples"))
+    of_pairs = _over(pairs.join(held, F.col("key") == F.col("prefix"), "left").select("key", "n", "triples"), shared, _pair_values, "key long, value double")
+    spare = F.col("context") - F.col("triples") + SMOOTH
+    of_triples = triples.join(held, F.shiftright("key", BITS) == F.col("prefix")).select(F.col("key").bitwiseOR(F.lit(TRIGRAM)).alias("key"), F.log10(1 + F.col("n") / (spare * F.col("p"))).alias("value"))
+    return stored(of_pairs.unionByName(of_triples), "lm-values"), mass
+
+
+class Values:
+    """A broadcast table of n-gram values, with a bitmap that turns most other keys down."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        order = np.argsort(key)
+        self.key, self.value = key[order], value[order]
+        self.some = np.zeros(1 << 23, bool)
+        self.some[self._slot(self.key)] = True
+
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        return (mix(key) >> np.uint64(41)).astype(np.intp)
+
+    def sums(self, key: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+        likely = np.flatnonzero(self.some[self._slot(key)])
+        at = find_sorted(self.key, key[likely])
+        hit = at >= 0
+        return np.bincount(row[likely[hit]], self.value[at[hit]], rows) if hit.any() else np.zeros(rows)
+
+
+def _row_grams(seq: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    yield gram_keys(seq, row, 2)
+    keys, rows = gram_keys(seq, row, 3)
+    yield keys | np.uint64(TRIGRAM), rows
+
+
+def joined_values(documents: DataFrame, words: Words, values: DataFrame) -> DataFrame:
+    """(gram_row, grams): the sum of values of a text's n-grams where the table is too large to broadcast."""
+    shared = documents.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
         for batch in batches:
             rid = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             buf, off = string_buffers(batch.column(1))
             for i, j, b, o in chunks(buf, off, WORK_BYTES):
                 b = LOWER[b]
                 starts, ends, row = word_spans(b, o, SPACED)
-                h, first, which = np.unique(span_hashes(b, starts, ends), return_index=True, return_inverse=True)
-                lp = word_logp(model, *gather_bytes(b, starts[first], ends[first]))
-                at = np.minimum(np.searchsorted(frequent, h), max(0, len(frequent) - 1))
-                known = frequent[at] == h if len(frequent) else np.zeros(len(h), bool)
-                lg = np.where(known, np.log10(frequent_n[at] + 1.0), 0.0) if len(frequent) else np.zeros(len(h))
-                own = np.log10((frequent_n[at] + types * 10.0**lp) / (tokens + types)) * known if len(frequent) else np.zeros(len(h))
-                rows = j - i
-                one = pa.RecordBatch.from_arrays([
-                    pa.array(rid[i:j]), pa.array(rid[i:j]), pa.nulls(rows, pa.int64()),
-                    pa.array(np.bincount(row, minlength=rows)), pa.array(np.bincount(row, known[which], rows).astype(np.int64)),
-                    pa.array(np.bincount(row, lg[which], rows)), pa.array(np.bincount(row, own[which], rows))], FIELDS)
-                rare = ~known[which]
-                pair = np.stack([row[rare], which[rare]])
-                pair, n = _unique_sum(pair[0] * len(h) + pair[1], np.ones(pair.shape[1], np.int64))
-                none = lambda t, k=len(pair): pa.nulls(k, t)
-                yield one
-                if len(pair):
-                    r, w = np.divmod(pair, len(h))
-                    yield pa.RecordBatch.from_arrays([pa.array(rid[i:j][r]), pa.array(h[w].view(np.int64)), pa.array(n), none(pa.int64()), none(pa.int64()), none(pa.float64()), pa.array(lp[w])], FIELDS)
+                for keys, rows in _row_grams(*sequences(words.of(words.places(span_hashes(b, starts, ends))), row, j - i)):
+                    order = np.lexsort((keys, rows))
+                    keys, rows = keys[order], rows[order]
+                    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])])) if len(keys) else np.zeros(0, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(rid[i:j][rows[first]]), pa.array(keys[first].view(np.int64)), pa.array(np.diff(np.append(first, len(keys))))], ["gram_row", "key", "times"])
 
-    return run
+    flat = mapped(documents, run, "gram_row long, key long, times long")
+    return flat.join(values, "key").groupBy("gram_row").agg(F.sum(F.col("times") * F.col("value")).alias("grams"))
 
 
 FIELDS = ["row", "key", "n", "n_tokens", "n_known", "base", "score"]
 
 
+def _score_partition(model: Model, words: Words, back: np.ndarray, values: Values | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, key, n, n_tokens, n_known, base, score): one of each text with what is known here, n null and the row for a key, so that the join deals it out; one of each rare word, its spelling's log probability for a score."""
+    log_p, log_back = np.log10(words.p), np.log10(back)
+    for batch in batches:
+        rid = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        buf, off = string_buffers(batch.column(1))
+        for i, j, b, o in chunks(buf, off, WORK_BYTES):
+            b = LOWER[b]
+            rows = j - i
+            starts, ends, row = word_spans(b, o, SPACED)
+            h, first, which = np.unique(span_hashes(b, starts, ends), return_index=True, return_inverse=True)
+            at = words.places(h)
+            symbol = words.of(at)[which]
+            rare = symbol == RARE
+            seq, srow = sequences(symbol, row, rows)
+            next_one = seq != START
+            score = np.bincount(srow[next_one], log_p[seq[next_one]], rows) + np.bincount(srow[:-1][next_one[1:]], log_back[seq[:-1][next_one[1:]]], rows)
+            if values is not None:
+                for keys, of in _row_grams(seq, srow):
+                    score += values.sums(keys, of, rows)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(rid[i:j]), pa.array(rid[i:j]), pa.nulls(rows, pa.int64()), pa.array(np.bincount(row, minlength=rows)), pa.array(np.bincount(row, ~rare, rows).astype(np.int64)),
+                pa.array(np.bincount(row[~rare], np.log10(words.counts[symbol[~rare]] + 1.0), rows)), pa.array(score)], FIELDS)
+            if rare.any():
+                kinds = np.flatnonzero(at < 0)
+                place = np.zeros(len(h), np.int64)
+                place[kinds] = np.arange(len(kinds))
+                spelled = word_logp(model, *gather_bytes(b, starts[first[kinds]], ends[first[kinds]]))
+                pair, n = _unique_sum(row[rare] * len(kinds) + place[which[rare]], np.ones(int(rare.sum()), np.int64))
+                r, w = np.divmod(pair, len(kinds))
+                none = lambda t, k=len(pair): pa.nulls(k, t)
+                yield pa.RecordBatch.from_arrays([pa.array(rid[i:j][r]), pa.array(h[kinds[w]].view(np.int64)), pa.array(n), none(pa.int64()), none(pa.int64()), none(pa.float64()), pa.array(spelled.astype(np.float32).astype(float)[w])], FIELDS)
+
+
 def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out_fold: int = 2) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Null and empty texts hold the end alone. Repeated ids are kept apart by their text; rows that repeat both
-    are answered one by one. An empty table gives an empty result.
+    Null and empty texts hold the end alone; texts of any length are read whole. Repeated ids are kept apart by their
+    text; rows that repeat both are answered one by one. An empty table gives an empty result.
     """
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     held_out = fold(F.col(id_col), folds) == held_out_fold
@@ -265,32 +514,41 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = by_kind[2]["n"] if 2 in by_kind else 0
     word_tokens, word_types = (by_kind[0]["n"], by_kind[0]["v"]) if 0 in by_kind else (0, 0)
     tokens, types = word_tokens + texts, word_types + (texts > 0)
-    model = fit(counts, texts, tokens)
-    often = counts.where((F.col("kind") == 0) & (F.col("n") >= max(1, FREQUENT * word_tokens))).select("key", "n").toPandas()
-    frequent = often["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(frequent)
-    frequent, frequent_n = frequent[order], often["n"].to_numpy(np.int64)[order]
-    shared = documents.sparkSession.sparkContext.broadcast((model, frequent, frequent_n, tokens, types))
+    model = fit(counts)
+    words = alphabet(counts, texts, word_tokens, word_types)
+    values, mass = gram_values(train, words)
+    back = (words.counts - mass + SMOOTH) / (words.counts + SMOOTH)
+    few = values.count() <= BROADCAST_GRAMS
+    table = None
+    if few:
+        found = values.toPandas()
+        table = Values(found["key"].to_numpy(np.int64).view(np.uint64), found["value"].to_numpy(float))
+    shared = documents.sparkSession.sparkContext.broadcast((model, words, back, table))
 
-    def run(batches):
-        return _score_partition(*shared.value)(batches)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _score_partition(*shared.value, batches)
 
-    flat = mapped(documents.select(key.alias("row"), F.col(text_col).alias("text")), run, "row long, key long, n long, n_tokens long, n_known long, base double, score double")
+    rows = documents.select(key.alias("row"), F.col(text_col).alias("text"))
+    flat = mapped(rows, run, "row long, key long, n long, n_tokens long, n_known long, base double, score double")
     # Repeats of a row send the same parts again; the number of texts with the row divides them out.
     rare = counts.where((F.col("kind") == 0) & (F.col("n") < max(1, FREQUENT * word_tokens))).select(F.col("key").alias("word"), F.col("n").alias("c"))
     joined = flat.join(rare, F.col("key") == F.col("word"), "left")
-    own = F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + types * F.pow(F.lit(10.0), F.col("score"))) / (tokens + types))
+    spelled = F.log10((F.coalesce("c", F.lit(0)) + words.rare_types * F.pow(F.lit(10.0), F.col("score"))) / (words.rare_tokens + words.rare_types))
+    own = F.col("n") * (spelled if words.rare_types else F.col("score"))
     sums = joined.groupBy("row").agg(
         F.count_if(F.col("n").isNull()).alias("copies"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum(F.when(F.col("n").isNull(), F.col("score")).otherwise(own)).alias("score"),
         F.sum(F.when(F.col("c").isNotNull(), F.col("n"))).alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rare_base"))
+    if few:
+        sums = sums.withColumn("grams", F.lit(0.0))
+    else:
+        sums = sums.join(joined_values(rows, words, values), F.col("row") == F.col("gram_row"), "left")
     end = float(np.log10(texts + 1))
-    end_score = float(np.log10((texts + types * 10.0**model.end_logp) / (tokens + types))) if texts else model.end_logp
-    norm = float(np.log10(tokens + types + 1)) if tokens + types + 1 > 0 else 0.0
+    norm = float(np.log10(tokens + types + 1))
     n = F.col("n_tokens") / F.col("copies") + 1
     done = sums.select(
         F.col("row").alias("key_row"), n.cast("long").alias("n_tokens"),
         ((F.col("n_known") + F.coalesce("rare_known", F.lit(0))) / F.col("copies") + (1 if texts else 0)).cast("long").alias("n_known"),
         ((F.col("base") + F.coalesce("rare_base", F.lit(0.0))) / F.col("copies") + end - n * norm).alias("base_score"),
-        (F.col("score") / F.col("copies") + end_score).alias("score"))
+        ((F.col("score") + F.coalesce("grams", F.lit(0.0))) / F.col("copies")).alias("score"))
     base = documents.select(F.col(id_col), held_out.alias("held_out"), key.alias("base_row"))
     return base.join(done, F.col("base_row") == F.col("key_row")).select(id_col, "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
