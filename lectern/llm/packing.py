@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,9 +28,9 @@ LENGTH = 2048
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 0
 BLOCK = 4000
-#: Fillings tried for each piece of a block. Bin packing is NP-hard: when they are used up the incumbent stands,
+#: Steps of the search for each piece of a block. Bin packing is NP-hard: when they are used up the incumbent stands,
 #: which is never worse than best fit; a higher limit never gives more sequences.
-EFFORT = 2
+EFFORT = 150
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 _caches: dict[str, WordCache] = {}
 
@@ -145,16 +145,49 @@ def best_fit(sizes: list[int], room: int) -> list[list[int]]:
     return bins
 
 
-def fillings(counts: dict[int, int], room: int, most_waste: int) -> Iterator[tuple[int, list[int]]]:
-    """(waste, filling) of all undominated fillings of room that waste at most that much, the least waste first.
+def _exact(counts: dict[int, int], sizes: list[int], room: int, work: list[int]) -> list[int] | None:
+    """A filling without waste by large pieces first, if one is found at once."""
+    chosen: list[int] = []
+    left = room
+    taken: Counter = Counter()
+    while left:
+        if counts.get(left, 0) > taken[left]:
+            return [*chosen, left]
+        k = bisect_right(sizes, left)
+        best = 0
+        while k:
+            k -= 1
+            s = sizes[k]
+            work[0] -= 1
+            if counts[s] > taken[s]:
+                best = best or s
+                rest = left - s
+                if rest > s or k + 60 < bisect_right(sizes, left):
+                    break
+                if counts.get(rest, 0) > taken[rest] + (rest == s):
+                    return [*chosen, s, rest]
+        if not best:
+            return None
+        chosen.append(best)
+        taken[best] += 1
+        left -= best
+    return chosen
+
+
+def fillings(counts: dict[int, int], room: int, most_waste: int, work: list[int]) -> Iterator[tuple[int, list[int]]]:
+    """(waste, filling) of the undominated fillings of room that waste at most that much, the least waste first.
 
     A filling is dominated if a piece that is left out could replace some of its pieces without wasting more: the
-    smaller pieces it sets free are then as good anywhere else. For each waste, fillings of large pieces come first.
+    smaller pieces it sets free are then as good anywhere else. For each waste, fillings of large pieces come first;
+    the first of all cannot be dominated. work[0]: steps left, of which sums, fillings and comparisons use some.
     """
-    sizes = sorted((s for s in counts if s <= room), reverse=True)
+    ascending = sorted(s for s in counts if s <= room)
+    if quick := _exact(counts, ascending, room, work):
+        yield 0, quick
+    sizes = ascending[::-1]
     whole = (1 << (room + 1)) - 1
     reach = [1]  # bit t: some of the sizes from here on add up to t
-    for s in reversed(sizes):
+    for s in ascending:
         bits, n, k = reach[-1], min(counts[s], room // s), 1
         while n:
             k = min(k, n)
@@ -163,6 +196,8 @@ def fillings(counts: dict[int, int], room: int, most_waste: int) -> Iterator[tup
             k *= 2
         reach.append(bits)
     reach.reverse()
+    work[0] -= len(sizes)
+    first = quick is None
 
     def dominated(chosen: list[int], waste: int) -> bool:
         sums = 1
@@ -172,14 +207,13 @@ def fillings(counts: dict[int, int], room: int, most_waste: int) -> Iterator[tup
         for x in sizes:
             if counts[x] > used[x]:
                 low = max(1, x - waste)
-                hit = (sums >> low) & ((1 << (x - low + 1)) - 1)
+                others = sums
                 if used[x]:  # the sum x by the piece x itself is no exchange
                     others = 1
                     for s in chosen:
                         if s != x:
                             others |= others << s
-                    hit = (others >> low) & ((1 << (x - low + 1)) - 1)
-                if hit:
+                if (others >> low) & ((1 << (x - low + 1)) - 1):
                     return True
         return False
 
@@ -187,12 +221,17 @@ def fillings(counts: dict[int, int], room: int, most_waste: int) -> Iterator[tup
         if not reach[0] >> (room - waste) & 1:
             continue
         stack: list[tuple[int, int, list[int]]] = [(0, room - waste, [])]
-        while stack:
+        while stack and work[0] > 0:
+            work[0] -= 1
             k, left, chosen = stack.pop()
             if not left:
-                if not dominated(chosen, waste):
+                if first or (chosen != quick and not dominated(chosen, waste)):
                     yield waste, chosen
+                work[0] -= 0 if first else len(sizes)
+                first = False
                 continue
+            while sizes[k] > left:
+                k += 1
             s = sizes[k]
             for n in range(0, min(counts[s], left // s) + 1):  # the most of the larger piece is looked at first
                 if reach[k + 1] >> (left - n * s) & 1:
@@ -203,47 +242,44 @@ def complete_bins(sizes: list[int], room: int, effort: int = EFFORT) -> list[lis
     """The pieces' sizes in sequences: the best solution that the search finds."""
     best = best_fit(sizes, room)
     bound = lower_bound(sizes, room)
-    total, budget = sum(sizes), effort * len(sizes)
-    counts = Counter(sizes)
+    total, work = sum(sizes), [effort * len(sizes)]
+    counts = {s: n for s, n in sorted(Counter(sizes).items())}
     done: list[list[int]] = []  # the sequences of the branch at hand
     tries: list[Iterator[tuple[int, list[int]]]] = []
     wasted = [0]
 
+    def take(pieces: list[int]) -> None:
+        for s in pieces:
+            counts[s] -= 1
+            if not counts[s]:
+                del counts[s]
+
+    def give(pieces: list[int]) -> None:
+        for s in pieces:
+            counts[s] = counts.get(s, 0) + 1
+
     def opened() -> Iterator[tuple[int, list[int]]]:
         first = max(counts)
-        counts[first] -= 1
-        if not counts[first]:
-            del counts[first]
+        take([first])
         done.append([first])
         spare = (len(best) - 1) * room - total - wasted[-1]  # waste that fewer sequences than the incumbent allow
-        return fillings(counts, room - first, spare) if spare >= 0 else iter(())
-
-    def undo(pieces: list[int]) -> None:
-        for s in pieces:
-            counts[s] += 1
+        return fillings(counts, room - first, spare, work) if spare >= 0 else iter(())
 
     if len(best) > bound and sizes:
         tries.append(opened())
     while tries:
-        step = next(tries[-1], None) if budget > 0 and len(best) > bound else None
-        if len(done[-1]) > 1:  # the filling tried before
-            undo(done[-1][1:])
+        if len(wasted) > len(tries):  # the filling tried before
+            give(done[-1][1:])
             del done[-1][1:]
             wasted.pop()
+        step = next(tries[-1], None) if work[0] > 0 and len(best) > bound else None
         if step is None or wasted[-1] + step[0] > (len(best) - 1) * room - total:
             tries.pop()
-            undo(done.pop())
-            if tries and len(done[-1]) == 1:
-                wasted.pop()
+            give(done.pop())
             continue
-        budget -= 1
-        waste, filling = step
-        for s in filling:
-            counts[s] -= 1
-            if not counts[s]:
-                del counts[s]
-        done[-1] += filling
-        wasted.append(wasted[-1] + waste)
+        take(step[1])
+        done[-1] += step[1]
+        wasted.append(wasted[-1] + step[0])
         if counts:
             tries.append(opened())
         elif len(done) < len(best):
