@@ -1,48 +1,62 @@
 """Main text of web pages by consensus host paths.
 
 Each page's containers are scored by the text they hold; the page votes for the generalised tag-class path of
-its best container, and votes are summed per host in Spark. Every page is then re-extracted with its host's
-winning path; a page that lacks it falls back to the host's next path, then to its own best container.
+its best container, and votes are summed per host in Spark. Every page is then re-extracted with the path of its
+host's consensus that most pages voted for among those it has; a page that has none uses its own best container.
+
+Pages are read in time linear in their length, whatever their markup: tags are found by index, elements are kept
+in arrays, and a path is a digest of its parent's path and its own step.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .shared import mapped, stored
 
-#: Paths of a host that are tried before a page's own best one.
-PATHS = 3
+#: A path is a host's consensus if at least this share of its voting pages chose it: at most 1 / SHARE paths a host.
+SHARE = 0.01
 DECAY = 0.7  # of a text's worth for each container further out
 
 # The vocabulary of page structure.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-CONTAINERS = frozenset("article body center dd div figure main section table tbody td".split())
-DROPPED = frozenset("aside audio button canvas dialog embed footer form head iframe input map menu nav noscript object option script select style svg template textarea title video".split())
+CONTAINERS = frozenset("article body center dd div figure html main section table tbody td".split())
+DROPPED = frozenset("aside audio button canvas dialog embed footer form head input map menu nav object option script select style svg textarea title video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
-CLOSES_P = BLOCKS - {"body", "html"}
-CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}, "option": {"option"}}
+OPTIONAL_END = frozenset("p li dt dd tr td th option optgroup tbody thead tfoot colgroup caption head body html".split())
+CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tfoot"}, "tfoot": {"tbody", "thead"}, "option": {"option"}}
+LISTS = frozenset("ul ol dl menu dir table".split())
+SCOPES = frozenset("td th caption table".split())
+TABLE_PARTS = frozenset("td th tr tbody thead tfoot caption table".split())
+#: Blocks at which an unwanted element that is never closed is taken to have ended.
+FREES = frozenset("article blockquote figure h1 h2 h3 h4 h5 h6 main p pre section table".split())
 GOOD = frozenset("article articlebody body-text bodytext content entry entry-content main maincontent main-content post post-body post-content story story-body text prose".split())
-BAD = re.compile(
-    r"^(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|banner|banners|billboard|sponsor|sponsored|promo|promoted|promotion|outbrain|taboola"
-    r"|comment|comments|commentlist|comment-list|commentary-list|disqus|respond|reply|replies|discussion|feedback"
-    r"|cookie|cookies|consent|gdpr|notice|notices|notification|alert|announcement|disclaimer|paywall|popup|modal|overlay|lightbox"
-    r"|nav|navbar|navigation|menu|menus|breadcrumb|breadcrumbs|pager|pagination|toolbar|topbar|skip|skip-link"
-    r"|sidebar|side-bar|sidenav|aside|rail|widget|widgets|related|recommended|recommendations|trending|popular|more-links|tags|tagcloud"
-    r"|footer|footnav|site-footer|page-footer|copyright|header|masthead|site-header|page-header|share|sharing|social|subscribe|subscription|newsletter|signup|login|search|searchbox|form|byline-social|hidden)$"
+BAD = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense banner banners billboard sponsor sponsored promo promos promoted promotion outbrain taboola"
+    " comment comments commentlist disqus respond reply replies discussion feedback"
+    " cookie cookies consent gdpr notice notices notification notifications alert announcement disclaimer paywall popup modal overlay lightbox"
+    " nav navbar navigation menu menus breadcrumb breadcrumbs pager pagination toolbar topbar skip"
+    " sidebar sidenav aside rail widget widgets related recommended recommendations trending popular tags tagcloud"
+    " footer footnav copyright header masthead share sharing social subscribe subscription newsletter signup login search searchbox form hidden".split()
 )
-BAD_PART = re.compile(r"^(?:ad|ads|advert|sponsor|promo|banner|comment|comments|cookie|consent|notice|popup|modal|newsletter|subscribe|sidebar|breadcrumb|breadcrumbs|footer|nav|menu|navbar|share|social|related|advertisement|disqus|gdpr)$")
-TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: A name of several parts is unwanted if all its parts are here or in BAD, and one is in BAD_PART: "ad-slot", not "social-history".
+BAD_PART = frozenset("ad ads advert adverts advertisement sponsor sponsored promo promotion banner comment comments cookie cookies consent notice popup modal newsletter subscribe sidebar side nav navbar navigation menu breadcrumb breadcrumbs footer header masthead share sharing social related disqus gdpr skip tag".split())
+NEUTRAL = frozenset("a and area bar block bottom box btn button buttons by cloud col column container desktop first fixed floating for global group holder icons inner item items js last left level like link links list media mobile more of outer page panel pane placeholder primary right row second secondary section site slot sticky sub the thread to top under unit us wrap wrapper zone".split())
+ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu".split())
+NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+PLAIN = re.compile(r"[^>\"']*")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 DIGITS = re.compile(r"\d+")
 SPACE = re.compile(r"\s+")
 
@@ -51,6 +65,13 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(next((x for x in m.groups()[1:] if x is not None), "")) for m in ATTRIBUTE.finditer(text)} if "=" in text or "hidden" in text else {}
 
 
+def _unwanted_name(name: str) -> bool:
+    if name in BAD:
+        return True
+    parts = [x for x in re.split(r"[-_]+", name) if x and not x.isdigit()]
+    return len(parts) > 1 and any(x in BAD_PART for x in parts) and all(x in BAD or x in BAD_PART or x in NEUTRAL for x in parts)
+
+
 def _unwanted(tag: str, attributes: dict[str, str], inside: bool) -> bool:
     """Whether the element and all in it is no main text; inside: it stands in an article, whose own header counts."""
     if tag in DROPPED or (tag == "header" and not inside):
@@ -59,17 +80,13 @@ def _unwanted(tag: str, attributes: dict[str, str], inside: bool) -> bool:
         return False
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
         return True
-    if attributes.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form", "menu"):
+    if attributes.get("role", "").lower() in ROLES:
         return True
-    if tag in ("body", "html", "article", "main") and attributes.get("role", "") != "comment":
-        names = attributes.get("class", "").lower().split()
+    names = attributes.get("class", "").lower().split()
+    if tag in ("body", "html", "article", "main"):
         return tag == "article" and any(n.split("-")[0].split("_")[0] in ("comment", "comments", "reply") for n in names)
-    for n in (attributes.get("class", "") + " " + attributes.get("id", "")).lower().split():
-        if BAD.match(n):
-            if inside and n in ("header", "tags", "content-header", "text"):
-                continue
-            return True
-        if any(BAD_PART.match(x) for x in re.split(r"[-_]+", n)) and not GOOD.intersection(re.split(r"[-_]+", n)):
+    for n in names + attributes.get("id", "").lower().split():
+        if _unwanted_name(n) and not (inside and n in ("header", "tags", "discussion", "related")):
             return True
     return False
 
@@ -79,162 +96,252 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
     return ".".join([tag, *names[:4]])
 
 
-def parse(page: str) -> list[tuple[str, float, tuple]]:
-    """(text, share of it outside links, containers from the outside in) of each block; a container is (number, path, bonus)."""
-    blocks: list[tuple[str, float, tuple]] = []
-    stack: list[tuple[str, tuple | None]] = []  # block elements with their container
-    path: list[tuple[int, str, float]] = []
-    pieces: list[str] = []
-    linked = in_link = at = number = inside = 0
-    skip: list[str] = []  # an unwanted element and the elements open in it
-
-    def flush() -> None:
-        nonlocal linked
-        text = SPACE.sub(" ", "".join(pieces)).strip()
-        if text:
-            blocks.append((text, max(0.0, 1 - linked / max(1, len(text))), tuple(path)))
-        pieces.clear()
-        linked = 0
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether it is an end tag, attributes) of each tag; comments and declarations have no name.
 
-    def close(to: int) -> None:
-        nonlocal inside
-        flush()
-        while len(stack) > to:
-            tag, held = stack.pop()
-            if held:
-                path.pop()
-            if tag in ("article", "main"):
-                inside -= 1
-
-    def skip_ends(tag: str, end: bool) -> bool | None:
-        """None while the skipped element stays open; False if its own end tag closes it, True if a tag that still counts does."""
-        if end:
-            k = next((k for k in range(len(skip) - 1, -1, -1) if skip[k] == tag), -1)
-            if k >= 0:
-                del skip[k:]
-                return None if skip else False
-            open_above = tag in BLOCKS and any(held == tag for held, _ in stack)
-            return True if open_above and (tag != "p" or not BLOCKS.intersection(skip)) else None
-        every = [held for held, _ in stack] + skip
-        own = len(stack)
-        if tag in CLOSES_P:
-            k = next((k for k in range(len(every) - 1, -1, -1) if every[k] == "p"), -1)
-            if k >= 0 and not CONTAINERS.intersection(every[k + 1 :]) and (k >= own or not BLOCKS.intersection(skip)):
-                if k <= own:
-                    return True
-                del skip[k - own :], every[k:]
-        for shut in CLOSED_BY.get(tag, ()):
-            k = next((k for k in range(len(every) - 1, -1, -1) if every[k] in (shut, "ul", "ol", "dl", "table")), -1)
-            if k >= 0 and every[k] == shut and (k >= own or tag in ("tr", "td", "th") or not BLOCKS.intersection(skip) - {"address", "div", "p"}):
-                if k <= own:
-                    return True
-                del skip[k - own :], every[k:]
-        if tag not in VOID and (tag in BLOCKS or tag == skip[0]):
-            skip.append(tag)
-        return None
-
-    for m in TAG.finditer(page):
-        if m.start() < at:
+    A tag ends at the first > outside quotes. Where quotes never close, tags end at the first >; without any > what
+    is left is text.
+    """
+    at, size, quoted = 0, len(page), True
+    endless: set[str] = set()
+    while (i := page.find("<", at)) >= 0:
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            at = size if end < 0 else end + 3
+            yield i, at, "", False, ""
             continue
-        if m.start() > at and not skip:
-            text = html.unescape(page[at : m.start()])
-            pieces.append(text)
-            if in_link:
-                linked += len(text)
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        if page[i + 1 : i + 2] in ("!", "?"):
+            end = page.find(">", i)
+            if end < 0:
+                return
+            at = end + 1
+            yield i, at, "", False, ""
             continue
-        if skip:
-            if tag in RAW and not m[1]:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-                continue
-            over = skip_ends(tag, bool(m[1]))
-            if over is None:
-                continue
-            skip.clear()
-            if not over:
+        closing = page.startswith("/", i + 1)
+        name = NAME.match(page, i + 1 + closing)
+        if not name:
+            at = i + 1
+            continue
+        k = name.end()
+        while quoted:
+            k = PLAIN.match(page, k).end()
+            if k >= size:
+                quoted = False
+            elif page[k] == ">":
+                break
+            else:
+                k = page.find(page[k], k + 1) + 1
+                if not k:
+                    quoted = False
+        if not quoted:
+            k = page.find(">", name.end())
+            if k < 0:
+                return
+        at = k + 1
+        tag = name[0].lower()
+        if tag in RAW and not closing:  # its content is no markup
+            end = None if tag in endless else RAW_END[tag].search(page, at)
+            if end:
+                at = end.end()
+            elif tag in ("script", "style"):
+                at = size
+            else:
+                endless.add(tag)
                 continue
-        if m[1]:
-            if tag == "a":
-                in_link = max(0, in_link - 1)
-            elif tag in BLOCKS:
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
-                close(k if k >= 0 else len(stack))
+            yield i, at, tag, False, ""
             continue
-        attributes = _attributes(m[3])
-        if tag in RAW:  # its content is not markup
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            if tag in BLOCKS:
-                flush()
+        yield i, at, tag, closing, page[name.end() : k]
+
+
+@dataclass
+class Elements:
+    """The elements of a page as arrays; element 0 is the page."""
+
+    tag: list[str] = field(default_factory=lambda: [""])
+    parent: list[int] = field(default_factory=lambda: [0])
+    attributes: list[dict] = field(default_factory=lambda: [{}])
+    inside: list[bool] = field(default_factory=lambda: [False])
+    broken: list[bool] = field(default_factory=lambda: [False])
+    holds_main: set[int] = field(default_factory=set)
+    events: list[tuple[int, str | None]] = field(default_factory=list)  # (element, text) or (element, None) where it starts or what follows is its parent's
+
+
+def elements(page: str) -> Elements:
+    """Reads tags into elements: omitted end tags are filled in, end tags without an open element are passed over."""
+    e = Elements()
+    stack = [0]
+    places: dict[str, list[int]] = defaultdict(list)  # of open elements in the stack, by tag
+    blocks: list[int] = [0]
+
+    def close(to: int, own_end: bool) -> None:
+        ends_block = blocks[-1] >= to
+        while len(stack) > to:
+            k = stack.pop()
+            places[e.tag[k]].pop()
+            if blocks[-1] == len(stack):
+                blocks.pop()
+            e.broken[k] = not (own_end and len(stack) == to) and e.tag[k] not in OPTIONAL_END
+        if ends_block:
+            e.events.append((stack[-1], None))
+
+    def text(start: int, end: int) -> None:
+        if end > start:
+            e.events.append((stack[-1], html.unescape(page[start:end])))
+
+    def nearest(names: frozenset[str] | set[str]) -> int:
+        return max((places[n][-1] for n in names if places[n]), default=-1)
+
+    at = 0
+    for start, end, tag, closing, rest in tags(page):
+        text(at, start)
+        at = end
+        if not tag:
             continue
-        if tag == "body":  # what stood before it in a broken head is kept out by DROPPED
-            close(min(len(stack), 1))
-        if tag not in VOID and _unwanted(tag, attributes, inside > 0) and not m[3].endswith("/"):
-            if tag in BLOCKS:
-                flush()
-            if tag == "head" and not re.compile(r"</head\s*>", re.I).search(page, at):
+        if closing:
+            k = places[tag][-1] if places[tag] else -1
+            if k < 0:
+                if tag == "p":
+                    e.events.append((stack[-1], None))
                 continue
-            skip.append(tag)
+            if tag not in BLOCKS:
+                over = blocks[-1] > k
+            elif tag == "table":
+                over = False
+            elif tag in TABLE_PARTS:
+                over = nearest({"table"}) > k
+            else:
+                over = nearest(SCOPES) > k or (tag == "li" and nearest({"ul", "ol"}) > k)
+            if not over:
+                close(k, True)
             continue
-        if tag == "br":
-            pieces.append(" ")
-        elif tag == "a":
-            in_link += 1
-        elif tag in BLOCKS:
-            flush()
-            if tag in CLOSES_P:
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), -1)
-                if k >= 0 and all(stack[i][0] not in CONTAINERS for i in range(k + 1, len(stack))):
-                    close(k)
+        if tag in BLOCKS:
+            if places["p"] and places["p"][-1] > nearest(SCOPES) and tag not in ("html", "body"):
+                close(places["p"][-1], False)
             for shut in CLOSED_BY.get(tag, ()):
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in (shut, "ul", "ol", "dl", "table")), -1)
-                if k >= 0 and stack[k][0] == shut and tag != "p":
-                    close(k)
-            if tag == "hr":
-                continue
-            held = None
-            if tag in CONTAINERS or tag == "html":
-                number += 1
+                k = places[shut][-1] if places[shut] else -1
+                if k > nearest(LISTS if tag in ("li", "dt", "dd") else {"table"}):
+                    close(k, False)
+        elif tag == "a" and places["a"] and places["a"][-1] > blocks[-1]:
+            close(places["a"][-1], False)
+        if tag == "body" and places["head"]:
+            close(places["head"][-1], False)
+        number = len(e.tag)
+        e.tag.append(tag)
+        e.parent.append(stack[-1])
+        e.attributes.append(_attributes(rest))
+        e.inside.append(e.inside[stack[-1]] or tag in ("article", "main"))
+        e.broken.append(False)
+        if tag in ("article", "main"):
+            e.holds_main.update(stack[k] for k in places["form"])
+        e.events.append((number, None))
+        if tag in VOID or tag in RAW or rest.endswith("/") and tag not in BLOCKS:
+            e.events.append((stack[-1], " " if tag == "br" else None if tag in BLOCKS else ""))
+            continue
+        places[tag].append(len(stack))
+        if tag in BLOCKS:
+            blocks.append(len(stack))
+        stack.append(number)
+    text(at, len(page))
+    close(1, False)
+    return e
+
+
+@dataclass
+class Page:
+    """Blocks of wanted text, and the containers that hold them, each after the one around it."""
+
+    text: list[str] = field(default_factory=list)
+    worth: list[float] = field(default_factory=list)
+    container: list[int] = field(default_factory=list)
+    parent: list[int] = field(default_factory=list)
+    path: list[str] = field(default_factory=list)
+    bonus: list[float] = field(default_factory=list)
+
+
+def parse(source: str) -> Page:
+    e, page = elements(source), Page()
+    n = len(e.tag)
+    hidden, linked, within, block = [False] * n, [False] * n, [-1] * n, [0] * n
+    pieces: list[str] = []
+    in_links = last = 0
+
+    def flush(holder: int) -> None:
+        nonlocal in_links
+        joined = SPACE.sub(" ", "".join(pieces)).strip()
+        if joined:
+            page.text.append(joined)
+            page.worth.append(len(joined) * max(0.0, 1 - in_links / len(joined)))
+            page.container.append(within[holder])
+        pieces.clear()
+        in_links = 0
+
+    started = 0
+    for k, content in e.events:
+        if k > started:  # the element starts here
+            started = k
+            tag, above, attributes = e.tag[k], e.parent[k], e.attributes[k]
+            if hidden[above] and tag in FREES:
+                up = above
+                while hidden[up] and e.broken[up] and (tag in ("article", "main") or e.tag[up] not in ("aside", "footer")):
+                    hidden[up] = False
+                    up = e.parent[up]
+            unwanted = tag not in VOID and (tag in RAW or _unwanted(tag, attributes, e.inside[above])) and not (tag == "form" and k in e.holds_main)
+            hidden[k] = hidden[above] or unwanted
+            linked[k] = linked[above] or tag == "a"
+            block[k] = k if tag in BLOCKS else block[above]
+            within[k] = within[above]
+            if tag in CONTAINERS and not hidden[k]:
                 names = set((attributes.get("class", "") + " " + attributes.get("id", "") + " " + attributes.get("itemprop", "")).lower().split())
-                bonus = 3.0 if tag in ("article", "main") or attributes.get("role") in ("main", "article") else 0.25 if tag in ("body", "html") else 2.0 if names & GOOD else 1.0
-                held = (number, (path[-1][1] + "/" if path else "") + _step(tag, attributes), bonus)
-                path.append(held)
-            if tag in ("article", "main"):
-                inside += 1
-            stack.append((tag, held))
-    if not skip and at < len(page):
-        pieces.append(html.unescape(page[at:]))
-    close(0)
-    return blocks
-
-
-def path_scores(blocks: list[tuple[str, float, tuple]]) -> dict[str, float]:
+                within[k] = len(page.path)
+                page.parent.append(within[above])
+                page.path.append(hashlib.blake2b(((page.path[within[above]] if within[above] >= 0 else "") + "/" + _step(tag, attributes)).encode("utf-8", "replace"), digest_size=8).hexdigest())
+                page.bonus.append(3.0 if tag in ("article", "main") or attributes.get("role") in ("main", "article") else 0.25 if tag in ("body", "html") else 2.0 if names & GOOD else 1.0)
+        if block[k] != last or (content is None and block[k] == k):
+            flush(last)
+            last = block[k]
+        if content and not hidden[k]:
+            pieces.append(content)
+            if linked[k]:
+                in_links += len(content)
+    flush(last)
+    return page
+
+
+def path_scores(page: Page) -> dict[str, float]:
     """Worth of each path: text outside links, less for each container further out, times the container's bonus."""
+    held = [0.0] * len(page.path)
+    for worth, k in zip(page.worth, page.container):
+        if k >= 0:
+            held[k] += worth
     scores: dict[str, float] = defaultdict(float)
-    for text, own, path in blocks:
-        worth = len(text) * own
-        for held in reversed(path):
-            scores[held[1]] += worth * held[2]
-            worth *= DECAY
+    for k in range(len(held) - 1, -1, -1):
+        if held[k]:
+            scores[page.path[k]] += held[k] * page.bonus[k]
+            if page.parent[k] >= 0:
+                held[page.parent[k]] += held[k] * DECAY
     return scores
 
 
-def best_path(blocks: list[tuple[str, float, tuple]]) -> tuple[str, float] | None:
-    scores = path_scores(blocks)
-    return min(scores.items(), key=lambda x: (-x[1], x[0])) if scores else None
+def best_path(page: Page) -> str | None:
+    scores = path_scores(page)
+    return min(scores.items(), key=lambda x: (-x[1], x[0]))[0] if scores else None
+
+
+def blocks_under(page: Page, path: str) -> list[str]:
+    under = [False] * len(page.path)
+    for k, mine in enumerate(page.path):
+        under[k] = mine == path or (page.parent[k] >= 0 and under[page.parent[k]])
+    return [text for text, k in zip(page.text, page.container) if k >= 0 and under[k]]
 
 
-def extract(blocks: list[tuple[str, float, tuple]], paths: list[str]) -> str:
-    """The blocks under the first path that the page has, else under its own best container, else all."""
-    for path in paths:
-        held = [text for text, _, p in blocks if any(x[1] == path for x in p)]
-        if held:
+def extract(page: Page, paths: list[str]) -> str:
+    """The blocks under the first path under which the page has text, else under its own best container, else all."""
+    there = set(page.path)
+    for path in [p for p in paths if p in there]:
+        if held := blocks_under(page, path):
             return "\n".join(held)
-    own = best_path(blocks)
-    return "\n".join(text for text, _, p in blocks if own is None or any(x[1] == own[0] for x in p))
+    own = best_path(page)
+    return "\n".join(blocks_under(page, own) if own else page.text)
 
 
 def host_of(url: Column) -> Column:
@@ -243,7 +350,7 @@ def host_of(url: Column) -> Column:
 
 
 def consensus(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, paths): the paths most of a host's pages vote for, first the one with most votes.
+    """(host, paths): the paths that at least SHARE of a host's pages vote for, first the one with most votes.
 
     Votes are summed within each task before they are shuffled, so a host with most pages sends few rows.
     """
@@ -264,16 +371,19 @@ def consensus(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
 
     cast = mapped(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")), vote, "host string, path string, votes long")
     summed = cast.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))
-    top = summed.withColumn("rank", rank).where(F.col("rank") <= PATHS)
-    return top.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("rank", "path"))).alias("ranked")).select(F.col("host").alias("voted_host"), F.col("ranked.path").alias("paths"))
+    summed = stored(summed, "host-votes")
+    total = summed.groupBy(F.col("host").alias("whole_host")).agg(F.sum("votes").alias("whole"))
+    top = summed.join(total, F.col("host") == F.col("whole_host")).where(F.col("votes") >= SHARE * F.col("whole"))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("less"), "path")))
+    return top.groupBy("host").agg(ranked.alias("ranked")).select(F.col("host").alias("voted_host"), F.col("ranked.path").alias("paths"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: id, url, text, and the path it came from.
+    """One row per page: id, url, text.
 
-    Null and empty html give an empty text; pages without a host vote together; ties go to the lesser path;
-    rows are answered one by one, repeats alike; an empty table gives an empty result.
+    Null and empty html give an empty text; pages without a host vote together; ties go to the lesser path; long or
+    broken pages are read whole; rows are answered one by one, repeats alike; an empty table gives an empty result;
+    other columns are ignored.
     """
     voted = stored(consensus(pages, url_col, html_col), "host-paths")
     kind = pages.schema[id_col].dataType.simpleString()
