@@ -359,7 +359,7 @@ def consensus(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if page and (best := best_path(parse(page))):
-                    votes[host, best[0]] += 1
+                    votes[host, best] += 1
             if len(votes) > 100_000:
                 yield flushed(votes)
         yield flushed(votes)
