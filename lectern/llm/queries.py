@@ -91,18 +91,21 @@ FROM d LEFT JOIN n USING (rid) LEFT JOIN t USING (rid)
 
 def _op4_sql() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in licenses.TEMPLATES)
-    split = lambda x: f"list_filter(regexp_split_to_array(lower({x}), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
-    grams = "list_distinct([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))])"
+    rows = ", ".join(f"({quoted(name)}, [{', '.join(map(quoted, grams))}])" for name, grams in licenses.patterns(licenses.TEMPLATES))
+    paragraph, sentence = licenses.PARAGRAPH_END, licenses.SENTENCE_END
+    low, high = licenses.THRESHOLD / (2 - licenses.THRESHOLD), (2 - licenses.THRESHOLD) / licenses.THRESHOLD
     return rf"""
-WITH t AS (SELECT name, {grams} AS g FROM (SELECT name, {split('txt')} AS ws FROM (VALUES {rows}) v(name, txt))),
+WITH t AS (SELECT * FROM (VALUES {rows}) v(name, g)),
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 u AS (SELECT rid, 'line' AS kind, unnest(string_split(text, chr(10))) AS unit, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d
-      UNION ALL SELECT rid, 'paragraph', p, i FROM (SELECT rid, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) AS p, generate_subscripts(regexp_split_to_array(text, '\n[ \t\r]*\n'), 1) AS i FROM d) WHERE contains(trim(p), chr(10))
-      UNION ALL SELECT rid, 'text', text, 1 FROM d WHERE regexp_matches(text, '\n[ \t\r]*\n')),
-g AS (SELECT rid, kind, i, {grams} AS g FROM (SELECT rid, kind, i, {split('unit')} AS ws FROM u)),
-s AS (SELECT rid, kind, i, name, 2 * len(list_intersect(g.g, t.g)) / (len(g.g) + len(t.g)) AS dice FROM g JOIN t ON len(g.g) BETWEEN len(t.g) * 0.6 AND len(t.g) * 1.6 AND len(g.g) > 0),
-m AS (SELECT rid, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, count(DISTINCT kind || '/' || i) AS n_units, max(dice) AS best FROM s WHERE dice >= {licenses.THRESHOLD} GROUP BY rid)
+      UNION ALL SELECT rid, 'sentence', unnest(regexp_split_to_array(text, '{sentence}')), generate_subscripts(regexp_split_to_array(text, '{sentence}'), 1) FROM d
+      UNION ALL SELECT rid, 'paragraph', p, i FROM (SELECT rid, unnest(regexp_split_to_array(text, '{paragraph}')) AS p, generate_subscripts(regexp_split_to_array(text, '{paragraph}'), 1) AS i FROM d) WHERE contains(trim(p), chr(10))
+      UNION ALL SELECT rid, 'text', text, 1 FROM d WHERE regexp_matches(text, '{paragraph}')),
+g AS (SELECT rid, kind, i, list_distinct([ws[k] || ' ' || ws[k + 1] for k in range(1, len(ws))]) AS g
+      FROM (SELECT rid, kind, i, list_filter(regexp_split_to_array(lower(unit), '{licenses.NOT_WORD}'), lambda w: w <> '') AS ws FROM u WHERE {" OR ".join(f"contains(lower(unit), '{w}')" for w in licenses.CUES)})),
+s AS (SELECT rid, kind, i, name, 2 * len(list_intersect(g.g, t.g)) / (len(g.g) + len(t.g)) AS dice FROM g JOIN t ON len(g.g) > 0 AND len(g.g) >= len(t.g) * {low} - 1e-6 AND len(g.g) <= len(t.g) * {high} + 1e-6),
+b AS (SELECT *, max(dice) OVER (PARTITION BY rid, kind, i) AS top FROM s WHERE dice >= {licenses.THRESHOLD}),
+m AS (SELECT rid, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, count(DISTINCT kind || '/' || i) AS n_units, max(dice) AS best FROM b WHERE dice = top GROUP BY rid)
 SELECT doc_id, coalesce(licenses, '') AS licenses, CAST(coalesce(n_units, 0) AS BIGINT) AS n_units, round(best, 6) AS best_dice FROM d LEFT JOIN m USING (rid)
 """
 
