@@ -30,22 +30,26 @@ def _lower_ascii(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
-def _fingerprints(df: DataFrame, length: int) -> DataFrame:
-    """Adds prints: array<struct<fp, pos>>, one for each change of the least hash, and at least each w words."""
-    k = (length + 1) // 2
-    w = length - k + 1
-    df = df.withColumn("hs", F.transform("ws", lambda x: F.xxhash64(F.lower(x))))
-    if k > 1:
-        df = df.withColumn("gs", F.expr(f"transform(hs, (x, i) -> xxhash64(x, {', '.join(f'get(hs, i + {j})' for j in range(1, k))}))"))
-    else:
-        df = df.withColumn("gs", F.col("hs"))
-    least = f"least(x, {', '.join(f'get(gs, i + {j})' for j in range(1, w))})" if w > 1 else "x"
-    df = df.withColumn("fs", F.expr(f"transform(slice(gs, 1, greatest(size(ws) - {length - 1}, 0)), (x, i) -> {least})"))
-    pick = f"transform(fs, (x, i) -> if(i % {w} = 0 or x <> get(fs, i - 1), named_struct('fp', x, 'pos', i), null))"
-    return df.withColumn("prints", F.expr(f"filter({pick}, p -> p is not null)")).drop("hs", "gs", "fs")
-
-
-def _windows(n: str, length: int, first: str, last: str) -> Column:
+def _fingerprints(df: DataFrame, lengths: list[int]) -> DataFrame:
+    """Exploded to len, fp, pos, seg: for each length one fingerprint for each change of the least hash, and at least each
+    w words, with the words that windows starting there can hold. df has ws, words; they are hashed once for all lengths."""
+    df = held(df, "hs", F.transform("ws", lambda x: F.xxhash64(F.lower(x))))
+    grams, least, prints = [], [], []
+    for length in lengths:
+        k = (length + 1) // 2
+        w = length - k + 1
+        gram = f"xxhash64(x, {', '.join(f'get(hs, i + {j})' for j in range(1, k))})" if k > 1 else "x"
+        grams.append(F.expr(f"transform(hs, (x, i) -> {gram})").alias(f"gs{length}"))
+        first = f"least(x, {', '.join(f'get(gs{length}, i + {j})' for j in range(1, w))})" if w > 1 else "x"
+        least.append(F.expr(f"transform(slice(gs{length}, 1, greatest(size(hs) - {length - 1}, 0)), (x, i) -> {first})").alias(f"fs{length}"))
+        one = f"named_struct('len', {length}, 'fp', x, 'pos', i, 'seg', slice(ws, i + 1, {length + w - 1}))"
+        prints.append(F.expr(f"filter(transform(fs{length}, (x, i) -> if(i % {w} = 0 or x <> get(fs{length}, i - 1), {one}, null)), p -> p is not null)"))
+    own = [c for c in df.columns if c not in ("ws", "hs")]
+    df = df.select(*own, "ws", "hs", *grams).select(*own, "ws", *least).select(*own, F.explode_outer(F.concat(*prints)).alias("p"))
+    return df.select(*own, "p.len", "p.fp", "p.pos", "p.seg").where("fp is not null")
+
+
+def _windows(n: str, length: str, first: str, last: str) -> Column:
     """array<struct<at, win>> of the exact windows that start at first..last."""
     one = f"named_struct('at', j, 'win', array_join(slice(ws, j + 1, {length}), ' '))"
     return F.expr(f"if({n} < {length}, array(), transform(sequence({first}, least({last}, {n} - {length})), j -> {one}))")
@@ -55,7 +59,7 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     """Every distinct (window length, window text, item) of the benchmark; items without words have none."""
     items = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("body"))
     items = held(items, "ws", F.transform(words(F.col("body")), _lower_ascii)).withColumn("n", F.size("ws")).where("n > 0")
-    long_ones = items.where(F.col("n") >= WINDOW).select("item", F.lit(WINDOW).alias("len"), F.explode_outer(_windows("n", WINDOW, "0", "n")).alias("x"))
+    long_ones = items.where(F.col("n") >= WINDOW).select("item", F.lit(WINDOW).alias("len"), F.explode_outer(_windows("n", str(WINDOW), "0", "n")).alias("x"))
     short = items.where(F.col("n") < WINDOW).select("item", F.col("n").alias("len"), F.struct(F.lit(0).alias("at"), F.array_join("ws", " ").alias("win")).alias("x"))
     return long_ones.unionByName(short).select("item", "len", F.col("x.win").alias("win")).where("win is not null").distinct()
 
@@ -69,38 +73,27 @@ def hits(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     size = benchmark.agg(F.sum(F.size(words(F.col(item_text_col)))).alias("n")).first()["n"] or 0
     hint = F.broadcast if size <= BROADCAST_WORDS else (lambda df: df)
     lengths = [r["len"] for r in known.select("len").distinct().orderBy("len").collect()]
-    docs = documents.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")).alias("doc_key"), words(F.col(text_col)).alias("ws"))
-    found = None
-    for length in lengths:
-        mine = known.where(F.col("len") == length)
-        texts = mine.select("win").distinct()
-        prints = _fingerprints(texts.withColumn("ws", F.split("win", " ")), length)
-        prints = prints.select(F.explode_outer("prints.fp").alias("fp")).where("fp is not null").distinct()
-        w = length // 2 + 1
-        spots = _fingerprints(docs, length)
-        if size <= BROADCAST_WORDS:
-            spots = spots.select("doc_key", "ws", F.explode_outer("prints").alias("p")).select("doc_key", "ws", "p.pos", "p.fp")
-            spots = spots.join(hint(prints), "fp", "left_semi").withColumn("n", F.size("ws")).withColumn("base", F.lit(0))
-        else:
-            cut = F.expr(f"transform(prints, p -> named_struct('fp', p.fp, 'base', p.pos, 'seg', slice(ws, p.pos + 1, {length + w - 1})))")
-            spots = spots.select("doc_key", F.explode_outer(cut).alias("p"))
-            spots = spots.select("doc_key", F.col("p.fp").alias("fp"), F.col("p.base").alias("base"), F.col("p.seg").alias("ws"))
-            spots = spots.join(prints, "fp", "left_semi").withColumn("pos", F.lit(0)).withColumn("n", F.size("ws"))
-        spots = spots.select("doc_key", "base", F.explode_outer(_windows("n", length, "pos", f"pos + {w - 1}")).alias("x"))
-        spots = spots.select("doc_key", (F.col("base") + F.col("x.at")).alias("at"), _lower_ascii(F.col("x.win")).alias("win")).where("win is not null")
-        spots = spots.join(hint(texts), "win", "left_semi").distinct()
-        part = spots.join(hint(mine.select("win", "item")), "win").select("doc_key", "at", F.lit(length).alias("len"), "item")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = docs.select("doc_key", F.lit(0).alias("at"), F.lit(0).alias("len"), F.lit(None).cast(dict(benchmark.dtypes)[item_col]).alias("item")).where("false")
-    return found
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")).alias("doc_key")
+    if not lengths:
+        item = F.lit(None).cast(dict(benchmark.dtypes)[item_col]).alias("item")
+        return documents.select(key, F.lit(0).alias("at"), F.lit(0).alias("len"), item).where("false")
+    texts = known.select("len", "win").distinct()
+    prints = _fingerprints(texts.select(F.col("len").alias("own_len"), F.split("win", " ").alias("ws")), lengths).where("len = own_len").select("len", "fp").distinct()
+    docs = held(documents.select(key, F.col(text_col).alias("body")), "ws", words(F.col("body"))).drop("body")
+    spots = _fingerprints(docs, lengths).join(hint(prints), ["len", "fp"], "left_semi")
+    spots = spots.select("doc_key", "len", F.col("pos").alias("base"), F.col("seg").alias("ws")).withColumn("n", F.size("ws"))
+    spots = spots.select("doc_key", "len", "base", F.explode_outer(_windows("n", "len", "0", "n")).alias("x"))
+    spots = spots.select("doc_key", "len", (F.col("base") + F.col("x.at")).alias("at"), _lower_ascii(F.col("x.win")).alias("win")).where("win is not null")
+    spots = spots.join(hint(texts.select("win")), "win", "left_semi").distinct()
+    return spots.join(hint(known.select("win", "item")), "win").select("doc_key", "at", "len", "item")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document: id, n_words, n_hit, items (array), contaminated.
 
-    Null and empty texts have no words and no hits; repeated rows are answered one by one; a null item id
-    marks words but names no item; other columns are ignored.
+    Null and empty texts have no words and no hits; texts of any length are searched whole; repeated rows are answered
+    one by one; a null item id marks words but names no item; an empty table gives an empty result; other columns are
+    ignored.
     """
     found = hits(documents, benchmark, id_col, text_col, item_col, item_text_col)
     at = F.expr("size(array_distinct(flatten(transform(spans, s -> sequence(s.at, s.at + s.len - 1)))))").cast("long")
