@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mapped, stored, with_fields, without
+from .shared import fold, mapped, stored, with_fields, without
 from .textarrays import SPACED, chunks, span_hashes, string_buffers, word_spans
 from .toxicity import labelled_sample, logistic
 
@@ -106,16 +106,19 @@ def _strength(groups: DataFrame, mean: Column) -> float:
     return float(np.clip(total / tau2 - 1, *STRENGTH)) if tau2 > 0 else STRENGTH[1]
 
 
-def classify(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality", per_label: int = SAMPLE) -> DataFrame:
-    """One row per document: id, src (hash of id and text), evidence, host_rate, path_rate, score, good.
+def classify(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality", per_label: int = SAMPLE, folds: int = 5, held_out_fold: int | None = 0) -> DataFrame:
+    """One row per document: id, src (hash of id and text), held_out, evidence, host_rate, path_rate, score, good.
 
-    Null and empty texts are judged by their features (no words); null hosts and paths are groups of their own;
+    The classifier learns from labels outside the held-out fold (from all if that is None). Host and path are any two
+    nested columns: of a web page the host and first part of the path of its URL, where there is none the source and
+    the language. Null and empty texts are judged by their features (no words); null hosts and paths are groups of their own;
     without labels evidence is even; rows are answered one by one, repeats alike; an empty table gives an empty
     result; other columns are ignored.
     """
-    sample = stored(labelled_sample(documents, labels, label_col, id_col, text_col, per_label), "quality-sample")
-    flat = documents.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("src"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"))
-    scored = stored(evidence(flat, fit(sample), ["doc", "src", "host", "path"]).withColumn("p", 1 / (1 + F.exp(-F.col("evidence")))), "quality-evidence")
+    held_out = F.lit(False) if held_out_fold is None else fold(F.col(id_col), folds) == held_out_fold
+    sample = stored(labelled_sample(documents.where(~held_out), labels.where(~held_out), label_col, id_col, text_col, per_label), "quality-sample")
+    flat = documents.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("src"), held_out.alias("held_out"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"))
+    scored = stored(evidence(flat, fit(sample), ["doc", "src", "held_out", "host", "path"]).withColumn("p", 1 / (1 + F.exp(-F.col("evidence")))), "quality-evidence")
     paths = stored(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("good"), F.sum(F.col("p") ** 2).alias("squares")), "quality-paths")
     within = (F.col("squares") - F.col("good") ** 2 / F.col("n")).alias("within")
     whole = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
@@ -129,12 +132,12 @@ def classify(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     rates = nested.select(F.col("host").alias("h"), F.col("path").alias("q"), "host_rate", ((F.col("good") + b * F.col("host_rate")) / (F.col("n") + b)).alias("path_rate"))
     both = scored.join(stored(rates, "quality-rates"), F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")), "left")
     odds = F.col("evidence") + _logit(F.col("path_rate")) - _logit(F.lit(mean))
-    done = both.select(F.col("doc").alias(id_col), "src", "evidence", "host_rate", "path_rate", (1 / (1 + F.exp(-odds))).alias("score"))
+    done = both.select(F.col("doc").alias(id_col), "src", "held_out", "evidence", "host_rate", "path_rate", (1 / (1 + F.exp(-odds))).alias("score"))
     return done.withColumn("good", F.col("score") >= 0.5)
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality") -> DataFrame:
     """The documents that are classified good, with all their columns."""
-    verdict = classify(documents, labels, id_col, text_col, host_col, path_col, label_col)
+    verdict = classify(documents, labels, id_col, text_col, host_col, path_col, label_col, held_out_fold=None)
     bad = stored(verdict.where(~F.col("good")).select(F.col("src").alias("gone_src")).distinct(), "rejected")
     return without(documents, bad, id_col, text_col)

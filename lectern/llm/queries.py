@@ -39,7 +39,7 @@ def op6_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return found.select("doc_id", "score", F.col("good").alias("kept"), "evidence", "host_rate", "path_rate")
+    return found.select("doc_id", "held_out", "score", F.col("good").alias("kept"), "evidence", "host_rate", "path_rate")
 
 
 def op8_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
