@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -72,31 +74,54 @@ def question_words(question: Column) -> Column:
     return F.filter(F.split(F.lower(question), r"\s+"), lambda w: F.length(w) > 2)
 
 
+#: Parts that the distinct question words of a course are dealt in.
+WORD_BLOCKS = 64
+
+
 def keyword_top_k(questions: DataFrame, chunks: DataFrame, k: int = TOP_KEYWORD) -> DataFrame:
     """questions (query_id, course_id, question) against chunks (course_id, chunk_id, content, order columns).
 
     Score: how many question words the content holds; only positive scores; ties by chunk order. A question
-    without words gets the first k chunks of its course.
+    without words gets the first k chunks of its course. Chunks that repeat id and content count once.
+
+    A chunk is searched once for each distinct word of its course's questions, however many have it; only words that
+    it holds are then joined to the questions, and the best rows fetch their contents last.
     """
-    q = questions.select("query_id", "course_id", "question", question_words(F.col("question")).alias("words"))
-    c = chunks.withColumn("low", F.lower("content"))
-    score = F.expr("aggregate(words, 0, (a, w) -> a + cast(contains(low, w) as int))")
-    scored = c.join(q, "course_id").withColumn("score", score).where("score > 0 or size(words) = 0").drop("low", "words")
-    return top_k(scored, k)
+    q = questions.select("query_id", "course_id", question_words(F.col("question")).alias("words"))
+    asked = q.select("query_id", "course_id", F.explode("words").alias("word")).groupBy("query_id", "course_id", "word").agg(F.count("*").alias("times"))
+    blocks = asked.select("course_id", "word").distinct().groupBy("course_id", F.pmod(F.xxhash64("word"), F.lit(WORD_BLOCKS)).alias("block")).agg(F.collect_set("word").alias("block_words"))
+    part = F.xxhash64("content").alias("part")
+    held = chunks.select("course_id", "chunk_id", part, F.lower("content").alias("low")).distinct()
+    hits = held.join(blocks.select("course_id", "block_words"), "course_id").select("course_id", "chunk_id", "part", F.explode(F.expr("filter(block_words, w -> contains(low, w))")).alias("word"))
+    scored = hits.join(asked, ["course_id", "word"]).groupBy("query_id", "course_id", "chunk_id", "part").agg(F.sum("times").cast("int").alias("score"))
+    early = F.row_number().over(Window.partitionBy("course_id").orderBy("chunk_id", "part"))
+    first = held.select("course_id", "chunk_id", "part").withColumn("place", early).where(F.col("place") <= k)
+    wordless = first.join(q.where("size(words) = 0").select("query_id", "course_id"), "course_id").select("query_id", "course_id", "chunk_id", "part", F.lit(0).alias("score"))
+    best = top_k(scored.unionByName(wordless), k)
+    texts = chunks.withColumn("part", part).dropDuplicates(["course_id", "chunk_id", "part"])
+    return best.join(texts, ["course_id", "chunk_id", "part"]).join(questions.select("query_id", "question"), "query_id").drop("part")
 
 
 def stem(file_name: Column) -> Column:
     return F.regexp_replace(file_name, r"\.[^.]*$", "")
 
 
+#: Leading characters of a citation's stem that are looked up among the parts of file names.
+GRAM = 12
+
+
 def match_citations(citations: DataFrame, materials: DataFrame) -> DataFrame:
     """Citations (citation_id, course_id, file_name, page, excerpt) with the newest ready material whose name holds the stem.
 
-    The join is by course with containment as a residual; unmatched citations keep a null material.
+    The start of the stem is joined to the parts of as many characters that names have, with containment of the whole
+    stem as a residual; unmatched citations keep a null material.
     """
+    named = citations.withColumn("wanted", F.lower(stem(F.col("file_name")))).where("wanted <> ''").select("citation_id", "course_id", "wanted", F.substring("wanted", 1, GRAM).alias("gram"))
+    sizes = [r[0] for r in named.select(F.length("gram")).distinct().collect()]  # at most GRAM of them
     ready = materials.where("status = 'ready'").select("course_id", "material_id", F.lower("file_name").alias("held_name"))
-    named = citations.withColumn("wanted", F.lower(stem(F.col("file_name"))))
-    hit = named.join(ready, (named["course_id"] == ready["course_id"]) & F.contains(F.col("held_name"), F.col("wanted")) & (F.col("wanted") != "")).groupBy("citation_id").agg(F.max("material_id").alias("material_id"))
+    parts = F.concat(F.array().cast("array<string>"), *[F.expr(f"if(length(held_name) < {n}, array(), transform(sequence(1, length(held_name) - {n - 1}), i -> substring(held_name, i, {n})))") for n in sorted(sizes)])
+    ready = ready.select("course_id", "material_id", "held_name", F.explode(F.array_distinct(parts)).alias("gram"))
+    hit = named.join(ready, ["course_id", "gram"]).where(F.contains("held_name", "wanted")).groupBy("citation_id").agg(F.max("material_id").alias("material_id"))
     return citations.join(hit, "citation_id", "left").select("citation_id", "material_id", F.coalesce("page", F.lit(0)).alias("page"), F.substring("excerpt", 1, SNIPPET).alias("snippet"))
 
 
@@ -155,17 +180,40 @@ def embed(rows: DataFrame, text_col: str = "text", features: int = 1 << 12) -> D
     return made.withColumn("embedding", vector_to_array("unit", "float32")).drop("words", "tf", "tfidf", "unit")
 
 
-def approximate_top_k(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 8, bucket: float = 2.0, seed: int = 11) -> DataFrame:
-    """(query_id, chunk_id, score, rank) from random-projection buckets over unit vectors, per namespace.
+#: Bits of a vector's sketch, and candidates for each wanted row that are compared exactly.
+SKETCH_BITS, CANDIDATES = 256, 10
 
-    The model holds random projections only; every vector is indexed. On unit vectors distance and cosine order alike.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    v = vectors.select("namespace", "chunk_id", array_to_vector(unit(F.col("embedding"))).alias("u"))
-    q = queries.select("namespace", "query_id", array_to_vector(unit(F.col("embedding"))).alias("u"))
-    model = BucketedRandomProjectionLSH(inputCol="u", outputCol="buckets", bucketLength=bucket, numHashTables=tables, seed=seed).fit(v.limit(1))
-    near = model.approxSimilarityJoin(q, v, 1.5, distCol="distance").where("datasetA.namespace = datasetB.namespace")
-    flat = near.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.chunk_id").alias("chunk_id"), (1 - F.col("distance") ** 2 / 2).alias("score"))
-    return top_k(flat, k)
+
+def sketches(vectors: DataFrame, seed: int = 11, bits: int = SKETCH_BITS) -> DataFrame:
+    """Adds sketch: on which side of each of so many random planes the vector lies, 64 to a number."""
+    @F.pandas_udf("array<long>")
+    def sides(embedding: pd.Series) -> pd.Series:
+        rows = embedding.tolist()
+        out = np.zeros((len(rows), bits // 64), np.int64)
+        for size in {len(x) for x in rows if x is not None}:
+            at = [i for i, x in enumerate(rows) if x is not None and len(x) == size]
+            planes = np.random.default_rng(seed).standard_normal((size, bits))
+            over = np.nan_to_num(np.stack([np.asarray(rows[i], float) for i in at])) @ planes > 0
+            out[at] = np.packbits(over, axis=1).view(">i8")
+        return pd.Series(list(out))
+
+    return vectors.withColumn("sketch", sides("embedding"))
+
+
+def approximate_candidates(queries: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
+    """(query_id, chunk_id, q, v): the n vectors of a query's namespace whose sketches differ least from its own."""
+    v = sketches(vectors.select("namespace", "chunk_id", "embedding"))
+    q = sketches(queries.select("namespace", "query_id", "embedding")).withColumnsRenamed({"embedding": "query_embedding", "sketch": "query_sketch"})
+    differ = F.aggregate(F.zip_with("sketch", "query_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    met = v.join(q, "namespace").select("query_id", "namespace", "chunk_id", differ.alias("differ"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("differ", "chunk_id"))
+    near = met.withColumn("place", place).where(F.col("place") <= n)
+    near = near.join(vectors.select("namespace", "chunk_id", unit(F.col("embedding")).alias("v")), ["namespace", "chunk_id"])
+    return near.join(queries.select("namespace", "query_id", unit(F.col("embedding")).alias("q")), ["namespace", "query_id"]).select("query_id", "chunk_id", "q", "v")
+
+
+def approximate_top_k(queries: DataFrame, vectors: DataFrame, k: int, candidates: int = CANDIDATES) -> DataFrame:
+    """(query_id, chunk_id, score, rank) by sketches: every vector has one of SKETCH_BITS bits, and only the k * candidates
+    nearest by sketch are compared exactly. Nothing is fitted; chunk_id is unique in a namespace."""
+    dot = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda s, z: s + z)
+    return top_k(approximate_candidates(queries, vectors, k * candidates).select("query_id", "chunk_id", dot.alias("score")), k)

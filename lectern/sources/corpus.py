@@ -40,9 +40,9 @@ def files_in(files: DataFrame, allowed: tuple[str, ...] = ("pdf", "docx", "pptx"
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """Old and new rows with one row a key, that of the latest version; of equal versions the new row stays."""
+    """Old and new rows with one row a key, that of the latest version; of equal versions the new row stays, and of equal new ones the greatest."""
     both = old.withColumn("is_new", F.lit(0)).unionByName(new.withColumn("is_new", F.lit(1)))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(version), F.desc("is_new")))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(version), F.desc("is_new"), *[F.desc(c) for c in new.columns if c not in (*keys, version)]))
     return both.withColumn("version_rank", rank).where("version_rank = 1").drop("version_rank", "is_new")
 
 
@@ -72,10 +72,30 @@ def latest_document(df: DataFrame, key: str, version: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(version, *rest)).alias("newest")).select(key, "newest.*")
 
 
+#: Ranges that the rows of a group are dealt in to be numbered.
+NUMBER_PARTS = 64
+
+
 def batches(rows: DataFrame, group: str, order: str, size: int = BATCH) -> DataFrame:
-    """Adds batch: consecutive runs of size rows of a group in order."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return rows.withColumn("batch", F.floor((place - 1) / size))
+    """Adds batch: consecutive runs of size rows of a group in order; ties by all other columns.
+
+    Rows are dealt in ranges of the order and numbered inside a range of a group; the rows of a group in the ranges
+    before it are added from counts, so that a large group is numbered by many tasks.
+    """
+    rest = [c for c in rows.columns if c not in (group, order)]
+    bounds = rows.where(F.col(order).isNotNull()).agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
+    if isinstance(bounds["low"], int) and bounds["high"] > bounds["low"]:
+        width = max(1, -(-(bounds["high"] - bounds["low"] + 1) // NUMBER_PARTS))
+        part = F.coalesce(F.floor((F.col(order) - bounds["low"]) / width), F.lit(-1))
+    else:
+        part = F.lit(0)
+    dealt = rows.withColumn("part", part.cast("long"))
+    counts = dealt.groupBy(F.col(group).alias("held_group"), F.col("part").alias("held_part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("held_group").orderBy("held_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("held_group", "held_part", before.alias("before"))
+    place = F.row_number().over(Window.partitionBy(group, "part").orderBy(order, *rest))
+    numbered = dealt.withColumn("place", place).join(starts, F.col(group).eqNullSafe(F.col("held_group")) & (F.col("part") == F.col("held_part")))
+    return numbered.select(*rows.columns, F.floor((F.col("before") + F.col("place") - 1) / size).alias("batch"))
 
 
 def batch_outcomes(rows: DataFrame, group: str, ok: str) -> DataFrame:

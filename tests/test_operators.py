@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import chunking as C
 from lectern.functions import safety as S
+from lectern.operators import analytics as A
 from lectern.operators import dialogue as D
 from lectern.operators import relational as R
 from lectern.operators import retrieval as V
@@ -100,14 +101,35 @@ def test_embedding_is_unit_and_deterministic(spark):
     assert np.allclose(got[1], got[2]) and all(abs(np.linalg.norm(x) - 1) < 1e-5 for x in got.values())
 
 
-def test_approximate_recall(spark):
+def test_approximate_recall_from_few_candidates(spark):
     from lectern.fixtures import Views
 
-    v = Views(spark, "/root/testdata/sf0.01")
+    v = Views(spark, "/root/testdata/sf0.1")
     q = v.sql("SELECT vec_id AS query_id, namespace, embedding FROM vectors WHERE vec_id % 50 = 0")
-    exact = {(r["query_id"], r["chunk_id"]) for r in V.top_k(V.vector_scores(q, v.vectors), 10).collect()}
+    scored = V.vector_scores(q, v.vectors)
+    exact = {(r["query_id"], r["chunk_id"]) for r in V.top_k(scored, 10).collect()}
     near = {(r["query_id"], r["chunk_id"]) for r in V.approximate_top_k(q, v.vectors, 10).collect()}
     assert len(exact & near) / len(exact) >= 0.9
+    assert V.approximate_candidates(q, v.vectors, 100).count() <= 0.25 * scored.count()
+
+
+def test_request_rates_count_a_day_back_for_anonymous_users_too(spark):
+    rows = [(1, None, 0), (2, None, 50), (3, None, 86_399), (4, None, 86_400), (5, "u", 86_400), (6, "u", 172_799), (7, "u", 172_800), (8, None, 86_400)]
+    events = spark.createDataFrame(rows, "id int, user string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    want = {i: sum(b == user and s - 86_399 <= t <= s for _, b, t in rows) for i, user, s in rows}
+    assert {r["id"]: r["in_day"] for r in A.request_rates(events, "user", "ts").collect()} == want
+
+
+def test_batches_of_a_large_group(spark):
+    rows = spark.createDataFrame([("a", (i * 7919) % 1000) for i in range(1000)] + [("b", 5), ("b", None)], "g string, o long")
+    got = Src.batches(rows, "g", "o", 30).collect()
+    assert all(r["batch"] == r["o"] // 30 for r in got if r["g"] == "a") and [r["batch"] for r in got if r["g"] == "b"] == [0, 0]
+
+
+def test_citations_match_by_containment(spark):
+    cites = spark.createDataFrame([(1, "c", "Lecture_01_introduction.pdf", 1, "x"), (2, "c", "01.txt", None, "y"), (3, "c", ".pdf", 1, "z"), (4, "d", "lecture_01.pdf", 1, "z"), (5, "c", "nope.pdf", 1, None)], "citation_id int, course_id string, file_name string, page int, excerpt string")
+    files = spark.createDataFrame([("c", 10, "my lecture_01_introduction v2.pdf", "ready"), ("c", 11, "01", "ready"), ("c", 12, "01", "failed"), ("d", 13, "other.pdf", "ready")], "course_id string, material_id int, file_name string, status string")
+    assert {r["citation_id"]: r["material_id"] for r in V.match_citations(cites, files).collect()} == {1: 10, 2: 11, 3: None, 4: None, 5: None}
 
 
 def test_mixture_finds_blobs():
