@@ -147,7 +147,7 @@ def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
                 at = size
             else:
                 endless.add(tag)
-                continue
+                tag = ""
             yield i, at, tag, False, ""
             continue
         yield i, at, tag, closing, page[name.end() : k]

@@ -13,7 +13,7 @@ training and p the byte tree's probability of its spelling.
 The logarithm of a text's probability is a sum over its n-grams in which only kept ones add to what single symbols
 give; so kept n-grams are a table of values, which is broadcast up to BROADCAST_GRAMS rows and joined beyond.
 
-The byte tree reads a word after a break and closes it with one; it counts kinds of words in parts of the corpus. Contexts are up to DEPTH bytes back to that break,
+The byte tree reads a word after a break and closes it with one. Contexts are up to DEPTH bytes back to that break,
 kept by share (MIN_SHARE of all symbols bounds the states by DEPTH / MIN_SHARE) and G statistic.
 """
 
@@ -57,8 +57,8 @@ def _unique_sum(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _grams(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """For each symbol of each word (its bytes, then BREAK): the context of up to DEPTH bytes with the symbol, packed.
+def _grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each symbol of each word (its bytes, then BREAK): (context of up to DEPTH bytes with the symbol, packed; word index).
 
     The context goes back to the break before the word; a packed value has its own length in the top byte.
     """
@@ -73,7 +73,8 @@ def _grams(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         back[d:] = sym[:-d]
         packed |= np.where(place >= d, back << np.uint64(8 * d), np.uint64(0))
     packed |= np.minimum(place, DEPTH).astype(np.uint64) << np.uint64(56)
-    return packed[place > 0]
+    real = place > 0
+    return packed[real], np.repeat(np.arange(len(size)), size + 1)
 
 
 def _count_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,8 +113,8 @@ def _flush(hashes: list, counts: list, body: list, sizes: list) -> Iterator[pa.R
     keys, sums = [], []
     for i in range(0, len(first), 50_000):
         some = first[i : i + 50_000]
-        packed = _grams(*gather_bytes(data, off[some], off[some] + size[some]))
-        k, s = np.unique(packed, return_counts=True)  # by kinds of words: unseen words are new kinds
+        packed, word = _grams(*gather_bytes(data, off[some], off[some] + size[some]))
+        k, s = _unique_sum(packed, total[i : i + 50_000][word])
         keys.append(k), sums.append(s)
     if keys:
         yield _rows(1, *_unique_sum(np.concatenate(keys), np.concatenate(sums)))

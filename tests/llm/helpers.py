@@ -81,3 +81,107 @@ def contaminated(docs, items, window=10):
         if any(tuple(ws[j : j + n]) in wins for n in sizes for j in range(len(ws) - n + 1)):
             bad.add(i)
     return bad
+
+
+def whole_text_verdicts(docs, groups, model, floors, width=4.0, bins=2, spans=(0, 1, 3), least=50):
+    """doc_id -> (tokens, kept) of the fertility rules, from ids of whole texts and sorted lists."""
+    rows = {}
+    for i, text in docs.items():
+        text = text or ""
+        ws = SPACED.findall(text)
+        seen = Counter(tuple(ws[j : j + 8]) for j in range(len(ws) - 7))
+        again = {q for j in range(len(ws) - 7) if seen[tuple(ws[j : j + 8])] > 1 for q in range(j, j + 8)}
+        ids = model.encode(text)
+        n = len(ids)
+        spread = -sum(c / n * math.log2(c / n) for c in Counter(ids).values())
+        measures = (sum(map(len, ws)) / n, sum(map(model.is_byte, ids)) / n, spread / max(1.0, math.log2(n))) if n else None
+        rows[i] = (n, len(ws) < 20 or 100 * len(again) > 30 * len(ws), measures, groups[i])
+    usable = [r for r in rows.values() if r[0] and not r[1]]
+    xs = [math.log2(r[0]) for r in usable]
+    mean = lambda v: sum(v) / len(v)
+    slopes = []
+    for m in range(3):
+        ys = [r[2][m] for r in usable]
+        slopes.append(sum((x - mean(xs)) * (y - mean(ys)) for x, y in zip(xs, ys)) / sum((x - mean(xs)) ** 2 for x in xs))
+    level = lambda r, m: r[2][m] - slopes[m] * math.log2(r[0])
+    bin_of = lambda r: math.floor(bins * math.log2(r[0]))
+    rank = lambda v, q: sorted(v)[max(0, math.ceil(q * len(v)) - 1)]
+    out = {}
+    for i, r in rows.items():
+        kept = not r[1]
+        if kept and r[0]:
+            near = [[x for x in usable if x[3] == r[3] and abs(bin_of(x) - bin_of(r)) <= s] for s in spans] + [[x for x in usable if x[3] == r[3]], usable]
+            chosen = next((x for x in near if len(x) >= least), None)
+            for m, (low, high) in enumerate([(True, True), (False, True), (True, False)] if chosen else []):
+                v = [level(x, m) for x in chosen]
+                off = (level(r, m) - rank(v, 0.5)) / max((rank(v, 0.75) - rank(v, 0.25)) / 1.349, floors[m])
+                kept = kept and not (low and off < -width) and not (high and off > width)
+        out[i] = (r[0], kept)
+    return out
+
+
+def suffix_tree_scores(docs, spelling, held, frequent=1e-6, smooth=4.0, least_g=20.0):
+    """doc_id -> log10 probability under contexts of none, one and two words; spelling(word): log10 of its spelled probability."""
+    tokens = {i: SPACED.findall(lower_ascii(t)) for i, t in docs.items()}
+    train = [tokens[i] for i in docs if not held(i)]
+    count = Counter(w for ws in train for w in ws)
+    n_words, texts = sum(count.values()), len(train)
+    often = {w for w, c in count.items() if c >= max(1, frequent * n_words)}
+    symbols = lambda ws: ["<s>", *[w if w in often else "<rare>" for w in ws], "</s>"]
+    single = Counter(s for ws in train for s in symbols(ws))
+    z = n_words + texts + 2
+    p0 = lambda s: (single[s] + (s in ("<rare>", "</s>"))) / z
+    pairs, triples = Counter(), Counter()
+    for ws in train:
+        s = symbols(ws)
+        pairs.update(zip(s, s[1:]))
+        triples.update(zip(s, s[1:], s[2:]))
+    kept1 = {k: c for k, c in pairs.items() if c >= 2 and 2 * c * math.log(c / (single[k[0]] * p0(k[1]))) >= least_g}
+    mass1 = Counter()
+    for (u, _), c in kept1.items():
+        mass1[u] += c
+    p1 = lambda u, w: (kept1.get((u, w), 0) + (single[u] - mass1[u] + smooth) * p0(w)) / (single[u] + smooth)
+    kept2 = {k: c for k, c in triples.items() if c >= 2 and k[:2] in kept1 and 2 * c * math.log(c / (kept1[k[:2]] * p1(k[1], k[2]))) >= least_g}
+    mass2 = Counter()
+    for k, c in kept2.items():
+        mass2[k[:2]] += c
+
+    def p2(t, u, w):
+        if (t, u) not in mass2:
+            return p1(u, w)
+        n = kept1[t, u]
+        return (kept2.get((t, u, w), 0) + (n - mass2[t, u] + smooth) * p1(u, w)) / (n + smooth)
+
+    rare_tokens, rare_types = n_words - sum(count[w] for w in often), len(count) - len(often)
+    out = {}
+    for i, ws in tokens.items():
+        s = symbols(ws)
+        total = sum(math.log10(p2(s[k - 2] if k > 1 else None, s[k - 1], s[k])) for k in range(1, len(s)))
+        for w in ws:
+            if w not in often:
+                p = spelling(w)
+                total += math.log10((count[w] + rare_types * 10**p) / (rare_tokens + rare_types)) if rare_types else p
+        out[i] = total
+    return out
+
+
+def pack_exhaustively(sizes, room):
+    """Least number of sequences, by trying all."""
+    best, sizes = [len(sizes)], sorted(sizes, reverse=True)
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(bins)
+            return
+        for k in {b: k for k, b in enumerate(bins) if b + sizes[i] <= room}.values():
+            bins[k] += sizes[i]
+            go(i + 1, bins)
+            bins[k] -= sizes[i]
+        bins.append(sizes[i])
+        go(i + 1, bins)
+        bins.pop()
+
+    go(0, [])
+    return best[0]
