@@ -13,7 +13,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held
+from .shared import BROADCAST_KEYS, held, stored
 
 WINDOW = 10
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -110,7 +110,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 def clean(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents in which no window of an item occurs, with all their columns."""
-    marked = hits(documents, benchmark, id_col, text_col).select("doc_key").distinct()
+    marked = stored(hits(documents, benchmark, id_col, text_col).select("doc_key").distinct(), "leaks")
+    marked = F.broadcast(marked) if marked.count() <= BROADCAST_KEYS else marked
     rows = documents.select(F.struct(*documents.columns).alias("kept_row"))
     key = F.struct(F.col(f"kept_row.{id_col}").alias("id"), F.xxhash64(f"kept_row.{text_col}").alias("hash"))
     return rows.join(marked, key.eqNullSafe(F.col("doc_key")), "left_anti").select("kept_row.*")
