@@ -9,6 +9,7 @@ leaves no room for fewer sequences than the incumbent has.
 
 from __future__ import annotations
 
+import string
 import struct
 import zlib
 from bisect import bisect_left, bisect_right, insort
@@ -51,25 +52,32 @@ def _cache(path: str) -> WordCache:
         plain = regex.compile(r"[!-~¡-ÿ]+")
         part = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        shown = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in printable)}
-        merges = tokenizer.model.tokenize
+        shown = str.maketrans({chr(b): chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in printable)})
+        merges, marks = tokenizer.model.tokenize, string.punctuation.encode()
+
+        def packed(ids: list[int]) -> bytes:
+            return struct.pack(f"<{len(ids)}I", *ids)
 
         def encode(words: list[bytes], known: dict[bytes, bytes]) -> list[bytes]:
-            parts: dict[str, bytes] = {}
+            parts: dict[bytes, bytes] = {}
+
+            def merged(p: bytes) -> bytes:
+                if (held := parts.get(p) or known.get(p)) is None:
+                    held = parts[p] = packed([t.id for t in merges(p.decode() if p.isascii() else p.decode("latin-1").translate(shown))])
+                return held
+
             out = []
             for word in words:
+                if word.isascii() and (core := word.rstrip(marks)).isalpha() and core.islower():
+                    out.append(merged(core) if len(core) == len(word) else merged(core) + merged(word[len(core) :]))
+                    continue
                 text = word.decode()
                 if "<|" in text or not plain.fullmatch(text):
-                    ids = tokenizer.encode(text, add_special_tokens=False).ids
-                    out.append(struct.pack(f"<{len(ids)}I", *ids))
-                    continue
-                found = []
-                for p in part.findall(text.lower()):
-                    if (held := parts.get(p) or known.get(p.encode())) is None:
-                        ids = [t.id for t in merges(p if p.isascii() else "".join(map(shown.__getitem__, p.encode())))]
-                        held = parts[p] = struct.pack(f"<{len(ids)}I", *ids)
-                    found.append(held)
-                out.append(found[0] if len(found) == 1 else b"".join(found))
+                    out.append(packed(tokenizer.encode(text, add_special_tokens=False).ids))
+                elif text.isalpha():
+                    out.append(merged(text.lower().encode()))
+                else:
+                    out.append(b"".join([merged(p.encode()) for p in part.findall(text.lower())]))
             return out
 
         _caches[path] = WordCache(encode)
