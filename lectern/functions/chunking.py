@@ -102,11 +102,16 @@ def drop_overlapping(rows: DataFrame, group: str, order: str, text_col: str, rat
     return packed.select(group, F.explode(kept).alias("r")).select(group, F.col(f"r.{order}").alias(order), F.col("r.text").alias(text_col))
 
 
-def _fill(blocks: str) -> str:
-    """Fold of the texts, nearest first, into half of the budget; the last one is cut if enough room is left."""
+def _fill(blocks: str, above: bool) -> str:
+    """Fold of the texts, nearest first, into half of the budget; the last one is cut if enough room is left.
+
+    The result reads from the top down, so what is above comes out with the nearest text last.
+    """
     half = CONTEXT_CHARS // 2
-    one = f"if(length(acc.t) = 0, x.text, concat(acc.t, ' ', x.text))"
-    cut = f"if({half} - length(acc.t) > {MIN_REST}, trim(concat(acc.t, ' ', substring(x.text, 1, {half} - length(acc.t)))), acc.t)"
+    joined = (lambda x: f"concat({x}, ' ', acc.t)") if above else (lambda x: f"concat(acc.t, ' ', {x})")
+    one = f"if(length(acc.t) = 0, x.text, {joined('x.text')})"
+    part = joined(f"substring(x.text, 1, {half} - length(acc.t))")
+    cut = f"if({half} - length(acc.t) > {MIN_REST}, trim({part}), acc.t)"
     step = f"if(acc.full, acc, if(length({one}) <= {half}, named_struct('t', {one}, 'full', false), named_struct('t', {cut}, 'full', true)))"
     return f"aggregate({blocks}, named_struct('t', '', 'full', false), (acc, x) -> {step}, acc -> acc.t)"
 
@@ -114,7 +119,7 @@ def _fill(blocks: str) -> str:
 def image_context(images: DataFrame, blocks: DataFrame) -> DataFrame:
     """Images with the text within 72 pt above and below on the same page: 'above [IMAGE] below', empty without any.
 
-    Blocks fill each side nearest first.
+    Blocks fill each side nearest first and are given from the top down.
     """
     b = blocks.select("file", "page", F.col("text"), F.col("y0").alias("b0"), F.col("y1").alias("b1"))
     near = images.join(b, ["file", "page"], "left")
@@ -122,7 +127,7 @@ def image_context(images: DataFrame, blocks: DataFrame) -> DataFrame:
     below = F.when((F.col("b0") >= F.col("y1")) & (F.col("b0") - F.col("y1") <= REACH_PT), F.col("b0") - F.col("y1"))
     side = lambda d: F.array_sort(F.array_compact(F.collect_list(F.when(d.isNotNull(), F.struct(d.alias("d"), F.col("text"))))))
     packed = near.groupBy("file", "page", "xref").agg(side(above).alias("up"), side(below).alias("down"))
-    joined = F.expr(f"concat_ws(' ', nullif({_fill('up')}, ''), '[IMAGE]', nullif({_fill('down')}, ''))")
+    joined = F.expr(f"concat_ws(' ', nullif({_fill('up', True)}, ''), '[IMAGE]', nullif({_fill('down', False)}, ''))")
     return packed.select("file", "page", "xref", F.when((F.size("up") == 0) & (F.size("down") == 0), "").otherwise(F.substring(joined, 1, CONTEXT_CHARS)).alias("context"))
 
 

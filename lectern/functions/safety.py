@@ -20,6 +20,10 @@ GENERAL = [
     ("DATE_TIME", r"\b\d{4}-\d{2}-\d{2}\b"),
 ]
 CARD = r"\b\d{13,19}\b"
+#: How sure a match of a general pattern is; a text is safe to send if no match reaches SAFE (STRICT in strict use).
+SCORES = {"EMAIL_ADDRESS": 1.0, "URL": 0.75, "US_SSN": 0.85, "IP_ADDRESS": 0.75, "PHONE_NUMBER": 0.75, "DATE_TIME": 0.6, "CREDIT_CARD": 1.0}
+SAFE, STRICT = 0.7, 0.5
+ATTACK_CONFIDENCE = 0.95
 
 # Attack categories, first match wins.
 ATTACKS = [
@@ -54,13 +58,21 @@ def mask_education(text: Column) -> Column:
     return text
 
 
-def education_counts(text: Column) -> dict[str, Column]:
-    """Number of masked values of each kind, in the text as it stands when its pattern is applied."""
-    counts = {}
-    for name, pattern, _ in EDUCATION:
-        counts[name] = F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-        text = F.regexp_replace(text, pattern, f"<{name}>")
-    return counts
+def education_spans(text: Column) -> Column:
+    """array<struct<type, value, start, end, score>> of the education entities in the text, by start.
+
+    Starts are 0-based characters. A match that overlaps one of an earlier pattern gives way, as in masking.
+    """
+    found = F.array().cast("array<struct<type:string,value:string,start:int,end:int,score:double>>")
+    for name, pattern, score in EDUCATION:
+        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        gaps = F.split(text, pattern, -1)
+        length = lambda parts, n: F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda a, x: a + F.length(x))
+        starts = F.transform(values, lambda v, i: F.struct(v.alias("value"), (length(gaps, i + 1) + length(values, i)).alias("start")))  # noqa: B023
+        mine = F.transform(starts, lambda s: F.struct(F.lit(name).alias("type"), s["value"].alias("value"), s["start"].alias("start"), (s["start"] + F.length(s["value"])).alias("end"), F.lit(score).alias("score")))  # noqa: B023
+        free = F.filter(mine, lambda m: ~F.exists(found, lambda x: (x["start"] < m["end"]) & (m["start"] < x["end"])))  # noqa: B023
+        found = F.concat(found, F.coalesce(free, F.array().cast("array<struct<type:string,value:string,start:int,end:int,score:double>>")))
+    return F.array_sort(found, lambda x, y: F.when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1).otherwise(0))
 
 
 def mask_cards(text: Column) -> Column:
@@ -84,14 +96,37 @@ def entity_types(masked: Column) -> Column:
     return F.array_sort(F.array_compact(F.array(*[F.when(F.contains(masked, F.lit(f"<{n}>")), F.lit(n)) for n in sorted(names)])))
 
 
+def _attack(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """struct<category, matched> of the first category whose pattern occurs, each pattern run once; null for none."""
+    found = None
+    for category, pattern in reversed(rules):
+        hit = F.regexp_extract(text, "(?i)" + pattern, 0)
+        one = F.struct(F.lit(category).alias("category"), F.substring(hit, 1, 100).alias("matched"))
+        found = F.when(text.rlike("(?i)" + pattern), one) if found is None else F.when(text.rlike("(?i)" + pattern), one).otherwise(found)
+    return F.when(F.trim(text) != "", found)
+
+
 def attack_category(text: Column, rules: list[tuple[str, str]] = ATTACKS) -> Column:
     """The first category whose pattern occurs; null for none and for blank text."""
-    return F.when(F.trim(text) != "", F.coalesce(*[F.when(text.rlike("(?i)" + p), F.lit(c)) for c, p in rules]))
+    return _attack(text, rules)["category"]
 
 
 def attack_match(text: Column, rules: list[tuple[str, str]] = ATTACKS) -> Column:
     """What matched, up to 100 characters."""
-    return F.when(F.trim(text) != "", F.substring(F.coalesce(*[F.when(text.rlike("(?i)" + p), F.regexp_extract(text, "(?i)" + p, 0)) for _, p in rules]), 1, 100))
+    return _attack(text, rules)["matched"]
+
+
+def attacks(rows: DataFrame, text_col: str = "text", rules: list[tuple[str, str]] = ATTACKS, classifier=None) -> DataFrame:
+    """Adds category, matched, confidence and method (pattern).
+
+    classifier: optional pandas UDF from text to category for what no pattern finds (method model, confidence null).
+    """
+    found = F.explode_outer(F.array(_attack(F.col(text_col), rules)))
+    rows = rows.select("*", found.alias("attack_found"))
+    hit = F.col("attack_found.category")
+    more = classifier(F.col(text_col)) if classifier else F.lit(None).cast("string")
+    rows = rows.withColumns({"category": F.coalesce(hit, more), "matched": F.col("attack_found.matched"), "confidence": F.when(hit.isNotNull(), F.lit(ATTACK_CONFIDENCE))})
+    return rows.withColumn("method", F.when(hit.isNotNull(), "pattern").when(F.col("category").isNotNull(), "model")).drop("attack_found")
 
 
 def refusal(category: Column) -> Column:
@@ -99,12 +134,20 @@ def refusal(category: Column) -> Column:
     return F.when(category.isNotNull(), F.coalesce(F.try_element_at(messages, category), F.lit(DEFAULT_REFUSAL)))
 
 
-def safety(rows: DataFrame, text_col: str = "text", recogniser=None, cards: bool = True) -> DataFrame:
-    """Adds masked, entities, has_pii, category, matched, blocked and message.
+def safe_to_send(entities: Column, strict: bool = False) -> Column:
+    """Whether no entity type among these is sure enough to keep a text back."""
+    least = STRICT if strict else SAFE
+    scores = {name: score for name, _, score in EDUCATION} | SCORES
+    return ~F.arrays_overlap(entities, F.array(*[F.lit(n) for n, score in sorted(scores.items()) if score >= least]))
+
+
+def safety(rows: DataFrame, text_col: str = "text", recogniser=None, cards: bool = True, classifier=None, strict: bool = False) -> DataFrame:
+    """Adds masked, entities, has_pii, safe_to_send, category, matched, confidence, method, blocked and message.
 
-    recogniser: optional pandas UDF from text to text that masks persons and places, applied after the patterns.
+    Text is masked once, and each attack pattern runs once on the masked text. recogniser: optional pandas UDF from
+    text to text that masks persons and places, applied after the patterns; classifier: see attacks.
     """
     masked = mask_general(F.coalesce(F.col(text_col), F.lit("")), cards)
-    rows = rows.withColumn("masked", recogniser(masked) if recogniser else masked)
-    rows = rows.withColumns({"entities": entity_types(F.col("masked")), "category": attack_category(F.col("masked")), "matched": attack_match(F.col("masked"))})
-    return rows.withColumns({"has_pii": F.size("entities") > 0, "blocked": F.col("category").isNotNull(), "message": refusal(F.col("category"))})
+    rows = rows.select("*", F.explode_outer(F.array(recogniser(masked) if recogniser else masked)).alias("masked"))
+    rows = attacks(rows.withColumn("entities", entity_types(F.col("masked"))), "masked", classifier=classifier)
+    return rows.withColumns({"has_pii": F.size("entities") > 0, "safe_to_send": safe_to_send(F.col("entities"), strict), "blocked": F.col("category").isNotNull(), "message": refusal(F.col("category"))})

@@ -31,11 +31,29 @@ def search(df: DataFrame, columns: list[str], terms: str) -> DataFrame:
     return df
 
 
-def ordering(df: DataFrame, allowed: list[str], asked: str | None, default: str, tie: str) -> DataFrame:
-    """Order by an allow-listed column, '-' for descending, else the default; the tie column makes it unique."""
+def order_keys(allowed: list[str], asked: str | None, default: str, tie: str) -> tuple[Column, Column]:
+    """An allow-listed column, '-' for descending, else the default; and the tie column, which makes the order unique."""
     name = asked if asked and asked.lstrip("-") in allowed else default
-    key = F.desc(name[1:]) if name.startswith("-") else F.asc(name)
-    return df.orderBy(key, F.asc(tie))
+    return F.desc(name[1:]) if name.startswith("-") else F.asc(name), F.asc(tie)
+
+
+def ordering(df: DataFrame, allowed: list[str], asked: str | None, default: str, tie: str) -> DataFrame:
+    """The rows in that order."""
+    return df.orderBy(*order_keys(allowed, asked, default, tie))
+
+
+def placed(df: DataFrame, *order: Column, parts: int = 64) -> DataFrame:
+    """Adds place, the 1-based place of each row in the whole order, which should be unique.
+
+    Rows are dealt in ranges of the order; places inside a range are moved by the counts of the ranges before it, so
+    no task sees all rows.
+    """
+    dealt = df.repartitionByRange(parts, *order).select("*", F.spark_partition_id().alias("part")).persist()
+    counts = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # of one row a range
+    starts = counts.select(F.col("part").alias("held_part"), before.alias("before"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return dealt.withColumn("inside", inside).join(F.broadcast(starts), F.col("part") == F.col("held_part")).select(*df.columns, (F.col("before") + F.col("inside")).alias("place"))
 
 
 def visible_courses(courses: DataFrame, hierarchy: DataFrame, principals: DataFrame) -> DataFrame:

@@ -122,8 +122,10 @@ def digests(members: DataFrame, summarise=None) -> DataFrame:
     sizes = members.groupBy("namespace", "cluster").agg(F.count("*").alias("cluster_size")).where(F.col("cluster_size") >= MIN_MEMBERS)
     near = members.join(centroid, ["namespace", "cluster"]).join(sizes, ["namespace", "cluster"]).withColumn("near", F.coalesce(F.round(cosine(F.col("embedding"), F.col("centre")), 9), F.lit(0.0)))
     order = Window.partitionBy("namespace", "cluster").orderBy(F.desc("near"), "chunk_id")
+    # Each member adds a joiner at least, so no more than these fit: the rank limit holds before the shuffle, and running lengths are over few rows.
+    nearest = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(MAX_SOURCES, MAX_DIGEST // len(JOINER) + 1))
     so_far = F.sum(F.length("text") + len(JOINER)).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.length("text") - len(JOINER)
-    placed = near.withColumn("place", F.row_number().over(order)).withColumn("before", so_far).where((F.col("before") < MAX_DIGEST) | (F.col("place") <= MAX_SOURCES))
+    placed = nearest.withColumn("before", so_far).where((F.col("before") < MAX_DIGEST) | (F.col("place") <= MAX_SOURCES))
     packed = placed.groupBy("namespace", "cluster").agg(F.first("cluster_size").alias("cluster_size"), F.array_sort(F.collect_list(F.struct("place", F.when(F.col("before") < MAX_DIGEST, F.col("text")).alias("text"), "chunk_id"))).alias("m"))
     text = F.substring(F.array_join(F.transform("m", lambda z: z["text"]), JOINER), 1, MAX_DIGEST)
     return packed.select("namespace", "cluster", "cluster_size", (summarise(text) if summarise else text).alias("text"), F.slice(F.transform("m", lambda z: z["chunk_id"]), 1, MAX_SOURCES).alias("source_chunk_ids"))

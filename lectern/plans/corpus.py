@@ -151,9 +151,10 @@ def x4(v: Views) -> DataFrame:
     return v.corpus_pages.select("doc_id", C.excerpt(F.col("text")).alias("excerpt"), S.word_count(F.col("text")).alias("word_count"))
 
 
-@query("w4_chunk_index", f"SELECT doc_id, CAST(s / 700 AS INT) AS chunk_index FROM ({SLIDES}) x WHERE CAST(s / 700 AS INT) % 3 <> 1")
+@query("w4_chunk_index", "SELECT doc_id, CAST(i - 1 AS INT) AS chunk_index FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM corpus_pages WHERE text IS NOT NULL) x WHERE trim(line) <> ''")
 def w4(v: Views) -> DataFrame:
-    return C.sliding_chunks(v.corpus_pages.select("doc_id", "text")).where("chunk_index % 3 <> 1").select("doc_id", "chunk_index")
+    """Lines as splits: blank ones go and leave gaps."""
+    return v.corpus_pages.select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_index", "line")).where("trim(line) <> ''").select("doc_id", "chunk_index")
 
 
 @query("o1_chunk_kinds", "SELECT kind, CAST(count(*) AS BIGINT) AS n, CAST(count(width_px) AS BIGINT) AS n_images FROM (SELECT 'text' AS kind, NULL AS width_px FROM corpus_pages UNION ALL SELECT 'multimodal', 64 FROM corpus_pages WHERE doc_id % 9 = 0) x GROUP BY kind")
@@ -165,15 +166,17 @@ def o1(v: Views) -> DataFrame:
 
 @query("o2_overlap_drop")
 def o2(v: Views) -> DataFrame:
-    groups = v.corpus_pages.select((F.col("doc_id") / 10).cast("int").alias("group_id"), F.col("doc_id").alias("ord"), C.excerpt(F.col("text"), 200).alias("text"))
+    groups = v.corpus_pages.select((F.col("doc_id") / 10).cast("int").alias("group_id"), F.col("doc_id").alias("ord"), "text")
     return C.drop_overlapping(groups, "group_id", "ord", "text")
 
 
-#: A layout derived from the documents: three text blocks and an image on each page.
-LAYOUT_BLOCKS = """
-    SELECT filename AS file, page_number AS page, substring(text, 1, 90) AS text, 0.0D AS y0, 100.0D - doc_id % 90 AS y1 FROM corpus_pages
-    UNION ALL SELECT filename, page_number, substring(text, 91, 260), 0.0D, 99.0D - doc_id % 70 FROM corpus_pages
-    UNION ALL SELECT filename, page_number, substring(text, 300, 120), 200.0D + doc_id % 90, 400.0D FROM corpus_pages"""
+def layout_blocks(v: Views) -> DataFrame:
+    """A layout derived from the documents: each sliding chunk of the whole text is a block, one under the other."""
+    cut = C.sliding_chunks(v.corpus_pages.select("doc_id", F.col("filename").alias("file"), F.col("page_number").alias("page"), "text"))
+    top = F.col("chunk_index") * 30.0 - F.col("doc_id") % 90
+    return cut.select("file", "page", F.col("content").alias("text"), top.alias("y0"), (top + 28.0).alias("y1"))
+
+
 IMAGES = """
     SELECT filename AS file, page_number AS page, CAST(doc_id AS INT) AS xref, CASE doc_id % 4 WHEN 0 THEN 'png' WHEN 1 THEN 'JPG' ELSE '' END AS ext, CAST(40 + doc_id % 30 AS INT) AS width_px, CAST(60 AS INT) AS height_px,
            n_chars * 3000 AS length, 100.0D AS y0, 200.0D AS y1, unhex(CASE WHEN doc_id % 4 = 2 THEN '89504E47' WHEN doc_id % 8 = 3 THEN 'FFD8FF00' ELSE '00' END) AS content
@@ -182,7 +185,7 @@ IMAGES = """
 
 @query("j8_image_context")
 def j8(v: Views) -> DataFrame:
-    return C.image_context(v.sql(IMAGES).select("file", "page", "xref", "y0", "y1"), v.sql(LAYOUT_BLOCKS))
+    return C.image_context(v.sql(IMAGES).select("file", "page", "xref", "y0", "y1"), layout_blocks(v))
 
 
 @query("j10_page_images", "SELECT filename AS file, CAST(doc_id AS INT) AS xref FROM corpus_pages WHERE length(text) >= 10")
@@ -201,5 +204,5 @@ def x21(v: Views) -> DataFrame:
 @query("x22_multimodal_chunks")
 def x22(v: Views) -> DataFrame:
     kept = S.screen_images(v.sql(IMAGES))
-    context = C.image_context(kept.select("file", "page", "xref", "y0", "y1"), v.sql(LAYOUT_BLOCKS))
+    context = C.image_context(kept.select("file", "page", "xref", "y0", "y1"), layout_blocks(v))
     return C.multimodal_chunks(kept.join(context, ["file", "page", "xref"]))

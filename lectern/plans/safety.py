@@ -29,6 +29,24 @@ def x5(v: Views) -> DataFrame:
     return v.sql(TEXTS).select("id", S.mask_education(F.col("text")).alias("masked"))
 
 
+def _span_sql(name: str, pattern: str, score: float, rank: int) -> str:
+    """Matches of one pattern with their 0-based starts: what lies between matches and the matches before."""
+    return f"""SELECT id, {rank} AS rank, '{name}' AS type, v[i] AS value, CAST({score} AS DOUBLE) AS score,
+        CAST(list_sum([length(x) for x in g[1:i]]) + coalesce(list_sum([length(x) for x in v[1:i - 1]]), 0) AS INT) AS pos
+        FROM (SELECT id, v, g, unnest(range(1, len(v) + 1)) AS i FROM (SELECT id, regexp_extract_all(text, '{pattern}') AS v, regexp_split_to_array(text, '{pattern}') AS g FROM ({TEXTS}) t) a) b"""
+
+
+SPANS = " UNION ALL ".join(_span_sql(n, p, score, k) for k, (n, p, score) in enumerate(S.EDUCATION))
+
+
+@query("x5_spans", f"""
+    WITH s AS ({SPANS}), f AS (SELECT a.* FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.id = a.id AND b.rank < a.rank AND b.pos < a.pos + length(a.value) AND a.pos < b.pos + length(b.value)))
+    SELECT id, type, value, pos AS start_at, CAST(pos + length(value) AS INT) AS end_at, score FROM f""")
+def x5_spans(v: Views) -> DataFrame:
+    found = v.sql(TEXTS).select("id", F.explode(S.education_spans(F.col("text"))).alias("s"))
+    return found.select("id", "s.type", "s.value", F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"), "s.score")
+
+
 @query("x6_mask_general", f"SELECT id, {_sql_mask(_sql_mask('text', EDUCATION), S.GENERAL)} AS masked FROM ({TEXTS}) t")
 def x6(v: Views) -> DataFrame:
     return v.sql(TEXTS).select("id", S.mask_general(F.col("text"), cards=False).alias("masked"))
@@ -49,14 +67,17 @@ def a12(v: Views) -> DataFrame:
 CASES = " ".join(f"WHEN regexp_matches({{0}}, '(?i){p}') THEN '{c}'" for c, p in S.ATTACKS)
 MATCHES = " ".join(f"WHEN regexp_matches({{0}}, '(?i){p}') THEN regexp_extract({{0}}, '(?i){p}', 0)" for _, p in S.ATTACKS)
 
+SURE = " ".join(f"WHEN regexp_matches({{0}}, '(?i){p}') THEN CAST({S.ATTACK_CONFIDENCE} AS DOUBLE)" for _, p in S.ATTACKS)
+METHOD = " ".join(f"WHEN regexp_matches({{0}}, '(?i){p}') THEN 'pattern'" for _, p in S.ATTACKS)
+
 
 def _fill(template: str, text: str) -> str:
     return template.replace("{0}", text)
 
 
-@query("x7_attack_category", f"SELECT id, CASE WHEN trim(text) = '' THEN NULL {_fill(CASES, 'text')} END AS category, substring(CASE WHEN trim(text) = '' THEN NULL {_fill(MATCHES, 'text')} END, 1, 100) AS matched FROM ({TEXTS}) t")
+@query("x7_attack_category", f"SELECT id, CASE WHEN trim(text) = '' THEN NULL {_fill(CASES, 'text')} END AS category, substring(CASE WHEN trim(text) = '' THEN NULL {_fill(MATCHES, 'text')} END, 1, 100) AS matched, CASE WHEN trim(text) = '' THEN NULL {_fill(SURE, 'text')} END AS confidence, CASE WHEN trim(text) = '' THEN NULL {_fill(METHOD, 'text')} END AS method FROM ({TEXTS}) t")
 def x7(v: Views) -> DataFrame:
-    return v.sql(TEXTS).select("id", S.attack_category(F.col("text")).alias("category"), S.attack_match(F.col("text")).alias("matched"))
+    return S.attacks(v.sql(TEXTS)).select("id", "category", "matched", "confidence", "method")
 
 
 REFUSED = " ".join(f"WHEN '{c}' THEN '{m}'" for c, m in S.REFUSALS.items())
@@ -70,6 +91,7 @@ def x8(v: Views) -> DataFrame:
 @query("x9_safety_pipeline", f"""
     WITH m AS (SELECT id, {_sql_mask(_sql_mask('text', EDUCATION), S.GENERAL)} AS masked FROM ({TEXTS}) t),
     c AS (SELECT id, masked, CASE WHEN trim(masked) = '' THEN NULL {_fill(CASES, 'masked')} END AS category FROM m)
-    SELECT id, category, category IS NOT NULL AS blocked, regexp_matches(masked, '<({'|'.join(n for n, _ in EDUCATION + S.GENERAL)})>') AS has_pii FROM c""")
+    SELECT id, category, category IS NOT NULL AS blocked, regexp_matches(masked, '<({'|'.join(n for n, _ in EDUCATION + S.GENERAL)})>') AS has_pii,
+           NOT regexp_matches(masked, '<({'|'.join(n for n, _ in EDUCATION + S.GENERAL if S.SCORES.get(n, 1) >= S.SAFE)})>') AS safe_to_send FROM c""")
 def x9(v: Views) -> DataFrame:
-    return S.safety(v.sql(TEXTS), cards=False).select("id", "category", "blocked", "has_pii")
+    return S.safety(v.sql(TEXTS), cards=False).select("id", "category", "blocked", "has_pii", "safe_to_send")

@@ -35,46 +35,56 @@ def table_stream(spark: SparkSession, path: str, files_per_batch: int = 16) -> D
     return reader.parquet(path)
 
 
-def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], what: str) -> None:
-    """Runs a stream to the end of what is there now, batch by batch, with its checkpoint in the shared folder."""
-    spark = stream.sparkSession
-    running = stream.writeStream.foreachBatch(each).option("checkpointLocation", shared_folder(spark, f"{what}-checkpoint")).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], folder: str) -> None:
+    """Runs a stream to the end of what is there now, batch by batch; a later run with the same folder goes on where it stopped."""
+    running = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     running.awaitTermination()
 
 
 class Versions:
-    """A keyed table as numbered Parquet folders: a batch writes the next version, a replayed batch writes the same one."""
+    """A keyed table as Parquet folders by batch number: a batch writes the next one from the one before it, and a
+    replayed batch writes the same one again. Which ones there are is read from the folder, so runs can go on."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str):
+        self.spark, self.schema, self.top = spark, schema, f"{folder}/versions"
 
-    def __init__(self, spark: SparkSession, what: str, schema: str):
-        self.spark, self.schema, self.top, self.last = spark, schema, shared_folder(spark, what), None
+    def _numbers(self) -> list[int]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.top)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(path):
+            return []
+        there = [f.getPath() for f in files.listStatus(path)]
+        return sorted(int(p.getName()) for p in there if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
     def read(self, before: int | None = None) -> DataFrame:
-        if self.last is None:
+        """The newest whole version, or the newest before a batch."""
+        found = [n for n in self._numbers() if before is None or n < before]
+        if not found:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.top}/{self.last}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.top}/{found[-1]}")
 
     def write(self, df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.top}/{batch}")
-        self.last = batch
 
 
-def incremental_struggle(messages: DataFrame, sessions: DataFrame, all_messages: DataFrame) -> DataFrame:
+def incremental_struggle(messages: DataFrame, sessions: DataFrame, all_messages: DataFrame, folder: str | None = None) -> DataFrame:
     """Each batch of messages refreshes only the topics it touches, from the base tables; the result equals a full recompute.
 
     sessions and all_messages are the base tables the stream's rows are also in. Topics without messages are
-    added by the first batch.
+    added by the first batch. folder holds progress and versions: a run with the same one goes on where the last stopped.
     """
-    kept = Versions(messages.sparkSession, "struggle", "course_id string, topic string, questions_asked long, avg_confidence double, struggling_students long")
+    spark = messages.sparkSession
+    folder = folder or shared_folder(spark, "struggle")
+    kept = Versions(spark, folder, "course_id string, topic string, questions_asked long, avg_confidence double, struggling_students long")
     keyed = sessions.withColumn("topic", topic_key(F.col("title")))
 
     def each(batch: DataFrame, number: int) -> None:
         touched = keyed.join(batch.select("session_id").distinct(), "session_id", "left_semi").select("course_id", "topic").distinct()
         scope = keyed if number == 0 else keyed.join(touched, ["course_id", "topic"], "left_semi")
         fresh = topic_struggle(scope.drop("topic"), all_messages).select("course_id", "topic", "questions_asked", "avg_confidence", "struggling_students")
-        rest = kept.read() if number else kept.read().limit(0)
-        kept.write(rest.join(fresh.select("course_id", "topic"), ["course_id", "topic"], "left_anti").unionByName(fresh), number)
+        kept.write(kept.read(number).join(fresh.select("course_id", "topic"), ["course_id", "topic"], "left_anti").unionByName(fresh), number)
 
-    run_available(messages, each, "struggle")
+    run_available(messages, each, folder)
     return kept.read()
 
 
@@ -85,48 +95,63 @@ def notifications_of(materials: DataFrame) -> DataFrame:
     return ready.select("material_id", "course_id", F.lit("material_ready").alias("type"), F.lit("Material ready").alias("title"), body.alias("body"), F.to_json(F.struct(F.col("material_id").cast("string").alias("material_id"), "course_id")).alias("data"))
 
 
-def notification_feed(materials: DataFrame) -> DataFrame:
+def notification_feed(materials: DataFrame, folder: str | None = None) -> DataFrame:
     """Stateless feed, one row per ready material; replayed batches overwrite themselves."""
-    return _append(notifications_of(materials), "feed")
+    return _append(notifications_of(materials), "feed", folder)
 
 
-def _append(stream: DataFrame, what: str) -> DataFrame:
+def _append(stream: DataFrame, what: str, folder: str | None) -> DataFrame:
+    """All rows that the stream has given under this folder, run by run."""
     spark = stream.sparkSession
-    out = shared_folder(spark, what)
+    folder = folder or shared_folder(spark, what)
 
     def each(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
-    run_available(stream, each, what)
-    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(out)
+    run_available(stream, each, folder)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/rows")
 
 
-def unread_counts(changes: DataFrame) -> DataFrame:
-    """changes (user_id, delta): running unread count per user as streaming state; the final counts are returned."""
-    kept = Versions(changes.sparkSession, "unread", "user_id long, n_unread long")
+def unread_counts(changes: DataFrame, folder: str | None = None) -> DataFrame:
+    """changes (user_id, delta): running unread count per user as streaming state; the newest count of each user is returned.
+
+    A batch gives only the users it changes; their rows go to a folder of the batch.
+    """
+    spark = changes.sparkSession
+    folder = folder or shared_folder(spark, "unread")
     state = changes.groupBy("user_id").agg(F.sum("delta").cast("long").alias("n_unread"))
-    running = state.writeStream.outputMode("complete").foreachBatch(lambda batch, number: kept.write(batch, number)).option("checkpointLocation", shared_folder(changes.sparkSession, "unread-checkpoint")).trigger(availableNow=True).start()
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch_number", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    running = state.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     running.awaitTermination()
-    return kept.read()
+    rows = spark.read.schema("user_id long, n_unread long, batch_number int").option("recursiveFileLookup", "true").parquet(f"{folder}/rows")
+    return rows.groupBy("user_id").agg(F.max_by("n_unread", "batch_number").alias("n_unread"))
 
 
-def streaming_ingest(pages: DataFrame) -> DataFrame:
+def streaming_ingest(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Pages -> sliding chunks, written per batch; a retried batch overwrites itself, so chunks never double."""
     cut = sliding_chunks(pages.select("doc_id", "course_id", "text")).select("doc_id", "course_id", "chunk_index", "content")
-    return _append(cut, "ingest")
+    return _append(cut, "ingest", folder)
 
 
-def score_and_log(interactions: DataFrame) -> DataFrame:
+def score_and_log(interactions: DataFrame, folder: str | None = None) -> DataFrame:
     """Interactions with their sanitised faithfulness, appended; unscorable rows stay with a null score."""
-    return _append(interactions.select("id", "course_id", sanitised_score(score_of(F.col("ragas_json"), "faithfulness").cast("string")).alias("faithfulness")), "scores")
+    return _append(interactions.select("id", "course_id", sanitised_score(score_of(F.col("ragas_json"), "faithfulness").cast("string")).alias("faithfulness")), "scores", folder)
 
 
-def ttl_registry(events: DataFrame, ttl: int = TTL, grace: int = GRACE) -> DataFrame:
-    """Requests classified against the latest registration of their key, which is the only state kept; expired entries go.
+def ttl_registry(events: DataFrame, ttl: int = TTL, grace: int = GRACE, folder: str | None = None) -> DataFrame:
+    """Requests classified against the latest registration of their key, which is the only state kept.
 
-    Events of a key are taken in time order within a batch; batches are in time order.
+    Batches are in time order, as files are; in a batch events of a key are taken in time order. A registration stays
+    for two lifetimes of event time, so that a request soon after its end is told it expired; then its state goes,
+    and requests find a miss. Events older than a day behind the newest are late and left out.
     """
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         registered = state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values(["second", "event_id"])
         ids, outcomes = [], []
@@ -138,8 +163,9 @@ def ttl_registry(events: DataFrame, ttl: int = TTL, grace: int = GRACE) -> DataF
             outcomes.append("miss" if registered is None else "hit" if second < registered + ttl - grace else "expired")
         if registered is not None:
             state.update((registered,))
+            state.setTimeoutTimestamp(max((registered + 2 * ttl) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"event_id": pd.Series(ids, dtype="int64"), "cache_key": pd.Series([key[0]] * len(ids), dtype="int64"), "outcome": pd.Series(outcomes, dtype="object")})
 
-    timed = events.withColumn("second", F.unix_timestamp(F.col("ts").cast("timestamp"))).drop("ts")
-    out = timed.groupBy("cache_key").applyInPandasWithState(step, "event_id long, cache_key long, outcome string", "registered long", "append", "NoTimeout")
-    return _append(out, "registry")
+    timed = events.withColumn("at", F.col("ts").cast("timestamp")).withColumn("second", F.unix_timestamp("at")).withWatermark("at", f"{ttl} seconds")
+    out = timed.drop("ts").groupBy("cache_key").applyInPandasWithState(step, "event_id long, cache_key long, outcome string", "registered long", "append", "EventTimeTimeout")
+    return _append(out, "registry", folder)

@@ -43,7 +43,7 @@ def test_image_context_nearest_first(spark):
     images = spark.createDataFrame([("f", 1, 7, 100.0, 200.0), ("f", 2, 8, 100.0, 200.0)], "file string, page int, xref int, y0 double, y1 double")
     blocks = spark.createDataFrame([("f", 1, "near", 80.0, 90.0), ("f", 1, "far", 20.0, 30.0), ("f", 1, "too far", 0.0, 27.0), ("f", 1, "under", 272.0, 280.0), ("f", 1, "beyond", 273.0, 280.0)], "file string, page int, text string, y0 double, y1 double")
     got = {r["xref"]: r["context"] for r in C.image_context(images, blocks).collect()}
-    assert got == {7: "near far [IMAGE] under", 8: ""}
+    assert got == {7: "far near [IMAGE] under", 8: ""}
 
 
 def test_luhn_and_cards(spark):
@@ -159,3 +159,95 @@ def test_digests_read_whole_texts(spark):
     for r in digests.values():
         if r["cluster_size"] <= T.MAX_SOURCES:
             assert r["text"] == T.JOINER.join(held[ids[c]] for c in r["source_chunk_ids"])[: T.MAX_DIGEST]
+
+
+def test_struggle_stream_resumes_over_several_batches(spark, tmp_path):
+    from lectern.operators.analytics import topic_struggle
+    from lectern.streaming import streams
+
+    sessions = spark.createDataFrame([(i, f"c{i % 2}", f"Topic {i % 3}", i % 5 / 5, i) for i in range(12)], "session_id long, course_id string, title string, confidence_score double, user_id long")
+    rows = [(i % 12, "user", k) for k, i in enumerate(range(40))]
+    schema = "session_id long, role string, turn int"
+    path, folder = tmp_path / "in", str(tmp_path / "state")
+    want = lambda n: sorted(map(tuple, topic_struggle(sessions, spark.createDataFrame([(s, t, r, "x") for s, r, t in rows[:n]], "session_id long, turn int, role string, content string")).select("course_id", "topic", "questions_asked", "avg_confidence", "struggling_students").collect()))
+    done = 0
+    for upto in (10, 25, 40):
+        spark.createDataFrame(rows[done:upto], schema).coalesce(1).write.mode("append").parquet(str(path))
+        done = upto
+        stream = streams.table_stream(spark, str(path), 1).select("session_id")
+        messages = spark.createDataFrame([(s, t, r, "x") for s, r, t in rows[:upto]], "session_id long, turn int, role string, content string")
+        got = streams.incremental_struggle(stream, sessions, messages, folder)
+        assert sorted(map(tuple, got.collect())) == want(upto)
+    assert streams.Versions(spark, folder, "a int")._numbers() == [0, 1, 2]
+
+
+def test_unread_and_feed_streams_resume(spark, tmp_path):
+    from lectern.streaming import streams
+
+    path, folder, total = tmp_path / "in", str(tmp_path / "unread"), {}
+    for batch in ([(1, 1), (1, 1), (2, 1)], [(1, -1), (3, 1)], [(2, -1)]):
+        spark.createDataFrame(batch, "user_id long, delta int").coalesce(1).write.mode("append").parquet(str(path))
+        for user, delta in batch:
+            total[user] = total.get(user, 0) + delta
+        got = streams.unread_counts(streams.table_stream(spark, str(path), 1), folder)
+        assert {r["user_id"]: r["n_unread"] for r in got.collect()} == total
+
+
+def test_registry_state_goes_after_two_lifetimes(spark, tmp_path):
+    from lectern.streaming import streams
+
+    path, folder, day = tmp_path / "in", str(tmp_path / "registry"), 86_400
+    batches = [[(1, 7, "register", 0), (2, 7, "request", day // 2)], [(3, 7, "request", day + 5), (4, 8, "request", day + 5)], [(5, 9, "register", 5 * day)], [(6, 9, "request", 5 * day + 9)], [(7, 7, "request", 5 * day + 20)]]
+    for batch in batches:
+        made = spark.createDataFrame(batch, "event_id long, cache_key long, kind string, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_000_000)).drop("s")
+        made.coalesce(1).write.mode("append").parquet(str(path))
+        got = streams.ttl_registry(streams.table_stream(spark, str(path), 1), folder=folder)
+    assert {r["event_id"]: r["outcome"] for r in got.collect()} == {2: "hit", 3: "expired", 4: "miss", 6: "hit", 7: "miss"}
+
+
+def test_digests_match_brute_force(spark):
+    rng = np.random.default_rng(6)
+    rows = [("n", i % 3, f"c{i}", "w" * int(rng.integers(0, 4000)), rng.normal(size=4).tolist()) for i in range(60)] + [("n", 9, "lone", "x", [1.0, 0.0, 0.0, 0.0]), ("m", 0, "a", "same", [1.0, 0.0, 0.0, 0.0]), ("m", 0, "b", "same", [1.0, 0.0, 0.0, 0.0])]
+    members = spark.createDataFrame(rows, "namespace string, cluster int, chunk_id string, text string, embedding array<double>")
+    got = {(r["namespace"], r["cluster"]): r for r in T.digests(members).collect()}
+    assert set(got) == {("n", 0), ("n", 1), ("n", 2), ("m", 0)}
+    for key, r in got.items():
+        mine = [x for x in rows if x[:2] == key]
+        centre = np.mean([x[4] for x in mine], 0)
+        near = sorted(mine, key=lambda x: (-round(float(np.dot(x[4], centre) / np.linalg.norm(x[4]) / np.linalg.norm(centre)), 9), x[2]))
+        assert r["cluster_size"] == len(mine) and r["text"] == T.JOINER.join(x[3] for x in near)[: T.MAX_DIGEST]
+        assert r["source_chunk_ids"] == [x[2] for x in near][: T.MAX_SOURCES]
+
+
+def test_tree_stats_and_reduction(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(0, 0.05, (30, 6)) + np.eye(6)[k] for k in range(2)])
+    vectors = spark.createDataFrame([("n", f"c{i}", f"text {i}", v.tolist()) for i, v in enumerate(x)], "namespace string, chunk_id string, text string, embedding array<double>")
+    reduced = {r["chunk_id"]: np.array(r["reduced"]) for r in T.reduced(vectors, 2).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    _, _, axes = np.linalg.svd(unit - unit.mean(0))
+    for i in range(len(x)):  # up to the sign of each axis
+        assert np.allclose(np.abs(reduced[f"c{i}"]), np.abs(unit[i] @ axes[:2].T), atol=1e-6)
+    stats = T.level_stats(spark.createDataFrame([("n", 0, "a"), ("n", 0, "b"), ("n", 1, "c"), ("m", 0, "d")], "namespace string, cluster int, chunk_id string")).collect()
+    assert {r["namespace"]: (r["vectors"], r["clusters"], r["summaries"]) for r in stats} == {"n": (3, 2, 1), "m": (1, 1, 0)}
+    nodes = T.build_tree(vectors, 2).collect()
+    assert sum(r["cluster_size"] for r in nodes if r["raptor_level"] == 1) <= 60 and {r["raptor_level"] for r in nodes} <= {1, 2} and any(r["cluster_size"] >= 20 for r in nodes)
+
+
+def test_multimodal_chunks_have_text_and_running_ids(spark):
+    rows = spark.createDataFrame([("f", 1, 9, "", 5, 6, "png"), ("f", 1, 4, "near words", 5, 6, "jpeg"), ("f", 2, 1, None, 5, 6, "png")], "file string, page int, xref int, context string, width_px int, height_px int, format string")
+    got = {r["chunk_id"]: r["text"] for r in C.multimodal_chunks(rows).collect()}
+    assert got == {"mm::f::1::0": "near words", "mm::f::1::1": "[Image on page 1]", "mm::f::2::0": "[Image on page 2]"}
+
+
+def test_education_spans(spark):
+    text = "STU12345@uni.edu wrote ENG/2020/042, not xSTU12345 but STU-200034"
+    spans = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(S.education_spans(F.col("t")).alias("s")).collect()
+    assert [(s["type"], s["value"], s["start"], s["end"], s["score"]) for s in spans[0]["s"]] == [("INSTITUTIONAL_EMAIL", "STU12345@uni.edu", 0, 16, 0.98), ("MATRIC_NUMBER", "ENG/2020/042", 23, 35, 0.95), ("STUDENT_ID", "STU-200034", text.index("STU-2"), len(text), 0.9)]
+    assert spans[1]["s"] == spans[2]["s"] == []
+
+
+def test_safe_to_send(spark):
+    rows = spark.createDataFrame([(1, "on 2024-01-02"), (2, "a@b.org"), (3, "plain"), (4, None)], "id int, text string")
+    assert {r["id"]: r["safe_to_send"] for r in S.safety(rows).collect()} == {1: True, 2: False, 3: True, 4: True}
+    assert {r["id"]: r["safe_to_send"] for r in S.safety(rows, strict=True).collect()} == {1: False, 2: False, 3: True, 4: True}
