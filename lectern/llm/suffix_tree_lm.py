@@ -4,7 +4,7 @@ A text is a sequence of words and one end. Symbols of the word tree are the word
 training tokens (so at most 1 / FREQUENT of them, whatever the corpus), one symbol for all other words, the end,
 and a start that only contexts hold. Contexts are the last one or two symbols, over word breaks. A next symbol is
 kept in a context if it was seen there MIN_COUNT times and diverges from what the context's suffix predicts
-(G statistic >= MIN_G); contexts with a kept symbol are states, and those of two words grow out of kept pairs.
+(G statistic >= WORD_G); contexts with a kept symbol are states, and those of two words grow out of kept pairs.
 In a state, kept symbols have their counts; what was seen of all others, with SMOOTH, is spread as the suffix does:
 p(w | s) = (n(s, w) + b(s) p(w | suffix)) / (n(s) + SMOOTH), b(s) = n(s) - kept counts + SMOOTH.
 A rare word then costs its share among rare words, (c + V p) / (N + V) with N tokens and V kinds of them in
@@ -37,8 +37,10 @@ SMOOTH = 4.0
 #: Words of at least this share of the training tokens are symbols of the word tree and are broadcast: at most 1 / FREQUENT of them.
 FREQUENT = 1e-6
 #: Kept n-grams up to this many are broadcast (16 bytes each).
-BROADCAST_GRAMS = 1_000_000
-MIN_COUNT = 2
+BROADCAST_GRAMS = 2_000_000
+#: A symbol is kept in a context that it follows so often and with this G statistic; among all pairs of a large corpus
+#: a lower one keeps mostly chance.
+MIN_COUNT, WORD_G = 2, 40.0
 #: Symbols of the word tree take BITS bits of an n-gram's key; trigrams are told apart by TRIGRAM.
 BITS, TRIGRAM = 20, 1 << 62
 RARE, LAST, START, FIRST_WORD = 0, 1, 2, 3
@@ -365,7 +367,7 @@ def _over(df: DataFrame, shared, work, schema: str) -> DataFrame:
 
 def _kept_pairs(words: Words, key: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     """Pairs that diverge from their second symbol's probability."""
-    kept = _g(n, words.counts[key >> BITS], words.p[key & _MASK]) >= MIN_G
+    kept = _g(n, words.counts[key >> BITS], words.p[key & _MASK]) >= WORD_G
     return [key[kept], n[kept]]
 
 
@@ -379,7 +381,7 @@ def _kept_triples(shared: tuple, key: np.ndarray, n: np.ndarray, context: np.nda
     """Triples that diverge from their suffix, with their context's count and the suffix's probability."""
     words, mass = shared
     p = _p_after_one(words, mass, key >> BITS & _MASK, key & _MASK, pair)
-    kept = _g(n, context, p) >= MIN_G
+    kept = _g(n, context, p) >= WORD_G
     return [key[kept], n[kept], context[kept], p[kept]]
 
 
@@ -522,8 +524,9 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     few = values.count() <= BROADCAST_GRAMS
     table = None
     if few:
-        found = values.toPandas()
-        table = Values(found["key"].to_numpy(np.int64).view(np.uint64), found["value"].to_numpy(float))
+        found = values.toArrow()
+        table = Values(found["key"].to_numpy().view(np.uint64), found["value"].to_numpy())
+        del found
     shared = documents.sparkSession.sparkContext.broadcast((model, words, back, table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
