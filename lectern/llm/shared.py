@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -31,13 +32,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/lectern-{what}-{uuid.uuid4().hex}"
+_scratch: list[str] = []
+
+
+def stored(df: DataFrame, what: str, top: str | None = None) -> DataFrame:
+    """Write a frame to the shared folder (or to top) and read it back: cuts lineage, survives lost executors."""
+    path = f"{top or (_scratch[-1] if _scratch else shared_dir(df.sparkSession))}/lectern-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is stored inside goes at the end, so whatever is kept of it has to be written before, elsewhere."""
+    folder = f"{shared_dir(spark)}/lectern-scratch-{uuid.uuid4().hex}"
+    _scratch.append(folder)
+    try:
+        yield
+    finally:
+        _scratch.remove(folder)
+        delete(spark, folder)
+
+
 def fold(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as fold 0."""
     return F.coalesce(F.crc32(id_col.cast("string")) % n, F.lit(0))
