@@ -2,34 +2,36 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import decontaminate, language, near_duplicates, packing, quality
-from lectern.llm.shared import stored, table
+from lectern.llm.shared import delete, scratch, shared_dir, stored, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language or with an unsure one."""
+    """Drops documents without a language or with an unsure one: null, empty and letterless texts go."""
     return language.keep_identified(docs)
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality classifier rejects."""
+    """Drops documents that the quality classifier rejects; without labels it has no evidence and all stay."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each class of near-duplicates."""
+    """Keeps the document with the least id of each class of near-duplicates, and one of rows that repeat it; texts without words stay."""
     return near_duplicates.keep_first(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that share a window of words with a benchmark item."""
+    """Drops documents that share a window of words with a benchmark item; without items all stay."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenises the documents that are left and packs them into sequences."""
+    """Tokenises the documents that are left and packs them into sequences; null and empty texts are an end alone."""
     return packing.pack_documents(docs)
 
 
@@ -46,8 +48,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to documents; each result is written to the shared folder and read again.
+
+    Every stage works on whole texts and on repeated rows one by one; an empty table gives an empty result. What a
+    stage needed and the result before it are deleted when its own is written.
+    """
+    docs, folder = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        made = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+        with scratch(spark):
+            docs = stored(stage(spark, docs, sf_dir), name, made)
+        if folder:
+            delete(spark, folder)
+        folder = made
     return docs
