@@ -179,7 +179,8 @@ def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: id, the counts, the measures, base_failed, reasons (array), kept.
 
     Null and empty texts have no words and fail the base rule; tables with under MIN_TEXTS texts that pass it have
-    no bands; a null group is a group; repeated rows are answered one by one.
+    no bands; a null group is a group; texts of any length are read whole; repeated rows are answered one by one; an
+    empty table gives an empty result; other columns are ignored.
     """
     columns = [id_col] + [c for c in [group_col] if c]
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

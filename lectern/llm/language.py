@@ -205,7 +205,8 @@ def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: id, held_out, lang_pred, score.
 
     Null, empty and letterless texts are UNKNOWN with score 0, as is every text if no language is labelled;
-    rows are answered one by one, repeats alike; an empty table gives an empty result; other columns are ignored.
+    texts of any length are read whole; rows are answered one by one, repeats alike; an empty table gives an empty
+    result; other columns are ignored.
     """
     held_out = fold(F.col(id_col), folds) == held_out_fold
     net = fit(documents.where(~held_out), text_col, lang_col, id_col)

@@ -112,7 +112,7 @@ def classify(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     The classifier learns from labels outside the held-out fold (from all if that is None). Host and path are any two
     nested columns: of a web page the host and first part of the path of its URL, where there is none the source and
     the language. Null and empty texts are judged by their features (no words); null hosts and paths are groups of their own;
-    without labels evidence is even; rows are answered one by one, repeats alike; an empty table gives an empty
+    without labels evidence is even; texts of any length are read whole; rows are answered one by one, repeats alike; an empty table gives an empty
     result; other columns are ignored.
     """
     held_out = F.lit(False) if held_out_fold is None else fold(F.col(id_col), folds) == held_out_fold

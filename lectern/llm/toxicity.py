@@ -293,7 +293,8 @@ def detect(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """One row per document: id, held_out, score, predicted, spans.
 
     Null and empty texts hold no match and score as such; without labels of both kinds the fixed lists alone
-    speak; rows are answered one by one, repeats alike; an empty table gives an empty result.
+    speak; texts of any length are read whole; rows are answered one by one, repeats alike; an empty table gives an
+    empty result; other columns are ignored.
     """
     held_out = fold(F.col(id_col), folds) == held_out_fold
     sample = stored(labelled_sample(documents.where(~held_out), labels.where(~held_out), label_col, id_col, text_col, per_label), "toxicity-sample")
