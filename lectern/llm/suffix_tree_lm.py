@@ -149,10 +149,11 @@ def fit(counts: DataFrame) -> Model:
     grams = symbol_counts(counts)
     symbols = grams.where("len = 0").agg(F.sum("n")).first()[0] or 0
     sizes = grams.groupBy("len", "ctx").agg(F.sum("n").alias("total")).where(F.col("total") >= max(1, MIN_SHARE * symbols))
-    rows = grams.join(sizes.select("len", "ctx"), ["len", "ctx"], "left_semi").toPandas()
+    rows = grams.join(sizes.select("len", "ctx"), ["len", "ctx"], "left_semi").select("len", "ctx", "sym", "n").toArrow()
     tree: dict[bytes, dict[int, int]] = {}
-    for length, ctx, sym, n in zip(rows["len"], rows["ctx"], rows["sym"], rows["n"]):
-        tree.setdefault(int(ctx).to_bytes(length, "big"), {})[int(sym)] = int(n)
+    for length, ctx, sym, n in zip(*(c.to_pylist() for c in rows.columns)):
+        tree.setdefault(ctx.to_bytes(length, "big"), {})[sym] = n
+    del rows
     root = tree.setdefault(b"", {})
     root.setdefault(BREAK, 0)
     used = sorted(root)
@@ -251,8 +252,8 @@ class Words:
 
 def alphabet(counts: DataFrame, texts: int, word_tokens: int, word_types: int) -> Words:
     """Symbols in order of frequency."""
-    often = counts.where((F.col("kind") == 0) & (F.col("n") >= max(1, FREQUENT * word_tokens))).select("key", "n").toPandas()
-    keys, n = often["key"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)
+    often = counts.where((F.col("kind") == 0) & (F.col("n") >= max(1, FREQUENT * word_tokens))).select("key", "n").toArrow()
+    keys, n = often["key"].to_numpy().view(np.uint64), often["n"].to_numpy()
     ranked = np.lexsort((keys, -n))
     by_symbol = np.concatenate([[word_tokens - n.sum(), texts, texts], n[ranked]])
     p = by_symbol.astype(float)
@@ -401,11 +402,11 @@ def gram_values(train: DataFrame, words: Words) -> tuple[DataFrame, np.ndarray]:
     context = train.sparkSession.sparkContext
     pairs = stored(_over(count_grams(train, words, 2), context.broadcast(words), _kept_pairs, "key long, n long"), "lm-pairs")
     mass = np.zeros(len(words.counts), np.int64)
-    sums = pairs.groupBy(F.shiftright("key", BITS).alias("u")).agg(F.sum("n").alias("n")).toPandas()  # a row a symbol at most
-    mass[sums["u"].to_numpy(np.int64)] = sums["n"].to_numpy(np.int64)
+    sums = pairs.groupBy(F.shiftright("key", BITS).alias("u")).agg(F.sum("n").alias("n")).toArrow()  # a row a symbol at most
+    mass[sums["u"].to_numpy()] = sums["n"].to_numpy()
     shared = context.broadcast((words, mass))
     few = pairs.count() <= BROADCAST_GRAMS
-    prefixes = np.sort(pairs.select("key").toPandas()["key"].to_numpy(np.int64)).view(np.uint64) if few else None
+    prefixes = np.sort(pairs.select("key").toArrow()["key"].to_numpy()).view(np.uint64) if few else None
     first, second = pairs.select(F.col("key").alias("prefix"), F.col("n").alias("context")), pairs.select(F.col("key").alias("suffix"), F.col("n").alias("pair"))
     seen = count_grams(train, words, 3, prefixes).withColumn("prefix", F.shiftright("key", BITS)).withColumn("suffix", F.col("key").bitwiseAND((1 << 2 * BITS) - 1))
     seen = seen.join(first, "prefix").join(second, "suffix", "left").select("key", "n", "context", "pair")
