@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fertility, html_main, language, licenses, near_duplicates, packing, quality, suffix_tree_lm, toxicity
+from . import decontaminate, fertility, html_main, language, licenses, near_duplicates, packing, pivot_search, quality, suffix_tree_lm, toxicity, vertical_negatives, whitening
 from .shared import table
 
 
@@ -58,6 +58,21 @@ def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "fallback_share", "entropy_ratio", F.array_join("reasons", ",").alias("reasons"))
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    each = found.select("vec_id", "n", F.col("deviation").cast("long").alias("deviation"), "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "x"))
+    return each.select("vec_id", (F.col("place") + 1).cast("int").alias("component"), "n", "deviation", "x.whitened", "x.explained", "identity_error")
+
+
+def op12_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return vertical_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity_grammar": op1_toxicity_grammar,
@@ -70,6 +85,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_consensus": op8_html_consensus,
         "op9_decontaminate": op9_decontaminate,
         "op10_tokeniser_fertility": op10_tokeniser_fertility,
+        "op11_whiten": op11_whiten,
+        "op12_pivot_search": op12_pivot_search,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -110,5 +128,24 @@ SELECT doc_id, coalesce(licenses, '') AS licenses, CAST(coalesce(n_units, 0) AS
 """
 
 
+_WHOLE = "list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE)))"
+_USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND vec_id IS NOT NULL"
+
+OP12_SQL = f"""
+WITH v AS (SELECT vec_id, {_WHOLE} AS x FROM embeddings WHERE {_USABLE}),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.x, v.x) AS BIGINT) AS score FROM (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0) q JOIN v ON q.vec_id <> v.vec_id)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) r WHERE rank <= 5
+"""
+
+OP13_SQL = f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_WHOLE} AS x FROM embeddings WHERE {_USABLE} AND label IS NOT NULL),
+s AS (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, CAST(list_inner_product(a.x, v.x) AS BIGINT) AS score FROM (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0) a JOIN v ON a.vec_id <> v.vec_id),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same) t WHERE place <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.place ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontaminate": OP9_SQL, "op4_license_scan": _op4_sql()}
+    return {"op9_decontaminate": OP9_SQL, "op4_license_scan": _op4_sql(), "op12_pivot_search": OP12_SQL, "op13_hard_negatives": OP13_SQL}
