@@ -98,13 +98,46 @@ def request_rates(events: DataFrame, user: str, ts: str, limit: int = 1000, anon
     return joined.withColumn("over_limit", F.col("in_day") > F.when(F.col(user).isNull(), anonymous_limit).otherwise(limit))
 
 
+#: Seconds of a time bucket of the as-of join: no window holds more than the events of a key in it, or a row a bucket.
+BUCKET = 3600
+
+
+def _carried(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds name: the last value that is not null of the same key, up to and with the row, in the order of second and event_id.
+
+    Windows run inside a bucket of time; what a bucket starts with is the last value of the buckets before it, which is
+    found over one row a key and bucket and joined back on both.
+    """
+    held = rows.withColumns({"bucket": F.floor(F.col("second") / BUCKET), name: value})
+    inside = Window.partitionBy("cache_key", "bucket").orderBy("second", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    ends = held.groupBy("cache_key", "bucket").agg(F.max_by(name, F.when(F.col(name).isNotNull(), F.struct("second", "event_id"))).alias("end"))
+    before = F.last("end", ignorenulls=True).over(Window.partitionBy("cache_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ends.select(F.col("cache_key").alias("start_key"), F.col("bucket").alias("start_bucket"), before.alias("start")).where("start is not null")
+    seen = held.withColumn(name, F.last(name, ignorenulls=True).over(inside))
+    joined = seen.join(starts, F.col("cache_key").eqNullSafe(F.col("start_key")) & (F.col("bucket") == F.col("start_bucket")), "left")
+    return joined.withColumn(name, F.coalesce(name, "start")).drop("bucket", "start_key", "start_bucket", "start")
+
+
 def cache_lookup(events: DataFrame, ttl: int = TTL, grace: int = GRACE) -> DataFrame:
-    """(event_id, cache_key, outcome) of each request: hit, expired or miss against the latest registration before it."""
-    second = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    before = Window.partitionBy("cache_key").orderBy("second", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    seen = events.withColumn("second", second).withColumn("registered", F.last(F.when(F.col("kind") == "register", F.col("second")), ignorenulls=True).over(before))
-    outcome = F.when(F.col("registered").isNull(), "miss").when(F.col("second") < F.col("registered") + ttl - grace, "hit").otherwise("expired")
-    return seen.where("kind = 'request'").select("event_id", "cache_key", outcome.alias("outcome"))
+    """(event_id, cache_key, outcome) of each request: hit, expired or miss against the latest registration before it.
+
+    events: (event_id, cache_key, kind, ts), optionally name: then an event of kind evict takes out the registration that
+    goes by its name, wherever it is, and later requests miss. Rows without time are no events; repeated ones count once.
+    """
+    named = "name" in events.columns
+    timed = events.where("event_id is not null and ts is not null").withColumn("second", F.unix_timestamp(F.col("ts").cast("timestamp"))).dropDuplicates(["event_id", "kind"])
+    registered = F.struct("second", F.col("event_id").alias("event"), *([F.col("name")] if named else []))
+    seen = _carried(timed.where("kind <> 'evict'"), F.when(F.col("kind") == "register", registered), "registered").where("kind = 'request'")
+    evicted = F.lit(False)
+    if named:
+        # A name's registrations and evictions in one order: each registration knows the first eviction after it.
+        both = timed.where("name is not null and kind in ('register', 'evict')").select(F.col("name").alias("cache_key"), "second", "event_id", "kind")
+        back = both.withColumns({"at": F.struct("second", "event_id"), "second": -F.col("second"), "event_id": -F.col("event_id")})
+        next_one = _carried(back, F.when(F.col("kind") == "evict", F.col("at")), "gone").where("kind = 'register' and gone is not null").select(F.col("at.event_id").alias("of"), "gone")
+        seen = seen.join(next_one, F.col("registered.event") == F.col("of"), "left")
+        evicted = F.coalesce(F.col("gone") < F.struct("second", "event_id"), F.lit(False))
+    outcome = F.when(F.col("registered").isNull() | evicted, "miss").when(F.col("second") < F.col("registered.second") + ttl - grace, "hit").otherwise("expired")
+    return seen.select("event_id", "cache_key", outcome.alias("outcome"))
 
 
 def token_estimate(text: Column) -> Column:

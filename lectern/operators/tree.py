@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.chunking import node_id
+from ..storage import stored
 from .retrieval import cosine, embed, unit
 
 DIMENSIONS, MAX_CLUSTERS, MAX_LEVELS, MIN_MEMBERS = 10, 50, 3, 2
@@ -94,7 +93,7 @@ def clusters(vectors: DataFrame, sample: int = FIT_SAMPLE) -> DataFrame:
         return pd.DataFrame({"namespace": [rows["namespace"].iloc[0]], "weights": [w.tolist()], "means": [m.ravel().tolist()], "covs": [c.ravel().tolist()]})
 
     models = chosen.groupBy("namespace").applyInPandas(fit, "namespace string, weights array<double>, means array<double>, covs array<double>")
-    models = stored(vectors.sparkSession, models, "mixtures")  # its size is then known: Spark broadcasts it while it is small
+    models = stored(models, "mixtures")  # its size is then known: Spark broadcasts it while it is small
     joined = vectors.select("namespace", "chunk_id", "reduced").join(models.withColumnRenamed("namespace", "model_ns"), F.col("namespace") == F.col("model_ns")).drop("model_ns")
 
     def assign(frames):
@@ -137,31 +136,20 @@ def level_stats(assigned: DataFrame) -> DataFrame:
     return per.groupBy("namespace").agg(F.sum("n").alias("vectors"), F.count("*").alias("clusters"), F.count_if(F.col("n") >= MIN_MEMBERS).alias("summaries"))
 
 
-def stored(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
-    """Cuts lineage in the shared checkpoint folder; in local runs without one Spark's own plan is kept."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.persist()
-    path = f"{folder.rstrip('/')}/lectern-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def build_tree(leaves: DataFrame, levels: int = MAX_LEVELS, summarise=None) -> DataFrame:
     """leaves (namespace, chunk_id, text, embedding) -> all digest nodes, level by level over all namespaces at once.
 
     Stops when fewer than two digests come out of a level.
     """
-    spark = leaves.sparkSession
     current, nodes = leaves, None
     for level in range(1, levels + 1):
         groups = clusters(reduced(current, min(DIMENSIONS, len(current.select("embedding").first()[0]))))
         made = digests(current.join(groups, ["namespace", "chunk_id"]), summarise)
         made = made.withColumn("chunk_id", node_id(F.lit(level), F.col("cluster"), F.col("namespace"))).withColumn("raptor_level", F.lit(level))
-        made = stored(spark, made, f"digests-{level}")
+        made = stored(made, f"digests-{level}")
         n = made.limit(2).count()
         if n:
-            made = stored(spark, embed(made, features=NODE_FEATURES), f"tree-{level}")
+            made = stored(embed(made, features=NODE_FEATURES), f"tree-{level}")
         elif nodes is None:
             return made.withColumn("embedding", F.array().cast("array<float>"))
         else:

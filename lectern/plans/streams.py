@@ -18,7 +18,7 @@ def stream(v: Views, table: str) -> DataFrame:
 @query("t1_incremental_struggle", STRUGGLE + " GROUP BY 1, 2")
 def t1(v: Views) -> DataFrame:
     messages = stream(v, "conversations").where("role = 'user'").select(F.col("conv_id").alias("session_id"))
-    return T.incremental_struggle(messages, v.chat_sessions, v.chat_messages)
+    return T.incremental_struggle(messages, v.chat_sessions)
 
 
 FEED = "SELECT material_id, course_id, 'material_ready' AS type, 'Material ready' AS title, concat(file_name, ' is ready to study.') AS body, concat('{\"material_id\":\"', CAST(material_id AS VARCHAR), '\",\"course_id\":\"', course_id, '\"}') AS data FROM materials WHERE status = 'ready'"

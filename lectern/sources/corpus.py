@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import KeyedStore
+
 MIN_NATIVE, MIN_PAGE = 50, 10
 BATCH = 100
 MAX_FILE, MAX_IMAGE, MIN_SIDE = 100 * 1024 * 1024, 10 * 1024 * 1024, 50
@@ -46,6 +48,14 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> Dat
     return both.withColumn("version_rank", rank).where("version_rank = 1").drop("version_rank", "is_new")
 
 
+def upsert_store(spark: SparkSession, folder: str, keys: list[str], fields: str, new: DataFrame, version: int) -> KeyedStore:
+    """Puts rows into a keyed table of buckets and returns it. Only the new rows are written; rows of an earlier version
+    with the same keys give way when the table is read. The same version again changes nothing. One row a key."""
+    store = KeyedStore(spark, folder, keys, fields)
+    store.write(new, version)
+    return store
+
+
 def replace_scope(old: DataFrame, new: DataFrame, scope: list[str], scopes: DataFrame | None = None) -> DataFrame:
     """Rows of the given scopes (by default those that new holds) are deleted, then new is added."""
     return old.join((new if scopes is None else scopes).select(*scope).distinct(), scope, "left_anti").unionByName(new, allowMissingColumns=True)

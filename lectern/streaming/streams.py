@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.chunking import sliding_chunks
-from ..operators.analytics import GRACE, TTL, sanitised_score, score_of, topic_key, topic_struggle
-
-
-def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder under the shared checkpoint folder; a temporary one where it is unset, as in tests."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        top = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/lectern-{what}-{uuid.uuid4().hex}"
+from ..operators.analytics import GRACE, STRUGGLE, TTL, sanitised_score, score_of, topic_key
+from ..storage import Files, KeyedStore, shared_folder, stored, summed
+from .ttl_state import Names, Registry
 
 
 def table_stream(spark: SparkSession, path: str, files_per_batch: int = 16) -> DataFrame:
@@ -35,99 +23,188 @@ def table_stream(spark: SparkSession, path: str, files_per_batch: int = 16) -> D
     return reader.parquet(path)
 
 
-def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], folder: str) -> None:
+def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], folder: str, mode: str = "append") -> None:
     """Runs a stream to the end of what is there now, batch by batch; a later run with the same folder goes on where it stopped."""
-    running = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    running = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     running.awaitTermination()
 
 
-class Versions:
-    """A keyed table as Parquet folders by batch number: a batch writes the next one from the one before it, and a
-    replayed batch writes the same one again. Which ones there are is read from the folder, so runs can go on."""
+def _append(stream: DataFrame, what: str, folder: str | None) -> DataFrame:
+    """All rows that the stream has given under this folder, run by run; a replayed batch overwrites itself."""
+    spark = stream.sparkSession
+    folder = folder or shared_folder(spark, what)
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str):
-        self.spark, self.schema, self.top = spark, schema, f"{folder}/versions"
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
-    def _numbers(self) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.top)
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(path):
-            return []
-        there = [f.getPath() for f in files.listStatus(path)]
-        return sorted(int(p.getName()) for p in there if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    run_available(stream, each, folder)
+    if not Files(spark, folder).names(f"{folder}/rows"):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/rows")
 
-    def read(self, before: int | None = None) -> DataFrame:
-        """The newest whole version, or the newest before a batch."""
-        found = [n for n in self._numbers() if before is None or n < before]
-        if not found:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.top}/{found[-1]}")
 
-    def write(self, df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.top}/{batch}")
+def once(stream: DataFrame, event_id: str = "event_id", at: str | None = None, within: str = "1 day") -> DataFrame:
+    """Repeated events go, in a batch and across batches and restarts.
 
+    The state is bounded: an id is kept until the watermark is past its time. at: the column with the time of the event;
+    without one the time of arrival counts, and within is how long after its first arrival an event may come again.
+    """
+    timed = stream.withColumn("arrived", F.col(at).cast("timestamp") if at else F.current_timestamp())
+    return timed.withWatermark("arrived", within).dropDuplicatesWithinWatermark([event_id]).drop("arrived")
 
-def incremental_struggle(messages: DataFrame, sessions: DataFrame, all_messages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Each batch of messages refreshes only the topics it touches, from the base tables; the result equals a full recompute.
 
-    sessions and all_messages are the base tables the stream's rows are also in. Topics without messages are
-    added by the first batch. folder holds progress and versions: a run with the same one goes on where the last stopped.
+class StruggleState:
+    """Topic struggle as sums that changes are added to: what a batch reads and writes follows the batch.
+
+    Three keyed tables: the sessions (with how many questions each has), sums a topic, and how many struggling sessions a
+    user has in a topic - a counted multiset, since distinct users can't be subtracted. A batch looks up the sessions it
+    touches and adds, for each, what is new less what was there. The tables of before the batch are read, so a
+    batch that is replayed after a crash adds the same.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, sessions: DataFrame):
+        user, key = sessions.schema["user_id"].dataType.simpleString(), sessions.schema["session_id"].dataType.simpleString()
+        self.sessions = KeyedStore(spark, f"{folder}/sessions", ["session_id"], f"session_id {key}, course_id string, topic string, confidence double, user_id {user}, asked long")
+        topic = ["course_id", "topic"]
+        self.sums = KeyedStore(spark, f"{folder}/sums", topic, "course_id string, topic string, sessions long, asked long, scored long, confidence decimal(38,18)", summed(topic))
+        self.users = KeyedStore(spark, f"{folder}/users", [*topic, "user_id"], f"course_id string, topic string, user_id {user}, sessions long", summed([*topic, "user_id"]))
+
+    @staticmethod
+    def _flat(sessions: DataFrame) -> DataFrame:
+        return sessions.select("session_id", "course_id", topic_key(F.col("title")).alias("topic"), F.col("confidence_score").cast("double").alias("confidence"), "user_id")
+
+    def _add(self, rows: DataFrame, version: int) -> None:
+        """rows: sessions as they are (sign 1) and as they were (sign -1)."""
+        counted = rows.where("topic <> ''")
+        sums = counted.groupBy("course_id", "topic").agg(
+            F.sum("sign").alias("sessions"), F.sum(F.col("sign") * F.col("asked")).alias("asked"), F.sum(F.when(F.col("confidence").isNotNull(), F.col("sign")).otherwise(0)).alias("scored"),
+            F.coalesce(F.sum(F.col("confidence").cast("decimal(20,18)") * F.col("sign").cast("decimal(2,0)")).cast("decimal(38,18)"), F.lit(0).cast("decimal(38,18)")).alias("confidence"))
+        users = counted.where(F.col("user_id").isNotNull() & (F.col("confidence") < STRUGGLE)).groupBy("course_id", "topic", "user_id").agg(F.sum("sign").alias("sessions"))
+        self.sums.write(sums, version)
+        self.users.write(users.where("sessions <> 0"), version)
+        self.sessions.write(rows.where("sign = 1"), version)  # last: with it the batch is done
+
+    def begin(self, sessions: DataFrame) -> None:
+        """The sessions there are, as version 0, with no questions yet."""
+        if not self.sessions.versions():
+            self._add(self._flat(sessions).withColumns({"asked": F.lit(0).cast("long"), "sign": F.lit(1)}), 0)
+
+    def change(self, asked: DataFrame | None, changed: DataFrame | None, version: int) -> None:
+        """asked (session_id, n_asked): new questions; changed: sessions as they are from now on."""
+        if self.sessions.versions()[-1] >= version:
+            return
+        old_columns = ["course_id", "topic", "confidence", "user_id"]
+        touched = asked.select("session_id", "n_asked") if asked is not None else changed.select("session_id", F.lit(0).cast("long").alias("n_asked"))
+        old = self.sessions.read(touched, before=version)
+        both = touched.join(old, "session_id", "inner" if changed is None else "left")
+        before = F.struct(*old_columns, F.col("asked"), F.lit(-1).alias("sign"))
+        if changed is not None:
+            news = self._flat(changed).select("session_id", *[F.col(c).alias(f"new_{c}") for c in old_columns], F.lit(True).alias("is_changed"))
+            both = both.join(news, "session_id", "left")
+            now = [F.when(F.col("is_changed"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in old_columns]
+        else:
+            now = [F.col(c) for c in old_columns]
+        after = F.struct(*now, (F.coalesce("asked", F.lit(0)) + F.col("n_asked")).alias("asked"), F.lit(1).alias("sign"))
+        rows = both.select("session_id", F.explode(F.array(before, after)).alias("row")).select("session_id", "row.*").where("sign = 1 or asked is not null")
+        self._add(stored(rows, "struggle-changes"), version)
+
+    def result(self) -> DataFrame:
+        users = self.users.read().where("sessions > 0").groupBy("course_id", "topic").agg(F.count("*").alias("struggling_students"))
+        mean = F.when(F.col("scored") > 0, F.round(F.col("confidence").cast("double") / F.col("scored"), 4)).otherwise(0.0)
+        sums = self.sums.read().where("sessions > 0").join(users, ["course_id", "topic"], "left")
+        return sums.select("course_id", "topic", F.col("asked").alias("questions_asked"), mean.alias("avg_confidence"), F.coalesce("struggling_students", F.lit(0)).cast("long").alias("struggling_students"))
+
+
+def incremental_struggle(messages: DataFrame, sessions: DataFrame, folder: str | None = None) -> DataFrame:
+    """The struggle heatmap, kept up by a stream of user messages (session_id); equal to a full recompute at any time.
+
+    sessions: the base table when the folder is new. The stream may also carry session rows that are new or changed: then it
+    has the columns course_id, title, confidence_score, user_id and is_session too, and rows with is_session are sessions
+    as they are from now on (of one batch the greatest row of a session), the others messages.
+    Messages of sessions that are not known count nothing. folder holds progress and tables.
     """
     spark = messages.sparkSession
     folder = folder or shared_folder(spark, "struggle")
-    kept = Versions(spark, folder, "course_id string, topic string, questions_asked long, avg_confidence double, struggling_students long")
-    keyed = sessions.withColumn("topic", topic_key(F.col("title")))
+    state = StruggleState(spark, folder, sessions)
+    state.begin(sessions)
+    mixed = "is_session" in messages.columns
 
     def each(batch: DataFrame, number: int) -> None:
-        touched = keyed.join(batch.select("session_id").distinct(), "session_id", "left_semi").select("course_id", "topic").distinct()
-        scope = keyed if number == 0 else keyed.join(touched, ["course_id", "topic"], "left_semi")
-        fresh = topic_struggle(scope.drop("topic"), all_messages).select("course_id", "topic", "questions_asked", "avg_confidence", "struggling_students")
-        kept.write(kept.read(number).join(fresh.select("course_id", "topic"), ["course_id", "topic"], "left_anti").unionByName(fresh), number)
+        if not mixed:
+            state.change(batch.groupBy("session_id").agg(F.count("*").alias("n_asked")), None, number + 1)
+            return
+        columns = ["course_id", "title", "confidence_score", "user_id"]
+        changed = batch.where("is_session").groupBy("session_id").agg(F.max(F.struct(*columns)).alias("row")).select("session_id", "row.*")
+        asked = batch.groupBy("session_id").agg(F.count_if(~F.col("is_session")).alias("n_asked"))
+        known = asked.join(changed.select("session_id"), "session_id", "left_semi").unionByName(asked.join(changed.select("session_id"), "session_id", "left_anti").join(state.sessions.read(asked, before=number + 1).select("session_id"), "session_id", "left_semi"))
+        state.change(known, changed, number + 1)
 
     run_available(messages, each, folder)
-    return kept.read()
+    return state.result()
 
 
-def notifications_of(materials: DataFrame) -> DataFrame:
-    """Notification rows of materials that became ready."""
-    ready = materials.where("status = 'ready'")
+def ready_text() -> list[Column]:
+    """type, title, body and data of notifications that materials are ready."""
     body = F.concat("file_name", F.lit(" is ready to study."))
-    return ready.select("material_id", "course_id", F.lit("material_ready").alias("type"), F.lit("Material ready").alias("title"), body.alias("body"), F.to_json(F.struct(F.col("material_id").cast("string").alias("material_id"), "course_id")).alias("data"))
+    data = F.to_json(F.struct(F.col("material_id").cast("string").alias("material_id"), "course_id"))
+    return [F.lit("material_ready").alias("type"), F.lit("Material ready").alias("title"), body.alias("body"), data.alias("data")]
 
 
-def notification_feed(materials: DataFrame, folder: str | None = None) -> DataFrame:
-    """Stateless feed, one row per ready material; replayed batches overwrite themselves."""
-    return _append(notifications_of(materials), "feed", folder)
+def enrolment_text() -> list[Column]:
+    """The same of new enrolments (student_id, email, course_id, course_title)."""
+    body = F.concat("email", F.lit(" has enrolled in "), "course_title", F.lit("."))
+    data = F.to_json(F.struct(F.col("course_id").cast("string").alias("course_id"), F.col("student_id").cast("string").alias("student_id")))
+    return [F.lit("new_enrollment").alias("type"), F.lit("New Enrollment").alias("title"), body.alias("body"), data.alias("data")]
 
 
-def _append(stream: DataFrame, what: str, folder: str | None) -> DataFrame:
-    """All rows that the stream has given under this folder, run by run."""
-    spark = stream.sparkSession
-    folder = folder or shared_folder(spark, what)
+def notifications_of(materials: DataFrame) -> DataFrame:
+    """Notification rows of materials that became ready."""
+    return materials.where("status = 'ready'").select("material_id", "course_id", *ready_text())
 
-    def each(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
-    run_available(stream, each, folder)
-    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/rows")
+def notification_feed(materials: DataFrame, folder: str | None = None, event_id: str | None = None) -> DataFrame:
+    """One row per ready material; with event_id, events that come again give none, whatever the restarts."""
+    if event_id:
+        materials = once(materials.where("status = 'ready'"), event_id)
+    return _append(notifications_of(materials), "feed", folder)
+
+
+def lecturer_feed(materials: DataFrame, enrolments: DataFrame, folder: str | None = None) -> DataFrame:
+    """One feed (user_id, type, title, body, data) of two streams, to the lecturer of the course: materials that became
+    ready and new enrolments. Courses without lecturer give no row. Both streams carry event_id and lecturer_id, and an
+    event that comes again gives no second row."""
+    told = lambda rows, text: rows.where("lecturer_id is not null").select("event_id", F.col("lecturer_id").cast("string").alias("user_id"), *text)
+    both = told(materials.where("status = 'ready'"), ready_text()).unionByName(told(enrolments, enrolment_text()))
+    return _append(once(both).drop("event_id"), "lecturer-feed", folder)
 
 
 def unread_counts(changes: DataFrame, folder: str | None = None) -> DataFrame:
-    """changes (user_id, delta): running unread count per user as streaming state; the newest count of each user is returned.
+    """Unread notifications of each user from a stream of changes, whatever the order they come in.
 
-    A batch gives only the users it changes; their rows go to a folder of the batch.
+    changes: (user_id, delta), +1 for a notification and -1 for a read one, optionally with second, the time of the
+    change, and reset, true where a user marks all as read: that takes out all changes up to and with its second.
+    The keyed table holds sums a user and second; a batch adds its own sums only, and merging drops what a reset took out.
     """
     spark = changes.sparkSession
     folder = folder or shared_folder(spark, "unread")
-    state = changes.groupBy("user_id").agg(F.sum("delta").cast("long").alias("n_unread"))
+    user = changes.schema["user_id"].dataType.simpleString()
+
+    def merge(rows: DataFrame) -> DataFrame:
+        each = rows.groupBy("user_id", "second").agg(F.sum("delta").alias("delta"), F.max("reset").alias("reset"), F.max("change_version").alias("change_version"))
+        last = each.where("reset").groupBy(F.col("user_id").alias("of")).agg(F.max("second").alias("from"))
+        left = each.join(last, F.col("user_id").eqNullSafe(F.col("of")), "left").where("from is null or second > from or (second = from and reset)")
+        return left.select("user_id", "second", F.when(F.col("reset"), 0).otherwise(F.col("delta")).cast("long").alias("delta"), "reset", "change_version")
+
+    counts = KeyedStore(spark, f"{folder}/counts", ["user_id"], f"user_id {user}, second long, delta long, reset boolean", merge)
+    second = F.col("second").cast("long") if "second" in changes.columns else F.lit(0).cast("long")
+    reset = F.coalesce("reset", F.lit(False)) if "reset" in changes.columns else F.lit(False)
 
     def each(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch_number", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        rows = batch.select("user_id", second.alias("second"), F.when(reset, 0).otherwise(F.col("delta")).alias("delta"), reset.alias("reset"))
+        counts.write(rows.groupBy("user_id", "second").agg(F.sum("delta").cast("long").alias("delta"), F.max("reset").alias("reset")), number)
 
-    running = state.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    running.awaitTermination()
-    rows = spark.read.schema("user_id long, n_unread long, batch_number int").option("recursiveFileLookup", "true").parquet(f"{folder}/rows")
-    return rows.groupBy("user_id").agg(F.max_by("n_unread", "batch_number").alias("n_unread"))
+    run_available(changes, each, folder)
+    return counts.read().groupBy("user_id").agg(F.sum("delta").alias("n_unread"))
 
 
 def streaming_ingest(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -141,31 +218,53 @@ def score_and_log(interactions: DataFrame, folder: str | None = None) -> DataFra
     return _append(interactions.select("id", "course_id", sanitised_score(score_of(F.col("ragas_json"), "faithfulness").cast("string")).alias("faithfulness")), "scores", folder)
 
 
-def ttl_registry(events: DataFrame, ttl: int = TTL, grace: int = GRACE, folder: str | None = None) -> DataFrame:
-    """Requests classified against the latest registration of their key, which is the only state kept.
+def _registry_provider(spark: SparkSession):
+    """Keyed state with maps and timers needs the RocksDB store; the setting is put back afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return lambda: spark.conf.set(name, before) if before else spark.conf.unset(name)
 
-    Batches are in time order, as files are; in a batch events of a key are taken in time order. A registration stays
-    for two lifetimes of event time, so that a request soon after its end is told it expired; then its state goes,
-    and requests find a miss. Events older than a day behind the newest are late and left out.
+
+def ttl_registry(events: DataFrame, ttl: int = TTL, grace: int = GRACE, folder: str | None = None, lateness: int | None = None) -> DataFrame:
+    """(event_id, cache_key, outcome) of the requests of a stream: hit, expired or miss against the latest registration before.
+
+    events: (event_id, cache_key, kind, ts), kind register, request or evict, optionally name: what a registration goes
+    by. An eviction has a name and no key, and takes out the registration of that name, wherever it is.
+
+    Events may come in any order and any batches: a request is answered at once and again when an earlier event comes
+    later, and the newest answer counts, so the result equals that of the batch operator on the same events, however
+    they were split. Without lateness all events stay in the state, by key and day. With it (seconds), events
+    may come so much behind the newest one; days before that are folded into their last registration, and events that
+    come later still are left out. Events that come again count once. Rows without event_id, time or kind are no events.
     """
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        registered = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["second", "event_id"])
-        ids, outcomes = [], []
-        for event, kind, second in zip(rows["event_id"], rows["kind"], rows["second"]):
-            if kind == "register":
-                registered = int(second)
-                continue
-            ids.append(event)
-            outcomes.append("miss" if registered is None else "hit" if second < registered + ttl - grace else "expired")
-        if registered is not None:
-            state.update((registered,))
-            state.setTimeoutTimestamp(max((registered + 2 * ttl) * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"event_id": pd.Series(ids, dtype="int64"), "cache_key": pd.Series([key[0]] * len(ids), dtype="int64"), "outcome": pd.Series(outcomes, dtype="object")})
-
-    timed = events.withColumn("at", F.col("ts").cast("timestamp")).withColumn("second", F.unix_timestamp("at")).withWatermark("at", f"{ttl} seconds")
-    out = timed.drop("ts").groupBy("cache_key").applyInPandasWithState(step, "event_id long, cache_key long, outcome string", "registered long", "append", "EventTimeTimeout")
-    return _append(out, "registry", folder)
+    spark = events.sparkSession
+    folder = folder or shared_folder(spark, "registry")
+    key_type = events.schema["cache_key"].dataType.simpleString()
+    named = "name" in events.columns
+    timed = events.where("event_id is not null and ts is not null and kind in ('register', 'request', 'evict')")
+    timed = timed.select("event_id", "cache_key", "kind", F.col("ts").cast("timestamp").alias("at"), F.col("name") if named else F.lit(None).cast("string").alias("name"))
+    put_back = _registry_provider(spark)
+    try:
+        if named:
+            pairs = timed.where("name is not null and kind <> 'request'").select("name", "event_id", "kind", F.unix_timestamp("at").alias("second"), F.col("cache_key").cast("string").alias("key_text"))
+            found = pairs.groupBy("name").transformWithStateInPandas(Names(), "event_id long, key_text string, second long, name string", "Update", "None")
+            evictions = f"{folder}/evictions"
+            spark.createDataFrame([], found.schema).write.mode("ignore").parquet(f"{evictions}/rows/batch=none")
+
+            def each_pair(batch: DataFrame, number: int) -> None:
+                batch.write.mode("overwrite").parquet(f"{evictions}/rows/batch={number}")
+
+            run_available(found, each_pair, evictions, "update")
+            keyed = spark.readStream.schema(found.schema).option("recursiveFileLookup", "true").parquet(f"{evictions}/rows")
+            keyed = keyed.select("event_id", F.col("key_text").cast(key_type).alias("cache_key"), F.lit("evict").alias("kind"), F.timestamp_seconds("second").alias("at"), "name")
+            timed = timed.where("kind <> 'evict'").unionByName(keyed)
+        if lateness is not None:
+            timed = timed.withWatermark("at", f"{lateness} seconds")
+        rows = timed.where("kind <> 'evict' or name is not null").withColumn("second", F.unix_timestamp("at"))
+        answers = rows.groupBy("cache_key").transformWithStateInPandas(Registry(ttl, grace, lateness is not None), f"event_id long, cache_key {key_type}, outcome string", "Update", "None" if lateness is None else "EventTime")
+        newest = KeyedStore(spark, f"{folder}/answers", ["event_id"], f"event_id long, cache_key {key_type}, outcome string")
+        run_available(answers, newest.write, folder, "update")
+    finally:
+        put_back()
+    return newest.read()

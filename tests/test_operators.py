@@ -161,50 +161,6 @@ def test_digests_read_whole_texts(spark):
             assert r["text"] == T.JOINER.join(held[ids[c]] for c in r["source_chunk_ids"])[: T.MAX_DIGEST]
 
 
-def test_struggle_stream_resumes_over_several_batches(spark, tmp_path):
-    from lectern.operators.analytics import topic_struggle
-    from lectern.streaming import streams
-
-    sessions = spark.createDataFrame([(i, f"c{i % 2}", f"Topic {i % 3}", i % 5 / 5, i) for i in range(12)], "session_id long, course_id string, title string, confidence_score double, user_id long")
-    rows = [(i % 12, "user", k) for k, i in enumerate(range(40))]
-    schema = "session_id long, role string, turn int"
-    path, folder = tmp_path / "in", str(tmp_path / "state")
-    want = lambda n: sorted(map(tuple, topic_struggle(sessions, spark.createDataFrame([(s, t, r, "x") for s, r, t in rows[:n]], "session_id long, turn int, role string, content string")).select("course_id", "topic", "questions_asked", "avg_confidence", "struggling_students").collect()))
-    done = 0
-    for upto in (10, 25, 40):
-        spark.createDataFrame(rows[done:upto], schema).coalesce(1).write.mode("append").parquet(str(path))
-        done = upto
-        stream = streams.table_stream(spark, str(path), 1).select("session_id")
-        messages = spark.createDataFrame([(s, t, r, "x") for s, r, t in rows[:upto]], "session_id long, turn int, role string, content string")
-        got = streams.incremental_struggle(stream, sessions, messages, folder)
-        assert sorted(map(tuple, got.collect())) == want(upto)
-    assert streams.Versions(spark, folder, "a int")._numbers() == [0, 1, 2]
-
-
-def test_unread_and_feed_streams_resume(spark, tmp_path):
-    from lectern.streaming import streams
-
-    path, folder, total = tmp_path / "in", str(tmp_path / "unread"), {}
-    for batch in ([(1, 1), (1, 1), (2, 1)], [(1, -1), (3, 1)], [(2, -1)]):
-        spark.createDataFrame(batch, "user_id long, delta int").coalesce(1).write.mode("append").parquet(str(path))
-        for user, delta in batch:
-            total[user] = total.get(user, 0) + delta
-        got = streams.unread_counts(streams.table_stream(spark, str(path), 1), folder)
-        assert {r["user_id"]: r["n_unread"] for r in got.collect()} == total
-
-
-def test_registry_state_goes_after_two_lifetimes(spark, tmp_path):
-    from lectern.streaming import streams
-
-    path, folder, day = tmp_path / "in", str(tmp_path / "registry"), 86_400
-    batches = [[(1, 7, "register", 0), (2, 7, "request", day // 2)], [(3, 7, "request", day + 5), (4, 8, "request", day + 5)], [(5, 9, "register", 5 * day)], [(6, 9, "request", 5 * day + 9)], [(7, 7, "request", 5 * day + 20)]]
-    for batch in batches:
-        made = spark.createDataFrame(batch, "event_id long, cache_key long, kind string, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_000_000)).drop("s")
-        made.coalesce(1).write.mode("append").parquet(str(path))
-        got = streams.ttl_registry(streams.table_stream(spark, str(path), 1), folder=folder)
-    assert {r["event_id"]: r["outcome"] for r in got.collect()} == {2: "hit", 3: "expired", 4: "miss", 6: "hit", 7: "miss"}
-
-
 def test_digests_match_brute_force(spark):
     rng = np.random.default_rng(6)
     rows = [("n", i % 3, f"c{i}", "w" * int(rng.integers(0, 4000)), rng.normal(size=4).tolist()) for i in range(60)] + [("n", 9, "lone", "x", [1.0, 0.0, 0.0, 0.0]), ("m", 0, "a", "same", [1.0, 0.0, 0.0, 0.0]), ("m", 0, "b", "same", [1.0, 0.0, 0.0, 0.0])]
