@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.chunking import tokens
+from ..storage import shared_folder, stored
+from .shards import beside, sharded
 
 TOP_VECTORS, TOP_RERANKED, TOP_KEYWORD = 100, 10, 5
 MAX_CONTEXT = 20_000
@@ -200,20 +204,137 @@ def sketches(vectors: DataFrame, seed: int = 11, bits: int = SKETCH_BITS) -> Dat
     return vectors.withColumn("sketch", sides("embedding"))
 
 
-def approximate_candidates(queries: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
-    """(query_id, chunk_id, q, v): the n vectors of a query's namespace whose sketches differ least from its own."""
-    v = sketches(vectors.select("namespace", "chunk_id", "embedding"))
-    q = sketches(queries.select("namespace", "query_id", "embedding")).withColumnsRenamed({"embedding": "query_embedding", "sketch": "query_sketch"})
+#: Rows of a namespace that cells are fitted on, the most cells, and rounds of fitting. Every vector is put into a cell.
+CELL_SAMPLE, MAX_CELLS, CELL_ROUNDS = 10_000, 4096, 12
+#: Share of the neighbours of sampled rows that the cells a query reads have to hold, and how many rows and neighbours that is measured on.
+CELL_RECALL, PROBE_ROWS, PROBE_NEIGHBOURS = 0.97, 200, 10
+
+
+def fit_cells(x: np.ndarray, cells: int, seed: int = 5) -> np.ndarray:
+    """Unit centres of cells by spherical k-means: first centres are rows far from each other, rows go to the centre of the largest product."""
+    r = np.random.default_rng(seed)
+    centres = [x[r.integers(len(x))]]
+    near = 1 - x @ centres[0]
+    while len(centres) < min(cells, len(x)):
+        chance = np.maximum(near, 0)
+        if chance.sum() <= 1e-9:
+            break
+        centres.append(x[r.choice(len(x), p=chance / chance.sum())])
+        near = np.minimum(near, 1 - x @ centres[-1])
+    centres = np.stack(centres)
+    for _ in range(CELL_ROUNDS):
+        at = (x @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, at, x)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(length > 1e-12, sums / np.maximum(length, 1e-12), centres)
+    return centres
+
+
+def probes_needed(x: np.ndarray, centres: np.ndarray) -> int:
+    """Least number of nearest cells that holds CELL_RECALL of the nearest rows of sampled rows, so how much a query reads follows from the data."""
+    rows = x[:: max(1, len(x) // PROBE_ROWS)]
+    products = rows @ x.T
+    k = min(PROBE_NEIGHBOURS + 1, len(x))
+    nearest = np.argpartition(-products, k - 1, axis=1)[:, :k]
+    cell = (x @ centres.T).argmax(1)
+    place = np.argsort(np.argsort(-(rows @ centres.T), axis=1, kind="stable"), axis=1)
+    ranks = np.take_along_axis(place, cell[nearest], axis=1).ravel()
+    return int(np.sort(ranks)[min(len(ranks) - 1, int(np.ceil(CELL_RECALL * len(ranks))))]) + 1
+
+
+@dataclass
+class VectorIndex:
+    """cells (namespace, n, probes, centres) and vectors (namespace, cell, chunk_id, embedding, sketch), both in the shared folder, vectors by cell."""
+
+    cells: DataFrame
+    vectors: DataFrame
+
+
+def _unit_rows(values: pd.Series) -> np.ndarray:
+    x = np.nan_to_num(np.stack(values.to_numpy()).astype(float))
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(length > 0, length, 1)
+
+
+def build_index(vectors: DataFrame) -> VectorIndex:
+    """Coarse cells of each namespace, about the root of its size, and every vector with its sketch in its nearest cell.
+
+    Cells, and how many of them a query has to read, are fitted on a bounded sample by hash (CELL_SAMPLE rows a
+    namespace); the sample decides neither which vectors are held nor what they score. Vectors of a namespace have one length.
+    """
+    held = vectors.where("embedding is not null").select("namespace", "chunk_id", "embedding")
+    sizes = stored(held.groupBy("namespace").agg(F.count("*").alias("n")), "index-sizes")
+    rank = F.row_number().over(Window.partitionBy("namespace").orderBy(F.xxhash64("chunk_id"), "chunk_id"))
+    sample = held.withColumn("place", rank).where(F.col("place") <= CELL_SAMPLE).join(sizes.withColumnRenamed("namespace", "of"), F.col("namespace").eqNullSafe(F.col("of"))).drop("of")
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("place")
+        x, n = _unit_rows(rows["embedding"]), int(rows["n"].iloc[0])
+        centres = fit_cells(x, min(MAX_CELLS, max(1, round(n**0.5))))
+        return pd.DataFrame({"namespace": [rows["namespace"].iloc[0]], "n": [n], "probes": [probes_needed(x, centres)], "centres": [centres.ravel().tolist()]})
+
+    cells = stored(sample.groupBy("namespace").applyInPandas(fit, "namespace string, n long, probes int, centres array<double>"), "index-cells")
+    shards = sharded(held, "namespace", "chunk_id", sizes)
+
+    def put(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        x = _unit_rows(rows["embedding"])
+        centres = np.asarray(model["centres"].iloc[0]).reshape(-1, x.shape[1])
+        return rows[["namespace", "chunk_id", "embedding"]].assign(cell=(x @ centres.T).argmax(1).astype(np.int32))
+
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    placed = sketches(beside(shards, cells.select("namespace", "centres"), "namespace", put, f"namespace string, chunk_id string, embedding {kind}, cell int"))
+    path = shared_folder(vectors.sparkSession, "index")
+    placed.hint("rebalance", "namespace", "cell").sortWithinPartitions("namespace", "cell").write.parquet(path)
+    return VectorIndex(cells, vectors.sparkSession.read.schema(placed.schema).parquet(path))
+
+
+def probed_cells(index: VectorIndex, queries: DataFrame) -> DataFrame:
+    """(namespace, query_id, cell): the cells that each query reads, nearest first as many as its namespace needs."""
+    name, kind = queries.schema["query_id"].dataType.simpleString(), queries.schema["embedding"].dataType.simpleString()
+    asked = queries.where("embedding is not null").select("namespace", "query_id", "embedding")
+    shards = sharded(asked, "namespace", "query_id", asked.groupBy("namespace").agg(F.count("*").alias("n")))
+
+    def look(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(model):  # a namespace without vectors
+            return pd.DataFrame({c: pd.Series([], dtype="object") for c in ("namespace", "query_id", "embedding", "cell")})
+        x = _unit_rows(rows["embedding"])
+        centres = np.asarray(model["centres"].iloc[0]).reshape(-1, x.shape[1])
+        near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, : int(model["probes"].iloc[0])]
+        return rows[["namespace", "query_id", "embedding"]].assign(cell=near.astype(np.int32).tolist())
+
+    found = beside(shards, index.cells.select("namespace", "probes", "centres"), "namespace", look, f"namespace string, query_id {name}, embedding {kind}, cell array<int>")
+    return found.select("namespace", "query_id", "embedding", F.explode("cell").alias("cell"))
+
+
+def approximate_candidates(queries: DataFrame, index: VectorIndex, n: int) -> DataFrame:
+    """(query_id, chunk_id, q, v): of the vectors in the cells that a query reads, the n whose sketches differ least from its own."""
+    q = sketches(probed_cells(index, queries)).select("namespace", "cell", "query_id", unit(F.col("embedding")).alias("q"), F.col("sketch").alias("query_sketch"))
     differ = F.aggregate(F.zip_with("sketch", "query_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    met = v.join(q, "namespace").select("query_id", "namespace", "chunk_id", differ.alias("differ"))
+    met = index.vectors.select("namespace", "cell", "chunk_id", "sketch").join(q.drop("q"), ["namespace", "cell"]).select("query_id", "namespace", "cell", "chunk_id", differ.alias("differ"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("differ", "chunk_id"))
     near = met.withColumn("place", place).where(F.col("place") <= n)
-    near = near.join(vectors.select("namespace", "chunk_id", unit(F.col("embedding")).alias("v")), ["namespace", "chunk_id"])
-    return near.join(queries.select("namespace", "query_id", unit(F.col("embedding")).alias("q")), ["namespace", "query_id"]).select("query_id", "chunk_id", "q", "v")
+    near = near.join(index.vectors.select("namespace", "cell", "chunk_id", unit(F.col("embedding")).alias("v")), ["namespace", "cell", "chunk_id"])
+    return near.join(q.select("namespace", "cell", "query_id", "q"), ["namespace", "cell", "query_id"]).select("query_id", "chunk_id", "q", "v")
+
 
+def approximate_top_k(queries: DataFrame, vectors: DataFrame | VectorIndex, k: int, candidates: int = CANDIDATES) -> DataFrame:
+    """(query_id, chunk_id, score, rank) from an index, or from vectors that one is built of first.
 
-def approximate_top_k(queries: DataFrame, vectors: DataFrame, k: int, candidates: int = CANDIDATES) -> DataFrame:
-    """(query_id, chunk_id, score, rank) by sketches: every vector has one of SKETCH_BITS bits, and only the k * candidates
-    nearest by sketch are compared exactly. Nothing is fitted; chunk_id is unique in a namespace."""
+    A query reads the cells nearest to it, compares sketches there, and exactly only the k * candidates nearest by
+    sketch. How many cells is fitted so that they hold 97 % of the neighbours of sampled rows: few where vectors lie in
+    clusters, many where they are random and no cells can part them. chunk_id is unique in a namespace; queries in a
+    namespace without vectors find nothing.
+    """
+    index = vectors if isinstance(vectors, VectorIndex) else build_index(vectors)
     dot = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda s, z: s + z)
-    return top_k(approximate_candidates(queries, vectors, k * candidates).select("query_id", "chunk_id", dot.alias("score")), k)
+    return top_k(approximate_candidates(queries, index, k * candidates).select("query_id", "chunk_id", dot.alias("score")), k)
+
+
+def read_share(index: VectorIndex, queries: DataFrame) -> float:
+    """Share of the pairs of query and vector of a namespace whose sketches are compared."""
+    probes = probed_cells(index, queries)
+    sizes = index.vectors.groupBy("namespace", "cell").agg(F.count("*").alias("n"))
+    read = probes.join(sizes, ["namespace", "cell"]).agg(F.sum("n")).first()[0]
+    whole = queries.join(index.cells.select("namespace", "n"), "namespace").agg(F.sum("n")).first()[0]
+    return (read or 0) / whole

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.chunking import node_id
 from ..storage import stored
+from .mixture import assign, fit_mixtures
 from .retrieval import cosine, embed, unit
 
-DIMENSIONS, MAX_CLUSTERS, MAX_LEVELS, MIN_MEMBERS = 10, 50, 3, 2
+DIMENSIONS, MAX_LEVELS, MIN_MEMBERS = 10, 3, 2
 JOINER, MAX_DIGEST, MAX_SOURCES = "\n\n---\n\n", 30_000, 50
-#: Vectors of a namespace that the mixture is fitted on; every vector is assigned.
-FIT_SAMPLE = 2000
 NODE_FEATURES = 128  # of digest vectors: principal components are taken of them again
 
 
@@ -29,85 +26,10 @@ def reduced(vectors: DataFrame, k: int = DIMENSIONS) -> DataFrame:
     return made.withColumn("reduced", vector_to_array("components")).drop("unit_vector", "components")
 
 
-def _log_density(x: np.ndarray, weights: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarray:
-    """rows x components: log of weight times density."""
-    out = np.empty((len(x), len(weights)))
-    for j in range(len(weights)):
-        low = np.linalg.cholesky(covs[j])
-        z = np.linalg.solve(low, (x - means[j]).T)
-        out[:, j] = np.log(weights[j]) - 0.5 * ((z**2).sum(0) + x.shape[1] * np.log(2 * np.pi)) - np.log(np.diag(low)).sum()
-    return out
-
-
-def fit_mixture(x: np.ndarray, k: int, seed: int, rounds: int = 40) -> tuple[float, tuple]:
-    """Full-covariance mixture by expectation maximisation: (log likelihood, parameters)."""
-    rng = np.random.default_rng(seed)
-    n, d = x.shape
-    means = x[rng.choice(n, k, replace=False)]
-    covs = np.repeat((np.cov(x.T) + 1e-4 * np.eye(d))[None], k, 0)
-    weights, last = np.full(k, 1 / k), -np.inf
-    for _ in range(rounds):
-        logs = _log_density(x, weights, means, covs)
-        top = logs.max(1, keepdims=True)
-        total = top[:, 0] + np.log(np.exp(logs - top).sum(1))
-        r = np.exp(logs - total[:, None])
-        mass = r.sum(0) + 1e-9
-        weights, means = mass / mass.sum(), (r.T @ x) / mass[:, None]
-        covs = np.stack([(r[:, j, None] * (x - means[j])).T @ (x - means[j]) / mass[j] + 1e-4 * np.eye(d) for j in range(k)])
-        if total.sum() - last < 1e-3 * n:
-            break
-        last = total.sum()
-    return float(total.sum()), (weights, means, covs)
-
-
-def best_mixture(x: np.ndarray, inits: int = 3, max_clusters: int = MAX_CLUSTERS) -> tuple | None:
-    """Parameters with the lowest BIC over k = 2 .. min(max, n / 2, n - 1); None for fewer than four rows."""
-    n, d = x.shape
-    best, chosen, worse = np.inf, None, 0
-    for k in range(2, min(max_clusters, n // 2, n - 1) + 1):
-        fits = [fit_mixture(x, k, seed) for seed in range(inits)]
-        log_likelihood, parameters = max(fits, key=lambda f: f[0])
-        bic = -2 * log_likelihood + (k * d + k * d * (d + 1) / 2 + k - 1) * np.log(n)
-        if bic < best:
-            best, chosen, worse = bic, parameters, 0
-        else:
-            worse += 1
-            if worse == 4:  # BIC has turned: more components only add parameters
-                break
-    return chosen
-
-
-def clusters(vectors: DataFrame, sample: int = FIT_SAMPLE) -> DataFrame:
-    """vectors (namespace, chunk_id, reduced) -> (namespace, chunk_id, cluster).
-
-    The mixture of a namespace is fitted on a bounded sample by hash; all its rows are then assigned batch by
-    batch, so neither task grows with the namespace.
-    """
-    rank = F.row_number().over(Window.partitionBy("namespace").orderBy(F.xxhash64("chunk_id"), "chunk_id"))
-    chosen = vectors.select("namespace", "chunk_id", "reduced").withColumn("rank", rank).where(F.col("rank") <= sample)
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(rows.sort_values("rank")["reduced"].to_numpy())
-        got = best_mixture(x)
-        w, m, c = got if got else (np.ones(1), x.mean(0, keepdims=True), np.eye(x.shape[1])[None])
-        return pd.DataFrame({"namespace": [rows["namespace"].iloc[0]], "weights": [w.tolist()], "means": [m.ravel().tolist()], "covs": [c.ravel().tolist()]})
-
-    models = chosen.groupBy("namespace").applyInPandas(fit, "namespace string, weights array<double>, means array<double>, covs array<double>")
-    models = stored(models, "mixtures")  # its size is then known: Spark broadcasts it while it is small
-    joined = vectors.select("namespace", "chunk_id", "reduced").join(models.withColumnRenamed("namespace", "model_ns"), F.col("namespace") == F.col("model_ns")).drop("model_ns")
-
-    def assign(frames):
-        for frame in frames:
-            label = np.zeros(len(frame), np.int32)
-            for _, at in frame.groupby("namespace").indices.items():
-                one = frame.iloc[at[0]]
-                w = np.array(one["weights"])
-                x = np.stack(frame["reduced"].to_numpy()[at])
-                d = x.shape[1]
-                label[at] = _log_density(x, w, np.array(one["means"]).reshape(len(w), d), np.array(one["covs"]).reshape(len(w), d, d)).argmax(1)
-            yield frame[["namespace", "chunk_id"]].assign(cluster=label)
-
-    return joined.mapInPandas(assign, "namespace string, chunk_id string, cluster int")
+def clusters(vectors: DataFrame) -> DataFrame:
+    """vectors (namespace, chunk_id, reduced) -> (namespace, chunk_id, cluster), by a mixture of each namespace over all its rows."""
+    models = stored(fit_mixtures(vectors, "namespace", "chunk_id", "reduced"), "mixtures")
+    return assign(vectors, models, "namespace", "chunk_id", "reduced")
 
 
 def digests(members: DataFrame, summarise=None) -> DataFrame:

@@ -9,6 +9,7 @@ from lectern.functions import chunking as C
 from lectern.functions import safety as S
 from lectern.operators import analytics as A
 from lectern.operators import dialogue as D
+from lectern.operators import mixture as M
 from lectern.operators import relational as R
 from lectern.operators import retrieval as V
 from lectern.operators import tree as T
@@ -101,16 +102,37 @@ def test_embedding_is_unit_and_deterministic(spark):
     assert np.allclose(got[1], got[2]) and all(abs(np.linalg.norm(x) - 1) < 1e-5 for x in got.values())
 
 
-def test_approximate_recall_from_few_candidates(spark):
+def recall_and_share(spark, queries, vectors):
+    index = V.build_index(vectors)
+    scored = V.vector_scores(queries, vectors)
+    exact = {(r["query_id"], r["chunk_id"]) for r in V.top_k(scored, 10).collect()}
+    near = {(r["query_id"], r["chunk_id"]) for r in V.approximate_top_k(queries, index, 10).collect()}
+    assert index.vectors.count() == vectors.count()
+    return len(exact & near) / len(exact), V.read_share(index, queries)
+
+
+def test_index_of_clustered_vectors_reads_a_fifth(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for ns, n, groups, wide in (("a", 4000, 40, 0.3), ("b", 1200, 25, 0.15), ("one", 1, 1, 0.1)):
+        centres = rng.normal(size=(groups, 32)) / 32**0.5
+        rows += [(ns, f"{ns}{i}", (centres[i % groups] + wide * rng.normal(size=32) / 32**0.5).tolist()) for i in range(n)]
+    vectors = spark.createDataFrame(rows, "namespace string, chunk_id string, embedding array<float>")
+    queries = vectors.where("substring(chunk_id, -2) in ('00', '50') or chunk_id = 'one0'").withColumnRenamed("chunk_id", "query_id")
+    queries = queries.unionByName(spark.createDataFrame([("nowhere", "q", [1.0] * 32)], queries.schema))
+    recall, share = recall_and_share(spark, queries, vectors)
+    assert recall >= 0.9 and share < 0.2
+
+
+def test_index_of_random_vectors_keeps_recall(spark):
     from lectern.fixtures import Views
 
     v = Views(spark, "/root/testdata/sf0.1")
     q = v.sql("SELECT vec_id AS query_id, namespace, embedding FROM vectors WHERE vec_id % 50 = 0")
-    scored = V.vector_scores(q, v.vectors)
-    exact = {(r["query_id"], r["chunk_id"]) for r in V.top_k(scored, 10).collect()}
-    near = {(r["query_id"], r["chunk_id"]) for r in V.approximate_top_k(q, v.vectors, 10).collect()}
-    assert len(exact & near) / len(exact) >= 0.9
-    assert V.approximate_candidates(q, v.vectors, 100).count() <= 0.25 * scored.count()
+    recall, share = recall_and_share(spark, q, v.vectors)
+    print("random vectors: recall", recall, "share of sketches read", share)
+    assert recall >= 0.9
+    assert V.approximate_candidates(q, V.build_index(v.vectors), 100).count() <= 0.25 * V.vector_scores(q, v.vectors).count()
 
 
 def test_request_rates_count_a_day_back_for_anonymous_users_too(spark):
@@ -135,9 +157,9 @@ def test_citations_match_by_containment(spark):
 def test_mixture_finds_blobs():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(0, 0.1, (60, 2)), rng.normal(5, 0.1, (60, 2)), rng.normal((0, 9), 0.1, (60, 2))])
-    w, m, c = T.best_mixture(x)
+    w, m, c = M.best_mixture(x)
     assert len(w) == 3
-    label = T._log_density(x, w, m, c).argmax(1)
+    label = M.log_density(x, w, m, c).argmax(1)
     assert len(set(label[:60])) == len(set(label[60:120])) == 1 and len(set(label)) == 3
 
 
@@ -146,6 +168,48 @@ def test_every_vector_is_assigned(spark):
     assert T.clusters(rows).count() == 10
 
 
+def plain_mixture(x, k, starts, rounds=40):
+    """Expectation maximisation by the definition, one density at a time: (log likelihood, weights, means, covariances)."""
+    n, d = x.shape
+    w, m, c, last = np.full(k, 1 / k), starts.copy(), [np.cov(x.T) + 1e-4 * np.eye(d)] * k, -np.inf
+    for _ in range(rounds):
+        p = np.array([[w[j] * np.exp(-0.5 * (r - m[j]) @ np.linalg.inv(c[j]) @ (r - m[j])) / np.sqrt((2 * np.pi) ** d * np.linalg.det(c[j])) for j in range(k)] for r in x])
+        total, share = np.log(p.sum(1)).sum(), p / p.sum(1, keepdims=True)
+        mass = share.sum(0) + 1e-9
+        w, m = mass / mass.sum(), share.T @ x / mass[:, None]
+        c = [(share[:, j, None] * (x - m[j])).T @ (x - m[j]) / mass[j] + 1e-4 * np.eye(d) for j in range(k)]
+        if total - last < 1e-3 * n:
+            break
+        last = total
+    return total, w, m, c
+
+
+def test_mixture_matches_the_definition():
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 1, (40, 3)), rng.normal(3, 0.5, (50, 3))])
+    for k in (2, 4):
+        total, w, m, c = plain_mixture(x, k, x[:k])
+        got, (gw, gm, gc) = M.fit_mixture(x, k, x[:k])
+        assert abs(got - total) < 1e-6 * abs(total) and np.allclose(gw, w, atol=1e-6) and np.allclose(gm, m, atol=1e-6) and np.allclose(gc, c, atol=1e-6)
+
+
+def test_mixtures_over_shards_match_one_task(spark):
+    rng = np.random.default_rng(9)
+    rows = [("a", f"a{i}", (rng.normal(size=3) + 4 * (i % 3)).tolist()) for i in range(150)] + [("b", f"b{i}", (rng.normal(size=3) * (1 + i % 2)).tolist()) for i in range(60)] + [("tiny", "t0", [0.0, 0.0, 1.0]), (None, "n0", [1.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "ns string, id string, x array<double>")
+    one = {r["ns"]: r for r in M.fit_mixtures(df, "ns", "id", "x", 4).collect()}
+    many = {r["ns"]: r for r in M.fit_mixtures(df, "ns", "id", "x", 4, task_rows=50, shard_rows=40).collect()}
+    assert set(one) == set(many) == {"a", "b", "tiny", None} and one["a"]["k"] == 3
+    for ns, r in one.items():
+        assert (r["n"], r["k"]) == (many[ns]["n"], many[ns]["k"]) and np.allclose(r["parameters"], many[ns]["parameters"], atol=1e-5)
+    models = M.fit_mixtures(df, "ns", "id", "x", 4)
+    labels = {r["id"]: r["cluster"] for r in M.assign(df, models, "ns", "id", "x").collect()}
+    assert len(labels) == len(rows)
+    p = M.shaped(one["a"]["parameters"], one["a"]["k"], 3)
+    want = M.log_density(np.array([x for ns, _, x in rows if ns == "a"]), *p).argmax(1)
+    assert [labels[f"a{i}"] for i in range(150)] == want.tolist()
+
+
 def test_digests_read_whole_texts(spark):
     from lectern.fixtures import Views
     from lectern.plans import trees
