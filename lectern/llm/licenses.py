@@ -6,7 +6,7 @@ longer ones, their paragraphs and sentences, unless another licence has the same
 lower-case words and compared with those templates alone whose number of bigrams can reach the threshold at its
 own number; it stands for the licence of its best template, so that versions of a licence are told apart.
 
-Every template has one of the CUES; a unit without any of them is no licence, so that ordinary texts are passed over.
+Words that any match must hold follow from the bound on Dice; units without one of them are passed over, and none is lost.
 """
 
 from __future__ import annotations
@@ -58,8 +58,6 @@ TEMPLATES = [
     ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0."),
 ]
 THRESHOLD = 0.8
-#: A unit has to hold one of these, in lower case.
-CUES = ("licen", "permission", "redistribut", "copyright", "warrant", "liable", "software", "public domain", "mozilla")
 #: Words of a template's paragraph or sentence, at least, for it to stand for the licence.
 LEAST_WORDS = 10
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -91,8 +89,46 @@ def size_bounds(n: int, threshold: float) -> tuple[int, int]:
     return math.ceil(n * threshold / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9)
 
 
-def _normal_words(text: Column) -> Column:
-    return F.filter(F.split(text, NOT_WORD), lambda w: w != "")
+#: Words that most texts hold: as cues they are the last choice. They only make the filter coarser or finer, never its result.
+COMMON = frozenset("a all an and any are as at be by can for from if in is it may not of on or other that the this to under use was with without you your".split())
+
+
+def cues(templates: list[tuple[str, ...]], threshold: float = THRESHOLD) -> set[str]:
+    """Words one of which any unit holds that reaches the threshold with one of the templates (sets of bigrams).
+
+    Of a template with m bigrams a unit of n, at least m t / (2 - t), must hold t (n + m) / 2 or more, so it may lack fewer
+    than m - m t / (2 - t) + 1 of them. Words whose bigrams are at least so many can't all be lacking: words are added
+    until each template has that many, those first that serve many templates and are long and rare.
+    """
+    left = [(set(g), len(g) - math.ceil(len(g) * threshold / (2 - threshold) - 1e-9) + 1) for g in templates if g]
+    chosen: set[str] = set()
+    while left:
+        use: dict[str, float] = {}
+        for grams, needed in left:
+            held: dict[str, int] = {}
+            for g in grams:
+                for w in set(g.split(" ")):
+                    held[w] = held.get(w, 0) + 1
+            for w, n in held.items():
+                use[w] = use.get(w, 0) + min(n, needed) / needed
+        best = min(use, key=lambda w: ((100.0 if w in COMMON or w.isdigit() else 10 / len(w)) / use[w], w))
+        chosen.add(best)
+        now = [({g for g in grams if best not in g.split(" ")}, needed, len(grams)) for grams, needed in left]
+        left = [(grams, needed - before + len(grams)) for grams, needed, before in now if needed > before - len(grams)]
+    return chosen
+
+
+#: Every character that parts words, each of which becomes a blank.
+SEPARATORS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+
+
+def _spaced(text: Column) -> Column:
+    """The text with a blank for each character that parts words, and one at both ends."""
+    return F.concat(F.lit(" "), F.translate(text, SEPARATORS, " " * len(SEPARATORS)), F.lit(" "))
+
+
+def _normal_words(spaced: Column) -> Column:
+    return F.filter(F.split(spaced, " +"), lambda w: w != "")
 
 
 def _bigrams(words: str) -> Column:
@@ -103,23 +139,25 @@ def _key(id_col: str, text_col: str) -> Column:
     return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
 
 
-def units(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, kind, unit_no, words) of the units with a cue: lines, sentences, paragraphs of several lines, and the text if it has several paragraphs."""
+def units(documents: DataFrame, id_col: str, text_col: str, wanted: set[str]) -> DataFrame:
+    """(key, kind, unit_no, words) of the units with a word of wanted: lines, sentences, paragraphs of several lines, and the text if it has several paragraphs."""
     text = F.coalesce(F.col(text_col), F.lit(""))
 
-    def cued(low: Column) -> Column:
-        return reduce(operator.or_, [F.contains(low, F.lit(w)) for w in CUES])
+    def cued(spaced: Column) -> Column:
+        return reduce(operator.or_, [F.contains(spaced, F.lit(f" {w} ")) for w in sorted(wanted)])
 
     def tagged(kind: str, parts: Column) -> Column:
-        return F.filter(F.transform(parts, lambda u, i: F.struct(F.lit(kind).alias("kind"), i.alias("unit_no"), u.alias("unit"))), lambda u: cued(u["unit"]))
+        return F.transform(parts, lambda u, i: F.struct(F.lit(kind).alias("kind"), i.alias("unit_no"), u.alias("unit")))
 
     several = F.transform(F.split("held_text", PARAGRAPH_END), lambda p: F.when(F.contains(F.trim(p), F.lit("\n")), p).otherwise(""))
     whole = F.when(F.col("held_text").rlike(PARAGRAPH_END), F.array("held_text")).otherwise(F.array().cast("array<string>"))
     kinds = [("line", F.split("held_text", "\n")), ("sentence", F.split("held_text", SENTENCE_END)), ("paragraph", several), ("text", whole)]
     every = F.concat(*[tagged(kind, parts) for kind, parts in kinds])
-    rows = held(documents.select(_key(id_col, text_col).alias("key"), text.alias("body")), "held_text", F.lower("body")).where(cued(F.col("held_text")))
-    flat = rows.select("key", F.explode_outer(every).alias("u")).select("key", "u.kind", "u.unit_no", "u.unit")
-    return held(flat, "words", _normal_words(F.col("unit"))).drop("unit")
+    rows = held(documents.select(_key(id_col, text_col).alias("key"), text.alias("body")), "held_text", F.lower("body"))
+    rows = held(rows, "held_spaced", _spaced(F.col("held_text"))).where(cued(F.col("held_spaced"))).drop("held_spaced")
+    flat = rows.select("key", F.explode(every).alias("u")).select("key", "u.kind", "u.unit_no", "u.unit")
+    flat = held(flat, "spaced", _spaced(F.col("unit"))).where(cued(F.col("spaced")))
+    return held(flat, "words", _normal_words(F.col("spaced"))).drop("unit", "spaced")
 
 
 def matches(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -127,7 +165,7 @@ def matches(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     grams = patterns(templates)
     bounds = [size_bounds(len(g), threshold) for _, g in grams]
     low, high = min(b[0] for b in bounds), max(b[1] for b in bounds)
-    found = units(documents, id_col, text_col).where(F.size("words") >= low + 1)
+    found = units(documents, id_col, text_col, cues([g for _, g in grams], threshold)).where(F.size("words") >= low + 1)
     found = held(found, "grams", _bigrams("words")).withColumn("n", F.size("grams")).where(F.col("n").between(low, high))
     scores = [
         F.when(F.col("n").between(*b), F.struct((2 * F.size(F.array_intersect("grams", F.array(*map(F.lit, g)))) / (F.col("n") + len(g))).alias("dice"), F.lit(name).alias("license")))
@@ -140,7 +178,7 @@ def matches(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: id, licenses (sorted array), n_units matched, best_dice (null if none).
 
-    Null and empty texts match nothing; texts of any length are scanned whole; templates that are best alike keep all
+    Other columns are not read. Null and empty texts match nothing; texts of any length are scanned whole; templates that are best alike keep all
     their licences; repeated rows are answered one by one; an empty table gives an empty result.
     """
     per_doc = matches(documents, id_col, text_col, templates, threshold).groupBy("key").agg(

@@ -120,7 +120,7 @@ u AS (SELECT rid, 'line' AS kind, unnest(string_split(text, chr(10))) AS unit, g
       UNION ALL SELECT rid, 'paragraph', p, i FROM (SELECT rid, unnest(regexp_split_to_array(text, '{paragraph}')) AS p, generate_subscripts(regexp_split_to_array(text, '{paragraph}'), 1) AS i FROM d) WHERE contains(trim(p), chr(10))
       UNION ALL SELECT rid, 'text', text, 1 FROM d WHERE regexp_matches(text, '{paragraph}')),
 g AS (SELECT rid, kind, i, list_distinct([ws[k] || ' ' || ws[k + 1] for k in range(1, len(ws))]) AS g
-      FROM (SELECT rid, kind, i, list_filter(regexp_split_to_array(lower(unit), '{licenses.NOT_WORD}'), lambda w: w <> '') AS ws FROM u WHERE {" OR ".join(f"contains(lower(unit), '{w}')" for w in licenses.CUES)})),
+      FROM (SELECT rid, kind, i, list_filter(regexp_split_to_array(lower(unit), '{licenses.NOT_WORD}'), lambda w: w <> '') AS ws FROM u)),
 s AS (SELECT rid, kind, i, name, 2 * len(list_intersect(g.g, t.g)) / (len(g.g) + len(t.g)) AS dice FROM g JOIN t ON len(g.g) > 0 AND len(g.g) >= len(t.g) * {low} - 1e-6 AND len(g.g) <= len(t.g) * {high} + 1e-6),
 b AS (SELECT *, max(dice) OVER (PARTITION BY rid, kind, i) AS top FROM s WHERE dice >= {licenses.THRESHOLD}),
 m AS (SELECT rid, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, count(DISTINCT kind || '/' || i) AS n_units, max(dice) AS best FROM b WHERE dice = top GROUP BY rid)
