@@ -36,11 +36,12 @@ MIN_G = 20.0
 SMOOTH = 4.0
 #: Words of at least this share of the training tokens are symbols of the word tree and are broadcast: at most 1 / FREQUENT of them.
 FREQUENT = 1e-6
+#: And seen so often: words seen once stand for those that were not seen, and give the rare symbol their share.
+SYMBOL_COUNT = 2
 #: Kept n-grams up to this many are broadcast (16 bytes each).
 BROADCAST_GRAMS = 2_000_000
-#: A symbol is kept in a context that it follows so often and with this G statistic; among all pairs of a large corpus
-#: a lower one keeps mostly chance.
-MIN_COUNT, WORD_G = 2, 40.0
+#: A symbol is kept in a context that it follows so often and with this G statistic.
+MIN_COUNT, WORD_G = 2, 20.0
 #: Symbols of the word tree take BITS bits of an n-gram's key; trigrams are told apart by TRIGRAM.
 BITS, TRIGRAM = 20, 1 << 62
 RARE, LAST, START, FIRST_WORD = 0, 1, 2, 3
@@ -252,7 +253,7 @@ class Words:
 
 def alphabet(counts: DataFrame, texts: int, word_tokens: int, word_types: int) -> Words:
     """Symbols in order of frequency."""
-    often = counts.where((F.col("kind") == 0) & (F.col("n") >= max(1, FREQUENT * word_tokens))).select("key", "n").toArrow()
+    often = counts.where((F.col("kind") == 0) & (F.col("n") >= max(SYMBOL_COUNT, FREQUENT * word_tokens))).select("key", "n").toArrow()
     keys, n = often["key"].to_numpy().view(np.uint64), often["n"].to_numpy()
     ranked = np.lexsort((keys, -n))
     by_symbol = np.concatenate([[word_tokens - n.sum(), texts, texts], n[ranked]])
@@ -536,7 +537,7 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = documents.select(key.alias("row"), F.col(text_col).alias("text"))
     flat = mapped(rows, run, "row long, key long, n long, n_tokens long, n_known long, base double, score double")
     # Repeats of a row send the same parts again; the number of texts with the row divides them out.
-    rare = counts.where((F.col("kind") == 0) & (F.col("n") < max(1, FREQUENT * word_tokens))).select(F.col("key").alias("word"), F.col("n").alias("c"))
+    rare = counts.where((F.col("kind") == 0) & (F.col("n") < max(SYMBOL_COUNT, FREQUENT * word_tokens))).select(F.col("key").alias("word"), F.col("n").alias("c"))
     joined = flat.join(rare, F.col("key") == F.col("word"), "left")
     spelled = F.log10((F.coalesce("c", F.lit(0)) + words.rare_types * F.pow(F.lit(10.0), F.col("score"))) / (words.rare_tokens + words.rare_types))
     own = F.col("n") * (spelled if words.rare_types else F.col("score"))

@@ -120,13 +120,13 @@ def whole_text_verdicts(docs, groups, model, floors, width=4.0, bins=2, spans=(0
     return out
 
 
-def suffix_tree_scores(docs, spelling, held, frequent=1e-6, smooth=4.0, least_g=40.0):
+def suffix_tree_scores(docs, spelling, held, frequent=1e-6, smooth=4.0, least_g=20.0):
     """doc_id -> log10 probability under contexts of none, one and two words; spelling(word): log10 of its spelled probability."""
     tokens = {i: SPACED.findall(lower_ascii(t)) for i, t in docs.items()}
     train = [tokens[i] for i in docs if not held(i)]
     count = Counter(w for ws in train for w in ws)
     n_words, texts = sum(count.values()), len(train)
-    often = {w for w, c in count.items() if c >= max(1, frequent * n_words)}
+    often = {w for w, c in count.items() if c >= max(2, frequent * n_words)}
     symbols = lambda ws: ["<s>", *[w if w in often else "<rare>" for w in ws], "</s>"]
     single = Counter(s for ws in train for s in symbols(ws))
     z = n_words + texts + 2
