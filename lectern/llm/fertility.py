@@ -25,7 +25,8 @@ from .wordcache import WordCache
 VOCABULARY = "piece_bpe_32k.model"
 REPEAT_WINDOW = 8
 MIN_WORDS = 20
-#: Bins of an octave of tokens; bands are taken of the narrowest span of bins to each side, then the group, then all groups, that has MIN_TEXTS texts.
+#: Bins of an octave of tokens; bands are taken of the narrowest span of bins to each side, then the group, that has MIN_TEXTS
+#: texts, else of all texts, however few they are.
 BINS, SPANS, MIN_TEXTS = 2, (0, 1, 3), 50
 WIDTH = 4.0
 #: Least robust deviation of each measure, so that a very even group rejects nothing for a trifle.
@@ -154,7 +155,7 @@ def level(m: str, slopes: dict[str, float]) -> Column:
 
 
 def bands(usable: DataFrame, group: str, slopes: dict[str, float]) -> DataFrame:
-    """Per group and bin of tokens: median and robust deviation of each measure's level; null with too few texts in all.
+    """Per group and bin of tokens: median and robust deviation of each measure's level.
 
     Sketched quantiles: one row of bounded size per group, bin and map task is shuffled, however large a group is.
     """
@@ -164,10 +165,14 @@ def bands(usable: DataFrame, group: str, slopes: dict[str, float]) -> DataFrame:
     at += [F.struct(F.lit(len(SPANS) + every).alias("k"), F.lit(bool(every)).alias("every"), none.alias("b")) for every in (0, 1)]
     flat = usable.select(F.col(group).alias("g"), *[level(m, slopes).alias(m) for m in FLOORS], F.explode(F.array(*at)).alias("at"))
     stats = flat.groupBy(F.when(~F.col("at.every"), F.col("g")).alias("g"), "at").agg(F.count("*").alias("n"), *[F.percentile_approx(m, [0.25, 0.5, 0.75], 2000).alias(m) for m in FLOORS])
-    stats = stats.where(F.col("n") >= MIN_TEXTS).select("g", F.col("at.k").alias("k"), F.col("at.b").alias("b"), F.struct("k", *FLOORS).alias("held"))
+    stats = stats.where((F.col("n") >= MIN_TEXTS) | F.col("at.every")).select("g", F.col("at.k").alias("k"), F.col("at.b").alias("b"), F.struct(F.col("at.k").alias("k"), *FLOORS).alias("held"))
     bins = usable.select(F.col(group).alias("band_group"), length_bin().alias("band_bin")).distinct()
-    same = F.when(F.col("k") <= len(SPANS), F.col("band_group").eqNullSafe(F.col("g"))).otherwise(True) & F.coalesce(F.col("band_bin") == F.col("b"), F.col("k") >= len(SPANS))
-    best = bins.join(F.broadcast(stats), same, "left").groupBy("band_group", "band_bin").agg(F.min("held").alias("held"))
+    # What a bin may take its band from, as keys: a span of bins of its group, its group, all texts.
+    group_type, last = usable.schema[group].dataType, len(SPANS)
+    keys = [F.struct(F.lit(k).alias("want_k"), F.lit(None).cast(group_type).alias("want_g") if k > last else F.col("band_group").alias("want_g"), none.alias("want_b") if k >= last else F.col("band_bin").alias("want_b")) for k in range(last + 2)]
+    wanted = bins.select("band_group", "band_bin", F.explode(F.array(*keys)).alias("key")).select("band_group", "band_bin", "key.*")
+    same = (F.col("want_k") == F.col("k")) & F.col("want_g").eqNullSafe(F.col("g")) & F.col("want_b").eqNullSafe(F.col("b"))
+    best = wanted.join(stats, same).groupBy("band_group", "band_bin").agg(F.min("held").alias("held"))
     out = [F.col("band_group"), F.col("band_bin")]
     for m, floor in FLOORS.items():
         q = F.col(f"held.{m}")
@@ -178,8 +183,8 @@ def bands(usable: DataFrame, group: str, slopes: dict[str, float]) -> DataFrame:
 def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_col: str | None = None, path: str | None = None) -> DataFrame:
     """One row per document: id, the counts, the measures, base_failed, reasons (array), kept.
 
-    Null and empty texts have no words and fail the base rule; tables with under MIN_TEXTS texts that pass it have
-    no bands; a null group is a group; texts of any length are read whole; repeated rows are answered one by one; an
+    Null and empty texts have no words and fail the base rule; where a group has under MIN_TEXTS texts that pass it,
+    the bands are those of all texts; a null group is a group; texts of any length are read whole; repeated rows are answered one by one; an
     empty table gives an empty result; other columns are ignored.
     """
     columns = [id_col] + [c for c in [group_col] if c]
