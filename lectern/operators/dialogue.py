@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.chunking import tokens
+from .hooks import hooked
 
 HISTORY_DB, HISTORY_PROMPT = 10, 6
 # The six levels and the thresholds of the gate.
@@ -114,11 +115,40 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[.!?\n]+"), lambda s: F.trim(s) != "")
 
 
-def rag_scores(rows: DataFrame) -> DataFrame:
+def _unit_score(value: object) -> float | None:
+    """A judge's number in 0..1 with four decimals; what is no number is None."""
+    try:
+        number = float(value)
+    except (TypeError, ValueError):
+        return None
+    return None if number != number else round(min(1.0, max(0.0, number)), 4)
+
+
+RAG_SCORES = ("context_precision", "context_recall", "faithfulness", "answer_relevancy")
+
+
+def rag_scores(rows: DataFrame, judge=None) -> DataFrame:
     """rows: key, question, answer, reference (null: the answer), contexts (array in rank order) -> the four scores in 0..1.
 
     Lexical forms of the published definitions; all null without context or with a blank question or answer.
+    judge: a function from Series of question, answer, reference and contexts to four scores a row (dicts by name); its
+    scores are held to 0..1 and rounded to four decimals, what is no number is null, rows or batches without an answer of
+    its own have the lexical scores, and judged_by says which (see hooks.hooked).
     """
+    if judge is not None:
+        lexical = rag_scores(rows)
+        kind = "struct<" + ", ".join(f"{s}:double" for s in RAG_SCORES) + ">"
+
+        def held(question, answer, reference, contexts):
+            numbers = lambda said: None if said is None else {s: _unit_score(said.get(s)) for s in RAG_SCORES}
+            return [numbers(said) for said in judge(question, answer, reference, contexts)]
+
+        scorable = (F.size("contexts") > 0) & (F.trim("question") != "") & (F.trim("answer") != "")
+        asked = rows.where(scorable).select("key", "question", "answer", "reference", "contexts")
+        said = hooked(asked, "judged", kind, F.lit(None).cast(kind), held, ["question", "answer", "reference", "contexts"]).where("judged_by = 'hook'").select(F.col("key").alias("judged_key"), "judged")
+        both = lexical.join(said, F.col("key") == F.col("judged_key"), "left")
+        by = F.when(F.col("judged_key").isNotNull(), "hook").otherwise("default")
+        return both.select("key", *[F.when(F.col("judged_key").isNotNull(), F.col(f"judged.{s}")).otherwise(F.col(s)).alias(s) for s in RAG_SCORES], by.alias("judged_by"))
     ref = F.coalesce("reference", "answer")
     useful = F.transform("contexts", lambda c: (F.size(F.array_intersect(tokens(ref), tokens(c))) >= RELEVANT * F.size(tokens(ref))).cast("int"))
     rows = rows.withColumn("useful", useful).withColumn("held_words", F.array_distinct(F.flatten(F.transform("contexts", tokens))))

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.chunking import tokens
 from ..storage import shared_folder, stored
+from .hooks import hooked
 from .shards import beside, sharded
 
 TOP_VECTORS, TOP_RERANKED, TOP_KEYWORD = 100, 10, 5
@@ -57,11 +58,18 @@ def overlap_score(question: Column, text: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, tokens(text))) / F.size(q)).otherwise(0.0)
 
 
-def rerank(candidates: DataFrame, n: int = TOP_RERANKED, scorer=None, text_col: str = "content") -> DataFrame:
+def rerank(candidates: DataFrame, n: int = TOP_RERANKED, scorer=None, text_col: str = "content", hook=None) -> DataFrame:
     """Second stage over (query_id, question, chunk_id, content, score): new score by scorer(question, content), top n, flag reranked.
 
-    Without a scorer the built-in overlap counts; scorer may be a pandas UDF.
+    Without a scorer the built-in overlap counts; scorer may be a pandas UDF. With hook(questions, contents), a function
+    of Series, rows whose batch it fails on keep the order of the first stage: their flag is false, they come after
+    the reranked ones, and score is their first score.
     """
+    if hook is not None:
+        spoken = hooked(candidates.withColumnRenamed("score", "first_score"), "score", "double", F.col("first_score").cast("double"), lambda q, t: [None if v is None else float(v) for v in hook(q, t)], ["question", text_col])
+        flagged = spoken.withColumn("reranked", F.col("score_by") == "hook").drop("score_by")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("reranked"), F.desc("score"), F.desc("first_score"), "chunk_id"))
+        return flagged.withColumn("rank", rank).where(F.col("rank") <= n)
     second = (scorer or overlap_score)(F.col("question"), F.col(text_col))
     rescored = candidates.withColumnRenamed("score", "first_score").withColumn("score", second)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("first_score"), "chunk_id"))
@@ -172,8 +180,12 @@ def fallback_answers(questions: DataFrame, retrieved: DataFrame) -> DataFrame:
     return questions.join(packed, "query_id", "left").select("query_id", "question", F.when(F.col("b").isNull(), NO_MATCH).otherwise(text).alias("answer"))
 
 
-def embed(rows: DataFrame, text_col: str = "text", features: int = 1 << 12) -> DataFrame:
-    """Adds embedding: hashed TF-IDF at unit length, so equal texts have equal vectors. A pandas UDF may stand in for it."""
+def embed(rows: DataFrame, text_col: str = "text", features: int = 1 << 12, hook=None) -> DataFrame:
+    """Adds embedding: hashed TF-IDF at unit length, so equal texts have equal vectors.
+
+    hook: a function from a Series of texts to vectors of the same length (features) as the default's; where it fails, the
+    default stands, and embedding_by says which it is (see hooks.hooked).
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import IDF, HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
@@ -181,7 +193,10 @@ def embed(rows: DataFrame, text_col: str = "text", features: int = 1 << 12) -> D
     words = rows.withColumn("words", F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\s+"), lambda w: w != ""))
     stages = [HashingTF(inputCol="words", outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="tfidf"), Normalizer(inputCol="tfidf", outputCol="unit")]
     made = Pipeline(stages=stages).fit(words).transform(words)
-    return made.withColumn("embedding", vector_to_array("unit", "float32")).drop("words", "tf", "tfidf", "unit")
+    if hook is None:
+        return made.withColumn("embedding", vector_to_array("unit", "float32")).drop("words", "tf", "tfidf", "unit")
+    fitting = lambda texts: [v if v is not None and len(v) == features else None for v in hook(texts)]
+    return hooked(made, "embedding", "array<float>", vector_to_array("unit", "float32"), fitting, [text_col]).drop("words", "tf", "tfidf", "unit")
 
 
 #: Bits of a vector's sketch, and candidates for each wanted row that are compared exactly.

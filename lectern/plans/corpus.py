@@ -9,6 +9,7 @@ from ..fixtures import Views
 from ..functions import chunking as C
 from ..registry import query
 from ..sources import corpus as S
+from ..storage import shared_folder
 
 WORDS = "len(list_filter(regexp_split_to_array({0}, '\\s+'), lambda w: w <> ''))"
 
@@ -41,6 +42,18 @@ def s4(v: Views) -> DataFrame:
     return S.upsert(old, v.sql(NEW_VECTORS), ["namespace", "chunk_id"], "version").select("namespace", "chunk_id", "payload")
 
 
+@query("s4_bucketed_upsert", f"""
+    WITH u AS (SELECT chunk_id, namespace, 1 AS version, 'old' AS payload FROM vectors UNION ALL SELECT n.chunk_id, n.namespace, 2, n.payload FROM ({NEW_VECTORS}) n WHERE n.version > 0)
+    SELECT namespace, chunk_id, payload FROM (SELECT *, row_number() OVER (PARTITION BY namespace, chunk_id ORDER BY version DESC, payload DESC) AS r FROM u) x WHERE r = 1""")
+def s4_buckets(v: Views) -> DataFrame:
+    """The upsert as a change to a table of buckets; the second write of the new rows is a replay."""
+    folder, keys, fields = shared_folder(v.spark, "vectors"), ["namespace", "chunk_id"], "namespace string, chunk_id string, payload string"
+    S.upsert_store(v.spark, folder, keys, fields, v.vectors.withColumn("payload", F.lit("old")), 1)
+    for _ in range(2):
+        store = S.upsert_store(v.spark, folder, keys, fields, v.sql(NEW_VECTORS).where("version > 0"), 2)
+    return store.read()
+
+
 @query("s5_replace_material", """
     SELECT material_id, course_id, CAST(length(file_name) AS BIGINT) AS n FROM materials WHERE material_id % 4 <> 0
     UNION ALL SELECT material_id, course_id, CAST(2000 AS BIGINT) AS n FROM materials WHERE material_id % 4 = 0""")

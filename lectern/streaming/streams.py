@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chunking import sliding_chunks
 from ..operators.analytics import GRACE, STRUGGLE, TTL, sanitised_score, score_of, topic_key
+from ..operators.dialogue import RAG_SCORES, rag_scores
 from ..storage import Files, KeyedStore, shared_folder, stored, summed
 from .ttl_state import Names, Registry
 
@@ -218,6 +219,25 @@ def score_and_log(interactions: DataFrame, folder: str | None = None) -> DataFra
     return _append(interactions.select("id", "course_id", sanitised_score(score_of(F.col("ragas_json"), "faithfulness").cast("string")).alias("faithfulness")), "scores", folder)
 
 
+def score_answers(answers: DataFrame, folder: str | None = None, judge=None, event_id: str = "key") -> DataFrame:
+    """Answers (key, question, answer, reference, contexts) of a stream with their retrieval scores, appended to a log.
+
+    An answer that comes again is scored once, whatever the restarts. judge: see dialogue.rag_scores; where it fails
+    the lexical scores stand, so scoring never holds the log up.
+    """
+    fresh = once(answers, event_id)
+    if judge is None:
+        return _append(rag_scores(fresh), "answer-scores", folder)
+    spark = answers.sparkSession
+    folder = folder or shared_folder(spark, "answer-scores")
+
+    def each(batch: DataFrame, number: int) -> None:
+        rag_scores(batch, judge).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    run_available(fresh, each, folder)
+    return spark.read.option("recursiveFileLookup", "true").schema("key " + answers.schema["key"].dataType.simpleString() + ", " + ", ".join(f"{s} double" for s in RAG_SCORES) + ", judged_by string").parquet(f"{folder}/rows")
+
+
 def _registry_provider(spark: SparkSession):
     """Keyed state with maps and timers needs the RocksDB store; the setting is put back afterwards."""
     name = "spark.sql.streaming.stateStore.providerClass"

@@ -271,3 +271,29 @@ def test_safe_to_send(spark):
     rows = spark.createDataFrame([(1, "on 2024-01-02"), (2, "a@b.org"), (3, "plain"), (4, None)], "id int, text string")
     assert {r["id"]: r["safe_to_send"] for r in S.safety(rows).collect()} == {1: True, 2: False, 3: True, 4: True}
     assert {r["id"]: r["safe_to_send"] for r in S.safety(rows, strict=True).collect()} == {1: False, 2: False, 3: True, 4: True}
+
+
+def test_hooks_fall_back_batch_by_batch_and_row_by_row(spark):
+    rows = spark.createDataFrame([(i, f"text {i}" if i != 3 else None) for i in range(20)], "id int, text string").repartition(2, "id")
+    default = {r["id"]: r["embedding"] for r in V.embed(rows, features=8).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        def some(texts):
+            if any(t == "text 7" for t in texts):
+                raise RuntimeError("provider is down")
+            return [None if t is None else [1.0] * (8 if t != "text 9" else 5) for t in texts]
+
+        got = {r["id"]: r for r in V.embed(rows, features=8, hook=some).collect()}
+        batch_of_7 = {i for i, r in got.items() if r["embedding_by"] == "default"}
+        assert {3, 7, 9} <= batch_of_7 and len(batch_of_7) <= 5
+        assert all(r["embedding"] == (default[i] if i in batch_of_7 else [1.0] * 8) for i, r in got.items())
+        short = {r["id"]: r for r in V.embed(rows, features=8, hook=lambda texts: [[0.0] * 8]).collect()}
+        assert sum(r["embedding_by"] == "hook" for r in short.values()) <= 2  # batches of one row only
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_rerank_with_a_hook_keeps_the_first_order_where_it_fails(spark):
+    rows = spark.createDataFrame([(1, "q", f"c{i}", f"text {i}", float(10 - i)) for i in range(4)] + [(2, "down", "c0", "t", 1.0), (2, "down", "c1", "t", 5.0)], "query_id int, question string, chunk_id string, content string, score double").repartition(2, "query_id")
+    got = V.rerank(rows, 3, hook=lambda q, t: [None if x == "down" else float(y[-1]) for x, y in zip(q, t)]).collect()
+    assert [(r["chunk_id"], r["score"], r["reranked"]) for r in sorted(got, key=lambda r: (r["query_id"], r["rank"]))] == [("c3", 3.0, True), ("c2", 2.0, True), ("c1", 1.0, True), ("c1", 5.0, False), ("c0", 1.0, False)]

@@ -212,3 +212,72 @@ def test_registry_with_bounded_lateness_folds_old_days(spark, tmp_path):
     files = [[(e, k, kind, s + 100 * DAY, name) for e, k, kind, s, name in rows] for rows in files]  # at 0 the watermark starts
     got = registry(spark, tmp_path, "late", files, lateness=DAY)
     assert got == {2: "hit", 3: "expired", 4: "miss", 6: "hit", 7: "hit"}
+
+
+def flaky(content, attempt):
+    """Fails for good on 'bad', and twice on 'late'."""
+    text = content.decode() if isinstance(content, bytes | bytearray) else content
+    if text is None or text == "bad" or (text.startswith("late") and attempt < 3):
+        raise ValueError(f"try {attempt}")
+    return text.split("\f")
+
+
+def test_ingest_retries_what_fails_and_goes_on(spark, tmp_path):
+    from lectern.streaming import ingest as I
+
+    path, folder = tmp_path / "in", str(tmp_path / "made")
+    batches = [[(1, "one\ftwo " * 3), (2, "bad"), (3, "late page"), (None, "x")], [(4, "x" * 1500), (5, None)], [(2, "now good"), (1, "one only")]]
+    for batch in batches:
+        append(spark, path, batch, "material_id long, content string")
+        made = I.ingest(T.table_stream(spark, str(path), 1), flaky, folder)
+    got = {r["material_id"]: (r["status"], r["attempts"], r["page_count"], r["error"]) for r in made.materials().collect()}
+    assert got == {1: ("ready", 1, 1, None), 2: ("ready", 1, 1, None), 3: ("ready", 3, 1, None), 4: ("ready", 1, 1, None), 5: ("failed", 4, 0, "ValueError: try 4")}
+    chunks = sorted((r["material_id"], r["page_number"], r["chunk_index"], r["content"]) for r in made.chunks().collect())
+    assert [c[:3] for c in chunks] == [(1, 1, 0), (2, 1, 0), (3, 1, 0), (4, 1, 0), (4, 1, 1), (4, 1, 2)] and chunks[0][3] == "one only"
+
+
+def test_ingest_of_files_rejects_kinds_and_reads_the_rest(spark, tmp_path):
+    from lectern.streaming import ingest as I
+
+    folder = tmp_path / "files"
+    folder.mkdir()
+    for name, body in (("a.pdf", b"page one\fpage two"), ("b.exe", b"x"), ("c.pdf", b" \f "), ("d", b"no extension")):
+        (folder / name).write_bytes(body)
+    made = I.ingest(I.file_stream(spark, str(folder)), folder=str(tmp_path / "made"))
+    got = {r["material_id"].rsplit("/", 1)[1]: (r["status"], r["attempts"], r["page_count"]) for r in made.materials().collect()}
+    assert got == {"a.pdf": ("ready", 1, 2), "b.exe": ("rejected", 0, 0), "c.pdf": ("failed", 4, 0), "d": ("ready", 1, 1)}
+    (folder / "e.pdf").write_bytes(b"later")
+    made = I.ingest(I.file_stream(spark, str(folder)), folder=str(tmp_path / "made"))
+    assert {r["material_id"].rsplit("/", 1)[1] for r in made.chunks().collect()} == {"a.pdf", "d", "e.pdf"}
+
+
+def answers(rows):
+    return [(k, q, a, None, c) for k, q, a, c in rows]
+
+
+def test_answers_are_scored_once_with_or_without_a_judge(spark, tmp_path):
+    from lectern.operators import dialogue as D
+
+    schema = "key long, question string, answer string, reference string, contexts array<string>"
+    rows = answers([(1, "what is a heap", "a heap is a tree.", ["a heap is a tree", "x"]), (2, "q", "a", []), (3, "stack or queue", "a stack", ["a stack is last in"])])
+    want = {r["key"]: tuple(r)[1:5] for r in D.rag_scores(spark.createDataFrame(rows, schema)).collect()}
+
+    def judge(question, answer, reference, contexts):
+        return [{"faithfulness": 3, "context_recall": "x", "context_precision": 0.12345, "answer_relevancy": 0.5} if "heap" in q else None for q in question]
+
+    def broken(question, answer, reference, contexts):
+        raise RuntimeError("provider is down")
+
+    for name, hook in (("plain", None), ("judge", judge), ("broken", broken)):
+        path, folder = tmp_path / name / "in", str(tmp_path / name / "made")
+        for _ in range(2):
+            append(spark, path, rows + rows[:1], schema)
+            got = {r["key"]: r for r in T.score_answers(T.table_stream(spark, str(path), 1), folder, hook).collect()}
+        log = T.score_answers(T.table_stream(spark, str(path), 1), folder, hook)
+        assert log.count() == 3
+        assert all(tuple(got[k])[1:5] == want[k] for k in want if not (name == "judge" and k == 1))
+        if hook:
+            assert {k: r["judged_by"] for k, r in got.items()} == {1: "hook" if name == "judge" else "default", 2: "default", 3: "default"}
+    assert tuple(got[1])[1:5] == want[1]
+    judged = {r["key"]: tuple(r)[1:5] for r in D.rag_scores(spark.createDataFrame(rows, schema), judge).collect()}
+    assert judged == {1: (0.1235, None, 1.0, 0.5), 2: want[2], 3: want[3]}
