@@ -58,14 +58,14 @@ def level_stats(assigned: DataFrame) -> DataFrame:
     return per.groupBy("namespace").agg(F.sum("n").alias("vectors"), F.count("*").alias("clusters"), F.count_if(F.col("n") >= MIN_MEMBERS).alias("summaries"))
 
 
-def build_tree(leaves: DataFrame, levels: int = MAX_LEVELS, summarise=None) -> DataFrame:
+def build_tree(leaves: DataFrame, levels: int = MAX_LEVELS, summarise=None, reduce=reduced) -> DataFrame:
     """leaves (namespace, chunk_id, text, embedding) -> all digest nodes, level by level over all namespaces at once.
 
-    Stops when fewer than two digests come out of a level.
+    Stops when fewer than two digests come out of a level. reduce: principal components, or manifold.manifold.
     """
     current, nodes = leaves, None
     for level in range(1, levels + 1):
-        groups = clusters(reduced(current, min(DIMENSIONS, len(current.select("embedding").first()[0]))))
+        groups = clusters(reduce(current, min(DIMENSIONS, len(current.select("embedding").first()[0]))))
         made = digests(current.join(groups, ["namespace", "chunk_id"]), summarise)
         made = made.withColumn("chunk_id", node_id(F.lit(level), F.col("cluster"), F.col("namespace"))).withColumn("raptor_level", F.lit(level))
         made = stored(made, f"digests-{level}")

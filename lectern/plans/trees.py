@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import Views
 from ..operators import tree as T
+from ..operators.manifold import manifold
 from ..registry import query
 
 
@@ -21,6 +22,13 @@ def v6(v: Views) -> DataFrame:
     return T.reduced(v.vectors).select("chunk_id", F.size("reduced").alias("n"), F.round(F.aggregate("reduced", F.lit(0.0), lambda s, x: s + x * x), 4).alias("energy"))
 
 
+@query("v6_manifold")
+def v6_manifold(v: Views) -> DataFrame:
+    """Coordinates along the neighbour graph: how many there are, and how far from the middle."""
+    made = manifold(v.vectors.select("namespace", "chunk_id", "embedding"), T.DIMENSIONS)
+    return made.select("chunk_id", F.size("reduced").alias("n"), F.round(F.sqrt(F.aggregate("reduced", F.lit(0.0), lambda s, x: s + x * x)), 3).alias("far"))
+
+
 @query("v7_clusters")
 def v7(v: Views) -> DataFrame:
     return T.clusters(T.reduced(v.vectors))

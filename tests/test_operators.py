@@ -297,3 +297,27 @@ def test_rerank_with_a_hook_keeps_the_first_order_where_it_fails(spark):
     rows = spark.createDataFrame([(1, "q", f"c{i}", f"text {i}", float(10 - i)) for i in range(4)] + [(2, "down", "c0", "t", 1.0), (2, "down", "c1", "t", 5.0)], "query_id int, question string, chunk_id string, content string, score double").repartition(2, "query_id")
     got = V.rerank(rows, 3, hook=lambda q, t: [None if x == "down" else float(y[-1]) for x, y in zip(q, t)]).collect()
     assert [(r["chunk_id"], r["score"], r["reranked"]) for r in sorted(got, key=lambda r: (r["query_id"], r["rank"]))] == [("c3", 3.0, True), ("c2", 2.0, True), ("c1", 1.0, True), ("c1", 5.0, False), ("c0", 1.0, False)]
+
+
+def kept_neighbours(original, reduced, k=10):
+    nearest = lambda x: np.argsort(((x[:, None] - x[None]) ** 2).sum(2), axis=1)[:, 1 : k + 1]
+    return np.mean([len(set(a) & set(b)) / k for a, b in zip(nearest(original), nearest(reduced))])
+
+
+def test_manifold_keeps_more_neighbours_than_principal_components(spark):
+    from lectern.operators import manifold as Mf
+
+    rng = np.random.default_rng(12)
+    t = rng.uniform(0, 2 * np.pi, 240)
+    curve = np.stack([f(j * t) for j in range(1, 9) for f in (np.cos, np.sin)], 1) + 0.02 * rng.normal(size=(240, 16))
+    curve /= np.linalg.norm(curve, axis=1, keepdims=True)
+    rows = [("n", f"c{i}", v.tolist()) for i, v in enumerate(curve)] + [("lone", "x", [1.0] * 16)]
+    vectors = spark.createDataFrame(rows, "namespace string, chunk_id string, embedding array<double>")
+    table = lambda df: {r["chunk_id"]: np.array(r["reduced"]) for r in df.collect()}
+    got, components = table(Mf.manifold(vectors, 2, 8)), table(T.reduced(vectors, 2))
+    assert got["x"].tolist() == [0, 0]
+    mine, theirs = (np.array([found[f"c{i}"] for i in range(240)]) for found in (got, components))
+    assert kept_neighbours(curve, mine) > kept_neighbours(curve, theirs) + 0.2
+    jobs = table(Mf.manifold(vectors, 2, 8, task_rows=100))
+    far = lambda x: np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert np.allclose(far(np.array([jobs[f"c{i}"] for i in range(240)])), far(mine), atol=1e-3 * far(mine).max())
