@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,16 @@ ATTACKS = [
     ("academic_dishonesty", r"write\s+(?:my|the|this|an?)\s+(?:essay|assignment|report|thesis|dissertation|homework|lab\s+report|coursework)|do\s+(?:my|this|the)\s+(?:assignment|homework|quiz|exam|test)|complete\s+(?:my|this|the)\s+(?:assignment|homework|coursework)|give\s+me\s+(?:all\s+)?(?:the\s+)?answers?\s+(?:to|for)\s+(?:the\s+)?(?:quiz|exam|test|assignment)|solve\s+(?:all\s+)?(?:these|my)\s+(?:questions?|problems?)\s+(?:for\s+me)?"),
     ("topic_violation", r"what\s+is\s+(?:the\s+)?(?:weather|stock\s+price|news|sports\s+result)|recommend\s+(?:a\s+)?(?:movie|song|restaurant|hotel)|(?:book|order|buy)\s+(?:me\s+)?(?:a\s+|tickets?\s+for|some\s+)?"),
 ]
+#: What a text holds, in lower case, wherever a pattern of the category matches: all words of one of these. They only
+#: keep the patterns from texts that they cannot match in.
+CUES = {
+    "role_override": [("instruction",), ("override",), ("pretend",), ("you", "now"), ("you", "act")],
+    "dan_prompt": [(w,) for w in ("dan", "mode", "anything", "jailbr", "unrestricted", "unfiltered", "uncensored", "maximum")],
+    "system_extraction": [(w,) for w in ("instruction", "prompt", "context", "ignore")],
+    "harmful_content": [(w,) for w in ("hack", "crack", "exploit", "bypass", "break", "virus", "malware", "ransomware", "backdoor", "bomb", "weapon", "poison", "drug", "explosive")],
+    "academic_dishonesty": [(w,) for w in ("essay", "assignment", "report", "thesis", "dissertation", "homework", "coursework", "quiz", "exam", "test", "question", "problem")],
+    "topic_violation": [(w,) for w in ("weather", "stock", "news", "sports", "movie", "song", "restaurant", "hotel", "book", "order", "buy")],
+}
 REFUSALS = {
     "role_override": "I keep to my role as a course tutor.",
     "dan_prompt": "That mode does not exist here; ask me about the course.",
@@ -83,11 +96,12 @@ def mask_cards(text: Column) -> Column:
 
 def mask_general(text: Column, cards: bool = True) -> Column:
     """Structured entities after the education ones. Persons and places need a recogniser: pass one to safety()."""
-    text = mask_education(text)
-    text = mask_cards(text) if cards else text
+    masked = mask_education(text)
+    masked = mask_cards(masked) if cards else masked
     for name, pattern in GENERAL:
-        text = F.regexp_replace(text, pattern, f"<{name}>")
-    return text
+        masked = F.regexp_replace(masked, pattern, f"<{name}>")
+    # Every pattern needs one of these, and most texts have none.
+    return F.when(F.contains(text, F.lit("@")) | F.contains(text, F.lit("://")) | text.rlike("[0-9]"), masked).otherwise(text)
 
 
 def entity_types(masked: Column) -> Column:
@@ -98,12 +112,16 @@ def entity_types(masked: Column) -> Column:
 
 def _attack(text: Column, rules: list[tuple[str, str]]) -> Column:
     """struct<category, matched> of the first category whose pattern occurs, each pattern run once; null for none."""
-    found = None
-    for category, pattern in reversed(rules):
-        hit = F.regexp_extract(text, "(?i)" + pattern, 0)
-        one = F.struct(F.lit(category).alias("category"), F.substring(hit, 1, 100).alias("matched"))
-        found = F.when(text.rlike("(?i)" + pattern), one) if found is None else F.when(text.rlike("(?i)" + pattern), one).otherwise(found)
-    return F.when(F.trim(text) != "", found)
+    def first(low: Column) -> Column:
+        found = F.lit(None).cast("struct<category:string,matched:string>")
+        for category, pattern in reversed(rules):
+            hit = F.regexp_extract(text, "(?i)" + pattern, 0)
+            cues = CUES[category] if (category, pattern) in ATTACKS else [()]
+            able = reduce(or_, [reduce(and_, [F.contains(low, F.lit(w)) for w in words], F.lit(True)) for words in cues])
+            found = F.when(able & text.rlike("(?i)" + pattern), F.struct(F.lit(category).alias("category"), F.substring(hit, 1, 100).alias("matched"))).otherwise(found)
+        return found
+
+    return F.when(F.trim(text) != "", F.transform(F.array(F.lower(text)), first)[0])
 
 
 def attack_category(text: Column, rules: list[tuple[str, str]] = ATTACKS) -> Column:
