@@ -445,12 +445,44 @@ def _row_grams(seq: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, n
     yield keys | np.uint64(TRIGRAM), rows
 
 
+#: Bits of the map of kept n-grams (32 MB whatever their number) and parts that it is made in.
+MAP_BITS, MAP_PARTS = 28, 64
+
+
+def _bits(key: np.ndarray) -> np.ndarray:
+    return (mix(key) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+
+
+def kept_map(values: DataFrame) -> np.ndarray:
+    """A bit for each hash of a kept n-gram, eight to a byte."""
+    width = (1 << MAP_BITS) // MAP_PARTS
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _bits(batch.column(0).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array((at // width).astype(np.int32)), pa.array((at % width).astype(np.int32))], ["part", "bit"])
+
+    def fill(table: pa.Table) -> pa.Table:
+        bits = np.zeros(width, np.uint8)
+        bits[table["bit"].to_numpy()] = 1
+        return pa.table({"part": table["part"][:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    made = mapped(values.select("key"), place, "part int, bit int").distinct().groupBy("part").applyInArrow(fill, "part int, bits binary").collect()  # MAP_PARTS rows
+    out = np.zeros((MAP_PARTS, width // 8), np.uint8)
+    for r in made:
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
 def joined_values(documents: DataFrame, words: Words, values: DataFrame) -> DataFrame:
-    """(gram_row, grams): the sum of values of a text's n-grams where the table is too large to broadcast."""
-    shared = documents.sparkSession.sparkContext.broadcast(words)
+    """(gram_row, grams): the sum of values of a text's n-grams where the table is too large to broadcast.
+
+    A map of hashes keeps n-grams that are not in the table from the shuffle; what it lets through besides joins nothing.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast((words, kept_map(values)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
+        words, kept = shared.value
         for batch in batches:
             rid = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             buf, off = string_buffers(batch.column(1))
@@ -458,6 +490,9 @@ def joined_values(documents: DataFrame, words: Words, values: DataFrame) -> Data
                 b = LOWER[b]
                 starts, ends, row = word_spans(b, o, SPACED)
                 for keys, rows in _row_grams(*sequences(words.of(words.places(span_hashes(b, starts, ends))), row, j - i)):
+                    at = _bits(keys)
+                    some = (kept[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+                    keys, rows = keys[some], rows[some]
                     order = np.lexsort((keys, rows))
                     keys, rows = keys[order], rows[order]
                     first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])])) if len(keys) else np.zeros(0, np.int64)
