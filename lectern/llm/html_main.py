@@ -93,7 +93,7 @@ def _unwanted(tag: str, attributes: dict[str, str], inside: bool) -> bool:
 
 def _step(tag: str, attributes: dict[str, str]) -> str:
     names = sorted({DIGITS.sub("#", n) for n in attributes.get("class", "").lower().split()})
-    return ".".join([tag, *names[:4]])
+    return ".".join([tag, *names])
 
 
 def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
@@ -327,21 +327,48 @@ def best_path(page: Page) -> str | None:
     return min(scores.items(), key=lambda x: (-x[1], x[0]))[0] if scores else None
 
 
-def blocks_under(page: Page, path: str) -> list[str]:
+#: A container beside the chosen one may be part of the same article if it has this share of its worth and a sentence, and
+#: is if so many of the host's pages that vote for the one have the other beside it.
+LIKE, AGREED = 0.1, 0.5
+SENTENCE = re.compile(r"\w\W+\w+\W.*[.!?\u2026][\"'\u201d\u00bb)]*$", re.DOTALL)
+
+
+def like_beside(page: Page, path: str) -> set[str]:
+    """Paths of containers beside those of a path that have like worth and a sentence: an article may be split over
+    neighbours, a lead and the rest. Article and main elements are whole by declaration and have none."""
+    worth, prose = [0.0] * len(page.path), [False] * len(page.path)
+    for value, text, k in zip(page.worth, page.text, page.container):
+        if k >= 0:
+            worth[k] += value
+            prose[k] = prose[k] or bool(SENTENCE.search(text[-400:]))
+    for k in reversed(range(len(worth))):
+        if page.parent[k] >= 0:
+            worth[page.parent[k]] += worth[k]
+            prose[page.parent[k]] = prose[page.parent[k]] or prose[k]
+    least: dict[int, float] = defaultdict(float)
+    for k, mine in enumerate(page.path):
+        if mine == path and page.bonus[k] < 3:
+            least[page.parent[k]] += LIKE * worth[k]
+    return {page.path[k] for k, beside in enumerate(page.parent) if page.path[k] != path and prose[k] and least.get(beside, 0.0) > 0 and worth[k] >= least[beside]}
+
+
+def blocks_under(page: Page, path: str, beside: set[str] = frozenset()) -> list[str]:
+    """The blocks under the containers of a path, and under those of paths that go with it beside them."""
+    parents = {page.parent[k] for k, mine in enumerate(page.path) if mine == path}
     under = [False] * len(page.path)
     for k, mine in enumerate(page.path):
-        under[k] = mine == path or (page.parent[k] >= 0 and under[page.parent[k]])
+        under[k] = mine == path or (mine in beside and page.parent[k] in parents) or (page.parent[k] >= 0 and under[page.parent[k]])
     return [text for text, k in zip(page.text, page.container) if k >= 0 and under[k]]
 
 
-def extract(page: Page, paths: list[str]) -> str:
-    """The blocks under the first path under which the page has text, else under its own best container, else all."""
+def extract(page: Page, paths: list[str], beside: list[list[str]] | None = None) -> str:
+    """The blocks under the first path under which the page has text, with what goes with it, else under its own best container, else all."""
     there = set(page.path)
-    for path in [p for p in paths if p in there]:
-        if held := blocks_under(page, path):
+    for path, more in zip(paths, beside or [[]] * len(paths)):
+        if path in there and (held := blocks_under(page, path, set(more))):
             return "\n".join(held)
     own = best_path(page)
-    return "\n".join(blocks_under(page, own) if own else page.text)
+    return "\n".join(blocks_under(page, own, like_beside(page, own)) if own else page.text)
 
 
 def host_of(url: Column) -> Column:
@@ -350,32 +377,38 @@ def host_of(url: Column) -> Column:
 
 
 def consensus(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, paths): the paths that at least SHARE of a host's pages vote for, first the one with most votes.
+    """(host, paths, beside): the paths that at least SHARE of a host's pages vote for, first the one with most votes, and what goes with each.
 
     Votes are summed within each task before they are shuffled, so a host with most pages sends few rows.
     """
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        votes: dict[tuple[str, str], int] = defaultdict(int)
+        votes: dict[tuple[str, str, str], int] = defaultdict(int)
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if page and (best := best_path(parse(page))):
-                    votes[host, best] += 1
+                if page and (best := best_path(read := parse(page))):
+                    for beside in ("", *like_beside(read, best)):
+                        votes[host, best, beside] += 1
             if len(votes) > 100_000:
                 yield flushed(votes)
         yield flushed(votes)
 
     def flushed(votes: dict) -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array([h for h, _ in votes], pa.string()), pa.array([p for _, p in votes], pa.string()), pa.array(list(votes.values()), pa.int64())], ["host", "path", "votes"])
+        batch = pa.RecordBatch.from_arrays([*[pa.array([v[i] for v in votes], pa.string()) for i in range(3)], pa.array(list(votes.values()), pa.int64())], ["host", "path", "beside", "votes"])
         votes.clear()
         return batch
 
-    cast = mapped(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")), vote, "host string, path string, votes long")
-    summed = cast.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    cast = mapped(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")), vote, "host string, path string, beside string, votes long")
+    summed = cast.groupBy("host", "path", "beside").agg(F.sum("votes").alias("votes"))
     summed = stored(summed, "host-votes")
-    total = summed.groupBy(F.col("host").alias("whole_host")).agg(F.sum("votes").alias("whole"))
-    top = summed.join(total, F.col("host") == F.col("whole_host")).where(F.col("votes") >= SHARE * F.col("whole"))
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("less"), "path")))
-    return top.groupBy("host").agg(ranked.alias("ranked")).select(F.col("host").alias("voted_host"), F.col("ranked.path").alias("paths"))
+    own = summed.where("beside = ''")
+    total = own.groupBy(F.col("host").alias("whole_host")).agg(F.sum("votes").alias("whole"))
+    top = own.join(total, F.col("host") == F.col("whole_host")).where(F.col("votes") >= SHARE * F.col("whole")).drop("beside", "whole_host")
+    more = summed.where("beside <> ''").select(F.col("host").alias("of_host"), F.col("path").alias("of_path"), "beside", F.col("votes").alias("together"))
+    both = top.join(more, (F.col("host") == F.col("of_host")) & (F.col("path") == F.col("of_path")), "left")
+    goes = F.array_sort(F.array_compact(F.collect_list(F.when(F.col("together") >= AGREED * F.col("votes"), F.col("beside")))))
+    each = both.groupBy("host", "path", "votes").agg(goes.alias("beside"))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("less"), "path", "beside")))
+    return each.groupBy("host").agg(ranked.alias("ranked")).select(F.col("host").alias("voted_host"), F.col("ranked.path").alias("paths"), F.col("ranked.beside").alias("beside"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -390,9 +423,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(parse(page), paths or []) if page else "" for page, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [extract(parse(page), paths or [], beside) if page else "" for page, paths, beside in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
 
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    joined = rows.join(voted, F.col("host") == F.col("voted_host"), "left").select("id", "url", "html", "paths")
+    joined = rows.join(voted, F.col("host") == F.col("voted_host"), "left").select("id", "url", "html", "paths", "beside")
     return mapped(joined, run, f"id {kind}, url string, text string").withColumnsRenamed({"id": id_col, "url": url_col})
