@@ -468,3 +468,27 @@ def test_defined_results_of_odd_rows(spark):
     assert [lang[k] for k in ("3", "4", "5", "6")] == ["und"] * 4
     classes = {(str(r["doc_id"])): r["class_id"] for r in near_duplicates.duplicate_classes(rows).collect()}
     assert classes["1"] == classes["2"] == 1 and classes["3"] == 3 and classes["4"] == 4
+
+
+def test_html_article_in_two_containers_is_whole(spark):
+    split = "<body><nav>menu here</nav><div class='lead'><p>A lead of {0} words, in one sentence.</p></div><div class='rest'><p>" + "The rest goes on with words. " * 6 + "</p></div><div class='note'>tiny</div></body>"
+    many = "<body><div class='{0} w'><p>The story is told here, at some length.</p></div><div class='{1} w'><p>Buy now. It is cheap today.</p></div></body>".format("a b c d story", "a b c d teaser")
+    rows = [(1, "http://one.org/x", split.format(3))] + [(i, "http://host.org/x", split.format(i)) for i in range(2, 12)] + [(20, "http://host.org/y", "<body><div class='lead'><p>Only this.</p></div><div class='rest'><p>And this.</p></div></body>")]
+    got = {r["page_id"]: r["text"] for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    rest = ("The rest goes on with words. " * 6).strip()
+    assert all(got[i] == f"A lead of {3 if i == 1 else i} words, in one sentence.\n{rest}" for i in range(1, 12)) and got[20] == "Only this.\nAnd this."
+    paths = html_main.parse(many).path
+    assert len(set(paths)) == len(paths)  # containers that differ in their fifth class are two
+
+
+def test_threats_and_their_negations():
+    base = toxicity._closed()
+    keys = sorted(base)
+    grammar = toxicity.Grammar(np.array(keys, np.uint64), np.array([base[k][0] for k in keys], np.int8), np.array([base[k][1] for k in keys]), {f: 1.0 for f in toxicity.FRAMES}, np.zeros(3))
+    want = {
+        "You will be killed tonight.": ["plain"], "We are killing you.": ["plain"], "Someone is going to kill them all, and your family too.": ["plain"], "I will kill you.": ["plain"],
+        "I do not want to hurt you.": ["negated"], "You were not killed.": ["negated"], "He said he would kill you.": ["reported"], "You can kill the process with this command.": [], "The frost killed the roses. You were late.": [],
+    }
+    for text, frames in want.items():
+        b = np.frombuffer(text.lower().encode(), np.uint8)
+        assert [m[4] for m in toxicity.matches(grammar, b, np.array([0, len(b)]))] == frames, text
