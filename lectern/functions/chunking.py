@@ -119,16 +119,23 @@ def _fill(blocks: str, above: bool) -> str:
 def image_context(images: DataFrame, blocks: DataFrame) -> DataFrame:
     """Images with the text within 72 pt above and below on the same page: 'above [IMAGE] below', empty without any.
 
-    Blocks fill each side nearest first and are given from the top down.
+    Blocks fill each side nearest first and are given from the top down. Images and blocks meet in strips of a page that
+    are as high as the reach, so a block meets only images near it; of each side no more blocks are gathered than could fit.
     """
-    b = blocks.select("file", "page", F.col("text"), F.col("y0").alias("b0"), F.col("y1").alias("b1"))
-    near = images.join(b, ["file", "page"], "left")
-    above = F.when((F.col("b1") <= F.col("y0")) & (F.col("y0") - F.col("b1") <= REACH_PT), F.col("y0") - F.col("b1"))
-    below = F.when((F.col("b0") >= F.col("y1")) & (F.col("b0") - F.col("y1") <= REACH_PT), F.col("b0") - F.col("y1"))
-    side = lambda d: F.array_sort(F.array_compact(F.collect_list(F.when(d.isNotNull(), F.struct(d.alias("d"), F.col("text"))))))
-    packed = near.groupBy("file", "page", "xref").agg(side(above).alias("up"), side(below).alias("down"))
+    strip = lambda y: F.floor(y / REACH_PT)
+    edges = F.explode(F.array(F.struct(F.lit("up").alias("side"), F.col("y1").alias("edge")), F.struct(F.lit("down").alias("side"), F.col("y0").alias("edge"))))
+    b = blocks.select("file", "page", "text", edges.alias("e")).select("file", "page", "text", "e.side", "e.edge", strip(F.col("e.edge")).alias("strip"))
+    lines = F.explode(F.array(F.struct(F.lit("up").alias("side"), F.col("y0").alias("line"), (F.col("y0") - REACH_PT).alias("end")), F.struct(F.lit("down").alias("side"), F.col("y1").alias("line"), (F.col("y1") + REACH_PT).alias("end"))))
+    wanted = images.select("file", "page", "xref", lines.alias("l")).select("file", "page", "xref", "l.side", "l.line", F.explode(F.array_distinct(F.array(strip(F.col("l.line")), strip(F.col("l.end"))))).alias("strip"))
+    far = F.when(F.col("side") == "up", F.col("line") - F.col("edge")).otherwise(F.col("edge") - F.col("line"))
+    near = wanted.join(b, ["file", "page", "side", "strip"]).withColumn("d", far).where((F.col("d") >= 0) & (F.col("d") <= REACH_PT))
+    place = F.row_number().over(Window.partitionBy("file", "page", "xref", "side").orderBy("d", "text"))
+    fitting = near.withColumn("place", place).where(F.col("place") <= CONTEXT_CHARS)  # each takes a blank at least
+    side = lambda name: F.array_sort(F.array_compact(F.collect_list(F.when(F.col("side") == name, F.struct("d", "text")))))
+    packed = fitting.groupBy("file", "page", "xref").agg(side("up").alias("up"), side("down").alias("down"))
     joined = F.expr(f"concat_ws(' ', nullif({_fill('up', True)}, ''), '[IMAGE]', nullif({_fill('down', False)}, ''))")
-    return packed.select("file", "page", "xref", F.when((F.size("up") == 0) & (F.size("down") == 0), "").otherwise(F.substring(joined, 1, CONTEXT_CHARS)).alias("context"))
+    found = packed.select("file", "page", "xref", F.substring(joined, 1, CONTEXT_CHARS).alias("context"))
+    return images.select("file", "page", "xref").distinct().join(found, ["file", "page", "xref"], "left").withColumn("context", F.coalesce("context", F.lit("")))
 
 
 def multimodal_chunks(images: DataFrame) -> DataFrame:

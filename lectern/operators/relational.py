@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.corpus import batches
+from ..storage import stored
+
 # ---- filters and projections ------------------------------------------------
 
 
@@ -48,7 +51,7 @@ def placed(df: DataFrame, *order: Column, parts: int = 64) -> DataFrame:
     Rows are dealt in ranges of the order; places inside a range are moved by the counts of the ranges before it, so
     no task sees all rows.
     """
-    dealt = df.repartitionByRange(parts, *order).select("*", F.spark_partition_id().alias("part")).persist()
+    dealt = stored(df.repartitionByRange(parts, *order).select("*", F.spark_partition_id().alias("part")), "placed")
     counts = dealt.groupBy("part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # of one row a range
     starts = counts.select(F.col("part").alias("held_part"), before.alias("before"))
@@ -175,6 +178,17 @@ def nested_children(parents: DataFrame, children: DataFrame, key: str, order: li
     return parents.join(packed, key, "left").withColumn(name, F.coalesce(F.col(name), F.array().cast(kind)))
 
 
+def paged_children(parents: DataFrame, children: DataFrame, key: str, order: list[str], fields: list[str], name: str, size: int = 1000) -> DataFrame:
+    """Parents with their children in numbered pages: page (from 0) and an ordered array of size structs at most.
+
+    A parent with many children has many rows, which many tasks number and gather; one without has page 0, empty.
+    """
+    held = children.select(key, *order, *[f for f in fields if f not in order])
+    packed = batches(held, key, order[0], size).groupBy(key, "batch").agg(F.array_sort(F.collect_list(F.struct(*[c for c in held.columns if c != key]))).alias(name))
+    kind = packed.schema[name].dataType
+    return parents.join(packed, key, "left").withColumn(name, F.coalesce(F.col(name), F.array().cast(kind))).withColumn("page", F.coalesce("batch", F.lit(0)).cast("long")).drop("batch")
+
+
 def same_identity(left: DataFrame, right: DataFrame, left_email: str = "email", right_email: str = "email") -> DataFrame:
     """Left rows with the right rows of the same email, whatever the case."""
     r = right.withColumn("identity_key", F.lower(right_email)).drop(right_email)

@@ -118,22 +118,30 @@ def stem(file_name: Column) -> Column:
     return F.regexp_replace(file_name, r"\.[^.]*$", "")
 
 
-#: Leading characters of a citation's stem that are looked up among the parts of file names.
+#: Characters of a citation's stem that are looked up among the parts of file names.
 GRAM = 12
 
 
+def _parts(name: str, size: str) -> Column:
+    """The distinct parts of a name that are so long."""
+    return F.expr(f"if(length({name}) < {size}, array(), array_distinct(transform(sequence(1, length({name}) - {size} + 1), i -> substring({name}, i, {size}))))")
+
+
 def match_citations(citations: DataFrame, materials: DataFrame) -> DataFrame:
     """Citations (citation_id, course_id, file_name, page, excerpt) with the newest ready material whose name holds the stem.
 
-    The start of the stem is joined to the parts of as many characters that names have, with containment of the whole
-    stem as a residual; unmatched citations keep a null material.
+    Of the parts of a stem, the one that the fewest names of the course hold is looked up, with containment of the whole
+    stem as a residual: what many names share, a common start, is no key while a stem has anything else. Unmatched
+    citations keep a null material.
     """
-    named = citations.withColumn("wanted", F.lower(stem(F.col("file_name")))).where("wanted <> ''").select("citation_id", "course_id", "wanted", F.substring("wanted", 1, GRAM).alias("gram"))
-    sizes = [r[0] for r in named.select(F.length("gram")).distinct().collect()]  # at most GRAM of them
+    named = citations.withColumn("wanted", F.lower(stem(F.col("file_name")))).where("wanted <> ''").select("citation_id", "course_id", "wanted", F.least(F.length("wanted"), F.lit(GRAM)).alias("size"))
+    sizes = sorted(r[0] for r in named.select("size").distinct().collect())  # at most GRAM of them
     ready = materials.where("status = 'ready'").select("course_id", "material_id", F.lower("file_name").alias("held_name"))
-    parts = F.concat(F.array().cast("array<string>"), *[F.expr(f"if(length(held_name) < {n}, array(), transform(sequence(1, length(held_name) - {n - 1}), i -> substring(held_name, i, {n})))") for n in sorted(sizes)])
-    ready = ready.select("course_id", "material_id", "held_name", F.explode(F.array_distinct(parts)).alias("gram"))
-    hit = named.join(ready, ["course_id", "gram"]).where(F.contains("held_name", "wanted")).groupBy("citation_id").agg(F.max("material_id").alias("material_id"))
+    parts = ready.select("course_id", "material_id", "held_name", F.explode(F.flatten(F.array(F.array().cast("array<string>"), *[_parts("held_name", str(n)) for n in sizes]))).alias("gram"))
+    often = parts.groupBy("course_id", "gram").agg(F.count("*").alias("names"))
+    asked = named.select("citation_id", "course_id", "wanted", F.explode(_parts("wanted", "size")).alias("gram")).join(often, ["course_id", "gram"])
+    chosen = asked.groupBy("citation_id", "course_id", "wanted").agg(F.min(F.struct("names", "gram"))["gram"].alias("gram"))
+    hit = chosen.join(parts, ["course_id", "gram"]).where(F.contains("held_name", "wanted")).groupBy("citation_id").agg(F.max("material_id").alias("material_id"))
     return citations.join(hit, "citation_id", "left").select("citation_id", "material_id", F.coalesce("page", F.lit(0)).alias("page"), F.substring("excerpt", 1, SNIPPET).alias("snippet"))
 
 

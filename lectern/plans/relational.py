@@ -159,6 +159,16 @@ def j11(v: Views) -> DataFrame:
     return R.hierarchy_violations(v.sql(REGISTRATIONS), v.departments, v.faculties)
 
 
+@query("j13_paged_messages", """
+    WITH n AS (SELECT session_id, concat(CAST(turn AS VARCHAR), ':', role) AS m, turn, role, CAST(floor((row_number() OVER (PARTITION BY session_id ORDER BY turn, role, content) - 1) / 3) AS BIGINT) AS page FROM chat_messages)
+    SELECT s.session_id, coalesce(n.page, 0) AS page, coalesce(string_agg(m, '|' ORDER BY turn, role), '') AS messages FROM chat_sessions s LEFT JOIN n ON s.session_id = n.session_id GROUP BY 1, 2""")
+def j13_paged(v: Views) -> DataFrame:
+    """Messages of a session, three to a page."""
+    paged = R.paged_children(v.chat_sessions.select("session_id"), v.chat_messages, "session_id", ["turn"], ["role", "content"], "messages", 3)
+    shown = F.transform("messages", lambda m: F.concat(m["turn"].cast("string"), F.lit(":"), m["role"]))
+    return paged.select("session_id", "page", F.array_join(shown, "|").alias("messages"))
+
+
 @query("j13_nested_messages", """
     SELECT s.session_id, coalesce(string_agg(concat(CAST(m.turn AS VARCHAR), ':', m.role), '|' ORDER BY m.turn, m.role), '') AS messages
     FROM chat_sessions s LEFT JOIN chat_messages m ON s.session_id = m.session_id GROUP BY s.session_id""")

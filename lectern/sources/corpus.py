@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
-from ..storage import KeyedStore
+from ..storage import KeyedStore, stored
 
 MIN_NATIVE, MIN_PAGE = 50, 10
 BATCH = 100
@@ -90,16 +91,17 @@ def batches(rows: DataFrame, group: str, order: str, size: int = BATCH) -> DataF
     """Adds batch: consecutive runs of size rows of a group in order; ties by all other columns.
 
     Rows are dealt in ranges of the order and numbered inside a range of a group; the rows of a group in the ranges
-    before it are added from counts, so that a large group is numbered by many tasks.
+    before it are added from counts, so that a large group is numbered by many tasks. Ranges of whole numbers follow from
+    the least and greatest one; for orders of any other type Spark's range partitioner samples them, and the dealt rows
+    are stored, so that a task that runs again finds the same ranges.
     """
     rest = [c for c in rows.columns if c not in (group, order)]
-    bounds = rows.where(F.col(order).isNotNull()).agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
-    if isinstance(bounds["low"], int) and bounds["high"] > bounds["low"]:
-        width = max(1, -(-(bounds["high"] - bounds["low"] + 1) // NUMBER_PARTS))
-        part = F.coalesce(F.floor((F.col(order) - bounds["low"]) / width), F.lit(-1))
+    if isinstance(rows.schema[order].dataType, IntegralType):
+        bounds = rows.where(F.col(order).isNotNull()).agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
+        width = max(1, -(-((bounds["high"] or 0) - (bounds["low"] or 0) + 1) // NUMBER_PARTS))
+        dealt = rows.withColumn("part", F.coalesce(F.floor((F.col(order) - (bounds["low"] or 0)) / width), F.lit(-1)).cast("long"))
     else:
-        part = F.lit(0)
-    dealt = rows.withColumn("part", part.cast("long"))
+        dealt = stored(rows.repartitionByRange(NUMBER_PARTS, group, order, *rest).withColumn("part", F.spark_partition_id().cast("long")), "dealt")
     counts = dealt.groupBy(F.col(group).alias("held_group"), F.col("part").alias("held_part")).agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("held_group").orderBy("held_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("held_group", "held_part", before.alias("before"))

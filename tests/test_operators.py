@@ -340,3 +340,42 @@ def test_cues_never_keep_a_pattern_from_its_match(spark):
         assert sum(r["plain"] for r in got) >= len(got) - 1 and all((r["found"] == category) == r["plain"] for r in got), category
     masked = spark.createDataFrame([("no entity here",), ("see http://x.y now",), ("a@b.org",), ("on 2024-01-02",), (None,), ("",)], "t string").select(S.mask_general(F.col("t"))).collect()
     assert [r[0] for r in masked] == ["no entity here", "see <URL> now", "<EMAIL_ADDRESS>", "on <DATE_TIME>", None, ""]
+
+
+def test_image_context_in_strips_matches_all_pairs(spark):
+    rng = np.random.default_rng(21)
+    images = [("f", int(rng.integers(0, 3)), i, float(y), float(y) + float(rng.integers(0, 200))) for i, y in enumerate(rng.uniform(-100, 700, 40))]
+    blocks = [("f", int(rng.integers(0, 3)), f"block {i} " * int(rng.integers(1, 9)), float(y), float(y) + 20) for i, y in enumerate(rng.uniform(-150, 900, 200))]
+    got = {r["xref"]: r["context"] for r in C.image_context(spark.createDataFrame(images, "file string, page int, xref int, y0 double, y1 double"), spark.createDataFrame(blocks, "file string, page int, text string, y0 double, y1 double")).collect()}
+
+    def filled(near, above):
+        text, half = "", C.CONTEXT_CHARS // 2
+        for _, t in sorted(near):
+            more = t if not text else f"{t} {text}" if above else f"{text} {t}"
+            if len(more) > half:
+                if half - len(text) > C.MIN_REST:
+                    part = t[: half - len(text)]
+                    text = (f"{part} {text}" if above else f"{text} {part}").strip(" ")
+                return text
+            text = more
+        return text
+
+    for _, page, xref, y0, y1 in images:
+        up = filled([(y0 - b1, t) for _, p, t, _, b1 in blocks if p == page and 0 <= y0 - b1 <= C.REACH_PT], True)
+        down = filled([(b0 - y1, t) for _, p, t, b0, _ in blocks if p == page and 0 <= b0 - y1 <= C.REACH_PT], False)
+        want = " ".join(x for x in (up, "[IMAGE]", down) if x)[: C.CONTEXT_CHARS] if up or down else ""
+        assert got[xref] == want, xref
+
+
+def test_batches_by_text_are_numbered_by_many_tasks(spark):
+    rows = spark.createDataFrame([("a", f"k{(i * 7919) % 2000:05d}", i % 3) for i in range(2000)] + [("b", "x", 0), ("b", None, 1), (None, "z", 0)], "g string, o string, extra int")
+    got = Src.batches(rows, "g", "o", 30).collect()
+    assert len(got) == 2003 and all(r["batch"] == int(r["o"][1:]) // 30 for r in got if r["g"] == "a")
+    assert sorted(r["batch"] for r in got if r["g"] != "a") == [0, 0, 0]
+
+
+def test_citations_of_names_with_a_common_start(spark):
+    files = [("c", i, f"lecture_notes_of_the_course_{i:04d}.pdf", "ready") for i in range(500)]
+    cites = [(i, "c", f"LECTURE_notes_of_the_course_{i:04d}.txt", 1, "x") for i in range(0, 500, 7)] + [(1000, "c", "lecture_notes_of_the_course_.pdf", 1, "x"), (1001, "c", "lecture_notes_of_another.pdf", 1, "x")]
+    got = {r["citation_id"]: r["material_id"] for r in V.match_citations(spark.createDataFrame(cites, "citation_id int, course_id string, file_name string, page int, excerpt string"), spark.createDataFrame(files, "course_id string, material_id int, file_name string, status string")).collect()}
+    assert got == {**{i: i for i in range(0, 500, 7)}, 1000: 499, 1001: None}
