@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import stored
+from .overlap import drop_overlapping_large
+
 SIZE, OVERLAP = 800, 150
 # Separators in the order in which they are tried.
 SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ", "")
@@ -91,15 +94,32 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != ""))
 
 
-def drop_overlapping(rows: DataFrame, group: str, order: str, text_col: str, ratio: float = OVERLAP_RATIO) -> DataFrame:
+#: Groups up to this size are folded in one row; larger ones are joined.
+FOLD_ROWS = 500
+
+
+def drop_overlapping(rows: DataFrame, group: str, order: str, text_col: str, ratio: float = OVERLAP_RATIO, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """Greedy per group, in order: a row goes if its tokens overlap those of a kept row by the ratio of the smaller set.
 
-    A group is one page's captions, which is bounded; rows without tokens never match.
+    Rows without tokens never match. A page's captions are a small group, which is folded; a group of over fold_rows
+    rows is settled by joins (overlap.drop_overlapping_large), with the same result.
     """
-    packed = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, F.col(text_col).alias("text"), tokens(F.col(text_col)).alias("toks")))).alias("rows"))
+    held = rows.select(group, order, F.col(text_col).alias("text"), tokens(F.col(text_col)).alias("toks"))
+    sizes = held.groupBy(group).agg(F.count("*").alias("n"))
+    large = sizes.where((F.col("n") > fold_rows) & F.col(group).isNotNull()).select(F.col(group).alias("large_group"))
+    if not large.limit(1).count():
+        return _folded(held, group, order, ratio).withColumnRenamed("text", text_col)
+    large = stored(large, "overlap-groups")
+    is_large = F.col(group) == F.col("large_group")
+    joined = drop_overlapping_large(held.join(large, is_large, "left_semi"), group, order, ratio)
+    return _folded(held.join(large, is_large, "left_anti"), group, order, ratio).unionByName(joined).withColumnRenamed("text", text_col)
+
+
+def _folded(held: DataFrame, group: str, order: str, ratio: float) -> DataFrame:
+    packed = held.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, "text", "toks"))).alias("rows"))
     dup = f"exists(acc, k -> size(k.toks) > 0 and size(x.toks) > 0 and size(array_intersect(k.toks, x.toks)) / least(size(k.toks), size(x.toks)) >= {ratio})"
     kept = F.expr(f"aggregate(rows, slice(rows, 1, 0), (acc, x) -> if({dup}, acc, concat(acc, array(x))))")
-    return packed.select(group, F.explode(kept).alias("r")).select(group, F.col(f"r.{order}").alias(order), F.col("r.text").alias(text_col))
+    return packed.select(group, F.explode(kept).alias("r")).select(group, F.col(f"r.{order}").alias(order), F.col("r.text").alias("text"))
 
 
 def _fill(blocks: str, above: bool) -> str:

@@ -379,3 +379,29 @@ def test_citations_of_names_with_a_common_start(spark):
     cites = [(i, "c", f"LECTURE_notes_of_the_course_{i:04d}.txt", 1, "x") for i in range(0, 500, 7)] + [(1000, "c", "lecture_notes_of_the_course_.pdf", 1, "x"), (1001, "c", "lecture_notes_of_another.pdf", 1, "x")]
     got = {r["citation_id"]: r["material_id"] for r in V.match_citations(spark.createDataFrame(cites, "citation_id int, course_id string, file_name string, page int, excerpt string"), spark.createDataFrame(files, "course_id string, material_id int, file_name string, status string")).collect()}
     assert got == {**{i: i for i in range(0, 500, 7)}, 1000: 499, 1001: None}
+
+
+def test_overlap_drop_by_joins_equals_the_fold(spark):
+    rng = np.random.default_rng(31)
+    rows, words = [], [f"w{i}" for i in range(60)]
+    for g in range(3):
+        for i in range(70):
+            n = int(rng.integers(0, 9))
+            text = [str(x) for x in rng.choice(words[: 12 if g == 2 else 60], n)] if n else []
+            if rows and rng.random() < 0.4:  # a near copy or a part of an earlier one
+                text = [w for w in rows[int(rng.integers(0, len(rows)))][2].split(" ") if rng.random() < 0.9] + ([words[int(rng.integers(0, 60))]] if rng.random() < 0.5 else [])
+            rows.append((g, int(rng.integers(0, 60)), " ".join(text)))
+    df = spark.createDataFrame(rows, "g int, o int, text string")
+    fold = sorted(map(tuple, C.drop_overlapping(df, "g", "o", "text").collect()))
+    joined = sorted(map(tuple, C.drop_overlapping(df, "g", "o", "text", fold_rows=69).collect()))
+    assert joined == fold and len(fold) < len(rows)
+
+
+def test_overlap_drop_of_a_large_group_runs_in_many_tasks(spark):
+    n = 20_000  # a third near copies of one text, the rest texts of their own, in one group
+    base = " ".join(f"b{i}" for i in range(12))
+    text = F.when(F.col("id") % 3 == 0, F.concat(F.lit(base + " x"), F.col("id").cast("string"))).otherwise(F.concat_ws(" ", *[F.concat(F.lit(f"t{j}_"), (F.col("id") * (j + 3) % 9973).cast("string"), F.lit("_"), F.col("id").cast("string")) for j in range(4)], F.lit("the"), F.lit("of")))
+    df = spark.range(n).select(F.lit(1).alias("g"), F.col("id").alias("o"), text.alias("text"))
+    got = C.drop_overlapping(df, "g", "o", "text")
+    kept = [r["o"] for r in got.select("o").collect()]
+    assert sorted(kept) == [i for i in range(n) if i % 3 or i == 0]
