@@ -9,6 +9,7 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import pyarrow as pa
@@ -32,12 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_scratch: list[str] = []
+#: The folder that scratch() has opened, for the thread that opened it.
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 def stored(df: DataFrame, what: str, top: str | None = None) -> DataFrame:
     """Write a frame to the shared folder (or to top) and read it back: cuts lineage, survives lost executors."""
-    path = f"{top or (_scratch[-1] if _scratch else shared_dir(df.sparkSession))}/lectern-{what}-{uuid.uuid4().hex}"
+    path = f"{top or _scratch.get() or shared_dir(df.sparkSession)}/lectern-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -52,11 +54,11 @@ def delete(spark: SparkSession, path: str) -> None:
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What is stored inside goes at the end, so whatever is kept of it has to be written before, elsewhere."""
     folder = f"{shared_dir(spark)}/lectern-scratch-{uuid.uuid4().hex}"
-    _scratch.append(folder)
+    opened = _scratch.set(folder)
     try:
         yield
     finally:
-        _scratch.remove(folder)
+        _scratch.reset(opened)
         delete(spark, folder)
 
 

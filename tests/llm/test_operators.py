@@ -492,3 +492,65 @@ def test_threats_and_their_negations():
     for text, frames in want.items():
         b = np.frombuffer(text.lower().encode(), np.uint8)
         assert [m[4] for m in toxicity.matches(grammar, b, np.array([0, len(b)]))] == frames, text
+
+
+def test_quality_rates_match_grouped_sums(spark):
+    """Rates and scores from the evidence of each document, by plain sums over hosts and paths."""
+    docs = [(i, "good words go here in a row. " * (1 + i % 5) if i % 3 else "x#$ " * 9, f"p{i % 2}" if i % 11 else None, f"h{i % 4 if i % 4 < 3 else 7 + i % 8}", 0) for i in range(500)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int")
+    got = {r["doc_id"]: r for r in quality.classify(table, spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(400)], "doc_id long, quality int")).collect()}
+    p = {i: 1 / (1 + math.exp(-got[i]["evidence"])) for i in got}
+    mean = sum(p.values()) / len(p)
+
+    def groups(key):
+        out = {}
+        for i, _, lang, source, _ in docs:
+            out.setdefault(key(lang, source), []).append(p[i])
+        return out
+
+    def strength(found, prior):
+        n = sum(map(len, found.values()))
+        within = sum(sum(x * x for x in v) - sum(v) ** 2 / len(v) for v in found.values())
+        between = sum(len(v) * (sum(v) / len(v) - prior(k)) ** 2 for k, v in found.items())
+        scale = n - sum(len(v) ** 2 for v in found.values()) / n
+        tau2 = (between - within / n * (len(found) - 1)) / scale
+        total = sum(len(v) * prior(k) * (1 - prior(k)) for k, v in found.items()) / n
+        return min(max(total / tau2 - 1, quality.STRENGTH[0]), quality.STRENGTH[1]) if tau2 > 0 else quality.STRENGTH[1]
+
+    hosts, paths = groups(lambda lang, source: source), groups(lambda lang, source: (source, lang))
+    a = strength(hosts, lambda k: mean)
+    host_rate = {k: (sum(v) + a * mean) / (len(v) + a) for k, v in hosts.items()}
+    b = strength(paths, lambda k: host_rate[k[0]])
+    path_rate = {k: (sum(v) + b * host_rate[k[0]]) / (len(v) + b) for k, v in paths.items()}
+    logit = lambda x: math.log(min(max(x, 1e-4), 1 - 1e-4) / (1 - min(max(x, 1e-4), 1 - 1e-4)))
+    for i, _, lang, source, _ in docs:
+        r = got[i]
+        assert math.isclose(r["host_rate"], host_rate[source], rel_tol=1e-6) and math.isclose(r["path_rate"], path_rate[source, lang], rel_tol=1e-6)
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-(r["evidence"] + logit(path_rate[source, lang]) - logit(mean)))), rel_tol=1e-6)
+
+
+def test_near_duplicates_of_a_larger_table_are_found(spark):
+    """Of all pairs of similarity 0.8 and more, by an inverted index of shingles, the share that is in one class."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want = H.near_duplicate_classes(texts)
+    got = {r["doc_id"]: r["class_id"] for r in run(spark, "op2_weighted_minhash", sf).collect()}
+    pairs = [(i, c) for i, c in want.items() if i != c]
+    assert len(pairs) > 20 and sum(got[i] == got[c] for i, c in pairs) >= 0.99 * len(pairs)
+    assert sum(want[i] == want[c] for i, c in got.items()) >= 0.99 * len(got)
+
+
+def test_pipelines_in_two_threads_have_their_own_scratch(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from lectern.llm.shared import scratch, stored
+
+    def one(n):
+        with scratch(spark):
+            kept = stored(spark.range(n), "numbers")
+            with scratch(spark):
+                inner = stored(spark.range(2 * n), "numbers").count()
+            return kept.count(), inner
+
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(one, range(1, 9))) == [(n, 2 * n) for n in range(1, 9)]
