@@ -70,7 +70,7 @@ def packs(df: DataFrame, read: Callable, encode: Callable, rows: int, slots: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for number, arrays in enumerate(regrouped(batches, read, rows)):
-            held = {"pack": [task << 32 | number], "slot": pa.array([(task + number) % slots], pa.int32()), "n": pa.array([len(arrays[0])], pa.int32())}
+            held = {"pack": [task << 32 | number], "slot": pa.array([(1009 * task + number) % slots], pa.int32()), "n": pa.array([len(arrays[0])], pa.int32())}
             yield pa.RecordBatch.from_pydict(held | {k: pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for k, v in zip(names, encode(*arrays))})
 
     return mapped(df, run, "pack long, slot int, n int, " + ", ".join(f"{x} binary" for x in names))
