@@ -405,3 +405,24 @@ def test_overlap_drop_of_a_large_group_runs_in_many_tasks(spark):
     got = C.drop_overlapping(df, "g", "o", "text")
     kept = [r["o"] for r in got.select("o").collect()]
     assert sorted(kept) == [i for i in range(n) if i % 3 or i == 0]
+
+
+def test_rag_scores_match_their_definitions(spark):
+    rng = np.random.default_rng(41)
+    pool = [f"w{i}" for i in range(14)]
+    said = lambda n: " ".join(str(x) for x in rng.choice(pool, n))
+    rows = [(k, said(int(rng.integers(0, 6))), ". ".join(said(int(rng.integers(1, 7))) for _ in range(int(rng.integers(0, 4)))), said(4) if k % 3 == 0 else None, [said(int(rng.integers(1, 9))) for _ in range(int(rng.integers(0, 4)))]) for k in range(150)]
+    got = {r["key"]: r for r in D.rag_scores(spark.createDataFrame(rows, "key int, question string, answer string, reference string, contexts array<string>")).collect()}
+    words = lambda t: set((t or "").lower().split())
+    for key, question, answer, reference, contexts in rows:
+        r, q, a = got[key], words(question), words(answer)
+        if not contexts or not q or not a:
+            assert [r[c] for c in D.RAG_SCORES] == [None] * 4
+            continue
+        ref, held = answer if reference is None else reference, set().union(*map(words, contexts))
+        useful = [len(words(ref) & words(c)) >= D.RELEVANT * len(words(ref)) for c in contexts]
+        precision = sum(sum(useful[: i + 1]) / (i + 1) for i, u in enumerate(useful) if u) / sum(useful) if any(useful) else 0.0
+        parts = lambda t: [s for s in __import__("re").split(r"[.!?\n]+", t) if s.strip(" ")]
+        share = lambda t: sum(len(words(s) & held) / len(words(s)) >= D.COVERED for s in parts(t)) / len(parts(t)) if parts(t) else 0.0
+        want = (precision, share(ref), share(answer), len(q & a) / (len(q) * len(a)) ** 0.5)
+        assert np.allclose([r[c] for c in D.RAG_SCORES], want, atol=1e-12), key
