@@ -133,12 +133,17 @@ def with_fields(df: DataFrame, columns: list[str], more: str) -> T.StructType:
     return T.StructType([df.schema[c] for c in columns] + T.StructType.fromDDL(more).fields)
 
 
+#: Groups that a sample is taken of, at most: the largest ones. Labels are few; a dirty column may hold anything.
+MAX_GROUPS = 1000
+
+
 def hash_sample(df: DataFrame, group: Column, key: Column, per_group: int) -> DataFrame:
     """About per_group rows of each group (all of a smaller one), those with the least hashes of the key.
 
-    Sizes are one row a group; rows are then filtered in place, so no group is ranked or gathered in a task.
+    Sizes are one row a group, of MAX_GROUPS groups; rows are then filtered in place, so no group is ranked or gathered in a task.
     """
-    sizes = {r["g"]: r["n"] for r in df.groupBy(group.alias("g")).agg(F.count("*").alias("n")).collect() if r["g"] is not None}
+    found = df.groupBy(group.alias("g")).agg(F.count("*").alias("n")).where("g is not null").orderBy(F.desc("n"), "g").limit(MAX_GROUPS)
+    sizes = {r["g"]: r["n"] for r in found.collect()}
     if not sizes:
         return df.where("false")
     cuts = F.create_map(*[F.lit(x) for g, n in sorted(sizes.items()) for x in (g, int(min(1.0, per_group / n) * (1 << 20)))])
