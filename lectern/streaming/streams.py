@@ -77,9 +77,10 @@ class StruggleState:
     def _add(self, rows: DataFrame, version: int) -> None:
         """rows: sessions as they are (sign 1) and as they were (sign -1)."""
         counted = rows.where("topic <> ''")
+        exact = F.col("confidence").try_cast("decimal(38,18)")  # sums of doubles would not come back to what they were
         sums = counted.groupBy("course_id", "topic").agg(
-            F.sum("sign").alias("sessions"), F.sum(F.col("sign") * F.col("asked")).alias("asked"), F.sum(F.when(F.col("confidence").isNotNull(), F.col("sign")).otherwise(0)).alias("scored"),
-            F.coalesce(F.sum(F.col("confidence").cast("decimal(20,18)") * F.col("sign").cast("decimal(2,0)")).cast("decimal(38,18)"), F.lit(0).cast("decimal(38,18)")).alias("confidence"))
+            F.sum("sign").alias("sessions"), F.sum(F.col("sign") * F.col("asked")).alias("asked"), F.sum(F.when(exact.isNotNull(), F.col("sign")).otherwise(0)).alias("scored"),
+            F.coalesce(F.sum(F.when(F.col("sign") == 1, exact).otherwise(-exact)), F.lit(0)).cast("decimal(38,18)").alias("confidence"))
         users = counted.where(F.col("user_id").isNotNull() & (F.col("confidence") < STRUGGLE)).groupBy("course_id", "topic", "user_id").agg(F.sum("sign").alias("sessions"))
         self.sums.write(sums, version)
         self.users.write(users.where("sessions <> 0"), version)
