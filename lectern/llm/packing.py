@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mapped, ship, stored
+from .shared import AT_END, mapped, ship, stored
 from .textarrays import chunks, string_buffers
 from .wordcache import WordCache
 
@@ -34,6 +34,7 @@ BLOCK = 4000
 EFFORT = 150
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 _caches: dict[str, WordCache] = {}
+AT_END.append(_caches.clear)  # a tokeniser is read again in an eighth of a second
 
 
 def vocabulary_path(name: str) -> str:

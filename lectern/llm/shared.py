@@ -73,7 +73,7 @@ def held(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 #: Rows in an Arrow batch where the session has Spark's default: texts are long, and a batch stands in memory several times.
-BATCH_ROWS = "1000"
+BATCH_ROWS = "500"
 
 
 def ship(spark: SparkSession) -> None:
@@ -82,7 +82,7 @@ def ship(spark: SparkSession) -> None:
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     if getattr(context, "_lectern_shipped", False):
         return
     top = Path(__file__).resolve().parents[1]
