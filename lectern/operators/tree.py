@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.chunking import node_id
 from ..storage import stored
+from .hooks import hooked
 from .mixture import assign, fit_mixtures
 from .retrieval import cosine, embed, unit
 
@@ -32,11 +33,12 @@ def clusters(vectors: DataFrame) -> DataFrame:
     return assign(vectors, models, "namespace", "chunk_id", "reduced")
 
 
-def digests(members: DataFrame, summarise=None) -> DataFrame:
+def digests(members: DataFrame, summarise=None, hook=None) -> DataFrame:
     """members (namespace, cluster, chunk_id, text, embedding) -> one digest per cluster of two or more.
 
     Extractive: members nearest the centroid first, joined up to the cap; only those that fit are gathered.
-    summarise: optional pandas UDF from the joined text to a digest.
+    summarise: optional pandas UDF from the joined text to a digest. hook: a function of a Series of joined texts; where
+    it fails the extract stands, and text_by says which it is (see hooks.hooked).
     """
     terms = members.select("namespace", "cluster", F.posexplode("embedding").alias("i", "x")).groupBy("namespace", "cluster", "i").agg(F.avg("x").alias("x"))
     centroid = terms.groupBy("namespace", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda z: z["x"]).alias("centre"))
@@ -49,7 +51,10 @@ def digests(members: DataFrame, summarise=None) -> DataFrame:
     placed = nearest.withColumn("before", so_far).where((F.col("before") < MAX_DIGEST) | (F.col("place") <= MAX_SOURCES))
     packed = placed.groupBy("namespace", "cluster").agg(F.first("cluster_size").alias("cluster_size"), F.array_sort(F.collect_list(F.struct("place", F.when(F.col("before") < MAX_DIGEST, F.col("text")).alias("text"), "chunk_id"))).alias("m"))
     text = F.substring(F.array_join(F.transform("m", lambda z: z["text"]), JOINER), 1, MAX_DIGEST)
-    return packed.select("namespace", "cluster", "cluster_size", (summarise(text) if summarise else text).alias("text"), F.slice(F.transform("m", lambda z: z["chunk_id"]), 1, MAX_SOURCES).alias("source_chunk_ids"))
+    made = packed.select("namespace", "cluster", "cluster_size", (summarise(text) if summarise else text).alias("text"), F.slice(F.transform("m", lambda z: z["chunk_id"]), 1, MAX_SOURCES).alias("source_chunk_ids"))
+    if hook is None:
+        return made
+    return hooked(made, "digest", "string", F.col("text"), hook, ["text"]).drop("text").withColumnsRenamed({"digest": "text", "digest_by": "text_by"})
 
 
 def level_stats(assigned: DataFrame) -> DataFrame:
@@ -58,7 +63,7 @@ def level_stats(assigned: DataFrame) -> DataFrame:
     return per.groupBy("namespace").agg(F.sum("n").alias("vectors"), F.count("*").alias("clusters"), F.count_if(F.col("n") >= MIN_MEMBERS).alias("summaries"))
 
 
-def build_tree(leaves: DataFrame, levels: int = MAX_LEVELS, summarise=None, reduce=reduced) -> DataFrame:
+def build_tree(leaves: DataFrame, levels: int = MAX_LEVELS, summarise=None, reduce=reduced, hook=None) -> DataFrame:
     """leaves (namespace, chunk_id, text, embedding) -> all digest nodes, level by level over all namespaces at once.
 
     Stops when fewer than two digests come out of a level. reduce: principal components, or manifold.manifold.
@@ -66,7 +71,7 @@ def build_tree(leaves: DataFrame, levels: int = MAX_LEVELS, summarise=None, redu
     current, nodes = leaves, None
     for level in range(1, levels + 1):
         groups = clusters(reduce(current, min(DIMENSIONS, len(current.select("embedding").first()[0]))))
-        made = digests(current.join(groups, ["namespace", "chunk_id"]), summarise)
+        made = digests(current.join(groups, ["namespace", "chunk_id"]), summarise, hook)
         made = made.withColumn("chunk_id", node_id(F.lit(level), F.col("cluster"), F.col("namespace"))).withColumn("raptor_level", F.lit(level))
         made = stored(made, f"digests-{level}")
         n = made.limit(2).count()

@@ -426,3 +426,11 @@ def test_rag_scores_match_their_definitions(spark):
         share = lambda t: sum(len(words(s) & held) / len(words(s)) >= D.COVERED for s in parts(t)) / len(parts(t)) if parts(t) else 0.0
         want = (precision, share(ref), share(answer), len(q & a) / (len(q) * len(a)) ** 0.5)
         assert np.allclose([r[c] for c in D.RAG_SCORES], want, atol=1e-12), key
+
+
+def test_digest_hook_falls_back_to_the_extract(spark):
+    rows = [("n", i % 2, f"c{i}", f"text {i}", [1.0, float(i)]) for i in range(6)]
+    members = spark.createDataFrame(rows, "namespace string, cluster int, chunk_id string, text string, embedding array<double>")
+    plain = {r["cluster"]: r["text"] for r in T.digests(members).collect()}
+    got = {r["cluster"]: r for r in T.digests(members, hook=lambda texts: [t.upper() if "text 0" in t else None for t in texts]).collect()}
+    assert got[0]["text"] == plain[0].upper() and got[0]["text_by"] == "hook" and got[1]["text"] == plain[1] and got[1]["text_by"] == "default"
