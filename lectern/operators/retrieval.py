@@ -14,6 +14,7 @@ from ..functions.chunking import tokens
 from ..storage import shared_folder, stored
 from .hooks import hooked
 from .shards import beside, sharded
+from .word_hits import best_rows
 
 TOP_VECTORS, TOP_RERANKED, TOP_KEYWORD = 100, 10, 5
 MAX_CONTEXT = 20_000
@@ -86,32 +87,53 @@ def question_words(question: Column) -> Column:
     return F.filter(F.split(F.lower(question), r"\s+"), lambda w: F.length(w) > 2)
 
 
-#: Parts that the distinct question words of a course are dealt in.
-WORD_BLOCKS = 64
+#: Chunks of a course that are scored at once, and questions that they meet at once.
+CHUNK_SHARD, QUESTION_SHARD = 20_000, 20_000
 
 
-def keyword_top_k(questions: DataFrame, chunks: DataFrame, k: int = TOP_KEYWORD) -> DataFrame:
+def keyword_top_k(questions: DataFrame, chunks: DataFrame, k: int = TOP_KEYWORD, chunk_rows: int = CHUNK_SHARD, question_rows: int = QUESTION_SHARD) -> DataFrame:
     """questions (query_id, course_id, question) against chunks (course_id, chunk_id, content, order columns).
 
     Score: how many question words the content holds; only positive scores; ties by chunk order. A question
     without words gets the first k chunks of its course. Chunks that repeat id and content count once.
 
-    A chunk is searched once for each distinct word of its course's questions, however many have it; only words that
-    it holds are then joined to the questions, and the best rows fetch their contents last.
+    Shards of a course's chunks meet its questions, and a shard gives only its k best rows of each question (word_hits);
+    so what is shuffled is the chunks once and few rows a question and shard. The best rows fetch their contents last.
     """
-    q = questions.select("query_id", "course_id", question_words(F.col("question")).alias("words"))
-    asked = q.select("query_id", "course_id", F.explode("words").alias("word")).groupBy("query_id", "course_id", "word").agg(F.count("*").alias("times"))
-    blocks = asked.select("course_id", "word").distinct().groupBy("course_id", F.pmod(F.xxhash64("word"), F.lit(WORD_BLOCKS)).alias("block")).agg(F.collect_set("word").alias("block_words"))
+    q = questions.where("course_id is not null").select("query_id", "course_id", question_words(F.col("question")).alias("words"))
     part = F.xxhash64("content").alias("part")
-    held = chunks.select("course_id", "chunk_id", part, F.lower("content").alias("low")).distinct()
-    hits = held.join(blocks.select("course_id", "block_words"), "course_id").select("course_id", "chunk_id", "part", F.explode(F.expr("filter(block_words, w -> contains(low, w))")).alias("word"))
-    scored = hits.join(asked, ["course_id", "word"]).groupBy("query_id", "course_id", "chunk_id", "part").agg(F.sum("times").cast("int").alias("score"))
+    held = chunks.where("course_id is not null").select("course_id", "chunk_id", part, F.lower("content").alias("low"))
+    asked = q.where("size(words) > 0")
+    blocks = asked.groupBy("course_id").agg(F.ceil(F.count("*") / question_rows).cast("int").alias("blocks"))
+    sizes = stored(held.groupBy("course_id").agg(F.count("*").alias("n")).join(blocks, "course_id"), "keyword-sizes")
+    parts = sizes.select("course_id", "blocks", F.ceil(F.col("n") / chunk_rows).cast("int").alias("shards"))
+    shards = held.where("low is not null").join(F.broadcast(parts), "course_id").withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.col("shards")).cast("int"))
+    shards = shards.select("course_id", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "chunk_id", "part", "low")
+    sent = asked.join(F.broadcast(parts), "course_id").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
+    sent = sent.select("course_id", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "block", "query_id", "words")
+    types = {f.name: f.dataType.simpleString() for f in (*questions.schema.fields, *chunks.schema.fields)}
+
+    def score(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates(["chunk_id", "part"]).sort_values(["chunk_id", "part"])
+        number, ids = pd.factorize(wanted["query_id"])
+        words: list[list[bytes]] = [[] for _ in ids]
+        for i, said in zip(number, wanted["words"]):
+            words[i].extend(w.encode() for w in said)
+        of, at, scores = best_rows([t.encode() for t in rows["low"]], words, k)
+        found = rows[["course_id", "chunk_id", "part"]].iloc[at].reset_index(drop=True)
+        return found.assign(query_id=ids[of], score=scores.astype(np.int32))[["query_id", "course_id", "chunk_id", "part", "score"]]
+
+    key = ["course_id", "shard", "block"]
+    schema = ", ".join(f"{c} {types[c]}" for c in ("query_id", "course_id", "chunk_id")) + ", part long, score int"
+    scored = shards.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(score, schema)
+    wordless = q.where("size(words) = 0").select("query_id", "course_id")
     early = F.row_number().over(Window.partitionBy("course_id").orderBy("chunk_id", "part"))
-    first = held.select("course_id", "chunk_id", "part").withColumn("place", early).where(F.col("place") <= k)
-    wordless = first.join(q.where("size(words) = 0").select("query_id", "course_id"), "course_id").select("query_id", "course_id", "chunk_id", "part", F.lit(0).alias("score"))
-    best = top_k(scored.unionByName(wordless), k)
-    texts = chunks.withColumn("part", part).dropDuplicates(["course_id", "chunk_id", "part"])
-    return best.join(texts, ["course_id", "chunk_id", "part"]).join(questions.select("query_id", "question"), "query_id").drop("part")
+    named = held.join(wordless.select("course_id").distinct(), "course_id", "left_semi").select("course_id", "chunk_id", "part").distinct()
+    first = named.withColumn("place", early).where(F.col("place") <= k).join(wordless, "course_id").select("query_id", "course_id", "chunk_id", "part", F.lit(0).alias("score"))
+    best = stored(top_k(scored.unionByName(first), k), "keyword-best")
+    same = ["course_id", "chunk_id", "part"]
+    texts = chunks.withColumn("part", part).join(best.select(*same).distinct(), same, "left_semi").dropDuplicates(same)
+    return best.join(texts, same).join(questions.select("query_id", "question"), "query_id").drop("part")
 
 
 def stem(file_name: Column) -> Column:

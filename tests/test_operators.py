@@ -1,5 +1,7 @@
 """Hand-checked cases and properties of the operators that SQL does not express, and of edge semantics."""
 
+import re
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,6 +15,7 @@ from lectern.operators import mixture as M
 from lectern.operators import relational as R
 from lectern.operators import retrieval as V
 from lectern.operators import tree as T
+from lectern.operators import word_hits as H
 from lectern.sources import corpus as Src
 
 
@@ -434,3 +437,35 @@ def test_digest_hook_falls_back_to_the_extract(spark):
     plain = {r["cluster"]: r["text"] for r in T.digests(members).collect()}
     got = {r["cluster"]: r for r in T.digests(members, hook=lambda texts: [t.upper() if "text 0" in t else None for t in texts]).collect()}
     assert got[0]["text"] == plain[0].upper() and got[0]["text_by"] == "hook" and got[1]["text"] == plain[1] and got[1]["text_by"] == "default"
+
+
+def test_keyword_search_by_shards_equals_brute_force(spark):
+    r = np.random.default_rng(4)
+    words = ["the", "then", "lathe", "été", "on", "a", "the,", "x yz", "THEN", "gate\tthe", "\n"]
+    text = lambda n: " ".join(words[i] for i in r.integers(0, len(words), n))
+    questions = [(i, ("c1", "c2", "c3", None)[i % 4], text(int(r.integers(0, 7)))) for i in range(60)] + [(90, "c1", None), (91, "c2", "a on"), (92, "c9", "the")]
+    chunks = [("c1" if i % 3 else "c2", int(i // 2), text(int(r.integers(0, 6)))) for i in range(400)] + [("c1", 3, None), (None, 4, "the then")]
+    q = spark.createDataFrame(questions, "query_id long, course_id string, question string")
+    c = spark.createDataFrame(chunks + chunks[:50], "course_id string, chunk_id long, content string")
+    got = {}
+    for row in V.keyword_top_k(q, c, 5, chunk_rows=40, question_rows=7).collect():
+        got.setdefault(row["query_id"], []).append((row["rank"], row["score"], row["chunk_id"]))
+    for key, course, asked in questions:
+        ws = [w for w in re.split(r"[ \t\n\x0b\f\r]+", asked.lower()) if len(w) > 2] if asked is not None else None
+        held = {(i, t) for of, i, t in chunks if of == course and t is not None} if course else set()
+        scored = sorted((-sum(w in t.lower() for w in ws), i) for i, t in held) if ws else []
+        want = [(n + 1, -s, i) for n, (s, i) in enumerate([x for x in scored if x[0] < 0][:5])]
+        if ws or ws is None or not course:
+            assert sorted(got.get(key, [])) == want, key
+
+
+def test_keyword_search_moves_few_rows_a_question(spark):
+    """Words that all texts hold do not make a row of each question and chunk."""
+    q = spark.range(300).select(F.col("id").alias("query_id"), F.lit("c").alias("course_id"), F.concat(F.lit("the word "), F.col("id")).alias("question"))
+    c = spark.range(3000).select(F.lit("c").alias("course_id"), F.col("id").alias("chunk_id"), F.concat(F.lit("the word of "), F.col("id")).alias("content"))
+    number = {b"the": 0, b"word": 1}
+    row, word = H.held_words([b"the words", b"lathe the the", b"no"], number)
+    assert list(zip(row, word)) == [(0, 0), (0, 1), (1, 0)]
+    found = V.keyword_top_k(q, c, 2, chunk_rows=500)
+    assert found.groupBy("query_id").count().where("count = 2").count() == 300
+    assert found.where("query_id = 299").orderBy("rank").first()["chunk_id"] == 299
