@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..storage import Files, shared_folder, stored
-from .shards import SHARD_ROWS, beside, sharded
+from .shards import beside, dealt, sharded
 
 MAX_CLUSTERS, STARTS, ROUNDS = 50, 3, 40
 #: Added to the diagonal of covariances; a fit ends when a round adds less than this to the log likelihood of a row.
 RIDGE, ENOUGH = 1e-4, 1e-3
 #: Groups up to this size are fitted in one task; the rounds of larger ones are Spark jobs over shards. Both do the same.
 TASK_ROWS = 4000
+#: Rows of a group that a task of a round takes: few, as each of them meets every mixture.
+SHARD_ROWS = 10_000
 
 Parameters = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -29,14 +31,34 @@ def log_density(x: np.ndarray, weights: np.ndarray, means: np.ndarray, covs: np.
     return (height[:, None] - 0.5 * (z**2).sum(2)).T
 
 
-def expectation(x: np.ndarray, parameters: Parameters) -> np.ndarray:
-    """What rows add up to under a mixture: log likelihood, then mass, sums and outer products of each component, as one array."""
-    logs = log_density(x, *parameters)
+def features(x: np.ndarray) -> np.ndarray:
+    """One, the entries of each row, and their products: log densities are linear in them, and the sums of a round are sums of them."""
+    i, j = np.triu_indices(x.shape[1])
+    return np.concatenate([np.ones((len(x), 1)), x, x[:, i] * x[:, j]], 1)
+
+
+def expectation(seen: np.ndarray, parameters: Parameters) -> np.ndarray:
+    """What rows add up to under a mixture: log likelihood, then mass, sums and outer products of each component, as one array.
+
+    seen: the features of the rows. Densities of all components and their sums are one matrix product each.
+    """
+    weights, means, covs = parameters
+    k, d = means.shape
+    low = np.linalg.cholesky(covs)
+    inverse = np.linalg.inv(low)
+    precision = np.einsum("kji,kjl->kil", inverse, inverse)
+    linear = np.einsum("kij,kj->ki", precision, means)
+    height = np.log(weights) - 0.5 * d * np.log(2 * np.pi) - np.log(np.diagonal(low, axis1=1, axis2=2)).sum(1) - 0.5 * (linear * means).sum(1)
+    i, j = np.triu_indices(d)
+    logs = seen @ np.concatenate([height[:, None], linear, precision[:, i, j] * np.where(i == j, -0.5, -1.0)], 1).T
     top = logs.max(1, keepdims=True)
-    total = top[:, 0] + np.log(np.exp(logs - top).sum(1))
-    share = np.exp(logs - total[:, None])
-    outer = np.stack([(x * s[:, None]).T @ x for s in share.T])
-    return np.concatenate([[total.sum()], share.sum(0), (share.T @ x).ravel(), outer.ravel()])
+    share = np.exp(logs - top)
+    whole = share.sum(1, keepdims=True)
+    share /= whole
+    sums = share.T @ seen
+    outer = np.empty((k, d, d))
+    outer[:, i, j] = outer[:, j, i] = sums[:, d + 1 :]
+    return np.concatenate([[top.sum() + np.log(whole).sum()], sums[:, 0], sums[:, 1 : d + 1].ravel(), outer.ravel()])
 
 
 def maximisation(sums: np.ndarray, k: int, d: int) -> tuple[float, Parameters]:
@@ -78,9 +100,9 @@ def bic(log_likelihood: float, k: int, d: int, n: int) -> float:
 def fit_mixture(x: np.ndarray, k: int, starts: np.ndarray) -> tuple[float, Parameters]:
     """(log likelihood, parameters) of one start."""
     n, d = x.shape
-    parameters, last = first_parameters(starts, spread_of(n, x.sum(0), x.T @ x), k), -np.inf
+    parameters, last, seen = first_parameters(starts, spread_of(n, x.sum(0), x.T @ x), k), -np.inf, features(x)
     for _ in range(ROUNDS):
-        likelihood, parameters = maximisation(expectation(x, parameters), k, d)
+        likelihood, parameters = maximisation(expectation(seen, parameters), k, d)
         if likelihood - last < ENOUGH * n:
             break
         last = likelihood
@@ -116,7 +138,8 @@ def fit_mixtures(rows: DataFrame, group: str, key: str, vector: str, most: int =
         return pd.DataFrame({group: [frame[group].iloc[0]], "n": [len(x)], "k": [len(p[0])], "parameters": [flat(p)]})
 
     small = sizes.where(F.col("n") <= task_rows).select(F.col(group).alias("small_group"))
-    fitted = held.join(small, F.col(group).eqNullSafe(F.col("small_group"))).drop("small_group").select("*", *ranks).groupBy(group).applyInPandas(fit, schema)
+    fitted = held.join(small, F.col(group).eqNullSafe(F.col("small_group"))).drop("small_group").select("*", *ranks)
+    fitted = dealt(fitted, group).groupBy(group).applyInPandas(fit, schema)
     large = stored(sizes.where(F.col("n") > task_rows), "mixture-large")
     if not large.limit(1).count():
         return fitted
@@ -130,8 +153,8 @@ def _summed(partial: DataFrame, by: list[str], finish, schema: str) -> DataFrame
         one["sums"] = [np.sum(np.stack(frame["sums"].to_numpy()), 0).tolist()]
         return one
 
-    dealt = partial.withColumn("dealt", F.pmod("shard", F.lit(32)))
-    return dealt.groupBy(*by, "dealt").applyInPandas(some, dealt.schema).drop("dealt").groupBy(*by).applyInPandas(lambda frame: finish(some(frame).iloc[0]), schema)
+    parts = partial.withColumn("dealt", F.pmod("shard", F.lit(32)))
+    return parts.groupBy(*by, "dealt").applyInPandas(some, parts.schema).drop("dealt").groupBy(*by).applyInPandas(lambda frame: finish(some(frame).iloc[0]), schema)
 
 
 def _fit_large(held: DataFrame, group: str, key: str, sizes: DataFrame, most: int, shard_rows: int) -> DataFrame:
@@ -166,7 +189,8 @@ def _fit_large(held: DataFrame, group: str, key: str, sizes: DataFrame, most: in
         if not len(frame) or not len(found):
             return pd.DataFrame({c: pd.Series([], dtype="object") for c in (group, "shard", "k", "start", "last", "sums")})
         x = np.stack(frame["x"].to_numpy())
-        sums = [expectation(x, shaped(p, k, x.shape[1])).tolist() for k, p in zip(found["k"], found["parameters"])]
+        seen = features(x)
+        sums = [expectation(seen, shaped(p, k, x.shape[1])).tolist() for k, p in zip(found["k"], found["parameters"])]
         return found[[group, "shard", "k", "start", "last"]].assign(sums=sums)
 
     def renew(r: pd.Series) -> pd.DataFrame:

@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 SHARD_ROWS = 50_000
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows by the hash of their keys in as many tasks as spark.sql.shuffle.partitions says: small groups of much work are not merged into few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def sharded(rows: DataFrame, group: str, key: str, sizes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Adds shard: rows of a group are dealt by the hash of their key to parts of about shard_rows. sizes: (group, n)."""
     parts = sizes.select(F.col(group).alias("shard_group"), F.ceil(F.col("n") / shard_rows).alias("shards"))
@@ -23,4 +28,4 @@ def beside(rows: DataFrame, models: DataFrame, group: str, run: Callable[[pd.Dat
     """run(rows of a shard, model rows of its group) for each shard; the models go to every shard of their group."""
     shards = rows.select(F.col(group).alias("of_group"), F.col("shard").alias("of_shard")).distinct()
     sent = models.join(shards, F.col(group).eqNullSafe(F.col("of_group"))).drop("of_group").withColumnRenamed("of_shard", "shard")
-    return rows.groupBy(group, "shard").cogroup(sent.groupBy(group, "shard")).applyInPandas(run, schema)
+    return dealt(rows, group, "shard").groupBy(group, "shard").cogroup(dealt(sent, group, "shard").groupBy(group, "shard")).applyInPandas(run, schema)

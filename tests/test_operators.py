@@ -5,6 +5,7 @@ import re
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from lectern.functions import chunking as C
@@ -16,6 +17,7 @@ from lectern.operators import relational as R
 from lectern.operators import retrieval as V
 from lectern.operators import tree as T
 from lectern.operators import word_hits as H
+from lectern.operators.shards import beside
 from lectern.sources import corpus as Src
 
 
@@ -469,3 +471,22 @@ def test_keyword_search_moves_few_rows_a_question(spark):
     found = V.keyword_top_k(q, c, 2, chunk_rows=500)
     assert found.groupBy("query_id").count().where("count = 2").count() == 300
     assert found.where("query_id = 299").orderBy("rank").first()["chunk_id"] == 299
+
+
+def test_mixture_sums_are_matrix_products_of_features():
+    """The sums of a round equal those of the densities, row by row, also for means far from zero and flat components."""
+    r = np.random.default_rng(3)
+    x = r.standard_normal((300, 4)) * [1, 0.1, 3, 0.01] + [0, 50, -3, 7]
+    means, covs = x[:3], np.stack([np.diag(v) + 1e-4 for v in r.uniform(0.01, 2, (3, 4))])
+    logs = M.log_density(x, np.array([0.2, 0.3, 0.5]), means, covs)
+    total = np.logaddexp.reduce(logs, 1)
+    share = np.exp(logs - total[:, None])
+    want = np.concatenate([[total.sum()], share.sum(0), (share.T @ x).ravel(), np.einsum("nk,ni,nj->kij", share, x, x).ravel()])
+    assert np.allclose(M.expectation(M.features(x), (np.array([0.2, 0.3, 0.5]), means, covs)), want, rtol=1e-7)
+
+
+def test_groups_of_much_work_are_not_merged_into_one_task(spark):
+    rows = spark.range(40).select((F.col("id") % 20).cast("string").alias("g"), F.col("id").alias("shard"))
+    run = lambda a, b: a.assign(task=TaskContext.get().partitionId())[["g", "task"]]
+    made = beside(rows, spark.range(20).select(F.col("id").cast("string").alias("g")), "g", run, "g string, task int")
+    assert made.select("task").distinct().count() == 4
