@@ -262,32 +262,44 @@ def _split(rows: DataFrame) -> DataFrame:
     return rows.join(ends.select("bucket"), "bucket")
 
 
-def _finer_links(split: DataFrame, texts: DataFrame, idf: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame | None:
-    """Links (a, b, similarity) found among the nodes (node, weight, label) of split buckets; None if there are none."""
-    longs = stored(long_samples(texts, idf), "long-samples")
-    bands = F.array(*[F.xxhash64(F.slice("long", k * FINE_ROWS + 1, FINE_ROWS), F.lit(k)) for k in range(LONG // FINE_ROWS)])
-    rows = longs.select("node", F.explode(bands).alias("bucket")).join(split.select("node", "weight", "label").distinct(), "node")
-    left, links, anchors_each = stored(_split(rows), "fine-rows"), None, 1
+def _bucket_links(left: DataFrame, texts: DataFrame, idf: tuple[np.ndarray, np.ndarray], threshold: float, longs: DataFrame | None = None) -> DataFrame | None:
+    """Links (a, b, similarity) between the groups in each bucket of left (bucket, node, weight, label); None if there are none.
+
+    Every two members of a bucket that stay in different groups are compared, by their longer samples first where these
+    are given. Anchors, of the smallest groups first and four times as many each round, meet all other members and then
+    leave the bucket; the rest of their group stays, as it has not met those of other groups.
+    """
+    left, links, anchors_each = stored(_split(left), "fine-rows"), None, 1
     while left.limit(1).count():
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("node", "bucket"), "node"))
-        anchors = left.withColumn("place", place).where(F.col("place") <= anchors_each)
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy("of_group", F.xxhash64("node", "bucket"), "node"))
+        anchors = left.withColumn("of_group", F.count("*").over(Window.partitionBy("bucket", "label"))).withColumn("place", place).where(F.col("place") <= anchors_each)
         anchors = stored(anchors.select(F.col("bucket").alias("at"), F.col("node").alias("anchor"), F.col("weight").alias("anchor_weight"), F.col("label").alias("anchor_label")), "fine-anchors")
         met = left.join(anchors, (F.col("bucket") == F.col("at")) & (F.col("label") != F.col("anchor_label")))
         pairs = met.where(_fits(threshold, "weight", "anchor_weight")).select(F.least("node", "anchor").alias("a"), F.greatest("node", "anchor").alias("b")).distinct()
-        likely = stored(_agreeing(pairs, longs), "fine-likely")
+        likely = stored(pairs if longs is None else _agreeing(pairs, longs), "fine-likely")
         found = stored(verify(likely, texts.join(_ends(likely), "node", "left_semi"), idf, threshold), "fine-links")
-        heads = anchors.select("at", F.col("anchor_label").alias("label")).distinct()
         if found.limit(1).count():
             links = found if links is None else links.unionByName(found)
-            groups = _joined_groups(found, left)
-            left, heads = _relabelled(left, groups), _relabelled(heads, groups).distinct()
-        # Anchors have met all members of their bucket, and whoever is now in an anchor's group needs no other.
-        heads = heads.select("at", F.col("label").alias("anchor_label"))
-        left = stored(_split(left.join(heads, (F.col("bucket") == F.col("at")) & (F.col("label") == F.col("anchor_label")), "left_anti")), "fine-rows")
-        anchors_each *= 2
+            left = _relabelled(left, _joined_groups(found, left))
+        left = stored(_split(left.join(anchors.select("at", "anchor"), (F.col("bucket") == F.col("at")) & (F.col("node") == F.col("anchor")), "left_anti")), "fine-rows")
+        anchors_each *= 4
     return links
 
 
+def _finer_links(split: DataFrame, texts: DataFrame, idf: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame | None:
+    """Links (a, b, similarity) found among the nodes (bucket, node, weight, label) of split buckets; None if there are none.
+
+    Finer buckets join most groups that belong together; what is still split after that is compared whole.
+    """
+    longs = stored(long_samples(texts, idf), "long-samples")
+    bands = F.array(*[F.xxhash64(F.slice("long", k * FINE_ROWS + 1, FINE_ROWS), F.lit(k)) for k in range(LONG // FINE_ROWS)])
+    rows = longs.select("node", F.explode(bands).alias("bucket")).join(split.select("node", "weight", "label").distinct(), "node")
+    links = _bucket_links(rows, texts, idf, threshold, longs)
+    rest = split if links is None else _relabelled(split, _joined_groups(links, split))
+    more = _bucket_links(rest.select("bucket", "node", "weight", "label"), texts, idf, threshold)
+    return links if more is None else more if links is None else links.unionByName(more)
+
+
 def duplicate_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: id, src (hash of id and text), class_id (least id of its class), n_links, first (src that stays).
 

@@ -554,3 +554,15 @@ def test_pipelines_in_two_threads_have_their_own_scratch(spark):
 
     with ThreadPoolExecutor(4) as pool:
         assert list(pool.map(one, range(1, 9))) == [(n, 2 * n) for n in range(1, 9)]
+
+
+def test_members_of_a_group_still_meet_those_of_others(spark):
+    """A text near a member of a joined group, but not near its anchor, is linked, also where finer buckets do not bring the two together."""
+    text = lambda i: " ".join(f"w{j}" for j in range(i, i + 60))
+    texts = spark.createDataFrame([(n, text(4 * n)) for n in range(3)] + [(3, text(900))], "node long, text string")
+    idf = (np.zeros(0, np.uint64), np.zeros(0))
+    for labels in ((0, 0, 2, 3), (0, 1, 1, 3)):
+        split = spark.createDataFrame([(7, n, 1.0, labels[n]) for n in range(4)], "bucket long, node long, weight double, label long")
+        assert {(r["a"], r["b"]) for r in near_duplicates._bucket_links(split, texts, idf, 0.8).collect()} == {((0, 1), (1, 2))[labels[1] == 0]}
+        rows = near_duplicates._finer_links(split, texts, idf, 0.8).collect()
+        assert {(r["a"], r["b"]) for r in rows} == {((0, 1), (1, 2))[labels[1] == 0]}
