@@ -490,3 +490,11 @@ def test_groups_of_much_work_are_not_merged_into_one_task(spark):
     run = lambda a, b: a.assign(task=TaskContext.get().partitionId())[["g", "task"]]
     made = beside(rows, spark.range(20).select(F.col("id").cast("string").alias("g")), "g", run, "g string, task int")
     assert made.select("task").distinct().count() == 4
+
+
+def test_visible_totals_equal_sums_of_pairs(spark):
+    courses = spark.createDataFrame([(i, i % 3 if i % 5 else None) for i in range(30)], "course_id long, department_id long")
+    hierarchy = spark.createDataFrame([(0, 1), (1, 1), (2, 2)], "department_id long, university_id long")
+    people = spark.createDataFrame([(1, "student", 1, 0), (2, "student", 2, 0), (3, "lecturer", 1, None), (4, "admin", 1, 1), (5, "lecturer", None, 1), (5, "student", 2, 2), (3, "lecturer", 2, None)], "user_id long, role string, university_id long, department_id long")
+    want = R.visible_courses(courses, hierarchy, people).groupBy("user_id").agg(F.count("*").alias("n"), F.sum("course_id").alias("s"))
+    assert sorted(map(tuple, R.visible_totals(courses, hierarchy, people).collect())) == sorted(map(tuple, want.collect()))
