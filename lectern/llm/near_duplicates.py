@@ -5,8 +5,8 @@ words in under RARE of all documents is clipped to 1). Each text is sampled SAMP
 weights; samples are banded. Texts with equal shingles form one node first. In every bucket the node that shares
 most buckets with others is the anchor, and all members are verified against it by exact weighted Jaccard
 similarity. Members that are then still in different groups are sampled further and dealt into finer buckets by
-those samples, where anchors are drawn anew, twice as many each round, until no bucket has members of two groups
-that no anchor has met. Classes are the connected components of verified links.
+those samples, where members meet those of other groups; what is still split after that is compared whole, by anchors
+that meet all others before they leave, until no bucket has members of two groups that have not met. Classes are the connected components of verified links.
 """
 
 from __future__ import annotations
