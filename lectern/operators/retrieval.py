@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,7 +14,8 @@ from pyspark.sql.window import Window
 from ..functions.chunking import tokens
 from ..storage import shared_folder, stored
 from .hooks import hooked
-from .shards import beside, sharded
+from .shards import beside, dealt, sharded
+from .vector_hits import best_products
 from .word_hits import best_rows
 
 TOP_VECTORS, TOP_RERANKED, TOP_KEYWORD = 100, 10, 5
@@ -53,6 +55,47 @@ def top_k(scored: DataFrame, k: int, score: str = "score", tie: str = "chunk_id"
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Vectors of a namespace that are scored at once, and queries that they meet at once.
+VECTOR_SHARD, QUERY_SHARD = 10_000, 10_000
+
+
+def _met(queries: DataFrame, vectors: DataFrame, vector_rows: int, query_rows: int) -> tuple:
+    """Groups of queries and of vectors for a cogroup: shards of a namespace's vectors, by hash, each meet all blocks of its queries. Columns are in row, and shards there says how many a namespace has."""
+    key = ["namespace", "shard", "block"]
+    blocks = queries.groupBy("namespace").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("blocks"))
+    sizes = vectors.groupBy("namespace").agg(F.ceil(F.count("*") / vector_rows).cast("int").alias("shards"))
+    parts = stored(sizes.join(blocks, "namespace"), "vector-shards")
+    v = vectors.join(F.broadcast(parts), "namespace").withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.col("shards")).cast("int"))
+    v = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    q = queries.join(F.broadcast(parts), "namespace").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
+    q = q.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("blocks")
+    q, v = (x.select(F.struct(*[c for c in x.columns if c not in key]).alias("row"), *[F.col(c).alias(f"{side}_{c}") for c in key]) for side, x in (("q", q), ("v", v)))  # own names: both sides may come of one table
+    return tuple(dealt(x, *on).groupBy(*on) for x, on in ((q, [f"q_{c}" for c in key]), (v, [f"v_{c}" for c in key])))
+
+
+def _rows(table: pa.Table) -> pa.Table:
+    return pa.Table.from_struct_array(table["row"])
+
+
+def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 9, vector_rows: int = VECTOR_SHARD, query_rows: int = QUERY_SHARD) -> DataFrame:
+    """(query_id, chunk_id, score, rank): of all vectors of a query's namespace the k of the largest rounded cosine, ties by chunk_id.
+
+    A shard of vectors gives only its k best rows of each query; what is shuffled is the vectors once for each block of
+    queries, the queries once a shard, and those rows.
+    """
+    q = queries.where("namespace is not null").select("namespace", "query_id", unit(F.col("embedding")).alias("q"))
+    v = vectors.where("namespace is not null").select("namespace", "chunk_id", unit(F.col("embedding")).alias("v"))
+
+    def score(asked: pa.Table, held: pa.Table) -> pa.Table:
+        asked, held = _rows(asked), _rows(held).sort_by("chunk_id")
+        of, at, product = best_products(asked["q"], held["v"], k, digits)
+        return pa.table({"query_id": asked["query_id"].take(pa.array(of)), "chunk_id": held["chunk_id"].take(pa.array(at)), "score": product})
+
+    types = [queries.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString()]
+    asked, held = _met(q, v, vector_rows, query_rows)
+    return top_k(asked.cogroup(held).applyInArrow(score, f"query_id {types[0]}, chunk_id {types[1]}, score double"), k)
+
+
 def overlap_score(question: Column, text: Column) -> Column:
     """Share of the question's distinct words that the text has."""
     q = tokens(question)

@@ -50,8 +50,7 @@ TOP = "SELECT query_id, chunk_id, CAST(rank AS INT) AS rank, round(score, 6) AS
 
 
 def _top(v: Views, k: int) -> DataFrame:
-    scored = R.vector_scores(v.sql(VECTOR_QUERIES), v.vectors).withColumn("score", F.round("score", 9))
-    return R.top_k(scored, k).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return R.exact_top_k(v.sql(VECTOR_QUERIES), v.vectors, k).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query("k1_vector_top_100", TOP.format(SCORED, 100))

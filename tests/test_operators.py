@@ -107,6 +107,23 @@ def test_embedding_is_unit_and_deterministic(spark):
     assert np.allclose(got[1], got[2]) and all(abs(np.linalg.norm(x) - 1) < 1e-5 for x in got.values())
 
 
+def test_shards_of_vectors_give_the_best_of_all(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    rows = [(("a", "b", None)[i % 7 % 3], f"c{i:03}", rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(300)]
+    rows += [("a", "null", None), ("a", "short", [1.0]), ("b", "nan", [float("nan"), 1.0, 1.0, 1.0]), ("b", "hole", [1.0, None, 1.0, 1.0]), ("few", "zero", [0.0] * 4), ("few", "none", None)]
+    vectors = spark.createDataFrame(rows, "namespace string, chunk_id string, embedding array<double>")
+    queries = vectors.where("pmod(hash(chunk_id), 6) = 0 or namespace = 'few' or chunk_id in ('null', 'nan', 'short')").withColumnRenamed("chunk_id", "query_id")
+    queries = queries.unionByName(queries.limit(3)).unionByName(spark.createDataFrame([("nowhere", "q", [1.0] * 4)], queries.schema))
+    table = lambda df: sorted(map(repr, df.select("query_id", "chunk_id", "rank", "score").collect()))
+    want = table(V.top_k(V.vector_scores(queries, vectors).withColumn("score", F.round("score", 9)), 7))
+    for vector_rows, query_rows in ((10_000, 10_000), (40, 15), (3, 2)):
+        assert table(V.exact_top_k(queries, vectors, 7, 9, vector_rows, query_rows)) == want
+    plan = V.exact_top_k(queries, vectors, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "zip_with" not in plan  # no row a pair
+
+
 def recall_and_share(spark, queries, vectors):
     index = V.build_index(vectors)
     scored = V.vector_scores(queries, vectors)
