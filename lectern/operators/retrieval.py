@@ -15,7 +15,7 @@ from ..functions.chunking import tokens
 from ..storage import shared_folder, stored
 from .hooks import hooked
 from .shards import beside, dealt, sharded
-from .vector_hits import best_products
+from .vector_hits import best_products, nearest_sketches
 from .word_hits import best_rows
 
 TOP_VECTORS, TOP_RERANKED, TOP_KEYWORD = 100, 10, 5
@@ -377,33 +377,56 @@ def build_index(vectors: DataFrame) -> VectorIndex:
     return VectorIndex(cells, vectors.sparkSession.read.schema(placed.schema).parquet(path))
 
 
-def probed_cells(index: VectorIndex, queries: DataFrame) -> DataFrame:
-    """(namespace, query_id, cell): the cells that each query reads, nearest first as many as its namespace needs."""
-    name, kind = queries.schema["query_id"].dataType.simpleString(), queries.schema["embedding"].dataType.simpleString()
+#: Rows of a namespace whose sketches a task holds, and queries that it answers.
+SKETCH_SHARD, SKETCH_QUERIES = 200_000, 20_000
+
+
+def _near_cells(index: VectorIndex, queries: DataFrame, kind: str) -> DataFrame:
+    """(namespace, query_id, embedding, cells): the cells that each query reads, nearest first as many as its namespace needs; as numbers (array<int>) or a bit each (binary)."""
+    name, vector = queries.schema["query_id"].dataType.simpleString(), queries.schema["embedding"].dataType.simpleString()
     asked = queries.where("embedding is not null").select("namespace", "query_id", "embedding")
     shards = sharded(asked, "namespace", "query_id", asked.groupBy("namespace").agg(F.count("*").alias("n")))
 
     def look(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(model):  # a namespace without vectors
-            return pd.DataFrame({c: pd.Series([], dtype="object") for c in ("namespace", "query_id", "embedding", "cell")})
+            return pd.DataFrame({c: pd.Series([], dtype="object") for c in ("namespace", "query_id", "embedding", "cells")})
         x = _unit_rows(rows["embedding"])
         centres = np.asarray(model["centres"].iloc[0]).reshape(-1, x.shape[1])
         near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, : int(model["probes"].iloc[0])]
-        return rows[["namespace", "query_id", "embedding"]].assign(cell=near.astype(np.int32).tolist())
+        if kind == "binary":
+            read = np.zeros((len(x), len(centres)), bool)
+            np.put_along_axis(read, near, True, 1)
+            return rows[["namespace", "query_id", "embedding"]].assign(cells=[r.tobytes() for r in np.packbits(read, axis=1)])
+        return rows[["namespace", "query_id", "embedding"]].assign(cells=near.astype(np.int32).tolist())
 
-    found = beside(shards, index.cells.select("namespace", "probes", "centres"), "namespace", look, f"namespace string, query_id {name}, embedding {kind}, cell array<int>")
-    return found.select("namespace", "query_id", "embedding", F.explode("cell").alias("cell"))
+    return beside(shards, index.cells.select("namespace", "probes", "centres"), "namespace", look, f"namespace string, query_id {name}, embedding {vector}, cells {kind}")
 
 
-def approximate_candidates(queries: DataFrame, index: VectorIndex, n: int) -> DataFrame:
-    """(query_id, chunk_id, q, v): of the vectors in the cells that a query reads, the n whose sketches differ least from its own."""
-    q = sketches(probed_cells(index, queries)).select("namespace", "cell", "query_id", unit(F.col("embedding")).alias("q"), F.col("sketch").alias("query_sketch"))
-    differ = F.aggregate(F.zip_with("sketch", "query_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    met = index.vectors.select("namespace", "cell", "chunk_id", "sketch").join(q.drop("q"), ["namespace", "cell"]).select("query_id", "namespace", "cell", "chunk_id", differ.alias("differ"))
+def probed_cells(index: VectorIndex, queries: DataFrame) -> DataFrame:
+    """(namespace, query_id, cell): the cells that each query reads."""
+    return _near_cells(index, queries, "array<int>").select("namespace", "query_id", F.explode("cells").alias("cell"))
+
+
+def approximate_candidates(queries: DataFrame, index: VectorIndex, n: int, k: int | None = None, row_shard: int = SKETCH_SHARD, query_rows: int = SKETCH_QUERIES) -> DataFrame:
+    """(query_id, chunk_id, score): of the vectors in the cells that a query reads, the n whose sketches differ least from its own, ties by chunk_id.
+
+    A task compares the sketches of a shard of rows with those of a block of queries in memory and gives n rows of each
+    query; with k, and where a namespace has one shard, only the k best of them.
+    """
+    q = sketches(_near_cells(index, queries, "binary")).where("namespace is not null").select("namespace", "query_id", "embedding", "sketch", "cells")
+    v = index.vectors.where("namespace is not null").select("namespace", "cell", "chunk_id", "embedding", "sketch")
+
+    def near(asked: pa.Table, held: pa.Table) -> pa.Table:
+        asked, held = _rows(asked), _rows(held).sort_by([("cell", "ascending"), ("chunk_id", "ascending")])
+        whole = k is not None and held.num_rows > 0 and held["shards"][0].as_py() == 1
+        of, at, differ, score = nearest_sketches(asked, held, n, k if whole else None)
+        return pa.table({"query_id": asked["query_id"].take(pa.array(of)), "chunk_id": held["chunk_id"].take(pa.array(at)), "differ": pa.array(differ, pa.int32()), "score": pa.array(score, pa.float64())})
+
+    types = [queries.schema["query_id"].dataType.simpleString(), index.vectors.schema["chunk_id"].dataType.simpleString()]
+    asked, held = _met(q, v, row_shard, query_rows)
+    met = asked.cogroup(held).applyInArrow(near, f"query_id {types[0]}, chunk_id {types[1]}, differ int, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("differ", "chunk_id"))
-    near = met.withColumn("place", place).where(F.col("place") <= n)
-    near = near.join(index.vectors.select("namespace", "cell", "chunk_id", unit(F.col("embedding")).alias("v")), ["namespace", "cell", "chunk_id"])
-    return near.join(q.select("namespace", "cell", "query_id", "q"), ["namespace", "cell", "query_id"]).select("query_id", "chunk_id", "q", "v")
+    return met.withColumn("place", place).where(F.col("place") <= n).select("query_id", "chunk_id", "score")
 
 
 def approximate_top_k(queries: DataFrame, vectors: DataFrame | VectorIndex, k: int, candidates: int = CANDIDATES) -> DataFrame:
@@ -415,8 +438,7 @@ def approximate_top_k(queries: DataFrame, vectors: DataFrame | VectorIndex, k: i
     namespace without vectors find nothing.
     """
     index = vectors if isinstance(vectors, VectorIndex) else build_index(vectors)
-    dot = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda s, z: s + z)
-    return top_k(approximate_candidates(queries, index, k * candidates).select("query_id", "chunk_id", dot.alias("score")), k)
+    return top_k(approximate_candidates(queries, index, k * candidates, k), k)
 
 
 def read_share(index: VectorIndex, queries: DataFrame) -> float:

@@ -56,3 +56,66 @@ def best_products(queries: pa.ChunkedArray, vectors: pa.ChunkedArray, k: int, di
         return np.zeros(0, int), np.zeros(0, int), pa.array([], pa.float64())
     score = -np.concatenate(keys)
     return np.concatenate(of), np.concatenate(at), pa.array(np.where(score == np.inf, np.nan, score), mask=score == -np.inf)
+
+
+def unit_rows(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length at length 1, in double; those without length, or with a null entry, are zero."""
+    column = column.combine_chunks()
+    flat = column.flatten()
+    x = flat.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False).reshape(len(column), -1).copy()
+    if flat.null_count:
+        x[flat.is_null().to_numpy(zero_copy_only=False).reshape(x.shape).any(1)] = 0
+    length = np.sqrt(np.cumsum(x * x, axis=1)[:, -1:])
+    return np.where(length == 0, 0.0, x / np.where(length == 0, 1.0, length))
+
+
+def _words(column: pa.ChunkedArray) -> np.ndarray:
+    """Sketches: one row of numbers for each place in them."""
+    column = column.combine_chunks()
+    return np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(column), -1).T)
+
+
+#: Pairs whose sketches are in memory at once, and more than any two differ by.
+SKETCH_PAIRS, FAR = 500_000, np.iinfo(np.int16).max
+
+
+def nearest_sketches(queries: pa.Table, rows: pa.Table, n: int, k: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, bits that differ, cosine) of the n rows with the nearest sketches in the cells that each query reads; with k, the k best of these.
+
+    queries: (query_id, embedding, sketch, cells), rows: (cell, chunk_id, embedding, sketch) by cell. Queries that read like
+    cells are taken together, and only the cells that one of them reads are looked at.
+    """
+    none = np.zeros(0, int)
+    if not queries.num_rows or not rows.num_rows:
+        return none, none, none, none.astype(float)
+    q, v, asked, held = unit_rows(queries["embedding"]), unit_rows(rows["embedding"]), _words(queries["sketch"]), _words(rows["sketch"])
+    cell = rows["cell"].to_numpy()
+    rank = np.empty(len(v), np.int64)
+    rank[pc.sort_indices(rows["chunk_id"]).to_numpy()] = np.arange(len(v))
+    bits = queries["cells"].to_pylist()
+    order = np.array(sorted(range(len(bits)), key=bits.__getitem__))
+    bits = np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1)
+    step = max(1, SKETCH_PAIRS // len(v))
+    out = []
+    for i in range(0, len(order), step):
+        some = order[i : i + step]
+        reads = np.unpackbits(bits[some], axis=1).astype(bool)
+        at = np.flatnonzero(reads.any(0)[cell])
+        if not len(at):
+            continue
+        differ = np.zeros((len(some), len(at)), np.int16)
+        for a, b in zip(asked, held):
+            differ += np.bitwise_count(a[some][:, None] ^ b[at][None])
+        differ[~reads[:, cell[at]]] = FAR
+        row, column = lowest(differ, n, rank[at])
+        far = differ[row, column]
+        there = far < FAR
+        row, column, far = row[there], at[column[there]], far[there]
+        score = np.cumsum(q[some[row]] * v[column], axis=1)[:, -1]  # in order of the entries, so that equal vectors have equal scores
+        if k is not None:
+            best = np.lexsort((rank[column], -score, row))
+            row, column, far, score = row[best], column[best], far[best], score[best]
+            few = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, column, far, score = row[few], column[few], far[few], score[few]
+        out.append((some[row], column, far, score))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (none, none, none, none.astype(float))

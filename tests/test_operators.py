@@ -124,6 +124,28 @@ def test_shards_of_vectors_give_the_best_of_all(spark):
     assert "SortMergeJoin" not in plan and "zip_with" not in plan  # no row a pair
 
 
+def test_sketches_are_compared_without_rows_of_pairs(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(9)
+    rows = [("ab"[i % 2], f"c{i:03}", rng.normal(size=8).tolist()) for i in range(500)]
+    vectors = spark.createDataFrame(rows + [("a", f"same{i}", [1.0] * 8) for i in range(40)] + [("a", "hole", [1.0, None] * 4), ("a", "zero", [0.0] * 8)], "namespace string, chunk_id string, embedding array<double>")
+    queries = vectors.where("pmod(hash(chunk_id), 9) = 0 or chunk_id in ('same3', 'zero', 'hole')").withColumnRenamed("chunk_id", "query_id")
+    index = V.build_index(vectors)
+    q = V.sketches(V._near_cells(index, queries, "array<int>")).select("namespace", "query_id", F.explode("cells").alias("cell"), F.col("embedding").alias("e"), F.col("sketch").alias("s"))
+    bits = F.aggregate(F.zip_with("sketch", "s", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    dot = F.aggregate(F.zip_with(V.unit(F.col("embedding")), V.unit(F.col("e")), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    met = index.vectors.join(q, ["namespace", "cell"]).select("query_id", "chunk_id", bits.alias("differ"), dot.alias("score"))
+    table = lambda df: sorted(map(repr, df.select("query_id", "chunk_id", "score").collect()))
+    want = V.top_k(met.withColumn("less", -F.col("differ")), 30, "less").drop("rank", "less")
+    for row_shard, query_rows in ((10_000, 10_000), (60, 9)):
+        got = V.approximate_candidates(queries, index, 30, row_shard=row_shard, query_rows=query_rows)
+        assert table(got) == table(want)
+        assert table(V.top_k(V.approximate_candidates(queries, index, 30, 4, row_shard, query_rows), 4)) == table(V.top_k(want, 4))
+    plan = V.approximate_candidates(queries, index, 30)._jdf.queryExecution().executedPlan().toString()
+    assert "bit_count" not in plan and "Generate explode(cell" not in plan  # no row a pair, or a query and cell
+
+
 def recall_and_share(spark, queries, vectors):
     index = V.build_index(vectors)
     scored = V.vector_scores(queries, vectors)
