@@ -4,9 +4,8 @@ A shingle is five words; its weight is its count times 1 + the mean idf of its w
 words in under RARE of all documents is clipped to 1). Each text is sampled SAMPLES times, consistently for its
 weights; samples are banded. Texts with equal shingles form one node first. In every bucket the node that shares
 most buckets with others is the anchor, and all members are verified against it by exact weighted Jaccard
-similarity. Members that are then still in different groups are sampled further and dealt into finer buckets by
-those samples, where members meet those of other groups; what is still split after that is compared whole, by anchors
-that meet all others before they leave, until no bucket has members of two groups that have not met. Classes are the connected components of verified links.
+similarity. In buckets whose members are then still in different groups, every two of different groups are compared, in
+memory: by longer samples first, then by their shingles; pairs never become rows. Classes are the connected components of verified links.
 """
 
 from __future__ import annotations
@@ -17,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .components import components
 from .shared import mapped, stored, without
@@ -27,11 +25,11 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
 SAMPLES = BANDS * ROWS
-#: Longer samples, drawn only for the texts of buckets that stars left split; how many must agree before texts are
-#: compared: four standard deviations under what similarity 0.8 gives, which turns down 3 of 100,000 such pairs.
-LONG, LONG_AGREE = 512, 373
-#: Finer buckets: 42 bands of 12 longer samples, which two texts of similarity 0.8 share with probability 0.95, and of 0.85 with 0.998.
-FINE_ROWS = 12
+#: Longer samples, drawn only for the texts of buckets that stars left split; how many must agree before their shingles are
+#: compared: six standard deviations under what similarity 0.8 gives, which turns down about one of 10**8 such pairs.
+LONG, LONG_AGREE = 256, 166
+#: Members of a bucket, and bytes of their shingles, that a task compares with as many others at once; larger buckets are dealt in blocks that meet each other.
+BLOCK_ROWS, BLOCK_BYTES = 4000, 100_000_000
 #: Words in at least this share of documents have their own idf; there are at most (mean distinct words) / RARE.
 RARE = 1e-3
 #: Node lists up to this many rows (16 bytes each) are broadcast to fetch their texts.
@@ -200,8 +198,8 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: tuple[np.ndarray, np.ndarray
     return mapped(joined.select("a", "b", "text_a", "text_b"), run, "a long, b long, similarity double")
 
 
-def long_samples(texts: DataFrame, idf: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(node, long): LONG samples of each text."""
+def profiles(texts: DataFrame, idf: tuple[np.ndarray, np.ndarray], samples: bool) -> DataFrame:
+    """(node, keys, weights, long) of each text: its shingles, and a byte of each of LONG samples (none: no bytes)."""
     shared = texts.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,11 +207,12 @@ def long_samples(texts: DataFrame, idf: tuple[np.ndarray, np.ndarray]) -> DataFr
             buf, off = string_buffers(batch.column(1))
             for i, j, b, o in chunks(buf, off, 1 << 18):
                 row, key, weight = shingles(lower_latin(b), o, shared.value)
-                starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                drawn = (sample(starts, key, weight, LONG) & np.uint64(0x7FFFFFFF)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(list(drawn), pa.list_(pa.int32()))], ["node", "long"])
+                starts = np.searchsorted(row, np.arange(j - i + 1))
+                drawn = sample(starts[:-1], key, weight, LONG).astype(np.uint8) if samples else np.zeros((j - i, 0), np.uint8)
+                parts = [[x[p:q].tobytes() for p, q in zip(starts, starts[1:])] for x in (key, weight)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *[pa.array(x, pa.binary()) for x in (*parts, [d.tobytes() for d in drawn])]], ["node", "keys", "weights", "long"])
 
-    return mapped(texts.select("node", "text"), run, "node long, long array<int>")
+    return mapped(texts.select("node", "text"), run, "node long, keys binary, weights binary, long binary")
 
 
 def _texts(documents: DataFrame, nodes: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -234,13 +233,6 @@ def _fits(threshold: float, a: str, b: str) -> Column:
     return F.least(a, b) / F.greatest(a, b) >= threshold - 1e-9
 
 
-def _agreeing(pairs: DataFrame, longs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose longer samples agree often enough."""
-    agree = F.expr("aggregate(zip_with(long_a, long_b, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x)")
-    both = pairs.join(longs.select(F.col("node").alias("a"), F.col("long").alias("long_a")), "a").join(longs.select(F.col("node").alias("b"), F.col("long").alias("long_b")), "b")
-    return both.where(agree >= LONG_AGREE).select("a", "b")
-
-
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
@@ -262,42 +254,70 @@ def _split(rows: DataFrame) -> DataFrame:
     return rows.join(ends.select("bucket"), "bucket")
 
 
-def _bucket_links(left: DataFrame, texts: DataFrame, idf: tuple[np.ndarray, np.ndarray], threshold: float, longs: DataFrame | None = None) -> DataFrame | None:
-    """Links (a, b, similarity) between the groups in each bucket of left (bucket, node, weight, label); None if there are none.
+def block_links(table: pa.Table, threshold: float) -> list[tuple[int, int, float]]:
+    """Links (a, b, similarity) between members (slot, node, weight, label, buckets, keys, weights, long) of different groups of one bucket.
 
-    Every two members of a bucket that stay in different groups are compared, by their longer samples first where these
-    are given. Anchors, of the smallest groups first and four times as many each round, meet all other members and then
-    leave the bucket; the rest of their group stays, as it has not met those of other groups.
+    Members of one slot meet each other, those of two slots those of the other. A pair is compared in the first bucket
+    that holds both, unless links found here have joined its groups already.
     """
-    left, links, anchors_each = stored(_split(left), "fine-rows"), None, 1
-    while left.limit(1).count():
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy("of_group", F.xxhash64("node", "bucket"), "node"))
-        anchors = left.withColumn("of_group", F.count("*").over(Window.partitionBy("bucket", "label"))).withColumn("place", place).where(F.col("place") <= anchors_each)
-        anchors = stored(anchors.select(F.col("bucket").alias("at"), F.col("node").alias("anchor"), F.col("weight").alias("anchor_weight"), F.col("label").alias("anchor_label")), "fine-anchors")
-        met = left.join(anchors, (F.col("bucket") == F.col("at")) & (F.col("label") != F.col("anchor_label")))
-        pairs = met.where(_fits(threshold, "weight", "anchor_weight")).select(F.least("node", "anchor").alias("a"), F.greatest("node", "anchor").alias("b")).distinct()
-        likely = stored(pairs if longs is None else _agreeing(pairs, longs), "fine-likely")
-        found = stored(verify(likely, texts.join(_ends(likely), "node", "left_semi"), idf, threshold), "fine-links")
-        if found.limit(1).count():
-            links = found if links is None else links.unionByName(found)
-            left = _relabelled(left, _joined_groups(found, left))
-        left = stored(_split(left.join(anchors.select("at", "anchor"), (F.col("bucket") == F.col("at")) & (F.col("node") == F.col("anchor")), "left_anti")), "fine-rows")
-        anchors_each *= 4
-    return links
-
-
-def _finer_links(split: DataFrame, texts: DataFrame, idf: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame | None:
-    """Links (a, b, similarity) found among the nodes (bucket, node, weight, label) of split buckets; None if there are none.
-
-    Finer buckets join most groups that belong together; what is still split after that is compared whole.
+    table = table.sort_by([("slot", "ascending"), ("label", "ascending"), ("node", "ascending")])
+    bucket = table["bucket"][0].as_py() if table.num_rows else 0
+    slot, node, weight = (table[c].to_numpy() for c in ("slot", "node", "weight"))
+    group = np.unique(table["label"].to_numpy(), return_inverse=True)[1]
+    raw = [table[c].to_pylist() for c in ("keys", "weights", "long")]
+    where = [set(x) for x in table["buckets"].to_pylist()]
+    long = np.frombuffer(b"".join(raw[2]), np.uint8).reshape(len(node), -1)
+    cut = int(np.searchsorted(slot, slot[-1])) if len(slot) else 0  # where the second slot starts; 0 with one slot
+    out = []
+    for i in range(cut or len(node)):
+        others = np.arange(max(cut, i + 1), len(node))
+        least, most = np.minimum(weight[others], weight[i]), np.maximum(weight[others], weight[i])
+        others = others[(group[others] != group[i]) & (least / most >= threshold - 1e-9)]
+        if long.shape[1] and len(others):
+            agree = np.bitwise_count((long[others] == long[i]).view(np.uint64)).sum(1)
+            some = agree >= LONG_AGREE
+            others = others[some][np.argsort(-agree[some].astype(np.int64), kind="stable")]
+        for j in others.tolist():
+            if group[i] == group[j] or min(where[i] & where[j]) != bucket:
+                continue
+            x, y = (np.frombuffer(raw[0][n], np.uint64) for n in (i, j))
+            p, q = (np.frombuffer(raw[1][n]) for n in (i, j))
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            same = y[at] == x
+            shared = np.minimum(p[same], q[at[same]]).sum()
+            value = shared / max(p.sum() + q.sum() - shared, 1e-12)
+            if value >= threshold:
+                out.append((int(node[i]), int(node[j]), float(value)))
+                group[group == group[j]] = group[i]
+    return out
+
+
+def _bucket_links(left: DataFrame, texts: DataFrame, idf: tuple[np.ndarray, np.ndarray], threshold: float, samples: bool = False) -> DataFrame:
+    """Links (a, b, similarity) that join the groups in each bucket of left (bucket, node, weight, label).
+
+    Every two members of a bucket that stay in different groups are compared, with samples by their longer samples first.
+    A bucket over BLOCK_ROWS or BLOCK_BYTES is dealt in blocks by hash, and any two blocks meet in a task.
     """
-    longs = stored(long_samples(texts, idf), "long-samples")
-    bands = F.array(*[F.xxhash64(F.slice("long", k * FINE_ROWS + 1, FINE_ROWS), F.lit(k)) for k in range(LONG // FINE_ROWS)])
-    rows = longs.select("node", F.explode(bands).alias("bucket")).join(split.select("node", "weight", "label").distinct(), "node")
-    links = _bucket_links(rows, texts, idf, threshold, longs)
-    rest = split if links is None else _relabelled(split, _joined_groups(links, split))
-    more = _bucket_links(rest.select("bucket", "node", "weight", "label"), texts, idf, threshold)
-    return links if more is None else more if links is None else links.unionByName(more)
+    left = stored(_split(left), "split-rows")
+    known = stored(profiles(texts, idf, samples), "profiles")
+    sizes = left.join(known.select("node", F.octet_length("keys").alias("bytes")), "node").groupBy("bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    slots = sizes.select("bucket", F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES, F.lit(1))).cast("int").alias("slots"))
+    all_of = left.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))  # BANDS at most
+    rows = left.join(slots, "bucket").withColumn("slot", F.pmod(F.xxhash64("node", "bucket"), "slots").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+    rows = rows.select("bucket", F.least("slot", "other").alias("one"), F.greatest("slot", "other").alias("two"), "slot", "node", "weight", "label").join(all_of, "node").join(known, "node")
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "one", "two")
+
+    def compare(table: pa.Table) -> pa.Table:
+        found = block_links(table, threshold)
+        return pa.table({c: pa.array(x, t) for c, x, t in zip(("a", "b", "similarity"), zip(*found) if found else ([], [], []), (pa.int64(), pa.int64(), pa.float64()))})
+
+    return stored(dealt.groupBy("bucket", "one", "two").applyInArrow(compare, "a long, b long, similarity double").distinct(), "split-links")
+
+
+def _finer_links(split: DataFrame, texts: DataFrame, idf: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
+    """Links (a, b, similarity) found among the nodes (bucket, node, weight, label) of split buckets, by longer samples and then by shingles."""
+    return _bucket_links(split, texts, idf, threshold, True)
 
 
 def duplicate_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -328,8 +348,7 @@ def duplicate_classes(documents: DataFrame, id_col: str = "doc_id", text_col: st
     split = stored(_split(placed.select("bucket", "node", "weight").join(several, "bucket").join(member.select("node", "label"), "node")), "split-members")
     if split.limit(1).count():
         more = _finer_links(split, _texts(documents, nodes, split, id_col, text_col), idf, threshold)
-        if more is not None:
-            links, member = links.unionByName(more), _relabelled(member, _joined_groups(more, split))
+        links, member = links.unionByName(more), _relabelled(member, _joined_groups(more, split))
     links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     linked = _ends(links).groupBy("node").agg(F.count("*").alias("linked"))
     member = stored(member, "members")

@@ -566,3 +566,24 @@ def test_members_of_a_group_still_meet_those_of_others(spark):
         assert {(r["a"], r["b"]) for r in near_duplicates._bucket_links(split, texts, idf, 0.8).collect()} == {((0, 1), (1, 2))[labels[1] == 0]}
         rows = near_duplicates._finer_links(split, texts, idf, 0.8).collect()
         assert {(r["a"], r["b"]) for r in rows} == {((0, 1), (1, 2))[labels[1] == 0]}
+
+
+def test_a_large_split_bucket_is_compared_without_rows_of_pairs(spark, monkeypatch):
+    """Copies that are all alike under the threshold share their buckets: their pairs grow with the square, rows and links do not, whatever the blocks."""
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(80)]
+    docs = {}
+    for n in range(60):
+        words = list(base)
+        for at in rng.choice(80, 3, replace=False):
+            words[at] = f"n{n}x{at}"
+        docs[n] = " ".join(words)
+    docs |= {100 + n: docs[n] + f" more{n}" for n in range(0, 60, 4)}
+    want = H.near_duplicate_classes(docs)
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    joined = []
+    monkeypatch.setattr(near_duplicates, "verify", lambda pairs, *more, whole=near_duplicates.verify: joined.append(pairs.count()) or whole(pairs, *more))
+    for size in (4000, 7):
+        monkeypatch.setattr(near_duplicates, "BLOCK_ROWS", size)
+        assert {r["doc_id"]: r["class_id"] for r in near_duplicates.duplicate_classes(rows).collect()} == want
+    assert max(joined) <= near_duplicates.BANDS * len(docs)  # stars only
