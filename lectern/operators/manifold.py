@@ -13,8 +13,9 @@ from .retrieval import approximate_top_k, build_index
 NEIGHBOURS = 15
 #: Vectors carried besides the wanted ones, times the graph is applied between two orthogonalisations, and how many of these there are.
 SPARE, STEPS, TURNS = 3, 6, 10
-#: Namespaces up to this size are iterated in one task; larger ones by joins of the whole graph. Both do the same.
-TASK_ROWS = 4000
+#: Namespaces up to this size are iterated in one task (about 25 edges a row: a few hundred MB); larger ones by joins of the
+#: whole graph, which shuffle all edges in each of TURNS * STEPS steps. Both do the same.
+TASK_ROWS = 50_000
 SEPARATOR = "\u0001"
 
 
