@@ -11,6 +11,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Events of a key are kept in the state by days of this length, so that a batch reads and writes the days it touches.
 DAY = 86_400
+#: A key with no more events than this has them in its index: one value is read and written instead of one a day.
+SMALL = 256
 
 
 def outcome(second: int, event: int, held: list | None, gone: dict[str, list], ttl: int, grace: int) -> str:
@@ -21,7 +23,7 @@ def outcome(second: int, event: int, held: list | None, gone: dict[str, list], t
 
 
 class Registry(StatefulProcessor):
-    """State of a key: its events by day, the last registration of each day, and evictions by name.
+    """State of a key: its events, by day once they are more than SMALL, the last registration of each day, and evictions by name.
 
     A new event is put into its day. A request is answered there; a registration or an eviction answers again what comes
     after it, up to the next registration. Answers that change are given again, so the newest one of a request counts
@@ -38,7 +40,9 @@ class Registry(StatefulProcessor):
         self.index = handle.getValueState("index", "found string")
 
     def _found(self) -> dict:
-        return json.loads(self.index.get()[0]) if self.index.exists() else {"base": None, "last": [], "gone": {}}
+        """small: the events of a key that has few, null once they are kept by day."""
+        held = self.index.get()
+        return {"small": None} | json.loads(held[0]) if held else {"base": None, "last": [], "gone": {}, "small": []}
 
     def _events(self, day: int) -> list[list]:
         return json.loads(self.days.getValue((day,))[0]) if self.days.containsKey((day,)) else []
@@ -46,6 +50,9 @@ class Registry(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         found, fresh, turns = self._found(), defaultdict(list), set()
         last, gone = {d: x for d, x in found["last"]}, found["gone"]
+        by_day, changed = defaultdict(list), {}
+        for e in found["small"] or ():
+            by_day[e[0] // DAY].append(e)
         for frame in rows:
             for event, kind, second, name in zip(frame["event_id"], frame["kind"], frame["second"], frame["name"]):
                 event, second, name = int(event), int(second), name if isinstance(name, str) else ""
@@ -60,7 +67,8 @@ class Registry(StatefulProcessor):
         answers, passed_on, before = [], False, found["base"]
         for day in sorted({*last, *fresh}):
             if day in fresh or passed_on:
-                events = {e[1]: e for e in fresh[day]} | {e[1]: e for e in self._events(day)}
+                there = by_day[day] if found["small"] is not None else self._events(day) if day in last else []  # a day that is not in the index has no events
+                events = {e[1]: e for e in fresh[day]} | {e[1]: e for e in there}
                 ordered, held, inside = sorted(events.values(), key=lambda e: e[:2]), before, None
                 for e in ordered:
                     if e[2] == "register":
@@ -71,13 +79,21 @@ class Registry(StatefulProcessor):
                             e[4] = now
                             answers.append((e[1], now))
                 if ordered:
-                    self.days.updateValue((day,), (json.dumps(ordered),))
+                    changed[day] = ordered
                 if self.bounded and day not in last:
                     self.handle.registerTimer((day + 1) * DAY * 1000)
                 last[day] = inside
                 passed_on = day in turns or (passed_on and inside is None)
             before = last[day] or before
-        self._keep({"base": found["base"], "last": sorted(last.items()), "gone": gone}, timerValues)
+        small = None
+        if found["small"] is not None:
+            changed = by_day | changed
+            if sum(map(len, changed.values())) <= SMALL:
+                small, changed = [e for events in changed.values() for e in events], {}
+        for day, events in changed.items():
+            if events:
+                self.days.updateValue((day,), (json.dumps(events),))
+        self._keep({"base": found["base"], "last": sorted(last.items()), "gone": gone, "small": small}, timerValues)
         yield self._frame(key, answers)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -91,8 +107,10 @@ class Registry(StatefulProcessor):
             line = timers.getCurrentWatermarkInMs() // 1000
             for day, inside in [x for x in found["last"] if (x[0] + 1) * DAY <= line]:
                 found["base"] = inside or found["base"]
-                if self.days.containsKey((day,)):
+                if found["small"] is None and self.days.containsKey((day,)):
                     self.days.removeKey((day,))
+            if found["small"] is not None:
+                found["small"] = [e for e in found["small"] if (e[0] // DAY + 1) * DAY > line]
             found["last"] = [x for x in found["last"] if (x[0] + 1) * DAY > line]
             names = {found["base"][2]} if found["base"] else set()
             found["gone"] = {n: x for n, x in found["gone"].items() if n in names or any(at[0] >= line for at in x)}

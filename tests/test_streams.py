@@ -207,6 +207,61 @@ def test_registry_evicts_by_name_in_any_order(spark, tmp_path):
     assert {x["event_id"]: x["outcome"] for x in A.cache_lookup(spark.createDataFrame(events, EVENT).withColumn("ts", F.timestamp_seconds("s"))).collect()} == want
 
 
+class Calls:
+    """A key's state as the registry sees it, counting the calls; each is a round trip to the JVM."""
+
+    def __init__(self):
+        self.n, self.maps, self.one = 0, {}, None
+
+    def getMapState(self, *_):
+        return self
+
+    getValueState = getMapState
+
+    def _count(self, value=None):
+        self.n += 1
+        return value
+
+    def exists(self):
+        return self._count(self.one is not None)
+
+    def get(self):
+        return self._count(self.one)
+
+    def update(self, value):
+        self.one = self._count(value)
+
+    def containsKey(self, key):
+        return self._count(key in self.maps)
+
+    def getValue(self, key):
+        return self._count(self.maps[key])
+
+    def updateValue(self, key, value):
+        self.maps[key] = self._count(value)
+
+
+def test_registry_reads_and_writes_one_value_for_a_key_with_few_events(monkeypatch):
+    import pandas as pd
+
+    from lectern.streaming import ttl_state
+
+    r = random.Random(3)
+    events = [(i, r.choice(["register", "request", "request"]), r.randrange(30 * DAY)) for i in range(90)]
+    want = brute_registry([(i, 5, kind, s, None) for i, kind, s in events])
+    for small in (ttl_state.SMALL, 40, 0):
+        monkeypatch.setattr(ttl_state, "SMALL", small)
+        calls, of, got, most = Calls(), ttl_state.Registry(DAY, 300, False), {}, 0
+        of.init(calls)
+        for at in range(0, 90, 30):
+            before, frame = calls.n, pd.DataFrame(events[at : at + 30], columns=["event_id", "kind", "second"]).assign(name=None)
+            for answers in of.handleInputRows((5,), iter([frame]), None):
+                got |= dict(zip(answers["event_id"], answers["outcome"]))
+            most = max(most, calls.n - before)
+        assert got == want, small
+        assert most <= 3 if small >= 90 else len(calls.maps) > 20
+
+
 def test_registry_with_bounded_lateness_folds_old_days(spark, tmp_path):
     files = [[(1, 7, "register", 0, None), (2, 7, "request", DAY // 2, None)], [(3, 7, "request", DAY + 5, None), (4, 8, "request", DAY + 5, None)], [(5, 9, "register", 5 * DAY, None)], [(6, 9, "request", 5 * DAY + 9, None)], [(7, 7, "request", 5 * DAY + 20, None)], [(8, 7, "register", 4 * DAY + DAY // 2, None)]]
     files = [[(e, k, kind, s + 100 * DAY, name) for e, k, kind, s, name in rows] for rows in files]  # at 0 the watermark starts
