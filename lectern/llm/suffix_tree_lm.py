@@ -11,7 +11,7 @@ A rare word then costs its share among rare words, (c + V p) / (N + V) with N to
 training and p the byte tree's probability of its spelling.
 
 The logarithm of a text's probability is a sum over its n-grams in which only kept ones add to what single symbols
-give; so kept n-grams are a table of values, which is broadcast up to BROADCAST_GRAMS rows and joined beyond.
+give; so kept n-grams are a table of values. The BROADCAST_GRAMS most frequent ones are broadcast, the rest is joined.
 
 The byte tree reads a word after a break and closes it with one. Contexts are up to DEPTH bytes back to that break,
 kept by share (MIN_SHARE of all symbols bounds the states by DEPTH / MIN_SHARE) and G statistic.
@@ -38,7 +38,7 @@ SMOOTH = 4.0
 FREQUENT = 1e-6
 #: And seen so often: words seen once stand for those that were not seen, and give the rare symbol their share.
 SYMBOL_COUNT = 2
-#: Kept n-grams up to this many are broadcast (16 bytes each).
+#: So many kept n-grams, the most frequent ones, are broadcast (16 bytes each): these are most of those that texts hold.
 BROADCAST_GRAMS = 2_000_000
 #: A symbol is kept in a context that it follows so often and with this G statistic.
 MIN_COUNT, WORD_G = 2, 20.0
@@ -296,7 +296,7 @@ def _from_planes(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def _gram_partition(words: Words, order: int, parts: int, prefixes: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gram_partition(words: Words, order: int, parts: int, prefixes: np.ndarray | None, some: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (part, keys, counts): differences of sorted n-gram keys and their counts, dealt by a hash of the key."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -308,8 +308,8 @@ def _gram_partition(words: Words, order: int, parts: int, prefixes: np.ndarray |
         keys, n = keys[by_part], n[by_part]
         cut = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
         full = np.flatnonzero(np.diff(cut))
-        some = [(keys[cut[p] : cut[p + 1]], n[cut[p] : cut[p + 1]]) for p in full]
-        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([_planes(np.diff(k, prepend=np.uint64(0))) for k, _ in some], pa.binary()), pa.array([_planes(c.astype(np.uint32)) for _, c in some], pa.binary())], ["part", "keys", "counts"])
+        dealt = [(keys[cut[p] : cut[p + 1]], n[cut[p] : cut[p + 1]]) for p in full]
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([_planes(np.diff(k, prepend=np.uint64(0))) for k, _ in dealt], pa.binary()), pa.array([_planes(c.astype(np.uint32)) for _, c in dealt], pa.binary())], ["part", "keys", "counts"])
 
     for batch in batches:
         buf, off = string_buffers(batch.column(0))
@@ -320,6 +320,8 @@ def _gram_partition(words: Words, order: int, parts: int, prefixes: np.ndarray |
             keys, _ = gram_keys(seq, srow, order)
             if prefixes is not None:
                 keys = keys[find_sorted(prefixes, keys >> np.uint64(BITS)) >= 0]
+            if some is not None:
+                keys = keys[_mapped_out(some, keys >> np.uint64(BITS))]
             if len(keys):
                 held.append(np.unique(keys, return_counts=True))
             if sum(len(k) for k, _ in held) > GRAM_FLUSH:
@@ -328,14 +330,14 @@ def _gram_partition(words: Words, order: int, parts: int, prefixes: np.ndarray |
         yield flush()
 
 
-def count_grams(texts: DataFrame, words: Words, order: int, prefixes: np.ndarray | None = None) -> DataFrame:
-    """(key, n) of the n-grams that occur MIN_COUNT times; prefixes: the only ones that count, if given."""
+def count_grams(texts: DataFrame, words: Words, order: int, prefixes: np.ndarray | None = None, some: np.ndarray | None = None) -> DataFrame:
+    """(key, n) of the n-grams that occur MIN_COUNT times; prefixes: the only ones that count, if given; some: a map (kept_map) that turns most others down."""
     tasks = max(1, -(-words.tokens // GRAMS_A_TASK))
-    shared = texts.sparkSession.sparkContext.broadcast((words, prefixes))
+    shared = texts.sparkSession.sparkContext.broadcast((words, prefixes, some))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, prefixes = shared.value
-        return _gram_partition(words, order, PARTS * tasks, prefixes, batches)
+        words, prefixes, some = shared.value
+        return _gram_partition(words, order, PARTS * tasks, prefixes, some, batches)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = [], []
@@ -392,14 +394,14 @@ def _pair_values(shared: tuple, key: np.ndarray, n: np.ndarray, triples: np.ndar
     words, mass = shared
     u, w = key >> BITS, key & _MASK
     own = np.log10(1 + n / ((words.counts[u] - mass[u] + SMOOTH) * words.p[w]))
-    return [key, own + np.log10((n - triples + SMOOTH) / (n + SMOOTH))]
+    return [key, own + np.log10((n - triples + SMOOTH) / (n + SMOOTH)), n]
 
 
 _MASK = (1 << BITS) - 1
 
 
 def gram_values(train: DataFrame, words: Words) -> tuple[DataFrame, np.ndarray]:
-    """((key, value) of the kept n-grams, counts kept in each context of one symbol)."""
+    """((key, value, n) of the kept n-grams, counts kept in each context of one symbol)."""
     context = train.sparkSession.sparkContext
     pairs = stored(_over(count_grams(train, words, 2), context.broadcast(words), _kept_pairs, "key long, n long"), "lm-pairs")
     mass = np.zeros(len(words.counts), np.int64)
@@ -409,16 +411,23 @@ def gram_values(train: DataFrame, words: Words) -> tuple[DataFrame, np.ndarray]:
     few = pairs.count() <= BROADCAST_GRAMS
     prefixes = np.sort(pairs.select("key").toArrow()["key"].to_numpy()).view(np.uint64) if few else None
     first, second = pairs.select(F.col("key").alias("prefix"), F.col("n").alias("context")), pairs.select(F.col("key").alias("suffix"), F.col("n").alias("pair"))
-    seen = count_grams(train, words, 3, prefixes).withColumn("prefix", F.shiftright("key", BITS)).withColumn("suffix", F.col("key").bitwiseAND((1 << 2 * BITS) - 1))
+    seen = count_grams(train, words, 3, prefixes, None if few else kept_map(pairs)).withColumn("prefix", F.shiftright("key", BITS)).withColumn("suffix", F.col("key").bitwiseAND((1 << 2 * BITS) - 1))
     seen = seen.join(first, "prefix").join(second, "suffix", "left").select("key", "n", "context", "pair")
     triples = stored(_over(seen, shared, _kept_triples, "key long, n long, context long, p double"), "lm-triples")
     held = triples.groupBy(F.shiftright("key", BITS).alias("prefix")).agg(F.sum("n").alias("triples"))
-    of_pairs = _over(pairs.join(held, F.col("key") == F.col("prefix"), "left").select("key", "n", "triples"), shared, _pair_values, "key long, value double")
+    of_pairs = _over(pairs.join(held, F.col("key") == F.col("prefix"), "left").select("key", "n", "triples"), shared, _pair_values, "key long, value double, n long")
     spare = F.col("context") - F.col("triples") + SMOOTH
-    of_triples = triples.join(held, F.shiftright("key", BITS) == F.col("prefix")).select(F.col("key").bitwiseOR(F.lit(TRIGRAM)).alias("key"), F.log10(1 + F.col("n") / (spare * F.col("p"))).alias("value"))
+    of_triples = triples.join(held, F.shiftright("key", BITS) == F.col("prefix")).select(F.col("key").bitwiseOR(F.lit(TRIGRAM)).alias("key"), F.log10(1 + F.col("n") / (spare * F.col("p"))).alias("value"), "n")
     return stored(of_pairs.unionByName(of_triples), "lm-values"), mass
 
 
+def least_count(values: DataFrame) -> int:
+    """The least count with which no more than BROADCAST_GRAMS n-grams are at least so frequent."""
+    sizes = values.groupBy("n").agg(F.count("*").alias("grams")).orderBy(F.desc("n")).toArrow()  # different counts: at most some sqrt(4 * tokens)
+    fits = int((np.cumsum(sizes["grams"].to_numpy()) <= BROADCAST_GRAMS).sum())
+    return int(sizes["n"][fits - 1].as_py()) if fits else 1 << 62
+
+
 class Values:
     """A broadcast table of n-gram values, with a bitmap that turns most other keys down."""
 
@@ -453,6 +462,11 @@ def _bits(key: np.ndarray) -> np.ndarray:
     return (mix(key) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
 
 
+def _mapped_out(some: np.ndarray, key: np.ndarray) -> np.ndarray:
+    at = _bits(key)
+    return (some[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def kept_map(values: DataFrame) -> np.ndarray:
     """A bit for each hash of a kept n-gram, eight to a byte."""
     width = (1 << MAP_BITS) // MAP_PARTS
@@ -475,7 +489,7 @@ def kept_map(values: DataFrame) -> np.ndarray:
 
 
 def joined_values(documents: DataFrame, words: Words, values: DataFrame) -> DataFrame:
-    """(gram_row, grams): the sum of values of a text's n-grams where the table is too large to broadcast.
+    """(gram_row, grams): the sum of values of a text's n-grams, for those that are not broadcast.
 
     A map of hashes keeps n-grams that are not in the table from the shuffle; what it lets through besides joins nothing.
     """
@@ -490,8 +504,7 @@ def joined_values(documents: DataFrame, words: Words, values: DataFrame) -> Data
                 b = LOWER[b]
                 starts, ends, row = word_spans(b, o, SPACED)
                 for keys, rows in _row_grams(*sequences(words.of(words.places(span_hashes(b, starts, ends))), row, j - i)):
-                    at = _bits(keys)
-                    some = (kept[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+                    some = _mapped_out(kept, keys)
                     keys, rows = keys[some], rows[some]
                     order = np.lexsort((keys, rows))
                     keys, rows = keys[order], rows[order]
@@ -558,12 +571,13 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words = alphabet(counts, texts, word_tokens, word_types)
     values, mass = gram_values(train, words)
     back = (words.counts - mass + SMOOTH) / (words.counts + SMOOTH)
-    few = values.count() <= BROADCAST_GRAMS
-    table = None
-    if few:
-        found = values.toArrow()
+    least = least_count(values)
+    top, rest = values.where(F.col("n") >= least), values.where(F.col("n") < least)
+    few = not rest.count()
+    table, found = None, top.select("key", "value").toArrow()
+    if len(found):
         table = Values(found["key"].to_numpy().view(np.uint64), found["value"].to_numpy())
-        del found
+    del found
     shared = documents.sparkSession.sparkContext.broadcast((model, words, back, table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -582,7 +596,7 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if few:
         sums = sums.withColumn("grams", F.lit(0.0))
     else:
-        sums = sums.join(joined_values(rows, words, values), F.col("row") == F.col("gram_row"), "left")
+        sums = sums.join(joined_values(rows, words, rest.select("key", "value")), F.col("row") == F.col("gram_row"), "left")
     end = float(np.log10(texts + 1))
     norm = float(np.log10(tokens + types + 1))
     n = F.col("n_tokens") / F.col("copies") + 1

@@ -257,6 +257,22 @@ def test_suffix_tree_scores_match_brute_force(spark, docs, monkeypatch, broadcas
         assert math.isclose(r["score"], want[r["doc_id"]], rel_tol=1e-7), r["doc_id"]
 
 
+def test_suffix_tree_joins_only_what_is_not_broadcast(spark, docs, monkeypatch):
+    table, held = spark.read.parquet(f"{H.SF}/documents.parquet"), []
+    want = {r["doc_id"]: r["score"] for r in suffix_tree_lm.score(table).collect()}
+
+    def joined(documents, words, values, run=suffix_tree_lm.joined_values):
+        held.append(values.count())
+        return run(documents, words, values)
+
+    monkeypatch.setattr(suffix_tree_lm, "joined_values", joined)
+    for most in (0, 300):
+        monkeypatch.setattr(suffix_tree_lm, "BROADCAST_GRAMS", most)
+        got = {r["doc_id"]: r["score"] for r in suffix_tree_lm.score(table).collect()}
+        assert all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in docs)
+    assert 0 < held[0] - held[1] <= 300
+
+
 def test_order_of_words_changes_the_score_and_known_texts_beat_the_base(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     rows = suffix_tree_lm.score(table).collect()
