@@ -547,3 +547,22 @@ def test_visible_totals_equal_sums_of_pairs(spark):
     people = spark.createDataFrame([(1, "student", 1, 0), (2, "student", 2, 0), (3, "lecturer", 1, None), (4, "admin", 1, 1), (5, "lecturer", None, 1), (5, "student", 2, 2), (3, "lecturer", 2, None)], "user_id long, role string, university_id long, department_id long")
     want = R.visible_courses(courses, hierarchy, people).groupBy("user_id").agg(F.count("*").alias("n"), F.sum("course_id").alias("s"))
     assert sorted(map(tuple, R.visible_totals(courses, hierarchy, people).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_insert_absent_reads_dealt_tables_once_with_nulls_and_repeats(spark, monkeypatch):
+    from lectern import fixtures
+    from lectern.operators import relational
+
+    existing = spark.createDataFrame([(1, 1), (1, 1), (2, 5), (None, 7), (9, 9)], "user_id long, course_id long")
+    requested = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 5), (3, 1), (None, 7), (None, 7), (2, None)], "user_id long, course_id long")
+    valid = spark.createDataFrame([(1,), (1,), (2,), (None,)], "user_id long")
+    want = {(1, 1, "existing"), (1, 2, "inserted"), (2, 5, "existing"), (3, 1, "invalid"), (None, 7, "invalid"), (2, None, "inserted")}
+    for more in ({}, {"parts": 5}):
+        rows = [tuple(r) for r in relational.insert_absent(existing, requested, valid, ["user_id", "course_id"], "user_id", **more).collect()]
+        assert len(rows) == 6 and set(rows) == want
+    v = fixtures.Views(spark, "/root/testdata/sf0.001")
+    plain = sorted(tuple(r) for r in v.sql(fixtures.VIEWS["enrollments"]).collect())
+    monkeypatch.setattr(fixtures, "ROWS_A_TASK", 400)
+    assert v.parts == -(-v.lineitem.count() // 400) > 10
+    assert v.enrollments.rdd.getNumPartitions() == v.parts  # a task's rows stay as they are when the table grows
+    assert sorted(tuple(r) for r in v.enrollments.collect()) == plain
