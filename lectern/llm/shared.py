@@ -98,7 +98,8 @@ def ship(spark: SparkSession) -> None:
 AT_END: list[Callable[[], None]] = []
 
 
-def _give_back() -> None:
+def give_back() -> None:
+    """Frees what caches keep and returns freed memory to the system."""
     for clear in AT_END:
         clear()
     gc.collect()
@@ -117,7 +118,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
-            _give_back()
+            give_back()
 
     return tidied
 

@@ -19,15 +19,18 @@ kept by share (MIN_SHARE of all symbols bounds the states by DEPTH / MIN_SHARE)
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fold, mapped, stored
+from .shared import fold, give_back, mapped, stored
 from .textarrays import LOWER, SPACED, chunks, find_sorted, gather_bytes, mix, span_hashes, string_buffers, word_spans
 
 DEPTH = 5
@@ -232,6 +235,16 @@ def word_logp(model: Model, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+@contextmanager
+def lent(context: SparkContext, value) -> Iterator[Broadcast]:
+    """A broadcast for what runs inside: then the driver and the executors drop it."""
+    shared = context.broadcast(value)
+    try:
+        yield shared
+    finally:
+        shared.destroy()
+
+
 @dataclass
 class Words:
     """The word tree's symbols: hashes in order, the symbol of each, and by symbol its count and its probability without context."""
@@ -296,7 +309,7 @@ def _from_planes(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def _gram_partition(words: Words, order: int, parts: int, prefixes: np.ndarray | None, some: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gram_partition(words: Words, order: int, parts: int, prefixes: np.ndarray | None, some: KeptMap | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (part, keys, counts): differences of sorted n-gram keys and their counts, dealt by a hash of the key."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -321,7 +334,7 @@ def _gram_partition(words: Words, order: int, parts: int, prefixes: np.ndarray |
             if prefixes is not None:
                 keys = keys[find_sorted(prefixes, keys >> np.uint64(BITS)) >= 0]
             if some is not None:
-                keys = keys[_mapped_out(some, keys >> np.uint64(BITS))]
+                keys = keys[some.likely(keys >> np.uint64(BITS))]
             if len(keys):
                 held.append(np.unique(keys, return_counts=True))
             if sum(len(k) for k, _ in held) > GRAM_FLUSH:
@@ -330,14 +343,12 @@ def _gram_partition(words: Words, order: int, parts: int, prefixes: np.ndarray |
         yield flush()
 
 
-def count_grams(texts: DataFrame, words: Words, order: int, prefixes: np.ndarray | None = None, some: np.ndarray | None = None) -> DataFrame:
-    """(key, n) of the n-grams that occur MIN_COUNT times; prefixes: the only ones that count, if given; some: a map (kept_map) that turns most others down."""
-    tasks = max(1, -(-words.tokens // GRAMS_A_TASK))
-    shared = texts.sparkSession.sparkContext.broadcast((words, prefixes, some))
+def count_grams(texts: DataFrame, words: Broadcast, tokens: int, order: int, only: Broadcast | None = None) -> DataFrame:
+    """(key, n) of the n-grams that occur MIN_COUNT times; only: prefixes, the only ones that count, and a map (kept_map) that turns most others down, or None for either."""
+    tasks = max(1, -(-tokens // GRAMS_A_TASK))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, prefixes, some = shared.value
-        return _gram_partition(words, order, PARTS * tasks, prefixes, some, batches)
+        return _gram_partition(words.value, order, PARTS * tasks, *(only.value if only else (None, None)), batches)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = [], []
@@ -357,14 +368,14 @@ def _g(n: np.ndarray, context: np.ndarray, p: np.ndarray) -> np.ndarray:
     return 2 * n * np.log(n / (context * p))
 
 
-def _over(df: DataFrame, shared, work, schema: str) -> DataFrame:
-    """work(what is shared, *columns) -> columns, of whole batches of numbers (null: 0)."""
+def _over(df: DataFrame, shared: list[Broadcast], work, schema: str) -> DataFrame:
+    """work(*what is shared, *columns) -> columns, of whole batches of numbers (null: 0)."""
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(k).fill_null(0).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in work(shared.value, *columns)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in work(*(x.value for x in shared), *columns)], names)
 
     return mapped(df, run, schema)
 
@@ -381,17 +392,15 @@ def _p_after_one(words: Words, mass: np.ndarray, u: np.ndarray, w: np.ndarray, k
     return (kept + (n - mass[u] + SMOOTH) * words.p[w]) / (n + SMOOTH)
 
 
-def _kept_triples(shared: tuple, key: np.ndarray, n: np.ndarray, context: np.ndarray, pair: np.ndarray) -> list[np.ndarray]:
+def _kept_triples(words: Words, mass: np.ndarray, key: np.ndarray, n: np.ndarray, context: np.ndarray, pair: np.ndarray) -> list[np.ndarray]:
     """Triples that diverge from their suffix, with their context's count and the suffix's probability."""
-    words, mass = shared
     p = _p_after_one(words, mass, key >> BITS & _MASK, key & _MASK, pair)
     kept = _g(n, context, p) >= WORD_G
     return [key[kept], n[kept], context[kept], p[kept]]
 
 
-def _pair_values(shared: tuple, key: np.ndarray, n: np.ndarray, triples: np.ndarray) -> list[np.ndarray]:
+def _pair_values(words: Words, mass: np.ndarray, key: np.ndarray, n: np.ndarray, triples: np.ndarray) -> list[np.ndarray]:
     """What a pair adds: as a kept symbol in its context, and as the context of what follows."""
-    words, mass = shared
     u, w = key >> BITS, key & _MASK
     own = np.log10(1 + n / ((words.counts[u] - mass[u] + SMOOTH) * words.p[w]))
     return [key, own + np.log10((n - triples + SMOOTH) / (n + SMOOTH)), n]
@@ -400,25 +409,27 @@ def _pair_values(shared: tuple, key: np.ndarray, n: np.ndarray, triples: np.ndar
 _MASK = (1 << BITS) - 1
 
 
-def gram_values(train: DataFrame, words: Words) -> tuple[DataFrame, np.ndarray]:
-    """((key, value, n) of the kept n-grams, counts kept in each context of one symbol)."""
+def gram_values(train: DataFrame, words: Words, shared: Broadcast) -> tuple[DataFrame, np.ndarray]:
+    """((key, value, n) of the kept n-grams, counts kept in each context of one symbol); shared: the words."""
     context = train.sparkSession.sparkContext
-    pairs = stored(_over(count_grams(train, words, 2), context.broadcast(words), _kept_pairs, "key long, n long"), "lm-pairs")
+    pairs = stored(_over(count_grams(train, shared, words.tokens, 2), [shared], _kept_pairs, "key long, n long"), "lm-pairs")
     mass = np.zeros(len(words.counts), np.int64)
     sums = pairs.groupBy(F.shiftright("key", BITS).alias("u")).agg(F.sum("n").alias("n")).toArrow()  # a row a symbol at most
     mass[sums["u"].to_numpy()] = sums["n"].to_numpy()
-    shared = context.broadcast((words, mass))
     few = pairs.count() <= BROADCAST_GRAMS
-    prefixes = np.sort(pairs.select("key").toArrow()["key"].to_numpy()).view(np.uint64) if few else None
+    only = (np.sort(pairs.select("key").toArrow()["key"].to_numpy()).view(np.uint64), None) if few else (None, kept_map(pairs))
     first, second = pairs.select(F.col("key").alias("prefix"), F.col("n").alias("context")), pairs.select(F.col("key").alias("suffix"), F.col("n").alias("pair"))
-    seen = count_grams(train, words, 3, prefixes, None if few else kept_map(pairs)).withColumn("prefix", F.shiftright("key", BITS)).withColumn("suffix", F.col("key").bitwiseAND((1 << 2 * BITS) - 1))
-    seen = seen.join(first, "prefix").join(second, "suffix", "left").select("key", "n", "context", "pair")
-    triples = stored(_over(seen, shared, _kept_triples, "key long, n long, context long, p double"), "lm-triples")
-    held = triples.groupBy(F.shiftright("key", BITS).alias("prefix")).agg(F.sum("n").alias("triples"))
-    of_pairs = _over(pairs.join(held, F.col("key") == F.col("prefix"), "left").select("key", "n", "triples"), shared, _pair_values, "key long, value double, n long")
-    spare = F.col("context") - F.col("triples") + SMOOTH
-    of_triples = triples.join(held, F.shiftright("key", BITS) == F.col("prefix")).select(F.col("key").bitwiseOR(F.lit(TRIGRAM)).alias("key"), F.log10(1 + F.col("n") / (spare * F.col("p"))).alias("value"), "n")
-    return stored(of_pairs.unionByName(of_triples), "lm-values"), mass
+    with lent(context, mass) as kept:
+        with lent(context, only) as counted:
+            del only
+            seen = count_grams(train, shared, words.tokens, 3, counted).withColumn("prefix", F.shiftright("key", BITS)).withColumn("suffix", F.col("key").bitwiseAND((1 << 2 * BITS) - 1))
+            seen = seen.join(first, "prefix").join(second, "suffix", "left").select("key", "n", "context", "pair")
+            triples = stored(_over(seen, [shared, kept], _kept_triples, "key long, n long, context long, p double"), "lm-triples")
+        held = triples.groupBy(F.shiftright("key", BITS).alias("prefix")).agg(F.sum("n").alias("triples"))
+        of_pairs = _over(pairs.join(held, F.col("key") == F.col("prefix"), "left").select("key", "n", "triples"), [shared, kept], _pair_values, "key long, value double, n long")
+        spare = F.col("context") - F.col("triples") + SMOOTH
+        of_triples = triples.join(held, F.shiftright("key", BITS) == F.col("prefix")).select(F.col("key").bitwiseOR(F.lit(TRIGRAM)).alias("key"), F.log10(1 + F.col("n") / (spare * F.col("p"))).alias("value"), "n")
+        return stored(of_pairs.unionByName(of_triples), "lm-values"), mass
 
 
 def least_count(values: DataFrame) -> int:
@@ -429,19 +440,20 @@ def least_count(values: DataFrame) -> int:
 
 
 class Values:
-    """A broadcast table of n-gram values, with a bitmap that turns most other keys down."""
+    """A broadcast table of n-gram values, with a bitmap that turns most other keys down, made where it is used."""
 
     def __init__(self, key: np.ndarray, value: np.ndarray):
-        order = np.argsort(key)
-        self.key, self.value = key[order], value[order]
-        self.some = np.zeros(1 << 23, bool)
-        self.some[self._slot(self.key)] = True
+        self.value = value[np.argsort(key)]
+        self.key, self.some = np.sort(key), None
 
     @staticmethod
     def _slot(key: np.ndarray) -> np.ndarray:
         return (mix(key) >> np.uint64(41)).astype(np.intp)
 
     def sums(self, key: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+        if self.some is None:
+            self.some = np.zeros(1 << 23, bool)
+            self.some[self._slot(self.key)] = True
         likely = np.flatnonzero(self.some[self._slot(key)])
         at = find_sorted(self.key, key[likely])
         hit = at >= 0
@@ -462,49 +474,73 @@ def _bits(key: np.ndarray) -> np.ndarray:
     return (mix(key) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
 
 
-def _mapped_out(some: np.ndarray, key: np.ndarray) -> np.ndarray:
-    at = _bits(key)
-    return (some[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+class KeptMap:
+    """A bit for each hash of a kept n-gram, eight to a byte; its parts stay compressed until it is used."""
+
+    def __init__(self, parts: dict[int, bytes]):
+        self.parts, self.bits = parts, None
+
+    def likely(self, key: np.ndarray) -> np.ndarray:
+        """Whether each key may be kept: true for all that are."""
+        if self.bits is None:
+            width = (1 << MAP_BITS) // MAP_PARTS // 8
+            self.bits = np.zeros((MAP_PARTS, width), np.uint8)
+            for part in list(self.parts):
+                self.bits[part] = np.frombuffer(zlib.decompress(self.parts.pop(part)), np.uint8)
+            self.bits = self.bits.ravel()
+        at = _bits(key)
+        return (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def kept_map(values: DataFrame) -> np.ndarray:
-    """A bit for each hash of a kept n-gram, eight to a byte."""
+def kept_map(values: DataFrame) -> KeptMap:
+    """Tasks send the places of their n-grams' bits in order, as differences; the driver gets compressed parts."""
     width = (1 << MAP_BITS) // MAP_PARTS
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            at = np.unique(np.concatenate(held))
+            held.clear()
+            cut = np.searchsorted(at, width * np.arange(MAP_PARTS + 1))
+            full = np.flatnonzero(np.diff(cut))
+            steps = [_planes(np.diff(at[cut[p] : cut[p + 1]] - p * width, prepend=0).astype(np.uint32)) for p in full]
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(steps, pa.binary())], ["part", "steps"])
+
         for batch in batches:
-            at = _bits(batch.column(0).to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array((at // width).astype(np.int32)), pa.array((at % width).astype(np.int32))], ["part", "bit"])
+            held.append(_bits(batch.column(0).to_numpy().view(np.uint64)))
+            if sum(map(len, held)) > GRAM_FLUSH:
+                yield flush()
+        if held:
+            yield flush()
 
     def fill(table: pa.Table) -> pa.Table:
         bits = np.zeros(width, np.uint8)
-        bits[table["bit"].to_numpy()] = 1
-        return pa.table({"part": table["part"][:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+        for steps in table["steps"]:
+            bits[np.cumsum(_from_planes(steps.as_py(), np.uint32))] = 1
+        return pa.table({"part": table["part"][:1], "bits": pa.array([zlib.compress(np.packbits(bits), 1)], pa.binary())})
 
-    made = mapped(values.select("key"), place, "part int, bit int").distinct().groupBy("part").applyInArrow(fill, "part int, bits binary").collect()  # MAP_PARTS rows
-    out = np.zeros((MAP_PARTS, width // 8), np.uint8)
-    for r in made:
-        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
+    made = mapped(values.select("key"), place, "part int, steps binary").groupBy("part").applyInArrow(fill, "part int, bits binary").toArrow()  # MAP_PARTS rows
+    return KeptMap(dict(zip(made["part"].to_pylist(), made["bits"].to_pylist())))
 
 
-def joined_values(documents: DataFrame, words: Words, values: DataFrame) -> DataFrame:
+def joined_values(documents: DataFrame, words: Broadcast, values: DataFrame) -> DataFrame:
     """(gram_row, grams): the sum of values of a text's n-grams, for those that are not broadcast.
 
     A map of hashes keeps n-grams that are not in the table from the shuffle; what it lets through besides joins nothing.
     """
-    shared = documents.sparkSession.sparkContext.broadcast((words, kept_map(values)))
+    shared = documents.sparkSession.sparkContext.broadcast(kept_map(values))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, kept = shared.value
+        symbols, kept = words.value, shared.value
         for batch in batches:
             rid = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             buf, off = string_buffers(batch.column(1))
             for i, j, b, o in chunks(buf, off, WORK_BYTES):
                 b = LOWER[b]
                 starts, ends, row = word_spans(b, o, SPACED)
-                for keys, rows in _row_grams(*sequences(words.of(words.places(span_hashes(b, starts, ends))), row, j - i)):
-                    some = _mapped_out(kept, keys)
+                for keys, rows in _row_grams(*sequences(symbols.of(symbols.places(span_hashes(b, starts, ends))), row, j - i)):
+                    some = kept.likely(keys)
                     keys, rows = keys[some], rows[some]
                     order = np.lexsort((keys, rows))
                     keys, rows = keys[order], rows[order]
@@ -569,19 +605,24 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tokens, types = word_tokens + texts, word_types + (texts > 0)
     model = fit(counts)
     words = alphabet(counts, texts, word_tokens, word_types)
-    values, mass = gram_values(train, words)
+    shared = documents.sparkSession.sparkContext.broadcast(words)
+    values, mass = gram_values(train, words, shared)
     back = (words.counts - mass + SMOOTH) / (words.counts + SMOOTH)
     least = least_count(values)
     top, rest = values.where(F.col("n") >= least), values.where(F.col("n") < least)
     few = not rest.count()
-    table, found = None, top.select("key", "value").toArrow()
-    if len(found):
-        table = Values(found["key"].to_numpy().view(np.uint64), found["value"].to_numpy())
+    found = top.select("key", "value").toArrow()
+    key_value = [found[k].to_numpy() for k in ("key", "value")]
     del found
-    shared = documents.sparkSession.sparkContext.broadcast((model, words, back, table))
+    table = Values(key_value[0].view(np.uint64), key_value[1]) if len(key_value[0]) else None
+    del key_value
+    rest_of = documents.sparkSession.sparkContext.broadcast((model, back, table))
+    del table
+    give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _score_partition(*shared.value, batches)
+        model, back, table = rest_of.value
+        return _score_partition(model, shared.value, back, table, batches)
 
     rows = documents.select(key.alias("row"), F.col(text_col).alias("text"))
     flat = mapped(rows, run, "row long, key long, n long, n_tokens long, n_known long, base double, score double")
@@ -596,7 +637,7 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if few:
         sums = sums.withColumn("grams", F.lit(0.0))
     else:
-        sums = sums.join(joined_values(rows, words, rest.select("key", "value")), F.col("row") == F.col("gram_row"), "left")
+        sums = sums.join(joined_values(rows, shared, rest.select("key", "value")), F.col("row") == F.col("gram_row"), "left")
     end = float(np.log10(texts + 1))
     norm = float(np.log10(tokens + types + 1))
     n = F.col("n_tokens") / F.col("copies") + 1

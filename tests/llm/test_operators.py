@@ -1,12 +1,16 @@
 """Each operator against brute force or held-out labels, and on awkward inputs."""
 
 import math
+import os
+import pickle
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, fertility, html_main, language, licenses, near_duplicates, packing, quality, queries, suffix_tree_lm, toxicity, wordcache
@@ -273,6 +277,33 @@ def test_suffix_tree_joins_only_what_is_not_broadcast(spark, docs, monkeypatch):
     assert 0 < held[0] - held[1] <= 300
 
 
+def test_suffix_tree_keeps_little_with_the_driver(spark, docs, monkeypatch):
+    """What is broadcast for a step goes with it, words are broadcast once, and bitmaps are sent compressed or not at all."""
+    sent, live = [], []
+
+    def broadcast(self, value, run=SparkContext.broadcast):
+        out = run(self, value)
+        sent.append((type(value), len(pickle.dumps(value)), out))
+        live.append(sum(os.path.exists(x._path) for _, _, x in sent))
+        return out
+
+    monkeypatch.setattr(SparkContext, "broadcast", broadcast)
+    monkeypatch.setattr(suffix_tree_lm, "BROADCAST_GRAMS", 300)
+    assert len(suffix_tree_lm.score(spark.read.parquet(f"{H.SF}/documents.parquet")).collect()) == len(docs)
+    assert max(live) <= 3 and sum(os.path.exists(x._path) for _, _, x in sent) <= 3
+    assert max(size for _, size, _ in sent) < 4 << 20
+
+
+def test_kept_map_holds_every_key(spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree_lm, "GRAM_FLUSH", 1000)
+    key = np.random.default_rng(5).integers(0, 1 << 62, 20_000)
+    made = suffix_tree_lm.kept_map(spark.createDataFrame(pa.table({"key": np.append(key, key[:5000])})))
+    bits = np.unique(suffix_tree_lm._bits(key.view(np.uint64)))
+    others = np.random.default_rng(6).integers(0, 1 << 62, 200_000).view(np.uint64)
+    assert made.likely(key.view(np.uint64)).all() and np.array_equal(made.likely(others), np.isin(suffix_tree_lm._bits(others), bits))
+    assert not suffix_tree_lm.kept_map(spark.createDataFrame([], "key long")).likely(others).any()
+
+
 def test_order_of_words_changes_the_score_and_known_texts_beat_the_base(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     rows = suffix_tree_lm.score(table).collect()
