@@ -243,6 +243,7 @@ def lent(context: SparkContext, value) -> Iterator[Broadcast]:
         yield shared
     finally:
         shared.destroy()
+        give_back()
 
 
 @dataclass
@@ -606,6 +607,7 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     model = fit(counts)
     words = alphabet(counts, texts, word_tokens, word_types)
     shared = documents.sparkSession.sparkContext.broadcast(words)
+    give_back()
     values, mass = gram_values(train, words, shared)
     back = (words.counts - mass + SMOOTH) / (words.counts + SMOOTH)
     least = least_count(values)
