@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from ..functions.chunking import tokens
 from ..storage import shared_folder, stored
 from .hooks import hooked
-from .shards import beside, dealt, sharded
+from .shards import beside, dealt, give_back, sharded
 from .vector_hits import best_products, nearest_sketches
 from .word_hits import best_rows
 
@@ -345,6 +345,16 @@ def _unit_rows(values: pd.Series) -> np.ndarray:
     return x / np.where(length > 0, length, 1)
 
 
+#: Products of rows and centres that are in memory at once: a task's memory does not grow with the number of cells.
+CELL_PAIRS = 1_000_000
+
+
+def _parts_of(x: np.ndarray, cells: int) -> list[np.ndarray]:
+    """Rows so many at a time that they have CELL_PAIRS products with the cells."""
+    step = max(1, CELL_PAIRS // cells)
+    return [x[i : i + step] for i in range(0, len(x), step)]
+
+
 def build_index(vectors: DataFrame) -> VectorIndex:
     """Coarse cells of each namespace, about the root of its size, and every vector with its sketch in its nearest cell.
 
@@ -368,7 +378,7 @@ def build_index(vectors: DataFrame) -> VectorIndex:
     def put(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         x = _unit_rows(rows["embedding"])
         centres = np.asarray(model["centres"].iloc[0]).reshape(-1, x.shape[1])
-        return rows[["namespace", "chunk_id", "embedding"]].assign(cell=(x @ centres.T).argmax(1).astype(np.int32))
+        return rows[["namespace", "chunk_id", "embedding"]].assign(cell=np.concatenate([(part @ centres.T).argmax(1) for part in _parts_of(x, len(centres))]).astype(np.int32))
 
     kind = vectors.schema["embedding"].dataType.simpleString()
     placed = sketches(beside(shards, cells.select("namespace", "centres"), "namespace", put, f"namespace string, chunk_id string, embedding {kind}, cell int"))
@@ -377,8 +387,8 @@ def build_index(vectors: DataFrame) -> VectorIndex:
     return VectorIndex(cells, vectors.sparkSession.read.schema(placed.schema).parquet(path))
 
 
-#: Rows of a namespace whose sketches a task holds, and queries that it answers.
-SKETCH_SHARD, SKETCH_QUERIES = 200_000, 20_000
+#: Rows of a namespace whose sketches a task holds (under 1 KB each), queries that it answers, and rows that it gives at a time.
+SKETCH_SHARD, SKETCH_QUERIES, ROWS_OUT = 400_000, 20_000, 100_000
 
 
 def _near_cells(index: VectorIndex, queries: DataFrame, kind: str) -> DataFrame:
@@ -392,12 +402,16 @@ def _near_cells(index: VectorIndex, queries: DataFrame, kind: str) -> DataFrame:
             return pd.DataFrame({c: pd.Series([], dtype="object") for c in ("namespace", "query_id", "embedding", "cells")})
         x = _unit_rows(rows["embedding"])
         centres = np.asarray(model["centres"].iloc[0]).reshape(-1, x.shape[1])
-        near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, : int(model["probes"].iloc[0])]
-        if kind == "binary":
-            read = np.zeros((len(x), len(centres)), bool)
-            np.put_along_axis(read, near, True, 1)
-            return rows[["namespace", "query_id", "embedding"]].assign(cells=[r.tobytes() for r in np.packbits(read, axis=1)])
-        return rows[["namespace", "query_id", "embedding"]].assign(cells=near.astype(np.int32).tolist())
+        cells = []
+        for part in _parts_of(x, len(centres)):
+            near = np.argsort(-(part @ centres.T), axis=1, kind="stable")[:, : int(model["probes"].iloc[0])]
+            if kind == "binary":
+                read = np.zeros((len(part), len(centres)), bool)
+                np.put_along_axis(read, near, True, 1)
+                cells.extend(r.tobytes() for r in np.packbits(read, axis=1))
+            else:
+                cells.extend(near.astype(np.int32).tolist())
+        return rows[["namespace", "query_id", "embedding"]].assign(cells=cells)
 
     return beside(shards, index.cells.select("namespace", "probes", "centres"), "namespace", look, f"namespace string, query_id {name}, embedding {vector}, cells {kind}")
 
@@ -417,10 +431,12 @@ def approximate_candidates(queries: DataFrame, index: VectorIndex, n: int, k: in
     v = index.vectors.where("namespace is not null").select("namespace", "cell", "chunk_id", "embedding", "sketch")
 
     def near(asked: pa.Table, held: pa.Table) -> pa.Table:
-        asked, held = _rows(asked), _rows(held).sort_by([("cell", "ascending"), ("chunk_id", "ascending")])
+        asked, held = _rows(asked), _rows(held)
         whole = k is not None and held.num_rows > 0 and held["shards"][0].as_py() == 1
         of, at, differ, score = nearest_sketches(asked, held, n, k if whole else None)
-        return pa.table({"query_id": asked["query_id"].take(pa.array(of)), "chunk_id": held["chunk_id"].take(pa.array(at)), "differ": pa.array(differ, pa.int32()), "score": pa.array(score, pa.float64())})
+        found = pa.table({"query_id": asked["query_id"].take(pa.array(of)), "chunk_id": held["chunk_id"].take(pa.array(at)), "differ": pa.array(differ, pa.int32()), "score": pa.array(score, pa.float64())})
+        give_back()
+        return pa.concat_tables([found.slice(i, ROWS_OUT) for i in range(0, max(1, found.num_rows), ROWS_OUT)])
 
     types = [queries.schema["query_id"].dataType.simpleString(), index.vectors.schema["chunk_id"].dataType.simpleString()]
     asked, held = _met(q, v, row_shard, query_rows)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,15 @@ def dealt(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers are used again, and what one stage keeps would stand beside what the next one needs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def sharded(rows: DataFrame, group: str, key: str, sizes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Adds shard: rows of a group are dealt by the hash of their key to parts of about shard_rows. sizes: (group, n)."""
     parts = sizes.select(F.col(group).alias("shard_group"), F.ceil(F.col("n") / shard_rows).alias("shards"))

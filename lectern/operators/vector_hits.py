@@ -24,8 +24,9 @@ def by_length(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray
 def lowest(keys: np.ndarray, k: int, tie: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the k least keys of each row, in order; ties by tie of the column, or by the column."""
     if keys.shape[1] > k:
-        cut = np.partition(keys, k - 1, axis=1)[:, k - 1]
-        row, column = np.nonzero(keys <= cut[:, None])
+        some = keys[:, ::8] if keys.shape[1] > 64 * k else keys  # the k-th of some keys is no less than that of all
+        cut = np.partition(some, k - 1, axis=1)[:, k - 1]
+        row, column = np.divmod(np.flatnonzero(keys <= cut[:, None]), keys.shape[1])
     else:
         row, column = (x.ravel() for x in np.indices(keys.shape))
     order = np.lexsort((column if tie is None else tie[column], keys[row, column], row))
@@ -58,15 +59,17 @@ def best_products(queries: pa.ChunkedArray, vectors: pa.ChunkedArray, k: int, di
     return np.concatenate(of), np.concatenate(at), pa.array(np.where(score == np.inf, np.nan, score), mask=score == -np.inf)
 
 
-def unit_rows(column: pa.ChunkedArray) -> np.ndarray:
-    """Vectors of one length at length 1, in double; those without length, or with a null entry, are zero."""
+def entries(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors of one length as they are, the length of each in double, 1 where there is none); those with a null entry are zero."""
     column = column.combine_chunks()
     flat = column.flatten()
-    x = flat.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False).reshape(len(column), -1).copy()
+    x = flat.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(len(column), -1)
     if flat.null_count:
-        x[flat.is_null().to_numpy(zero_copy_only=False).reshape(x.shape).any(1)] = 0
-    length = np.sqrt(np.cumsum(x * x, axis=1)[:, -1:])
-    return np.where(length == 0, 0.0, x / np.where(length == 0, 1.0, length))
+        x = np.where(flat.is_null().to_numpy(zero_copy_only=False).reshape(x.shape).any(1)[:, None], 0, x)
+    length = np.ones(len(x))
+    for i in range(0, len(x), UNIT_ROWS):
+        length[i : i + UNIT_ROWS] = np.sqrt(np.cumsum(np.square(x[i : i + UNIT_ROWS], dtype=float), axis=1)[:, -1])
+    return x, np.where(length == 0, 1.0, length)
 
 
 def _words(column: pa.ChunkedArray) -> np.ndarray:
@@ -75,47 +78,63 @@ def _words(column: pa.ChunkedArray) -> np.ndarray:
     return np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(column), -1).T)
 
 
-#: Pairs whose sketches are in memory at once, and more than any two differ by.
-SKETCH_PAIRS, FAR = 500_000, np.iinfo(np.int16).max
+#: Pairs whose sketches are in memory at once, pairs that are compared at a time, more than any two differ by, and vectors measured at a time.
+SKETCH_PAIRS, TILE_PAIRS, FAR, UNIT_ROWS = 2_000_000, 200_000, 1 << 14, 10_000
+
+
+def differing(asked: np.ndarray, held: np.ndarray, differ: np.ndarray) -> None:
+    """Adds to differ how many bits of each two sketches differ, a tile of pairs at a time."""
+    wide = max(1, TILE_PAIRS // max(1, asked.shape[1]))
+    for i in range(0, held.shape[1], wide):
+        tile = differ[:, i : i + wide]
+        for j in range(0, len(asked), 3):  # three numbers have under 256 bits
+            bits = np.bitwise_count(asked[j][:, None] ^ held[j][None, i : i + wide])
+            for a, b in zip(asked[j + 1 : j + 3], held[j + 1 : j + 3]):
+                bits += np.bitwise_count(a[:, None] ^ b[None, i : i + wide])
+            tile += bits
 
 
 def nearest_sketches(queries: pa.Table, rows: pa.Table, n: int, k: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, bits that differ, cosine) of the n rows with the nearest sketches in the cells that each query reads; with k, the k best of these.
 
-    queries: (query_id, embedding, sketch, cells), rows: (cell, chunk_id, embedding, sketch) by cell. Queries that read like
-    cells are taken together, and only the cells that one of them reads are looked at.
+    queries: (query_id, embedding, sketch, cells), rows: (cell, chunk_id, embedding, sketch). Queries that read like
+    cells are taken together, and only the cells that one of them reads are looked at. Of a row, the sketch stays in memory
+    and its vector as it came; only the vectors of candidates are made doubles.
     """
     none = np.zeros(0, int)
     if not queries.num_rows or not rows.num_rows:
         return none, none, none, none.astype(float)
-    q, v, asked, held = unit_rows(queries["embedding"]), unit_rows(rows["embedding"]), _words(queries["sketch"]), _words(rows["sketch"])
+    (q, long), (v, wide) = entries(queries["embedding"]), entries(rows["embedding"])
     cell = rows["cell"].to_numpy()
-    rank = np.empty(len(v), np.int64)
-    rank[pc.sort_indices(rows["chunk_id"]).to_numpy()] = np.arange(len(v))
-    bits = queries["cells"].to_pylist()
-    order = np.array(sorted(range(len(bits)), key=bits.__getitem__))
-    bits = np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1)
+    bits = np.frombuffer(b"".join(queries["cells"].to_pylist()), np.uint8).reshape(len(q), -1)
+    by_cell = np.argsort(cell, kind="stable").astype(np.int32)
+    members = np.bincount(cell, minlength=bits.shape[1] * 8)
+    asked, held = _words(queries["sketch"]), _words(rows["sketch"])[:, by_cell]
+    rank = np.empty(len(v), np.int32)
+    rank[pc.sort_indices(rows["chunk_id"]).to_numpy()] = np.arange(len(v), dtype=np.int32)
+    order = np.lexsort(bits.T[::-1])
     step = max(1, SKETCH_PAIRS // len(v))
     out = []
     for i in range(0, len(order), step):
         some = order[i : i + step]
         reads = np.unpackbits(bits[some], axis=1).astype(bool)
-        at = np.flatnonzero(reads.any(0)[cell])
+        read = reads.any(0)
+        there = np.repeat(read, members)
+        at, words = (by_cell, held) if there.all() else (by_cell[there], held[:, there])
         if not len(at):
             continue
-        differ = np.zeros((len(some), len(at)), np.int16)
-        for a, b in zip(asked, held):
-            differ += np.bitwise_count(a[some][:, None] ^ b[at][None])
-        differ[~reads[:, cell[at]]] = FAR
+        differ = np.repeat(np.where(reads[:, read], 0, FAR).astype(np.int16), members[read], axis=1)
+        differing(asked[:, some], words, differ)
         row, column = lowest(differ, n, rank[at])
         far = differ[row, column]
-        there = far < FAR
-        row, column, far = row[there], at[column[there]], far[there]
-        score = np.cumsum(q[some[row]] * v[column], axis=1)[:, -1]  # in order of the entries, so that equal vectors have equal scores
+        near = far < FAR
+        row, column, far = row[near], at[column[near]], far[near]
+        x, y = q[some[row]] / long[some[row], None], v[column] / wide[column, None]
+        score = np.cumsum(x * y, axis=1)[:, -1].copy()  # in order of the entries, so that equal vectors have equal scores; a view would keep all the sums
         if k is not None:
             best = np.lexsort((rank[column], -score, row))
             row, column, far, score = row[best], column[best], far[best], score[best]
             few = np.arange(len(row)) - np.searchsorted(row, row) < k
             row, column, far, score = row[few], column[few], far[few], score[few]
-        out.append((some[row], column, far, score))
+        out.append((some[row].astype(np.int32), column, far, score))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (none, none, none, none.astype(float))
